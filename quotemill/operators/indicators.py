@@ -257,7 +257,7 @@ def poc_every_bar(bars: DataFrame, keys: Sequence[str], n: int = 240, bins: int
     """As poc, of the window that ends at each bar. Each window is folded where its bars are: the last n as an array."""
     schema = bars.select(*keys, "open_time").schema.simpleString()[7:-1] + ", poc:double"
     w = rows(_w(keys), n)
-    windows = bars.select(*keys, "open_time", F.collect_list(F.struct(F.col("low").cast("double"), F.col("high").cast("double"), F.col("close").cast("double"), F.coalesce(F.col("volume").cast("double"), F.lit(0.0)).alias("volume"))).over(w).alias("w"))
+    windows = bars.select(*keys, "open_time", F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in ("low", "high", "close")), F.coalesce(F.col("volume").cast("double"), F.lit(0.0)).alias("volume"))).over(w).alias("w"))
 
     def each(batches):
         for g in batches:

@@ -214,7 +214,7 @@ def trend_lines(bars: DataFrame, keys: Sequence[str], look_back: int = 260, last
     a = recent.select(*keys, "kind", F.col("idx").alias("i1"), F.col("price").alias("p1"), F.col("_r").alias("r1"))
     b = recent.select(*keys, "kind", F.col("idx").alias("i2"), F.col("price").alias("p2"), F.col("_r").alias("r2"), F.col("confirmed_idx").alias("known"))
     pairs = a.join(b, [*keys, "kind"]).where((F.col("r1") < F.col("r2")) & (F.col("r2") - F.col("r1") <= apart) & (F.col("i2") - F.col("i1") >= span))
-    pairs = pairs.withColumn("slope", (F.col("p2") - F.col("p1")) / (F.col("i2") - F.col("i1"))).where(F.when(F.col("kind") == "low", F.col("slope") > 0).otherwise(F.col("slope") < 0)).join(end, list(keys))
+    pairs = pairs.withColumn("slope", F.try_divide(F.col("p2") - F.col("p1"), F.col("i2") - F.col("i1"))).where(F.when(F.col("kind") == "low", F.col("slope") > 0).otherwise(F.col("slope") < 0)).join(end, list(keys))
     ids = [*keys, "kind", "i1", "i2"]
     touched = pairs.join(recent.select(*keys, "kind", F.col("idx").alias("ti"), F.col("price").alias("tp")), [*keys, "kind"]).join(df.select(*keys, F.col("idx").alias("ti"), F.col("atr").alias("ta")), [*keys, "ti"])
     line = lambda i: F.col("p1") + F.col("slope") * (i - F.col("i1"))

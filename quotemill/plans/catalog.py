@@ -1,11 +1,14 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL: importing a module of queries registers them."""
 
 from __future__ import annotations
 
+from quotemill.plans import analytics, core, studies  # noqa: F401
+from quotemill.plans.registry import ORACLES, QUERIES, Query
 
-def queries():
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
