@@ -90,7 +90,7 @@ class Scanner:
                 self.of[g].append(len(self.templates) - 1)
 
     def scan(self, text: str) -> dict[str, tuple[float, int]]:
-        """Licence -> best coefficient and the first word of the first such window, of those of min_dice or more."""
+        """Licence -> best coefficient, of those of min_dice or more, and the first word of such a window."""
         words = normalised(text)
         grams, hits = bigrams(words), defaultdict(list)
         for at, g in enumerate(grams):
@@ -121,7 +121,7 @@ def _scanner(templates: tuple[tuple[str, str], ...], min_dice: float) -> Scanner
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, min_dice: float = MIN_DICE) -> DataFrame:
     """One row per row of docs: key, licenses: array of struct(license, dice, word) by falling coefficient, then name.
 
-    word is the first word, from 0, of the first best window. A null or empty text has no licence; null keys and repeated rows
+    word is the first word, from 0, of the first best window that starts with a bigram of the template, or is the last. A null or empty text has no licence; null keys and repeated rows
     are scanned like others. Templates are a small constant that travels with the code.
     """
 

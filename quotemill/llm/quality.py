@@ -142,7 +142,7 @@ def _best(histogram: dict, thresholds: dict[str, list[float]], min_cover: int) -
     return best
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", bad: str = "bad", bins: int = 48, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.97, min_cover: int = 5) -> DecisionList:
+def fit(labelled: DataFrame, key: str = "doc_id", bad: str = "bad", bins: int = 32, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.97, min_cover: int = 5) -> DecisionList:
     """Decision list from labelled rows with RATIOS, a key and bad (1 reject, 0 keep); all of them are used.
 
     Two thirds by a hash of the key grow rules, the rest prunes: a trailing condition goes while the rule without it is as
@@ -151,14 +151,16 @@ def fit(labelled: DataFrame, key: str = "doc_id", bad: str = "bad", bins: int =
     """
     rows = labelled.select(F.col(key).alias("_key"), F.col(bad).cast("long").alias("bad"), *RATIOS).where("bad is not null")
     rows = cut(rows)
-    quantiles = rows.agg(*(F.percentile_approx(f, [(i + 0.5) / bins for i in range(bins)], 10_000).alias(f) for f in RATIOS)).first()
-    if quantiles is None or quantiles[RATIOS[0]] is None:
+    # candidates lie half way between neighbouring quantiles, extremes included, of the bad and of the good rows
+    places = [i / bins for i in range(bins + 1)]
+    quantiles = {r["bad"]: r for r in rows.groupBy("bad").agg(*(F.percentile_approx(f, places, 10_000).alias(f) for f in RATIOS)).collect()}  # two rows
+    if set(quantiles) != {0, 1}:
         return DecisionList()
-    extra = rows.where("bad = 1").agg(*(F.percentile_approx(f, [(i + 0.5) / bins for i in range(bins)], 10_000).alias(f) for f in RATIOS)).first()
-    thresholds = {f: sorted({*quantiles[f], *(extra[f] or [])}) for f in RATIOS}
+    values = {f: sorted({*quantiles[0][f], *quantiles[1][f]}) for f in RATIOS}
+    thresholds = {f: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for f, v in values.items()}
     # the bin of a value is the number of thresholds below it
     def below(f: str) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, thresholds[f])), lambda x: x < F.col(f)))
+        return F.size(F.filter(F.array(*map(F.lit, thresholds[f])).cast("array<double>"), lambda x: x < F.col(f)))
 
     binned = rows.withColumns({f"_b_{f}": below(f) for f in RATIOS})
     binned = cut(binned.withColumn("_grow", F.pmod(F.xxhash64("_key"), F.lit(3)) < 2))

@@ -1,0 +1,414 @@
+"""Each operator against a plain version of its contract, with nulls, ties, empty and long texts."""
+
+import base64
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as tok
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quotemill.llm import ann, bpe, chat, license, lm, packing, pii, quality, simhash, warc
+from quotemill.llm.components import components
+
+WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra") for b in ("sa", "to", "vi", "xo", "zu")]
+RND = random.Random(7)
+
+
+def sentence(n):
+    return " ".join(RND.choice(WORDS) for _ in range(n))
+
+
+def _documents():
+    base = [sentence(n) for n in (3, 30, 60, 120, 200, 400)]
+    texts = [None, "", " \n\t ", "one", "Two words", *base, *base[1:4], *(t + " tail" for t in base[2:]), *(t.replace("ka", "KA", 1) for t in base[2:]), "x" * 3000, sentence(30_000), "a  b\n\nc\t d e f g h"]
+    return [(i, t) for i, t in enumerate(texts)] + [(3, "one"), (None, base[5]), (None, None)]
+
+
+DOCUMENTS = _documents()
+
+
+def documents():
+    return DOCUMENTS
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    # names that clash with those inside the operators
+    rows = [(i, t, 1, "z", 0.5, None) for i, t in documents()]
+    return spark.createDataFrame(rows, "doc_id long, text string, key int, fp string, score double, base string").repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+# --- 1 -------------------------------------------------------------------------------------------------------------------
+
+def plain_fingerprint(text):
+    w = words(lower(text))
+    if not w:
+        return 0
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_components(spark, docs, empty):
+    fps = [plain_fingerprint(t) for _, t in documents()]
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 3:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(documents()):
+        if k is not None:
+            least[find(i)] = min(k, least.get(find(i), k))
+    want = Counter((k, f"{fps[i]:016x}", least.get(find(i))) for i, (k, _) in enumerate(documents()))
+    got = simhash.near_duplicates(docs).select("doc_id", simhash.hex16(F.col("fp")).alias("f"), "component").collect()
+    assert Counter(map(tuple, got)) == want
+    assert simhash.near_duplicates(empty).count() == 0
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len({find(i) for i in range(len(fps))})
+
+
+def test_simhash_links_are_complete(spark):
+    rnd = random.Random(1)
+    values = set()
+    for _ in range(40):
+        x = rnd.getrandbits(64)
+        values.add(x)
+        for n in (1, 2, 3, 4, 5):
+            y = x
+            for b in rnd.sample(range(64), n):
+                y ^= 1 << b
+            values.add(y)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 3}
+    got = [tuple(r) for r in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()]
+    assert set(got) == want and len(got) <= 2 * len(want)
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+
+
+# --- 2 -------------------------------------------------------------------------------------------------------------------
+
+def test_lm_base_and_gain(spark, empty):
+    rnd = random.Random(3)
+    # two languages: context tells which words come
+    a, b = ["ka" + w for w in WORDS], ["ve" + w for w in WORDS]
+    rows = [(i, " ".join(rnd.choice(a if i % 2 else b) for _ in range(60))) for i in range(400)] + [(400, None), (401, ""), (None, "unseen words"), (5, "kasa kato")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = lm.score_texts(df).collect()
+    held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 5 == 1
+    counts = Counter(w for k, t in rows if not held(k) for w in [*words(lower(t)), "\n"])
+    n, v = sum(counts.values()), len(counts)
+    want = Counter()
+    for k, t in rows:
+        ws = [*words(lower(t)), "\n"]
+        want[(k, held(k), len(ws), sum(w in counts for w in ws), n, round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6))] += 1
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
+    unseen = [r for r in out if r["held_out"]]
+    assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
+    assert lm.score_texts(empty.select("doc_id", "text")).count() == 0
+
+
+def test_lm_is_a_distribution():
+    vocabulary = lm.Vocabulary([b"the", lm.END, b"of"])
+    w = np.random.default_rng(0).normal(size=(1 + 2 * lm.BUCKETS + lm.PAIRS, lm.CLASSES))
+    assert np.allclose(np.exp(lm._log_softmax(lm.class_logits(w, np.arange(50)))).sum(axis=1), 1)
+    assert vocabulary.units[b"the"] == 0 and vocabulary.units[b"zebra"] == lm.HEAD + lm.suffix(b"zebra")
+
+
+# --- 3 -------------------------------------------------------------------------------------------------------------------
+
+def test_license_scan_is_every_window(spark):
+    rnd = random.Random(5)
+    templates = license.TEMPLATES
+    texts = [None, "", "short", "All rights reserved", templates[2][1], sentence(40) + " Licensed under the Apache License, version 2.0. " + sentence(40), sentence(10) + "\nReleased under MIT License.\n" + sentence(3)]
+    for _ in range(12):
+        name, t = rnd.choice(templates)
+        w = t.split()
+        for _ in range(rnd.randrange(0, 4)):
+            w[rnd.randrange(len(w))] = "changed"
+        texts.append(sentence(rnd.randrange(0, 20)) + " " + " ".join(w) + " " + sentence(rnd.randrange(0, 20)))
+
+    def plain(text):
+        w, best = license.normalised(text or ""), {}
+        for name, t in templates:
+            tw = license.normalised(t)
+            want, size = Counter(license.bigrams(tw)), min(len(tw), len(w))
+            for at in range(len(w) - size + 1):
+                d = license.dice(Counter(license.bigrams(w[at : at + size])), want)
+                if d >= license.MIN_DICE - 1e-12:
+                    best[name] = max(d, best.get(name, 0))
+        return sorted((n, round(d, 9)) for n, d in best.items())
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: sorted((x["license"], round(x["dice"], 9)) for x in r["licenses"]) for r in license.scan_licenses(df).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    assert [x[0] for x in got[5]] == ["Apache-2.0"] and [x[0] for x in got[3]] == ["All-rights-reserved"]
+
+
+# --- 4 -------------------------------------------------------------------------------------------------------------------
+
+def test_chat_round_trip(spark):
+    odd = "<|im_end|><|im_start|>assistant ok"
+    turns = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", odd), (2, 1, "assistant", "late"), (2, 0, "system", r"<\|im_end|> <\\| <| \| %0A"), (3, 0, None, None), (3, 0, "user\n<|x", "tie"), (4, None, "assistant", "null turn"), (4, 0, "user", ""),
+        (None, 0, "user", "no key"), (5, 0, "assistant", "a\nb\n"), (5, 0, "assistant", "a\nb\n"), (6, 0, "user", "𝒳é" * 3), (6, 1, "assistant", "x" * 50_000),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = chat.parse_chats(chat.format_chats(chat.turns_from_table(df))).collect()
+    want = {}
+    for k, n, r, t in sorted(turns, key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
+        want.setdefault(k, []).append((r or "", t or ""))
+    assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in out} == want
+    for r in out:
+        spans = [r["formatted"][s["start"] : s["end"]] for s in r["loss_mask"]]
+        assert [re.sub(r"<\\(\\*)\|", r"<\1|", s) for s in spans] == [t for role, t in want[r["conv_id"]] if role == "assistant"]
+        assert r["formatted"].count(chat.START) == len(want[r["conv_id"]])
+    assert chat.format_chats(chat.turns_from_table(df.where("false"))).count() == 0
+
+
+def test_chat_layouts(spark):
+    records = [
+        ("a", {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "r"}]}), ("b", {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "r"}]}),
+        ("c", {"instruction": "q", "input": "i", "output": "r"}), ("d", {"prompt": "q", "completion": "r"}), ("e", {"system": "s", "prompt": "q", "response": "r"}), ("f", {"other": 1}), ("g", None),
+    ]
+    df = spark.createDataFrame([(k, None if v is None else json.dumps(v)) for k, v in records], "id string, j string")
+    got = {}
+    for r in chat.turns_from_json(df, "id", "j").orderBy("id", "turn").collect():
+        got.setdefault(r["id"], []).append((r["role"], r["text"]))
+    pair = [("user", "q"), ("assistant", "r")]
+    assert got == {"a": pair, "b": pair, "c": [("user", "q\n\ni"), ("assistant", "r")], "d": pair, "e": [("system", "s"), *pair], "f": [(None, None)], "g": [(None, None)]}
+    with pytest.raises(ValueError):
+        chat.turns_from_table(df.withColumnRenamed("j", "prompt"), "id")
+
+
+# --- 5 -------------------------------------------------------------------------------------------------------------------
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")) or kind == "card" and not (16 <= len(d) <= 19 and luhn) or kind == "phone" and not 8 <= len(d) <= 15:
+                continue
+            out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def pii_texts():
+    rnd = random.Random(11)
+    parts = ["a.b@c.de", "x_y@d-e.f.gh", "1.2.3.4", "300.1.1.1", "001.02.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (319) 555-5132", "+12", "a@b", "1.2.3.4.5.6.7.8", "@", "+", "é𝒳", "word", "a@b.c_d@e.f", "\n", "9" * 30, "5.5.5.5@h.io"]
+    texts = [None, "", "a" * 20_000, "1 " * 5_000, "9" * 30_000, "a@" * 500] + ["".join(rnd.choice(parts) + rnd.choice([" ", "", ", "]) for _ in range(rnd.randrange(1, 14))) for _ in range(300)]
+    return texts + [f"{sentence(6)} badge id: QX{n}77Z {sentence(3)}" for n in range(5)]
+
+
+def test_personal_data_base(spark):
+    texts = pii_texts()
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, None, "y"), (None, "a@b.cd", "z")], "doc_id long, text string, spans string")
+    got = Counter((r["doc_id"], r["s"]) for r in pii.find_personal_data(df).select("doc_id", pii.spelled("base").alias("s")).collect())
+    assert got == Counter([(i, ",".join(plain_spans(t))) for i, t in enumerate(texts)] + [(0, ""), (None, "email:0:6")])
+    assert pii.find_personal_data(df.where("false")).count() == 0
+
+
+def test_personal_data_discovers(spark):
+    good = [f"{sentence(4)} server address 10.0.{n}.7 {sentence(4)}" for n in range(12)]
+    unseen = [f"{sentence(4)} server address 10.0.{n}.999 {sentence(4)}" for n in range(2)]
+    other = [f"{sentence(4)} release number 10.0.{n}.999 {sentence(4)}" for n in range(6)]
+    df = spark.createDataFrame(list(enumerate(good + unseen + other)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find_personal_data(df).collect()}
+    assert all(len(got[i]["spans"]) == 1 and len(got[i]["base"]) == 1 for i in range(12))
+    for i in (12, 13):
+        assert not got[i]["base"] and [s["value"] for s in got[i]["spans"]] == [re.search(r"10\S+", (good + unseen)[i])[0]]
+    assert not any(got[i]["spans"] for i in range(14, 20))
+    kept = pii.redact(df.withColumn("n_chars", F.length("text").cast("long")))
+    text = {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept.collect()}
+    assert "<IP>" in text[0][0] and "10.0" not in text[12][0] and text[15][0] == other[1] and all(len(t) == n for t, n in text.values())
+
+
+# --- 6 -------------------------------------------------------------------------------------------------------------------
+
+def test_packing(spark, docs, empty):
+    path = tok.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rows = packing.pack(docs, path).collect()
+    seqs, have, crcs = {}, Counter(), Counter()
+    for r in rows:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        crcs[(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"])] += 1
+    for _, pieces in seqs.items():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 4096
+        have[at] += 1
+    assert sum(n for k, n in have.items() if k < 4096) <= 1
+    for k, text in documents():
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for size in packing.cut(len(ids)):
+            row = (k, at, size, zlib.crc32(ids[at : at + size].tobytes()), len(ids))
+            assert crcs[row] > 0
+            crcs[row] -= 1
+            at += size
+    assert not +crcs
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_word_ids_of_odd_texts():
+    path, rnd = tok.path("word_bpe_49k.json"), random.Random(2)
+    ours, t = packing.WordIds(path, store=50), Tokenizer.from_file(path)
+    alphabet = list("ab  \n\n\t'sé1.,!\x1c　 \x85<|日本😀𝒳İΣσς") + ["é", "<|endoftext|>"]
+    for _ in range(1500):
+        text = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 30)))
+        assert ours.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+# --- 7 -------------------------------------------------------------------------------------------------------------------
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(1500, 16)) + 4 * rng.normal(size=(1, 16)) * (k % 5) for k in range(1)] + [np.tile(rng.normal(size=(1, 16)), (600, 1))])
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    bad = [(9000, None), (9100, [0.0] * 16), (9200, [float("nan")] * 16), (9300, [None] * 16), (9400, [1.0] * 15), (9500, []), (None, [1.0] * 16), (100, rows[100][1])]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").repartition(4)
+    got = ann.nearest(df, df.where("vec_id % 100 = 0")).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        by.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(by) == {i for i in range(0, 2100, 100)}
+    hits = 0
+    for q, found in by.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [i for i in np.lexsort((np.arange(len(d)), d)) if i != q][:10]
+        assert len(found) == 10 and found == sorted(found, key=lambda f: (f[1], f[0]))
+        assert all(abs(s - d[v]) < 1e-12 for v, s in found)
+        hits += len({v for v, _ in found} & set(order))
+    assert hits >= 0.9 * 10 * len(by)
+    assert ann.nearest(df.where("false"), df.where("false")).count() == 0
+    few = df.where("vec_id in (100, 200, 300)")
+    assert ann.nearest(few, few).count() == 6
+
+
+# --- 8 -------------------------------------------------------------------------------------------------------------------
+
+def test_byte_bpe(spark, docs, empty):
+    path = tok.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=tok.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for k, text in documents():
+        ids = enc.encode_ordinary(text or "")
+        want[(k, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())] += 1
+    assert Counter(map(tuple, bpe.round_trip(docs, path, tok.PATTERN).collect())) == want
+    assert bpe.round_trip(empty, path, tok.PATTERN).count() == 0
+    both = bpe.decode_ids(bpe.encode_ids(docs.select("doc_id", "text"), path, tok.PATTERN), path, tok.PATTERN)
+    assert all(bytes(r["bytes"]).decode() == (r["text"] or "") for r in both.collect())
+    coder, rnd = bpe.ByteBpe(path, tok.PATTERN, store=40), random.Random(6)
+    for _ in range(1500):
+        text = "".join(rnd.choice(list("ab  \n\n\t'sé1.,\x1c　 \x85<|日本😀𝒳")) for _ in range(rnd.randrange(0, 40)))
+        assert [i for ids in coder.encode(text) for i in ids] == enc.encode_ordinary(text)
+    assert all(coder.whole.get(k) == v for k, v in ranks.items()) and coder.whole.get(b"no such token at all") == -1
+
+
+# --- 9 -------------------------------------------------------------------------------------------------------------------
+
+def plain_counts(text):
+    w, t = words(text), text or ""
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in t.split("\n") if words(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts(spark):
+    rnd = random.Random(9)
+    texts = [t for _, t in documents() if t is None or len(t) < 50_000] + ["\n".join(rnd.choice(["a b", " ", "", "a b ", "c#*d"]) for _ in range(30)) for _ in range(20)]
+    texts += [" ".join(rnd.choice("abc") for _ in range(rnd.randrange(5, 60))) for _ in range(40)] + ["w " * 5000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_words string").drop("n_words")
+    got = {r["doc_id"]: tuple(r[c] for c in quality.COUNTS) for r in quality.with_counts(df).collect()}
+    assert got == {i: plain_counts(t) for i, t in enumerate(texts)}
+
+
+def test_quality_rules(spark, empty):
+    rnd = random.Random(10)
+    clean = [" ".join(rnd.choice(WORDS) + rnd.choice(["", "", "."]) for _ in range(60)) for _ in range(200)]
+    junk = [" ".join(rnd.choice(WORDS).upper() + "!!" for _ in range(60)) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(clean + junk)] + [(None, clean[0]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 200), 0) for i in range(0, 320, 2)] + [(0, None, 0), (None, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(df, labels).where("doc_id is not null").collect()}
+    assert all(got[i] for i in range(200)) and not any(got[i] for i in range(200, 320))
+    kept = quality.keep_good(df, labels)
+    assert kept.columns == df.columns and kept.count() == 201
+    assert quality.quality_verdicts(df, labels.where("false")).where("kept").count() == 321
+    assert quality.quality_verdicts(empty.select("doc_id", "text"), labels).count() == 0
+
+
+# --- 10 ------------------------------------------------------------------------------------------------------------------
+
+def test_warc(spark, tmp_path):
+    rnd = random.Random(12)
+    pages = [(i, f"http://h/{i}", rnd.choice(["<p>same</p>", "", sentence(50), None])) for i in range(60)] + [(3, "http://h/again", "<p>three</p>"), (3, "http://h/again", "<p>three</p>"), (None, None, "<p>same</p>"), (70, "http://h/\nx", "é𝒳" * 100), (71, "u", "x" * 300_000), (72, "u", "x" * 300_000)]
+    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, shard int").repartition(5)
+    got = warc.archive(spark, df, roll_bytes=2_000, shard_bytes=20_000)
+    first = {}
+    for i, _, h in pages:
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    want = Counter()
+    for i, _, h in pages:
+        p = (h or "").encode()
+        f = first[h or ""]
+        want[(i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if f == i else "revisit", None if f == i else f)] += 1
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got.collect()) == want
+    assert warc.archive(spark, df.where("false")).count() == 0
+
+
+def test_warc_is_deterministic(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"http://h/{i}", sentence(40)) for i in range(200)], "page_id long, url string, html string")
+    digests = []
+    for n, parts in ((0, 2), (1, 7)):
+        base = f"file://{tmp_path}/w{n}"
+        manifests = warc.write_warc(df.repartition(parts), base, roll_bytes=5_000, shard_bytes=20_000)
+        assert len(manifests) > 1 and any(len(m["files"]) > 1 for m in manifests)
+        digests.append([hashlib.sha256((tmp_path / f"w{n}" / f["name"]).read_bytes()).hexdigest() for m in manifests for f in m["files"]])
+        assert not list((tmp_path / f"w{n}").glob(".tmp*"))
+    assert digests[0] == digests[1]
