@@ -40,7 +40,7 @@ def read_bar_package(spark: SparkSession, root: str, price_side: str = "bid") ->
     """CSV files of one-minute bars with an exact header: bars with row number and sha256 of each line. A line that doesn't parse,
     another price side or header is an error."""
     # a file is one text: row numbers need its lines in order, and a file is a month of one instrument
-    files = spark.read.option("wholetext", "true").text(root).withColumn("file", F.col("_metadata.file_name"))
+    files = spark.read.text(root, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
     lines = files.select("file", F.posexplode(F.split(F.rtrim("value", F.lit("\r\n")), "\r?\n")).alias("row_number", "line"))
     checked = lines.withColumn("line", F.when((F.col("row_number") == 0) & (F.col("line") != PACKAGE_HEADER), F.raise_error(F.concat(F.lit("header of "), "file"))).otherwise(F.col("line")))
     rows = checked.where("row_number > 0 or line is null").select("file", "row_number", F.sha2("line", 256).alias("line_sha256"), F.from_csv("line", PACKAGE_SCHEMA, {"mode": "FAILFAST"}).alias("r"))
