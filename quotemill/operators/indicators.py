@@ -191,9 +191,10 @@ def kdj(bars: DataFrame, keys: Sequence[str], n: int = 9, all_rows: bool = False
 
 
 def kdj_state(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """points(k, d) of every bar -> zone (both beyond 80 or 20), cross, streak in an extreme zone, dulling, score_eligible."""
+    """points(k, d) of every bar -> zone (both beyond 80 or 20), cross, streak in an extreme zone, dulling, score_eligible. K and D
+    are compared at nine digits: on flat bars they're equal but for rounding."""
     w = _w(keys)
-    df = points.withColumn("zone", F.when((F.col("k") >= 80) & (F.col("d") >= 80), "high").when((F.col("k") <= 20) & (F.col("d") <= 20), "low").otherwise("middle"))
+    df = points.withColumn("k", F.round("k", 9)).withColumn("d", F.round("d", 9)).withColumn("zone", F.when((F.col("k") >= 80) & (F.col("d") >= 80), "high").when((F.col("k") <= 20) & (F.col("d") <= 20), "low").otherwise("middle"))
     pk, pd_ = F.lag("k").over(w), F.lag("d").over(w)
     df = df.withColumn("cross", F.when((pk <= pd_) & (F.col("k") > F.col("d")), "bullish").when((pk >= pd_) & (F.col("k") < F.col("d")), "bearish").otherwise("none"))
     df = _streak(df, keys, "zone", "_s").withColumn("_ps", F.lag("_s").over(w)).withColumn("_pz", F.lag("zone").over(w))

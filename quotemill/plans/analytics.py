@@ -132,7 +132,7 @@ def w13_kdj(spark: SparkSession, d: str) -> DataFrame:
     return ind.kdj(b.hourly(spark, d), K).select("instrument", F.unix_seconds("open_time").alias("open_time"), *(F.round(c, 5).alias(c) for c in ("k", "d", "j")))
 
 
-@query(f"""{_KDJ}, z AS (SELECT *, CASE WHEN k >= 80 AND d >= 80 THEN 'high' WHEN k <= 20 AND d <= 20 THEN 'low' ELSE 'middle' END AS zone, lag(k) OVER w AS pk, lag(d) OVER w AS pd FROM f {W}),
+@query(f"""{_KDJ}, g AS (SELECT instrument, idx, open_time, round(k, 9) AS k, round(d, 9) AS d FROM f), z AS (SELECT *, CASE WHEN k >= 80 AND d >= 80 THEN 'high' WHEN k <= 20 AND d <= 20 THEN 'low' ELSE 'middle' END AS zone, lag(k) OVER w AS pk, lag(d) OVER w AS pd FROM g {W}),
   c AS (SELECT *, CASE WHEN pk <= pd AND k > d THEN 'bullish' WHEN pk >= pd AND k < d THEN 'bearish' ELSE 'none' END AS crossing, CASE WHEN lag(zone) OVER w = zone THEN 0 ELSE 1 END AS n FROM z {W}), i AS (SELECT *, sum(n) OVER w AS i FROM c {W}),
   s AS (SELECT *, row_number() OVER (PARTITION BY instrument, i ORDER BY open_time) AS s FROM i), p AS (SELECT *, lag(s) OVER w AS ps, lag(zone) OVER w AS pz FROM s {W})
   SELECT {T}, zone, crossing AS cross, (CASE WHEN zone = 'middle' THEN 0 ELSE s END)::INTEGER AS streak, CASE WHEN zone <> 'middle' THEN zone || (CASE WHEN s >= 3 THEN '-dulling' ELSE '-entering' END) WHEN pz = 'high' AND ps >= 3 AND crossing = 'bearish' THEN 'high-releasing'
