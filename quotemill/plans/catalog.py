@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quotemill.plans import analytics, core, studies  # noqa: F401
+from quotemill.plans import analytics, core, feeds, studies  # noqa: F401
 from quotemill.plans.registry import ORACLES, QUERIES, Query
 
 

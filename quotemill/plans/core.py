@@ -408,7 +408,8 @@ def e8_market_phase(spark: SparkSession, d: str) -> DataFrame:
     return cal.market_phase(b.quotes(spark, d).select("id", "observed_at"), _sessions(spark)).select("id", "phase")
 
 
-@query()
+@query(f"""WITH {b.QUOTES}, {_SESSIONS}, ax AS (SELECT DISTINCT session_start, session_end FROM sessions), o AS (SELECT *, row_number() OVER (ORDER BY session_start)::INTEGER AS n, coalesce(sum(epoch(session_end) - epoch(session_start)) OVER (ORDER BY session_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ax)
+  SELECT q.instrument, q.id, o.n AS session_ordinal, round(o.before + floor(epoch(q.observed_at)) - epoch(o.session_start) + (row_number() OVER (PARTITION BY q.instrument, q.observed_at ORDER BY q.id) - 1) * 1e-6, 6) AS position FROM quotes q JOIN o ON q.observed_at >= o.session_start AND q.observed_at < o.session_end""")
 def e9_trading_axis(spark: SparkSession, d: str) -> DataFrame:
     q = b.quotes(spark, d).select("instrument", "id", F.col("observed_at").alias("open_time"))
     sess = _sessions(spark)

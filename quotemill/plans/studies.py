@@ -284,14 +284,13 @@ def a13_infer_quantum(spark: SparkSession, d: str) -> DataFrame:
 
 # --- streams -------------------------------------------------------------------------------------------------------------
 
-def _streamed(spark: SparkSession, d: str, make, mode: str, files: int = 4) -> DataFrame:
-    """The event table as a stream of files, through make, into a table in the shared folder."""
-    q = b.quotes(spark, d)
+def streamed(spark: SparkSession, q: DataFrame, make, mode: str, order: tuple[str, ...] = ("received_at", "id"), files: int = 4) -> DataFrame:
+    """A table as a stream of files in an order, through make, into a table in the shared folder."""
     # state of arbitrary processors needs this store
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}" if root else "file://" + tempfile.mkdtemp(prefix="quotemill-stream-")
-    q.repartitionByRange(files, "received_at").sortWithinPartitions("received_at", "id").write.mode("overwrite").parquet(f"{base}/in")
+    q.repartitionByRange(files, order[0]).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{base}/in")
     stream = spark.readStream.schema(q.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     out = make(stream)
 
@@ -299,26 +298,16 @@ def _streamed(spark: SparkSession, d: str, make, mode: str, files: int = 4) -> D
         batch.write.mode("overwrite").parquet(f"{base}/out/b={n}")
 
     out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    return spark.read.schema(out.schema).parquet(f"{base}/out").select(*out.columns)
 
 
-@query()
+@query(f"WITH {b.QUOTES} SELECT id, CASE channel WHEN 'ch0' THEN 'alpha' ELSE 'beta' END AS source_id FROM quotes WHERE channel IN ('ch0', 'ch1')")
 def r1_route_stream(spark: SparkSession, d: str) -> DataFrame:
     contracts = spark.createDataFrame([("ch0", "alpha"), ("ch1", "beta")], "channel string, source_id string")
-    return _streamed(spark, d, lambda s: sb.route_stream(s, contracts).select("id", "source_id"), "append")
-
-
-@query()
-def r3_bar_stream(spark: SparkSession, d: str) -> DataFrame:
-    out = _streamed(spark, d, lambda s: sb.bar_stream(sb.tick_rows(s), (3600,)), "update")
-    return sb.coalesce_batch(out, ["instrument", "interval", "open_time"]).select("instrument", "open_time", "open", "high", "low", "close", "state", "revision")
+    return streamed(spark, b.quotes(spark, d), lambda s: sb.route_stream(s, contracts).select("id", "source_id"), "append")
 
 
-@query()
-def r8_latest_stream(spark: SparkSession, d: str) -> DataFrame:
-    return ba.latest_quotes(_streamed(spark, d, lambda s: s.select("instrument", "observed_at", "received_at", "last", "id"), "append"), K)
-
-
-@query()
+@query(f"WITH {b.QUOTES} SELECT id, instrument, last FROM quotes")
 def r14_dedupe_stream(spark: SparkSession, d: str) -> DataFrame:
-    return _streamed(spark, d, lambda s: sb.dedupe_stream(s.select("instrument", "id", "received_at", "last"), ["id"]), "append")
+    q = b.quotes(spark, d).select("instrument", "id", "received_at", "last")
+    return streamed(spark, q.unionByName(q.where("id % 3 = 0")), lambda s: sb.dedupe_stream(s, ["id"]), "append").select("id", "instrument", "last")
