@@ -121,18 +121,16 @@ def shard_bounds(pages: DataFrame, key: str, size: Column, shard_bytes: int = SH
     return sorted({ids[len(ids) * i // shards] for i in range(1, shards)}) if ids else []
 
 
-def with_revisits(pages: DataFrame, key: str, html: str, min_bytes: int = 0) -> DataFrame:
-    """pages with payload_sha1 (hex), and refers_to: the least id of an equal payload of at least min_bytes, if another row has it.
+def revisits(pages: DataFrame, key: str, html: str, min_bytes: int = 0) -> DataFrame:
+    """(key, payload_sha1, refers_to) of the pages whose payload, of at least min_bytes, a lesser id has: refers_to is the least.
 
-    Equal payloads meet by digest, as one row for each digest and map task; a digest that a third of the pages have is a
-    skewed side of a join, which Spark splits.
+    Payloads aren't moved: their digests meet as one row for each digest and map task; a digest that a third of the pages have
+    is a skewed side of a join of small rows, which Spark splits.
     """
-    digested = pages.withColumn("payload_sha1", F.sha1(F.encode(html, "utf-8")))
-    long_enough = F.octet_length(html) >= min_bytes
-    # of rows with the same id and payload, the first stays the response: they're numbered within the shard
-    first = digested.where(long_enough).groupBy("payload_sha1").agg(F.min(key).alias("_first"))
-    joined = digested.join(first.withColumnRenamed("payload_sha1", "_sha1"), (F.col("payload_sha1") == F.col("_sha1")) & long_enough, "left")
-    return joined.withColumn("refers_to", F.when(~F.col(key).eqNullSafe(F.col("_first")), F.col("_first"))).drop("_sha1", "_first")
+    digested = pages.where(F.octet_length(html) >= min_bytes).select(key, F.sha1(F.encode(html, "utf-8")).alias("payload_sha1"))
+    first = digested.groupBy("payload_sha1").agg(F.min(key).alias("refers_to"))
+    # of rows with the same id and payload, all are what the first is
+    return digested.join(first, "payload_sha1").where(F.col("refers_to").isNotNull() & ~F.col(key).eqNullSafe(F.col("refers_to"))).select(key, "payload_sha1", "refers_to").distinct()
 
 
 def write_warc(pages: DataFrame, base: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> list[dict]:
@@ -155,24 +153,30 @@ def write_warc(pages: DataFrame, base: str, key: str = "page_id", url: str = "ur
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: _Shard | None = None
         made: list[dict] = []
-        last, copy = None, 0
+        last, copy, told = None, 0, (None, None, None)
         for batch in batches:
             for row in batch.to_pylist():
+                if row["refers_to"] is not None:  # stands before the pages of its id and payload
+                    told = row["page_id"], row["payload_sha1"], row["refers_to"]
+                    continue
                 if out is None or out.shard != row["shard"]:
                     made += [out.commit()] if out else []
                     out, last = _Shard(base, row["shard"], roll_bytes), None
+                refers_to = told[2] if told[:2] == (row["page_id"], row["payload_sha1"]) else None
                 payload = row["html"].encode("utf-8", "surrogatepass")
                 sha1 = base64.b32encode(bytes.fromhex(row["payload_sha1"])).decode()
                 copy = copy + 1 if (row["page_id"], sha1) == last else 0
                 last = row["page_id"], sha1
-                out.add(record(row["page_id"], copy, row["url"], payload, sha1, row["refers_to"]))
+                out.add(record(row["page_id"], copy, row["url"], payload, sha1, refers_to))
         made += [out.commit()] if out else []
         if made:
             yield pa.RecordBatch.from_arrays([pa.array([json.dumps(m, sort_keys=True) for m in made])], names=["manifest"])
 
-    sharded = with_revisits(slim, "page_id", "html", min_bytes).withColumn("shard", shard_of("page_id"))
-    # a shard is bounded in bytes, so a task holds one or a few whole
-    dealt = sharded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "payload_sha1", "url")
+    whole = slim.withColumn("payload_sha1", F.sha1(F.encode("html", "utf-8"))).withColumn("refers_to", F.lit(None).cast("long"))
+    both = whole.unionByName(revisits(slim, "page_id", "html", min_bytes), allowMissingColumns=True).withColumn("shard", shard_of("page_id"))
+    # a shard is bounded in bytes, so a task holds one or a few whole; payloads are moved once
+    order = ("shard", F.asc_nulls_first("page_id"), "payload_sha1", F.desc_nulls_last("refers_to"), "url")
+    dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions(*order)
     rows = dealt.mapInArrow(write, "manifest string").collect()  # one row of file names and counts for each shard
     return sorted((json.loads(r[0]) for r in rows), key=lambda m: m["shard"])
 
