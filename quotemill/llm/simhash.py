@@ -100,11 +100,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) less all rows of a component but one: that of the least doc_id, of equal ids the one whose text
     hashes least. Rows of a null doc_id count after all others."""
-    rows = docs.withColumn("_hash", F.xxhash64(text_or_empty("text")))
-    marks = cut(with_fingerprint(rows.select("doc_id", "_hash", "text")).select("doc_id", "_hash", "fp"))
-    nodes = cut(marks.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_hash")).alias("least")))
+    # one key without nulls for the join and for what follows, so texts are shuffled once
+    key = ["_id", "_none", "_hash"]
+    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull()).withColumn("_hash", F.xxhash64(text_or_empty("text")))
+    marks = cut(with_fingerprint(rows.select(*key, "text")).select(*key, "fp"))
+    nodes = cut(marks.groupBy("fp").agg(F.min(F.struct("_none", "_id", "_hash")).alias("least")))
     linked = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     rooted = nodes.join(linked, "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
-    kept = cut(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least._hash").alias("_h")).distinct())
-    one = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    kept = cut(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.*").distinct())
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
