@@ -185,12 +185,13 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def _replaced(text: str, spans: str) -> Column:
-    """The text from span to span, by start: what lies between spans stays."""
+    """The text from span to span, by start: what lies between spans stays, and a span that starts inside others moves their
+    end on to its own, so overlapping ones go as their union."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     folded = F.aggregate(
         ordered,
         F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] + 1 < a["at"], a).otherwise(
+        lambda a, s: F.when(s["start"] + 1 < a["at"], F.struct(F.greatest(a["at"], s["end"] + 1).alias("at"), a["out"].alias("out"))).otherwise(
             F.struct((s["end"] + 1).alias("at"), F.concat(a["out"], F.substr(F.col(text), a["at"], s["start"] + 1 - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"))),
     )
     return F.concat(folded["out"], F.substr(F.col(text), folded["at"]))

@@ -262,6 +262,18 @@ def test_personal_data_discovers(spark):
     assert "<IP>" in text[0][0] and "10.0" not in text[12][0] and text[15][0] == other[1] and all(len(t) == n for t, n in text.values())
 
 
+def test_redact_overlapping_spans(spark):
+    tail = next(f"4111 1111 1111 {n}" for n in range(1000, 10_000) if plain_spans(f"10.0.0.4 4111 1111 1111 {n}")[1:])
+    texts = [f"at 10.0.0.4 {tail} end", f"a.b@c.4 {tail}, x", "5.5.5.5@h.io z", "a@b.cd1.2.3.4 +1 (319) 555-5132"]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(df).collect()}
+    for i, t in enumerate(texts):
+        gone = {c for s in plain_spans(t) for c in range(*map(int, s.split(":")[1:]))}
+        left = "".join("\0" if c in gone else x for c, x in enumerate(t))
+        assert re.sub("<[A-Z]+>", "", got[i][0]) == left.replace("\0", "") and got[i][1] == len(got[i][0])
+    assert got[0][0] == "at <IP> end" and got[1][0] == "<EMAIL>, x"
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------------
 
 def test_packing(spark, docs, empty):
