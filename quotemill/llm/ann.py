@@ -1,8 +1,9 @@
 """Approximate nearest neighbours from balanced posting lists.
 
 Centroids are fitted on a bounded sample and linked into a neighbour graph that every task searches in memory. Each vector is
-posted to its nearest centroid's list, and near a boundary also to the lists of the next ones; a query reads the lists whose
-centroids are within a ratio of its nearest one's distance. Long lists are parted evenly, so no task holds more than a part.
+posted to its nearest centroid's list, and near a boundary also to the lists of the next ones. How many of the nearest lists a
+query reads is measured: a sample of queries is answered by brute force, and as many lists are read as give their neighbours
+with the wanted recall. Long lists are parted evenly, so no task holds more than a part.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ class Settings:
     #: A vector is posted to at most so many lists, those within this ratio of the distance to its nearest centroid.
     copies: int = 4
     post_ratio: float = 1.10
-    #: A query reads at most so many lists, within this ratio.
+    #: A query reads at least so many lists, and as many more as the sample of probes needs for this recall.
     reads: int = 64
-    read_ratio: float = 1.5
+    recall: float = 0.95
+    probes: int = 128
     #: Neighbours of a centroid in the graph, and width of a search.
     degree: int = 24
     width: int = 96
@@ -120,6 +122,13 @@ class Graph:
         return beam, np.sqrt(dist.clip(0))
 
 
+    def ranked(self, x: np.ndarray, limit: int) -> np.ndarray:
+        """Indexes of the limit nearest centroids, nearest first, equal ones by index: exact, over all centroids."""
+        # the same sums in the same order for each row, so a row has one ranking however it is batched
+        d = self.norms.astype(np.float64) - 2 * np.einsum("qd,cd->qc", x.astype(np.float64), self.centroids.astype(np.float64))
+        return np.argsort(d, axis=1, kind="stable")[:, :limit]
+
+
 def _posts(graph, limit: int, ratio: float, width: int):
     @F.pandas_udf("array<int>")
     def lists(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -135,6 +144,62 @@ def _posts(graph, limit: int, ratio: float, width: int):
     return lists
 
 
+def _ranked(graph, first: int, limit: int):
+    """Lists from the first-th nearest to before the limit-th, by the distances to all centroids: lists of equal distance
+    come by their number, so that ranges of one query never overlap."""
+
+    @F.pandas_udf("array<int>")
+    def lists(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in vectors:
+            out: list = []
+            for at in range(0, len(batch), 128):
+                out += [list(map(int, n)) for n in graph.value.ranked(np.vstack(batch.iloc[at : at + 128].to_numpy()), limit)[:, first:]]
+            yield pd.Series(out, dtype=object)
+
+    return lists
+
+
+def _reads_for(indexed: DataFrame, asked: DataFrame, graph: Graph, k: int, settings: Settings) -> int:
+    """Lists to read so that the probes, a hash sample of the queries, find settings.recall of their true k nearest rows.
+
+    Each task keeps the k best rows of each probe as it passes over its rows; the lists that hold the true neighbours, and
+    their places in the probe's order of lists, give the recall of every number of reads at once."""
+    n = len(graph.centroids)
+    if n <= settings.reads:
+        return n
+    probes = asked.orderBy(F.xxhash64("query_id"), "query_id", "q").limit(settings.probes).toPandas()
+    if not len(probes):
+        return settings.reads
+    ids, q = probes["query_id"].to_numpy(), np.vstack(probes["q"].to_numpy())
+    norms = (q**2).sum(1)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                rows = batch.iloc[at : at + 4096]
+                x, of = np.vstack(rows["v"].to_numpy()), rows["vec_id"].to_numpy()
+                d = np.maximum(norms[:, None] + (x**2).sum(1) - 2 * q @ x.T, 0)
+                d[ids[:, None] == of] = np.inf
+                top = np.argpartition(d, min(k, len(x)) - 1, axis=1)[:, :k]
+                probe = np.repeat(np.arange(len(q)), top.shape[1])
+                made = pd.DataFrame({"probe": probe, "vec_id": of[top.ravel()], "score": np.take_along_axis(d, top, 1).ravel(), "lists": rows["lists"].to_numpy()[top.ravel()]})
+                made = made[np.isfinite(made["score"])]
+                held = made if held is None else pd.concat([held, made])
+                held = held.sort_values(["probe", "score", "vec_id"]).groupby("probe").head(k)
+        if held is not None and len(held):
+            yield held
+
+    found = indexed.select("vec_id", "v", "lists").mapInPandas(best, "probe int, vec_id long, score double, lists array<int>")
+    true = found.withColumn("_n", F.row_number().over(Window.partitionBy("probe").orderBy("score", "vec_id"))).where(F.col("_n") <= k).select("probe", "lists").toPandas()
+    if not len(true):
+        return settings.reads
+    place = np.empty((len(q), n), np.int32)
+    np.put_along_axis(place, graph.ranked(q, n), np.arange(n, dtype=np.int32)[None, :], 1)
+    needed = np.sort([place[p, list(lists)].min() + 1 for p, lists in zip(true["probe"], true["lists"], strict=True)])
+    return int(max(settings.reads, needed[int(np.ceil(settings.recall * len(needed))) - 1]))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()) -> DataFrame:
     """For each distinct row of queries(key, vector) its k nearest rows of vectors found, other than that of its own key:
     query_id, rank from 1, vec_id, score: Euclidean distance in double precision, ties to the smaller id.
@@ -163,8 +228,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     found = fit_centroids(np.vstack(sample["v"].to_numpy()).astype(np.float32), min(settings.max_lists, -(-n // settings.per_list)))
     graph = spark.sparkContext.broadcast(Graph(found, settings.degree))
     asked = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q")).where(F.col("query_id").isNotNull() & usable("q", dim)).distinct()
-    posted = cut(kept.withColumn("list", F.explode(_posts(graph, settings.copies, settings.post_ratio, settings.width)("v"))))
-    sought = cut(asked.withColumn("list", F.explode(_posts(graph, settings.reads, settings.read_ratio, settings.width)("q"))))
+    asked = cut(asked)
+    indexed = cut(kept.withColumn("lists", _posts(graph, settings.copies, settings.post_ratio, settings.width)("v")))
+    posted = indexed.select("vec_id", "v", F.explode("lists").alias("list"))
+    seek = _ranked(graph, 0, _reads_for(indexed, asked, graph.value, k, settings))
+    sought = cut(asked.withColumn("lists", seek("q"))).select("query_id", "q", F.explode("lists").alias("list"))
+    made = _search(posted, sought, k, settings)
+    # a vector that several lists hold counts once
+    once = made.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _search(posted: DataFrame, sought: DataFrame, k: int, settings: Settings) -> DataFrame:
+    """posted(list, vec_id, v), sought(list, query_id, q) -> query_id, vec_id, score: the k nearest rows of each list's part."""
     # parts of a list: each holds as many vectors, and meets as many queries, as Settings.part at most on average
     parts = posted.groupBy("list").agg(F.ceil(F.count("*") / settings.part).cast("int").alias("v_parts")).join(
         sought.groupBy("list").agg(F.ceil(F.count("*") / settings.part).cast("int").alias("q_parts")), "list")
@@ -186,8 +263,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
         return pd.DataFrame({"query_id": q.astype(np.int64), "vec_id": v.astype(np.int64), "score": s})
 
     on = ["list", "v_part", "q_part"]
-    local = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(near, "query_id long, vec_id long, score double")
-    # a vector that several lists hold counts once
-    once = local.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(near, "query_id long, vec_id long, score double")

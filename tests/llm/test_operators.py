@@ -339,6 +339,20 @@ def test_neighbours(spark):
     assert ann.nearest(few, few).count() == 6
 
 
+def test_neighbours_reads_follow_recall(spark):
+    x = np.random.default_rng(5).normal(size=(4000, 48))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), settings=ann.Settings(per_list=8, reads=8)).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 4000, 50):
+        d = ((x - x[q]) ** 2).sum(1)
+        hits += len(found[q] & {int(i) for i in np.argsort(d, kind="stable")[:11] if i != q})
+    assert hits >= 0.9 * 10 * 80
+
+
 # --- 8 -------------------------------------------------------------------------------------------------------------------
 
 def test_byte_bpe(spark, docs, empty):
