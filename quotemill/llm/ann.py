@@ -231,9 +231,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     asked = cut(asked)
     indexed = cut(kept.withColumn("lists", _posts(graph, settings.copies, settings.post_ratio, settings.width)("v")))
     posted = indexed.select("vec_id", "v", F.explode("lists").alias("list"))
-    seek = _ranked(graph, 0, _reads_for(indexed, asked, graph.value, k, settings))
-    sought = cut(asked.withColumn("lists", seek("q"))).select("query_id", "q", F.explode("lists").alias("list"))
-    made = _search(posted, sought, k, settings)
+    first, last, made = 0, _reads_for(indexed, asked, graph.value, k, settings), None
+    while True:
+        seek = _ranked(graph, first, last)
+        sought = cut(asked.withColumn("lists", seek("q"))).select("query_id", "q", F.explode("lists").alias("list"))
+        now = cut(_search(posted, sought, k, settings))
+        made = now if made is None else made.unionByName(now)
+        if last >= len(found):
+            break
+        # queries that found fewer than k read on, in growing steps, until they have k or all lists are read
+        full = made.groupBy("query_id").agg(F.count_distinct("vec_id").alias("_n")).where(F.col("_n") >= k)
+        asked = cut(asked.join(full, "query_id", "left_anti"))
+        if asked.isEmpty():
+            break
+        first, last = last, 4 * last
     # a vector that several lists hold counts once
     once = made.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -353,6 +353,15 @@ def test_neighbours_reads_follow_recall(spark):
     assert hits >= 0.9 * 10 * 80
 
 
+def test_neighbours_of_outliers_are_k(spark):
+    x = np.random.default_rng(6).normal(size=(400, 8))
+    x[:20] *= 1000
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    for settings in (ann.Settings(per_list=4), ann.Settings(per_list=4, reads=1, recall=0.01)):
+        found = Counter(r["query_id"] for r in ann.nearest(df, df.where("vec_id < 20"), settings=settings).collect())
+        assert found == Counter({i: 10 for i in range(20)})
+
+
 # --- 8 -------------------------------------------------------------------------------------------------------------------
 
 def test_byte_bpe(spark, docs, empty):
