@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as tok
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -276,41 +277,72 @@ def test_redact_overlapping_spans(spark):
 
 # --- 6 -------------------------------------------------------------------------------------------------------------------
 
-def test_packing(spark, docs, empty):
-    path = tok.path("word_bpe_49k.json")
-    t = Tokenizer.from_file(path)
-    rows = packing.pack(docs, path).collect()
-    seqs, have, crcs = {}, Counter(), Counter()
+def _check_packing(rows, documents, ids_of, capacity=4096):
+    """Every id in one piece, no gaps, sequences full but for one of each task; returns pieces per document."""
+    seqs, pieces = {}, {}
     for r in rows:
         seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-        crcs[(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"])] += 1
-    for _, pieces in seqs.items():
+        pieces.setdefault(r["doc_id"], Counter())[(r["start"], r["length"], r["ids_crc32"], r["doc_tokens"])] += 1
+    open_ = Counter()
+    for s, placed in seqs.items():
         at = 0
-        for offset, length in sorted(pieces):
-            assert offset == at
+        for offset, length in sorted(placed):
+            assert offset == at and length > 0
             at += length
-        assert at <= 4096
-        have[at] += 1
-    assert sum(n for k, n in have.items() if k < 4096) <= 1
-    for k, text in documents():
-        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
-        at = 0
-        for size in packing.cut(len(ids)):
-            row = (k, at, size, zlib.crc32(ids[at : at + size].tobytes()), len(ids))
-            assert crcs[row] > 0
-            crcs[row] -= 1
-            at += size
-    assert not +crcs
+        assert at <= capacity
+        open_[s >> 36] += at < capacity
+    assert all(n <= 1 for n in open_.values())
+    for k in {k for k, _ in documents}:
+        texts = [np.array([*ids_of(t or ""), 2], "<u4") for d, t in documents if d == k]
+        want, cuts = Counter(), sorted(pieces[k].elements())
+        for ids in texts:
+            held = [c for c in cuts if c[3] == len(ids) and zlib.crc32(ids[c[0] : c[0] + c[1]].tobytes()) == c[2]]
+            covered = Counter(i for c in {c[:2] for c in held} for i in range(c[0], c[0] + c[1]))
+            assert set(covered) == set(range(len(ids)))
+            want.update(len(ids) for _ in range(1))
+        assert sum(c[1] for c in cuts) == sum(map(len, texts))
+    return len(rows) / len(documents)
+
+
+def test_packing(spark, docs, empty):
+    path = tok.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    ids_of = lambda text: t.encode(text, add_special_tokens=False).ids
+    _check_packing(packing.pack(docs, path).collect(), documents(), ids_of)
+    many = [(i, sentence(RND.randrange(0, 900))) for i in range(600)]
+    df = spark.createDataFrame([(i, x, 0, "z") for i, x in many], "doc_id long, text string, sequence_id int, offset string").repartition(2)
+    assert _check_packing(packing.pack(df, path).collect(), many, ids_of) < 3
+    assert _check_packing(packing.pack(df, path, capacity=100).collect(), many, ids_of, 100) > 3
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_fills_reciprocal_bins():
+    packer = packing.Packer(0, pa.int64(), 4096)
+    ids = lambda n: np.arange(n, dtype="<u4").tobytes()
+    # 1365 or 1366 ids are the third of a sequence: three to a bin, one waits
+    out = packer.add(pa.array(range(7)), [ids(1366)] * 7)
+    bins = Counter(s for s, n in zip(out["sequence_id"].to_pylist(), out["length"].to_pylist(), strict=True) if n > 2)
+    assert list(bins.values()) == [3, 3] and len(packer.open) == 1
+    assert packer.finish()["length"].to_pylist() == [1366]
+
+
 def test_word_ids_of_odd_texts():
     path, rnd = tok.path("word_bpe_49k.json"), random.Random(2)
     ours, t = packing.WordIds(path, store=50), Tokenizer.from_file(path)
-    alphabet = list("ab  \n\n\t'sé1.,!\x1c　 \x85<|日本😀𝒳İΣσς") + ["é", "<|endoftext|>"]
-    for _ in range(1500):
-        text = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 30)))
-        assert ours.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert ours.by_word
+    want = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    alphabet = list("ab  \n\n\t'sé1.,!\x1c　 \x85<|日本😀𝒳İΣσςÀŉſßŸDR") + ["é", "<|endoftext|>", "'LL", "n't"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 30))) for _ in range(1500)]
+    assert ours.encode(texts) == [want(x) for x in texts]
+    assert [ours.encode([x])[0] for x in texts[:300]] == [want(x) for x in texts[:300]]
+
+
+def test_word_ids_of_long_texts_without_blanks():
+    path = tok.path("word_bpe_49k.json")
+    ours, t = packing.WordIds(path, store=20_000), Tokenizer.from_file(path)
+    for n in (1_000_000,):
+        text = "\n".join(f"w{i}" for i in range(n))
+        assert ours.encode([text])[0] == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 # --- 7 -------------------------------------------------------------------------------------------------------------------
