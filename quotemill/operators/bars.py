@@ -135,9 +135,10 @@ def standardize(candidates: DataFrame, priority: dict[str, int], max_deviation:
 
 
 def series_fingerprint(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Count and order-free hash of all bars of a series: changes with any edit, and combines before the shuffle."""
+    """Count and order-free hash of all bars of a series: changes with any edit, and combines before the shuffle. Hashes are summed,
+    in decimals, so that equal rows don't cancel."""
     h = F.xxhash64("open_time", "open", "high", "low", "close", "volume", *[c for c in ("state", "revision") if c in bars.columns])
-    return bars.groupBy(*keys).agg(F.count("*").alias("n"), F.bit_xor(h).alias("fingerprint"))
+    return bars.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("fingerprint"))
 
 
 def purge_source(df: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:

@@ -41,17 +41,36 @@ def trading_day_end(sess: DataFrame) -> DataFrame:
     return sess.groupBy("schedule", "trading_date").agg(F.max("session_end").alias("day_end"), F.min("session_start").alias("day_start"))
 
 
+def _pieces(intervals: DataFrame, start: str, end: str, best: Column) -> DataFrame:
+    """Intervals cut at all bounds and midnights into pieces (_day, _s, _e) that don't overlap, with best of the intervals that
+    cover each. A row for each bound of a calendar; a piece is looked up by its day."""
+    points = intervals.select(F.explode(F.array(start, end)).alias("_s")).distinct().withColumn("_day", F.to_date("_s"))
+    mid = points.select("_day").distinct().select(F.explode(F.array(F.col("_day").cast("timestamp"), F.date_add("_day", 1).cast("timestamp"))).alias("_s"), "_day")
+    inner = intervals.select(F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias("_day")).distinct()
+    mid = mid.unionByName(inner.select(F.explode(F.array(F.col("_day").cast("timestamp"), F.date_add("_day", 1).cast("timestamp"))).alias("_s"), "_day"))
+    pieces = points.select("_s", "_day").unionByName(mid).distinct().withColumn("_e", F.lead("_s").over(Window.partitionBy("_day").orderBy("_s"))).where("_e is not null")
+    cover = intervals.withColumn("_d", F.explode(F.sequence(F.to_date(start), F.to_date(end))))
+    met = pieces.join(cover, (F.col("_day") == F.col("_d")) & (F.col("_s") >= F.col(start)) & (F.col("_s") < F.col(end)))
+    return met.groupBy("_day", "_s", "_e").agg(best.alias("_best"))
+
+
+def _looked_up(df: DataFrame, pieces: DataFrame, time: str, columns: Sequence[str]) -> DataFrame:
+    """df with columns of the best of the piece that its time is in; a row meets one piece at most."""
+    keyed = df.withColumn("_at_day", F.to_date(time))
+    met = keyed.join(pieces, (F.col("_at_day") == F.col("_day")) & (F.col(time) >= F.col("_s")) & (F.col(time) < F.col("_e")), "left")
+    return met.select(*df.columns, *(F.col(f"_best.{c}").alias(c) for c in columns))
+
+
 def assign_session(df: DataFrame, sess: DataFrame, time: str = "open_time", close_belongs: bool = False) -> DataFrame:
     """df with session_start, session_end, trading_date of the first session that covers its time, null outside all. With
-    close_belongs a time exactly at a session's end belongs to it, if no session starts there."""
-    days = F.explode(F.sequence(F.to_date("session_start"), F.to_date("session_end")))
-    s = sess.select("session_start", "session_end", "trading_date", days.alias("_day"))
-    keyed = df.withColumn("_day", F.to_date(time)).withColumn("_row", F.struct(*df.columns))
-    inside = (F.col(time) >= F.col("session_start")) & ((F.col(time) <= F.col("session_end")) if close_belongs else (F.col(time) < F.col("session_end")))
-    joined = keyed.join(s, (keyed["_day"] == s["_day"]) & inside, "left").drop(s["_day"])
+    close_belongs a time exactly at a session's end belongs to it, if no session starts there. Which session counts where is
+    settled among the sessions, so that each row meets one at most and equal rows stay apart."""
+    columns = ("session_start", "session_end", "trading_date")
+    reach = F.timestamp_micros(F.unix_micros("session_end") + (1 if close_belongs else 0))
+    s = sess.select(*columns, F.col("session_start").alias("_from"), reach.alias("_to"))
     # of two that touch at this time the later start wins
-    best = F.max_by(F.struct("session_start", "session_end", "trading_date"), "session_start") if close_belongs else F.min_by(F.struct("session_start", "session_end", "trading_date"), "session_start")
-    return joined.groupBy("_row").agg(best.alias("_s")).select("_row.*", "_s.*")
+    best = (F.max_by if close_belongs else F.min_by)(F.struct(*columns), "session_start")
+    return _looked_up(df, _pieces(s, "_from", "_to", best), time, columns)
 
 
 def with_disjoint_session(df: DataFrame, sess: DataFrame, time: str = "open_time") -> DataFrame:
@@ -120,33 +139,45 @@ def series_gaps(assigned: DataFrame, keys: Sequence[str], seconds: int) -> DataF
     return x.select(*keys, "previous", "open_time", kind.alias("kind"), F.timestamp_seconds(F.unix_seconds("previous") + seconds).alias("separator"), (F.col("_s") - seconds).alias("missing_seconds"))
 
 
-def session_gaps(assigned: DataFrame, keys: Sequence[str], digits: int, complete_within: int = 120) -> DataFrame:
-    """Between a session and the next of a series: closed seconds, whether both edges are complete (a point within
-    complete_within of them), opening less closing price, percent, direction beyond half a tick, and whether a weekend lies
-    between."""
-    g = assigned.where("session_start is not null").groupBy(*keys, "session_start", "session_end").agg(
+def session_gaps(assigned: DataFrame, sess: DataFrame, keys: Sequence[str], digits: int, complete_within: int = 120) -> DataFrame:
+    """A row for each closed stretch between a session and the next, from a series' first session with points to its last.
+
+    An edge is complete if a point is within complete_within seconds of it; boundary_state tells which are missing. Only where
+    both are complete there are the opening less the closing price, its percent, and a direction (flat within half a tick; else
+    unknown). kind is weekend from a day on, session below.
+    """
+    order = Window.orderBy("session_start")  # a row for each session of the calendar
+    axis = sess.select("session_start", "session_end").distinct().withColumn("_n", F.row_number().over(order))
+    nexts = axis.withColumn("next_start", F.lead("session_start").over(order)).where("next_start > session_end")
+    edges = assigned.where("session_start is not null").groupBy(*keys, "session_start").agg(
         F.min("open_time").alias("first_at"), F.max("open_time").alias("last_at"), F.min_by("open", "open_time").alias("first_price"), F.max_by("close", "open_time").alias("last_price"))
-    w = Window.partitionBy(*keys).orderBy("session_start")
-    g = g.withColumns({f"p_{c}": F.lag(c).over(w) for c in ("session_end", "last_at", "last_price")}).where("p_session_end is not null")
-    diff = F.col("first_price") - F.col("p_last_price")
-    half = 0.5 * 10.0**-digits
+    edges = edges.join(axis.select("session_start", "_n"), "session_start")
+    spans = edges.groupBy(*keys).agg(F.min("_n").alias("_a"), F.max("_n").alias("_z")).where("_a < _z").select(*keys, F.explode(F.expr("sequence(_a, _z - 1)")).alias("_n"))
+    gaps = spans.join(nexts, "_n").join(edges.select(*keys, "_n", "last_at", "last_price"), [*keys, "_n"], "left")
+    gaps = gaps.join(edges.select(*keys, F.col("session_start").alias("next_start"), "first_at", "first_price"), [*keys, "next_start"], "left")
     seconds = lambda a, b: F.unix_seconds(a) - F.unix_seconds(b)
-    return g.select(
-        *keys, "session_start", seconds("session_start", "p_session_end").alias("closed_seconds"),
-        ((seconds("first_at", "session_start") <= complete_within) & (seconds("p_session_end", "p_last_at") <= complete_within)).alias("complete"), diff.alias("difference"),
-        (F.try_divide(diff, F.col("p_last_price")) * 100).alias("percent"), F.when(diff > half, "up").when(diff < -half, "down").otherwise("flat").alias("direction"),
-        (F.exists(F.sequence(F.to_date("p_session_end"), F.to_date("session_start")), lambda d: F.weekday(d) == 5)).alias("weekend"))
-
-
-def missing_ranges(covered: DataFrame, keys: Sequence[str], start, end) -> DataFrame:
-    """Parts of [start, end) that no covered range (range_start, range_end) has, per key that has a range at all."""
+    closed = F.coalesce(seconds("session_end", "last_at") <= complete_within, F.lit(False))
+    opened = F.coalesce(seconds("first_at", "next_start") <= complete_within, F.lit(False))
+    diff = F.when(closed & opened, F.col("first_price") - F.col("last_price"))
+    state = F.when(closed & opened, "complete").when(~closed & ~opened, "missing-both").when(closed, "missing-open").otherwise("missing-close")
+    duration = seconds("next_start", "session_end")
+    return gaps.select(
+        *keys, F.col("session_end").alias("closed_at"), F.col("next_start").alias("opened_at"), duration.alias("closed_seconds"), F.when(duration >= 86_400, "weekend").otherwise("session").alias("kind"), state.alias("boundary_state"),
+        diff.alias("difference"), (F.try_divide(diff, F.col("last_price")) * 100).alias("percent"),
+        F.when(diff.isNull(), "unknown").when(F.abs(diff) < 0.5 * 10.0**-digits, "flat").when(diff > 0, "up").otherwise("down").alias("direction"))
+
+
+def missing_ranges(covered: DataFrame, keys: Sequence[str], start, end, wanted: DataFrame | None = None) -> DataFrame:
+    """Parts of [start, end) that no covered range (range_start, range_end) has, of each of the wanted keys, or of those that have
+    a range anywhere; a key without a range in [start, end) lacks all of it."""
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     c = covered.where((F.col("range_end") > lo) & (F.col("range_start") < hi)).select(*keys, F.greatest("range_start", lo).alias("s"), F.least("range_end", hi).alias("e"))
     w = Window.partitionBy(*keys).orderBy("s", "e")
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     holes = c.select(*keys, F.coalesce(reach, lo).alias("gap_start"), F.col("s").alias("gap_end")).where("gap_start < gap_end")
     tail = c.groupBy(*keys).agg(F.max("e").alias("gap_start")).select(*keys, "gap_start", hi.alias("gap_end")).where("gap_start < gap_end")
-    return holes.unionByName(tail)
+    bare = (covered if wanted is None else wanted).select(*keys).distinct().join(c.select(*keys).distinct(), list(keys), "left_anti")
+    return holes.unionByName(tail).unionByName(bare.select(*keys, lo.alias("gap_start"), hi.alias("gap_end")).where("gap_start < gap_end"))
 
 
 def market_phase(df: DataFrame, sess: DataFrame | None, time: str = "observed_at") -> DataFrame:
@@ -214,8 +245,7 @@ def session_bands(intervals: DataFrame, holidays: DataFrame | None = None) -> Da
 
 
 def dominant_session(df: DataFrame, bands: DataFrame, time: str = "observed_at") -> DataFrame:
-    """df with region: that of the highest priority whose band covers the time, null where none does."""
-    b = bands.select("region", "priority", "band_start", "band_end", F.explode(F.sequence(F.to_date("band_start"), F.to_date("band_end"))).alias("_d"))
-    keyed = df.withColumn("_day", F.to_date(time)).withColumn("_row", F.struct(*df.columns))
-    joined = keyed.join(b, (F.col("_day") == F.col("_d")) & (F.col(time) >= F.col("band_start")) & (F.col(time) < F.col("band_end")), "left")
-    return joined.groupBy("_row").agg(F.max(F.struct("priority", "region")).alias("r")).select("_row.*", F.col("r.region").alias("region"))
+    """df with region: that of the highest priority whose band covers the time, null where none does; settled among the bands,
+    so that each row meets one piece at most."""
+    best = F.max_by(F.struct("region"), F.struct("priority", "region"))
+    return _looked_up(df, _pieces(bands, "band_start", "band_end", best), time, ("region",))

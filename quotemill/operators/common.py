@@ -67,3 +67,13 @@ def latest_per_bucket(df: DataFrame, keys: Sequence[str], micros: int, time: str
     us = F.unix_micros(time)
     bucket = F.timestamp_micros(us - F.pmod(us, F.lit(micros)))
     return df.groupBy(*keys, bucket.alias("bucket")).agg(latest([time, index, *columns], time, index).alias("_l")).select(*keys, "bucket", "_l.*")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once for several uses: a reliable checkpoint where the session has a folder for it, else Spark's cache, whose
+    lost parts are computed anew."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else df.persist()

@@ -7,17 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.functions.scalars import available_at
 from quotemill.operators.common import latest
 
 PRICES = ("open", "high", "low", "close")
-#: Texts that look like credentials: fixed patterns.
+# Texts that look like credentials.
 SECRETS = (
-    r"(?i)\b(api[_-]?key|secret|token|password|passwd|authorization)\b\s*[:=]",
-    r"\bsk-[A-Za-z0-9_-]{16,}",
-    r"\bAKIA[0-9A-Z]{16}\b",
-    r"(?i)\bbearer\s+[A-Za-z0-9._-]{16,}",
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    r"\bsk-[A-Za-z0-9_-]{16,}\b",
+    r"(?i)\bBearer\s+\S{16,}",
+    r"\beyJ[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{12,}\b",
+    r"(?i)\b(?:api[_ -]?key|authorization|session[_ -]?token|access[_ -]?token)\s*[:=]\s*\S{12,}",
 )
 
 
@@ -64,13 +62,12 @@ def visible_events(df: DataFrame, as_of, start, end) -> DataFrame:
 
 
 def causal_reason(as_of, interval_seconds: int) -> Column:
-    """Why a bar can't be used at as_of, or null if it can."""
-    end = available_at(F.lit(interval_seconds))
+    """Why a bar can't be used at as_of, or null if it can: not final (a final bar without finalized_at isn't), a bucket that ends
+    by its opening, or anything about it that came later. Without a bucket's end it is the opening plus the interval."""
+    end = F.coalesce(F.col("bucket_end"), F.timestamp_micros(F.unix_micros("open_time") + interval_seconds * 1_000_000))
     at = F.lit(as_of).cast("timestamp")
-    return (
-        F.when(F.col("state") != "final", "not_final").when(end > at, "bucket_open").when(F.col("finalized_at") > at, "finalized_later")
-        .when(F.col("observed_at") > at, "observed_later").when(F.col("received_at") > at, "received_later")
-    )
+    late = F.greatest(end, "finalized_at", "observed_at", "received_at") > at
+    return F.when((F.col("state") != "final") | F.col("finalized_at").isNull(), "non_final").when(end <= F.col("open_time"), "invalid_time").when(late, "after_as_of")
 
 
 def causal_bars(df: DataFrame, keys: Sequence[str], as_of, interval_seconds: int) -> tuple[DataFrame, DataFrame]:

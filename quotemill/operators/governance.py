@@ -85,19 +85,33 @@ def compare_quotes(pairs: DataFrame, quotes: DataFrame, resolution_micros: int,
     return _compared(pairs.join(left, "left_id").join(right, ["right_id", "instrument", "bucket"]), ["last"], ["left_id", "right_id", "level"], least, most_bps)
 
 
-def admit(datasets: DataFrame, reports: DataFrame, evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Blockers and resulting state of each dataset: quarantined if its report failed or an artifact isn't verified; trusted with a
-    passed, exact, independent comparison; else a validated candidate."""
-    a = artifacts.groupBy("dataset_id").agg(F.count_if(~F.col("verified")).alias("bad_artifacts"))
-    sides = evidence.where("status = 'pass' and level = 'exact' and independent").select(F.explode(F.array(F.struct(F.col("left_id").alias("d"), F.col("right_id").alias("o")), F.struct(F.col("right_id").alias("d"), F.col("left_id").alias("o")))).alias("x"))
-    e = sides.groupBy(F.col("x.d").alias("dataset_id")).agg(F.count_distinct("x.o").alias("confirming"))
-    j = datasets.select("dataset_id").join(reports, "dataset_id", "left").join(a, "dataset_id", "left").join(e, "dataset_id", "left").na.fill(0, ["confirming"])
-    blockers = F.array_compact(F.array(
-        F.when(F.col("status").isNull(), F.lit("no_report")), F.when(F.col("status") == "fail", F.lit("validation_failed")), F.when(F.col("bad_artifacts").isNull(), F.lit("no_artifact")),
-        F.when(F.col("bad_artifacts") > 0, F.lit("artifact_unverified")), F.when(F.col("confirming") == 0, F.lit("no_independent_evidence"))))
-    j = j.withColumn("blockers", blockers)
-    hard = F.size(F.array_except("blockers", F.array(F.lit("no_independent_evidence")))) > 0
-    return j.select("dataset_id", "blockers", "confirming", F.when(hard, "quarantined").when(F.size("blockers") > 0, "validated_candidate").otherwise("trusted").alias("state"))
+# The record kind of each target, and what keeps a dataset from being trusted, in this order.
+TARGETS = {"trusted_quote_history": "quote", "trusted_bar_history": "bar"}
+BLOCKERS = ("TARGET_RECORD_KIND_MISMATCH", "STRUCTURAL_VALIDATION_FAILED", "RAW_LINEAGE_NOT_VERIFIED", "INSUFFICIENT_INDEPENDENT_EXACT_CONFIRMATION")
+
+
+def admit(datasets: DataFrame, reports: DataFrame, evidence: DataFrame, artifacts: DataFrame, target: str, least: int = 1) -> DataFrame:
+    """Blockers, resulting state and accepted evidence of each dataset(dataset_id, kind, records_hashed).
+
+    A failed report quarantines; any other blocker leaves a validated candidate; without one the dataset is trusted. Raw lineage is
+    verified if all artifacts are or, where there is none, if all records carry their hash (records_hashed). Confirmations
+    are the distinct other datasets of exact, independent, passed comparisons, least of them needed. A dataset without a report
+    isn't judged.
+    """
+    if least < 1:
+        raise ValueError("at least one confirmation is needed")
+    a = artifacts.groupBy("dataset_id").agg(F.bool_and("verified").alias("_verified"))
+    good = evidence.where("status = 'pass' and level = 'exact' and independent")
+    sides = good.select("evidence_id", F.explode(F.array(F.struct(F.col("left_id").alias("d"), F.col("right_id").alias("o")), F.struct(F.col("right_id").alias("d"), F.col("left_id").alias("o")))).alias("x"))
+    e = sides.groupBy(F.col("x.d").alias("dataset_id")).agg(F.count_distinct("x.o").alias("confirming"), F.array_sort(F.collect_set("evidence_id")).alias("accepted_ids"))
+    j = datasets.join(reports.select("dataset_id", "status"), "dataset_id").join(a, "dataset_id", "left").join(e, "dataset_id", "left").na.fill(0, ["confirming"])
+    failed = F.col("status") == "fail"
+    lineage = F.coalesce("_verified", "records_hashed", F.lit(False))
+    when = (F.col("kind") != TARGETS[target], failed, ~lineage, F.col("confirming") < least)
+    blockers = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in zip(BLOCKERS, when, strict=True))))
+    state = F.when(failed, "quarantined").when(F.size("blockers") > 0, "validated_candidate").otherwise("trusted")
+    accepted = F.coalesce("accepted_ids", F.array().cast(e.schema["accepted_ids"].dataType))
+    return j.withColumn("blockers", blockers).select("dataset_id", "blockers", "confirming", accepted.alias("accepted_ids"), state.alias("state"))
 
 
 def state_counts(datasets: DataFrame) -> DataFrame:

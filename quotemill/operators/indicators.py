@@ -254,31 +254,42 @@ def poc(bars: DataFrame, keys: Sequence[str], n: int = 240, bins: int = 32) -> D
     return span.join(dense, list(keys), "left").select(*keys, F.coalesce("poc", "_c").alias("poc"))
 
 
+#: Bars of a series that one task folds windows of; each part has the bars before it that its windows reach.
+PART = 4096
+
+
 def poc_every_bar(bars: DataFrame, keys: Sequence[str], n: int = 240, bins: int = 32) -> DataFrame:
-    """As poc, of the window that ends at each bar. Each window is folded where its bars are: the last n as an array."""
+    """As poc, of the window that ends at each bar. A series is parted, and each bar is sent to its part and, if windows of the
+    next one reach it, to that; a part's windows are views of its bars."""
     schema = bars.select(*keys, "open_time").schema.simpleString()[7:-1] + ", poc:double"
-    w = rows(_w(keys), n)
-    windows = bars.select(*keys, "open_time", F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in ("low", "high", "close")), F.coalesce(F.col("volume").cast("double"), F.lit(0.0)).alias("volume"))).over(w).alias("w"))
-
-    def each(batches):
-        for g in batches:
-            out = []
-            for x in g["w"]:
-                lo, hi, v = (np.array([r[c] for r in x]) for c in ("low", "high", "volume"))
-                a, b = lo.min(), hi.max()
-                if b <= a:
-                    out.append(x[-1]["close"])
-                    continue
-                width = (b - a) / bins
-                first, last = (np.clip(np.floor((c - a) / width), 0, bins - 1).astype(int) for c in (lo, hi))
-                weight = np.where(v > 0, v, 1.0) / (last - first + 1)
-                edges = np.zeros(bins + 1)
-                np.add.at(edges, first, weight)
-                np.add.at(edges, last + 1, -weight)
-                out.append(a + (int(np.argmax(np.round(np.cumsum(edges)[:bins], 9))) + 0.5) * width)
-            yield pd.concat([g.drop(columns="w"), pd.Series(out, name="poc", index=g.index, dtype=float)], axis=1)
-
-    return windows.mapInPandas(each, schema)
+    part = F.expr(f"(idx - 1) div {PART}")
+    reach = F.when((F.col("idx") - 1) % PART >= PART - (n - 1), F.array(part, part + 1)).otherwise(F.array(part))
+    slim = with_index(bars, keys).select(*keys, "open_time", "idx", *(F.col(c).cast("double").alias(c) for c in ("low", "high", "close")), F.coalesce(F.col("volume").cast("double"), F.lit(0.0)).alias("volume"), F.explode(reach).alias("_part"))
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("idx")
+        own = ((g["idx"] - 1) // PART == g["_part"]).to_numpy()
+        # bars before the first window are filled with the nearest one at no weight: they change neither its range nor its bins
+        pad = np.r_[np.zeros(n - 1, np.int64), np.arange(len(g))]
+        lo, hi, v = (g[c].to_numpy()[pad] for c in ("low", "high", "volume"))
+        v = np.where(v > 0, v, 1.0)
+        v[: n - 1] = 0
+        places, out = np.flatnonzero(own), np.empty(int(own.sum()))
+        view = lambda x: np.lib.stride_tricks.sliding_window_view(x, n)
+        for at in range(0, len(places), 512):
+            some = places[at : at + 512]
+            low, high, weight = (view(x)[some] for x in (lo, hi, v))
+            a, b = low.min(axis=1), high.max(axis=1)
+            width = (b - a) / bins
+            safe = np.where(width > 0, width, 1.0)[:, None]
+            first, last = (np.clip(np.floor((x - a[:, None]) / safe), 0, bins - 1).astype(int) for x in (low, high))
+            share, row = weight / (last - first + 1), np.repeat(np.arange(len(some)), n) * (bins + 1)
+            edges = np.bincount(row + first.ravel(), share.ravel(), len(some) * (bins + 1)) - np.bincount(row + last.ravel() + 1, share.ravel(), len(some) * (bins + 1))
+            best = np.argmax(np.round(np.cumsum(edges.reshape(len(some), -1), axis=1)[:, :bins], 9), axis=1)
+            out[at : at + 512] = np.where(width > 0, a + (best + 0.5) * width, g["close"].to_numpy()[some])
+        return pd.concat([g.loc[own, [*keys, "open_time"]].reset_index(drop=True), pd.Series(out, name="poc")], axis=1)
+
+    return slim.groupBy(*keys, "_part").applyInPandas(fold, schema)
 
 
 def fvg(bars: DataFrame, keys: Sequence[str], n: int = 120, k: int = 4) -> DataFrame:

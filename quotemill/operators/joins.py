@@ -16,53 +16,86 @@ def bind_sources(df: DataFrame, contracts: DataFrame) -> DataFrame:
     return df.join(owned, "channel")
 
 
-def compose_quotes(price: DataFrame, supplement: DataFrame, now, stale_seconds: int, fields: Sequence[str] = ("open", "high", "low", "volume")) -> DataFrame:
-    """A price channel with fields of a supplement: unavailable_fields are null there or lack a supplement, stale_fields are older
-    than stale_seconds at now; quality is complete, stale or partial."""
-    s = supplement.select("instrument", F.col("observed_at").alias("_at"), *[F.col(f).alias(f"_{f}") for f in fields])
-    j = price.join(s, "instrument", "left")
-    late = (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds("_at")) > stale_seconds
-    missing = F.array_compact(F.array(*(F.when(F.col(f"_{f}").isNull(), F.lit(f)) for f in fields)))
-    stale = F.array_compact(F.array(*(F.when(F.col(f"_{f}").isNotNull() & late, F.lit(f)) for f in fields)))
-    out = j.withColumns({f: F.col(f"_{f}") for f in fields}).withColumn("unavailable_fields", missing).withColumn("stale_fields", stale)
-    quality = F.when(F.size("unavailable_fields") > 0, "partial").when(F.size("stale_fields") > 0, "stale").otherwise("complete")
-    return out.withColumn("quality", quality).drop("_at", *(f"_{f}" for f in fields))
-
-
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], strict: bool = False, order: Sequence[str] = ()) -> DataFrame:
+def compose_quotes(
+        price: DataFrame, supplement: DataFrame, now, price_stale: int, supplement_stale: int, price_fields: Sequence[str] = ("last", "change", "change_percent"),
+        fields: Sequence[str] = ("open", "high", "low", "volume"), allow_stale: bool = False) -> DataFrame:
+    """A price channel with fields of a supplement. A row is stale if it was received more than so many seconds before now.
+
+    unavailable_fields are null, or of a missing supplement; stale_fields are those of a stale supplement, and the known ones of
+    a stale price. A stale price's row goes and a stale supplement's values are null, unless allow_stale keeps both. quality is
+    complete, or degraded where either list has a field.
+    """
+    s = supplement.select("instrument", F.lit(True).alias("_has"), F.col("received_at").alias("_at"), *[F.col(f).alias(f"_{f}") for f in fields])
+    age = lambda c, most: F.coalesce(F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(c) > most * 1_000_000, F.lit(False))
+    j = price.withColumn("_late", age("received_at", price_stale)).join(s, "instrument", "left").withColumn("_old", age("_at", supplement_stale))
+    j = j if allow_stale else j.where("not _late")
+    shown = F.col("_has").isNotNull() & (F.lit(allow_stale) | ~F.col("_old"))
+    missing = [F.when(F.col(f).isNull(), F.lit(f)) for f in price_fields] + [F.when(F.col("_has").isNull() | (shown & F.col(f"_{f}").isNull()), F.lit(f)) for f in fields]
+    stale = [F.when(F.col("_late") & F.col(f).isNotNull(), F.lit(f)) for f in price_fields] + [F.when(F.col("_old"), F.lit(f)) for f in fields]
+    out = j.withColumn("unavailable_fields", F.array_compact(F.array(*missing))).withColumn("stale_fields", F.array_compact(F.array(*stale))).withColumns({f: F.when(shown, F.col(f"_{f}")) for f in fields})
+    quality = F.when((F.size("unavailable_fields") > 0) | (F.size("stale_fields") > 0), "degraded").otherwise("complete")
+    return out.withColumn("quality", quality).drop("_at", "_has", "_late", "_old", *(f"_{f}" for f in fields))
+
+
+#: Seconds of one task's share of a key in as-of joins: what is known before them is carried in.
+SPAN = 86_400
+
+
+def _carried(probes: DataFrame, heads: DataFrame, keys: Sequence[str], running: str) -> DataFrame:
+    """(keys, _b, _r): for each span of the probes what heads(keys, _b, _r), a row for each span, say before it: the last row or
+    the greatest."""
+    kind = heads.schema["_r"].dataType
+    both = probes.select(*keys, "_b").distinct().withColumn("_r", F.lit(None).cast(kind)).unionByName(heads.select(*keys, "_b", "_r")).groupBy(*keys, "_b").agg(F.max("_r").alias("_r"), F.max(F.col("_r").isNull()).alias("_asked"))
+    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each key and span
+    before = F.last("_r", ignorenulls=True).over(w) if running == "last" else F.max("_r").over(w)
+    return both.withColumn("_c", before).where("_asked and _c is not null").select(*keys, "_b", F.col("_c").alias("_r"))
+
+
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], strict: bool = False, order: Sequence[str] = (), span: int = SPAN) -> DataFrame:
     """left with the columns of the latest right row of its keys at or before (strict: before) its time, null if there is none.
 
-    Both sides are sorted by key and time as one table, and the last right row is carried on: no pairs are made. Of right rows
-    of one time the greatest by order, then columns, counts.
+    Both sides are sorted by key and time as one table, and the last right row is carried on: no pairs are made. A key's rows
+    are parted by spans of time, into which the last row before them is carried, so that no key is one task. Of right rows of
+    one time the greatest by order, then columns, counts.
     """
-    tag = F.lit(0 if strict else 1)
-    probes = left.select(*keys, F.col(left_time).alias("_t"), tag.alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("_r"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(order)])
-    points = right.select(*keys, F.col(right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), F.struct(*columns).alias("_r"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", *[f"_o{i}" for i in range(len(order))], "_r").rowsBetween(Window.unboundedPreceding, 0)
-    both = probes.unionByName(points).withColumn("_last", F.last("_r", ignorenulls=True).over(w))
+    at = lambda c: F.expr(f"unix_seconds({c}) div {span}")
+    right_type, left_type = right.select(F.struct(*columns)).schema[0].dataType, left.select(F.struct(*left.columns)).schema[0].dataType
+    orders = [f"_o{i}" for i in range(len(order))]
+    no_order = [F.lit(None).cast(right.schema[c].dataType).alias(o) for c, o in zip(order, orders, strict=True)]
+    probes = left.select(*keys, at(left_time).alias("_b"), F.col(left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right_type).alias("_r"), *no_order)
+    points = right.select(*keys, at(right_time).alias("_b"), F.col(right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(left_type).alias("_l"), F.struct(*columns).alias("_r"), *[F.col(c).alias(o) for c, o in zip(order, orders, strict=True)])
+    heads = points.groupBy(*keys, "_b").agg(F.max_by("_r", F.struct("_t", *orders, "_r")).alias("_r"))
+    carried = _carried(probes, heads, keys, "last").select(*keys, "_b", F.timestamp_seconds(F.col("_b") * span).alias("_t"), F.lit(-1).alias("_side"), F.lit(None).cast(left_type).alias("_l"), "_r", *no_order)
+    w = Window.partitionBy(*keys, "_b").orderBy("_t", "_side", *orders, "_r").rowsBetween(Window.unboundedPreceding, 0)
+    both = probes.unionByName(points).unionByName(carried).withColumn("_last", F.last("_r", ignorenulls=True).over(w))
     return both.where("_l is not null").select("_l.*", "_last.*")
 
 
-def asof_price(points: DataFrame, bars: DataFrame, keys: Sequence[str], time: str, column: str = "price") -> DataFrame:
+def asof_price(points: DataFrame, bars: DataFrame, keys: Sequence[str], time: str, column: str = "price", span: int = SPAN) -> DataFrame:
     """points with the close of the latest bar with open_time < t and available_at <= t.
 
-    Bars are carried on in the order of availability as the greatest (open_time, close) so far. An available bar opens before
-    it is available, so the strict bound holds unless a bar's interval is zero; such bars are left out.
+    Bars are carried on in the order of availability as the greatest (open_time, close) so far, within spans of time and into
+    the next ones, as in asof. An available bar opens before it is available, so the strict bound holds unless a bar's interval
+    is zero; such bars are left out.
     """
-    b = bars.where("open_time < available_at")
-    probes = points.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_l"), F.lit(None).cast("struct<open_time:timestamp,close:double>").alias("_r"))
-    feed = b.select(*keys, F.col("available_at").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("_l"), F.struct(F.col("open_time"), F.col("close").cast("double").alias("close")).alias("_r"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return probes.unionByName(feed).withColumn("_m", F.max("_r").over(w)).where("_l is not null").select("_l.*", F.col("_m.close").alias(column))
-
-
-def cross_rate(a: DataFrame, b: DataFrame, divisor: float) -> DataFrame:
-    """a(observed_at, last, change) as of b's latest at each time -> price a * b / divisor, change and percent against the product
-    of both previous values (last - change)."""
-    legs = asof(a.withColumn("_k", F.lit(0)), b.withColumn("_k", F.lit(0)).withColumnRenamed("last", "b_last").withColumnRenamed("change", "b_change"), ["_k"], "observed_at", "observed_at", ["b_last", "b_change"])
+    at = lambda c: F.expr(f"unix_seconds({c}) div {span}")
+    left_type = points.select(F.struct(*points.columns)).schema[0].dataType
+    bar = F.struct(F.col("open_time"), F.col("close").cast("double").alias("close"))
+    probes = points.select(*keys, at(time).alias("_b"), F.col(time).alias("_t"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_l"), F.lit(None).cast("struct<open_time:timestamp,close:double>").alias("_r"))
+    feed = bars.where("open_time < available_at").select(*keys, at("available_at").alias("_b"), F.col("available_at").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left_type).alias("_l"), bar.alias("_r"))
+    heads = feed.groupBy(*keys, "_b").agg(F.max("_r").alias("_r"))
+    carried = _carried(probes, heads, keys, "max").select(*keys, "_b", F.timestamp_seconds(F.col("_b") * span).alias("_t"), F.lit(-1).alias("_side"), F.lit(None).cast(left_type).alias("_l"), "_r")
+    w = Window.partitionBy(*keys, "_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    return probes.unionByName(feed).unionByName(carried).withColumn("_m", F.max("_r").over(w)).where("_l is not null").select("_l.*", F.col("_m.close").alias(column))
+
+
+def cross_rate(a: DataFrame, b: DataFrame, divisor: float, keys: Sequence[str] = ("pair",)) -> DataFrame:
+    """a(pair, observed_at, last, change) as of b's latest of the pair at each time -> price a * b / divisor, change and percent
+    against the product of both previous values (last - change)."""
+    legs = asof(a, b.withColumnRenamed("last", "b_last").withColumnRenamed("change", "b_change"), keys, "observed_at", "observed_at", ["b_last", "b_change"])
     price = F.col("last") * F.col("b_last") / divisor
     previous = (F.col("last") - F.col("change")) * (F.col("b_last") - F.col("b_change")) / divisor
-    return legs.where("b_last is not null").select("id", "observed_at", price.alias("price"), (price - previous).alias("change"), (F.try_divide(price - previous, previous) * 100).alias("percent"))
+    return legs.where("b_last is not null").select(*keys, "id", "observed_at", price.alias("price"), (price - previous).alias("change"), (F.try_divide(price - previous, previous) * 100).alias("percent"))
 
 
 def trusted_records(segments: DataFrame, datasets: DataFrame, records: DataFrame, time: str = "open_time") -> DataFrame:
@@ -71,6 +104,16 @@ def trusted_records(segments: DataFrame, datasets: DataFrame, records: DataFrame
     return records.join(s, (records["dataset_id"] == s["dataset_id"]) & (records[time] >= s["segment_start"]) & (records[time] < s["segment_end"])).drop(s["dataset_id"])
 
 
+def segment_lineage(segments: DataFrame, decisions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """segments(segment_id, dataset_id, evidence_ids) with verified: their evidence is, as a set, that of their dataset's decision
+    (dataset_id, accepted_ids), not empty, and each of it is exact, independent, passed and touches the dataset."""
+    good = accepted_evidence(evidence, segments.select("dataset_id").distinct()).groupBy("dataset_id").agg(F.collect_set("evidence_id").alias("_good"))
+    j = segments.join(decisions.select("dataset_id", "accepted_ids"), "dataset_id", "left").join(good, "dataset_id", "left")
+    same = (F.size(F.array_except("evidence_ids", "accepted_ids")) == 0) & (F.size(F.array_except("accepted_ids", "evidence_ids")) == 0)
+    backed = (F.size("evidence_ids") > 0) & (F.size(F.array_except("evidence_ids", "_good")) == 0)
+    return j.select(*segments.columns, F.coalesce(same & backed, F.lit(False)).alias("verified"))
+
+
 def accepted_evidence(evidence: DataFrame, datasets: DataFrame) -> DataFrame:
     """Evidence that is exact, independent and passed, for a dataset on either side."""
     good = evidence.where((F.col("compatibility") == "exact") & F.col("independent") & (F.col("status") == "pass"))
@@ -88,16 +131,39 @@ def overlapping_segments(seg: DataFrame) -> DataFrame:
     return a.join(b, hit & first).select(F.col("a.segment_id").alias("left_id"), F.col("b.segment_id").alias("right_id"))
 
 
-def compatibility(descriptors: DataFrame) -> DataFrame:
-    """Each pair of datasets of one instrument: level and reasons. Datasets are a catalogue; pairs meet by instrument."""
+# What makes up an instrument's identity, and the reasons that keep two datasets from being compared exactly.
+IDENTITY = ("instrument", "underlying", "currency", "type", "venue", "contract")
+REASONS = {
+    "market": "different underlying or quote currency", "identity": "different instrument, venue, or contract identity", "kind": "different record granularity", "semantics": "different timestamp semantics",
+    "fields": "quote channels have no common price field", "basis": "different bar price basis", "interval": "different bar interval",
+}
+
+
+def compatibility(descriptors: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Level, reasons, independence and common fields of pairs of datasets.
+
+    descriptors(dataset_id, IDENTITY, kind quote or bar, semantics, fields, basis, interval_seconds, independence_group); pairs
+    (left_id, right_id) or, without them, all pairs of one underlying and currency. Another underlying or currency is
+    incompatible; else a pair without reasons is exact, any other good for sanity checks only. Independence is that of the groups.
+    """
     a, b = descriptors.alias("a"), descriptors.alias("b")
-    pair = a.join(b, (F.col("a.instrument") == F.col("b.instrument")) & (F.col("a.dataset_id") < F.col("b.dataset_id")))
-    differs = lambda c: F.col(f"a.{c}") != F.col(f"b.{c}")
-    blocking = F.array_compact(F.array(*(F.when(differs(c), F.lit(f"{c}_differs")) for c in ("kind", "basis", "interval_seconds"))))
-    soft = F.array_compact(F.array(*(F.when(differs(c), F.lit(f"{c}_differs")) for c in ("scale", "venue"))))
-    independent = differs("provider") & differs("independence_group")
-    level = F.when(F.size(blocking) > 0, "incompatible").when(F.size(soft) > 0, "comparable").otherwise("exact")
-    return pair.select(F.col("a.dataset_id").alias("left_id"), F.col("b.dataset_id").alias("right_id"), level.alias("level"), F.concat(blocking, soft).alias("reasons"), independent.alias("independent"), F.array_intersect("a.fields", "b.fields").alias("common_fields"))
+    if pairs is None:
+        both = a.join(b, (F.col("a.underlying") == F.col("b.underlying")) & (F.col("a.currency") == F.col("b.currency")) & (F.col("a.dataset_id") < F.col("b.dataset_id")))
+    else:
+        both = pairs.alias("p").join(a, F.col("p.left_id") == F.col("a.dataset_id")).join(b, F.col("p.right_id") == F.col("b.dataset_id"))
+    differs = lambda c: ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    other_market = differs("underlying") | differs("currency")
+    identity = differs(IDENTITY[0])
+    for c in IDENTITY[1:]:
+        identity = identity | differs(c)
+    quotes, bars = ((F.col("a.kind") == k) & (F.col("b.kind") == k) for k in ("quote", "bar"))
+    common = F.when(quotes & ~other_market, F.array_sort(F.array_intersect("a.fields", "b.fields"))).otherwise(F.array().cast("array<string>"))
+    reason = lambda name, when: F.when(when, F.lit(REASONS[name]))
+    reasons = F.when(other_market, F.array(F.lit(REASONS["market"]))).otherwise(F.array_compact(F.array(
+        reason("identity", identity), reason("kind", differs("kind")), reason("semantics", differs("semantics")), reason("fields", quotes & (F.size(common) == 0)),
+        reason("basis", bars & differs("basis")), reason("interval", bars & differs("interval_seconds")))))
+    level = F.when(other_market, "incompatible").when(F.size(reasons) == 0, "exact").otherwise("sanity_only")
+    return both.select(F.col("a.dataset_id").alias("left_id"), F.col("b.dataset_id").alias("right_id"), level.alias("level"), reasons.alias("reasons"), differs("independence_group").alias("independent"), common.alias("common_fields"))
 
 
 def strike_ladder(chain: DataFrame, stats: DataFrame) -> DataFrame:

@@ -18,11 +18,27 @@ CHUNK = 20_000
 
 
 def _run(a: np.ndarray, keep: np.ndarray, v: np.ndarray, state: np.ndarray) -> np.ndarray:
-    out = np.empty_like(v)
-    for t in range(len(v)):
-        state = a @ state + v[t] if keep[t] else v[t]
-        out[t] = state
-    return out
+    """States of all rows: rows in blocks of about the root of their number, all blocks advanced together from zero, then what
+    each block starts from is passed on and added."""
+    n, k = v.shape
+    size = max(1, int(np.ceil(np.sqrt(n))))
+    blocks = -(-n // size)
+    x, on = np.zeros((blocks * size, k)), np.ones(blocks * size, bool)
+    x[:n], on[:n] = v, keep
+    x, on = x.reshape(blocks, size, k), on.reshape(blocks, size)
+    for t in range(1, size):
+        x[:, t] += np.where(on[:, t, None], x[:, t - 1] @ a.T, 0)
+    whole = np.logical_and.accumulate(on, axis=1)  # no row so far starts anew
+    powers = np.empty((size, k, k))
+    powers[0] = a
+    for t in range(1, size):
+        powers[t] = powers[t - 1] @ a
+    starts = np.empty((blocks, k))
+    for b in range(blocks):
+        starts[b] = state
+        state = x[b, -1] + (powers[-1] @ state if whole[b, -1] else 0)
+    x += np.where(whole[:, :, None], np.einsum("tij,bj->bti", powers, starts), 0)
+    return x.reshape(-1, k)[:n]
 
 
 def affine_scan(df: DataFrame, keys: Sequence[str], idx: str, a: np.ndarray, keep: Column, inputs: Sequence[Column], names: Sequence[str], chunk: int = CHUNK) -> DataFrame:

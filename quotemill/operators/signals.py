@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from quotemill.functions.scalars import clamp
 from quotemill.operators import indicators as ind
 from quotemill.operators import structure as st
-from quotemill.operators.common import last_k
+from quotemill.operators.common import last_k, settled
 from quotemill.operators.scan import with_index
 
 #: Strategies that count for the composite score, and those that performance is measured for.
 COMPOSITE = ("structure", "ma-structure", "macd", "kdj", "rsi", "bollinger", "momentum-ensemble", "fair-value", "poc-proxy", "order-flow-proxy", "volume-price", "smart-money")
 STRATEGIES = (*COMPOSITE, "nine-count")
+#: Moving averages that make levels.
+LEVEL_PERIODS = (60, 250)
 
 
 def _side(up: Column, down: Column) -> Column:
@@ -24,6 +26,7 @@ def _side(up: Column, down: Column) -> Column:
 
 def signals(bars: DataFrame, keys: Sequence[str], enabled: Sequence[str] = STRATEGIES) -> DataFrame:
     """One row per bar and strategy: direction (1, 0, -1), confidence. A strategy without enough bars has no row."""
+    bars = settled(bars.select(*keys, "open_time", "open", "high", "low", "close", "volume"))  # every strategy reads them
     df, on = with_index(bars, keys), [*keys, "idx"]
     base = df.select(*keys, "idx", "open_time", "open", "high", "low", "close", "volume")
     parts: list[DataFrame] = []
@@ -86,56 +89,69 @@ def composite(signal_rows: DataFrame, keys: Sequence[str], enabled: Sequence[str
     """Mean direction weighted by confidence over the strategies that count, 0 without any; regime at 0.2 either way."""
     counts = F.col("strategy").isin(list(enabled)) & (F.col("confidence") > 0)
     g = signal_rows.groupBy(*keys, "idx", "open_time").agg(F.sum(F.when(counts, F.col("direction") * F.col("confidence"))).alias("_a"), F.sum(F.when(counts, F.col("confidence"))).alias("_b"))
-    score = F.coalesce(F.try_divide("_a", "_b"), F.lit(0.0))
+    score = F.round(F.coalesce(F.try_divide("_a", "_b"), F.lit(0.0)), 12)  # sums in another order are the same score
     return g.withColumn("score", score).withColumn("regime", F.when(F.col("score") > 0.2, "trend-up").when(F.col("score") < -0.2, "trend-down").otherwise("balanced")).drop("_a", "_b")
 
 
 def levels(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Support, resistance, densest price, and moving averages that the last bar of a series touches."""
+    """Support, resistance, densest price, and those of the moving averages of 60 and 250 bars that the last bar of a series
+    touches."""
     sr = st.support_resistance(bars, keys)
     out = sr.select(*keys, F.lit("support").alias("kind"), F.col("support").cast("double").alias("price")).unionByName(sr.select(*keys, F.lit("resistance").alias("kind"), F.col("resistance").cast("double").alias("price")))
     out = out.unionByName(ind.poc(bars, keys).select(*keys, F.lit("poc").alias("kind"), F.col("poc").cast("double").alias("price")))
     last = last_k(ind.ma_structure(bars, keys), keys, 1, F.desc("open_time"))
-    touches = F.array(*(F.struct(F.lit(f"ma{n}").alias("kind"), F.when(F.col(f"interaction{n}") != "none", F.col(f"ma{n}")).alias("price")) for n in ind.MA_PERIODS))
+    touches = F.array(*(F.struct(F.lit(f"ma{n}").alias("kind"), F.when(F.col(f"interaction{n}") != "none", F.col(f"ma{n}")).alias("price")) for n in LEVEL_PERIODS))
     return out.unionByName(last.select(*keys, F.explode(touches).alias("t")).where("t.price is not null").select(*keys, "t.kind", "t.price"))
 
 
 def signal_performance(scored: DataFrame, keys: Sequence[str], cost: float = 0.0002, start: int = 35) -> DataFrame:
-    """Per series: final equity, greatest drawdown, closed trades, win rate of holding the sign of the score (beyond 0.2) from the
-    next bar on. scored(idx, close, score); the first 34 bars hold nothing; cost is per unit of position change."""
+    """Per series: return and greatest drawdown in percent, closed trades, and the percent of them that won, of holding the sign of
+    the score (0.2 or beyond, either way) from the next bar on. scored(idx, close, score); the first 34 bars hold nothing; a bar
+    leaves at least a hundredth of what is held; cost is per unit of position change. No trade closed: 0 percent."""
     w = Window.partitionBy(*keys).orderBy("idx")
-    df = scored.withColumn("_t", F.when(F.col("idx") < start, 0).when(F.col("score") > 0.2, 1).when(F.col("score") < -0.2, -1).otherwise(0))
+    df = scored.withColumn("_t", F.when(F.col("idx") < start, 0).when(F.col("score") >= 0.2, 1).when(F.col("score") <= -0.2, -1).otherwise(0))
     df = df.withColumn("_p", F.coalesce(F.lag("_t").over(w), F.lit(0))).withColumn("_r", F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0)))
-    df = df.withColumn("_turn", F.abs(F.col("_t") - F.col("_p"))).withColumn("_f", F.greatest(F.lit(1e-9), (1 + F.col("_p") * F.col("_r")) * (1 - cost * F.col("_turn"))))
+    df = df.withColumn("_turn", F.abs(F.col("_t") - F.col("_p"))).withColumn("_f", F.greatest(F.lit(0.01), 1 + F.col("_p") * F.col("_r")) * (1 - cost * F.col("_turn")))
     df = df.withColumn("equity", F.exp(F.sum(F.ln("_f")).over(w))).withColumn("_peak", F.greatest(F.lit(1.0), F.max("equity").over(w)))
     entry = F.last(F.when((F.col("_t") != F.col("_p")) & (F.col("_t") != 0), F.col("close")), ignorenulls=True)
     df = df.withColumn("_entry", entry.over(w)).withColumn("_in", F.lag("_entry").over(w))
-    closed = (F.col("_p") != 0) & (F.col("_t") != F.col("_p"))
+    closed = (F.col("_p") != 0) & (F.col("_t") != F.col("_p")) & (F.col("_in") > 0)
     win = closed & ((F.col("close") - F.col("_in")) * F.col("_p") > 0)
     return df.groupBy(*keys).agg(
-        F.max_by("equity", "idx").alias("equity"), F.max(1 - F.col("equity") / F.col("_peak")).alias("max_drawdown"), F.count_if(closed).alias("closed_trades"),
-        F.try_divide(F.count_if(win).cast("double"), F.count_if(closed)).alias("win_rate"))
+        ((F.max_by("equity", "idx") - 1) * 100).alias("total_return_percent"), (F.max(1 - F.col("equity") / F.col("_peak")) * 100).alias("max_drawdown_percent"), F.count_if(closed).alias("closed_trades"),
+        F.coalesce(F.try_divide(F.count_if(win).cast("double"), F.count_if(closed)) * 100, F.lit(0.0)).alias("win_rate"))
 
 
-def horizon_trend(bars: DataFrame, keys: Sequence[str], n: int = 20) -> DataFrame:
-    """Of the last n final bars of each series: means of 5 and 20 closes, return over them in percent, direction and limitation.
-    Bullish: close above the short mean, that above the long one, and a rise; bearish the other way round."""
+def horizon_trend(bars: DataFrame, keys: Sequence[str], n: int = 20, fast: int = 5) -> DataFrame:
+    """Of the last n final bars of each series: means of the last fast and of all n closes, return over them in percent, state,
+    direction and limitation.
+
+    The fast mean is there from fast bars on, if those closes are positive. A series of n positive closes is ready; with other
+    closes it is unavailable, with fewer bars data are insufficient. up: close above the fast mean, that above the slow one, and a
+    rise; down the other way round; else mixed; unavailable where it isn't ready.
+    """
     last = last_k(bars.where("state = 'final'"), keys, n, F.desc("open_time"))
     w = Window.partitionBy(*keys).orderBy(F.desc("open_time"))
+    recent = F.when(F.col("_r") <= fast, F.col("close"))
     g = last.withColumn("_r", F.row_number().over(w)).groupBy(*keys).agg(
-        F.count("*").alias("bars"), F.avg(F.when(F.col("_r") <= 5, F.col("close"))).alias("sma5"), F.avg("close").alias("sma20"), F.max_by("close", "open_time").alias("close"), F.min_by("close", "open_time").alias("first_close"))
+        F.count("*").alias("bars"), F.when((F.count("*") >= fast) & (F.min(recent) > 0), F.avg(recent)).alias("sma_fast"), F.avg("close").alias("_slow"), F.max_by("close", "open_time").alias("close"),
+        F.min_by("close", "open_time").alias("_first"), (F.min("close") > 0).alias("_valid"))
     full = F.col("bars") >= n
-    ret = F.try_divide(F.col("close"), F.col("first_close")) * 100 - 100
-    up = (F.col("close") > F.col("sma5")) & (F.col("sma5") > F.col("sma20")) & (ret > 0)
-    down = (F.col("close") < F.col("sma5")) & (F.col("sma5") < F.col("sma20")) & (ret < 0)
+    ready = full & F.col("_valid")
+    ret = F.try_divide(F.col("close"), F.col("_first")) * 100 - 100
+    up = (F.col("close") > F.col("sma_fast")) & (F.col("sma_fast") > F.col("_slow")) & (ret > 0)
+    down = (F.col("close") < F.col("sma_fast")) & (F.col("sma_fast") < F.col("_slow")) & (ret < 0)
+    lacking = F.concat(F.lit(f"requires_{n}_final_bars_has_"), F.col("bars").cast("string"))
     return g.select(
-        *keys, "bars", F.when(full, F.col("sma5")).alias("sma5"), F.when(full, F.col("sma20")).alias("sma20"), F.when(full, ret).alias("return_percent"),
-        F.when(~full, "unavailable").when(up, "bullish").when(down, "bearish").otherwise("neutral").alias("direction"), F.when(~full, F.concat(F.lit("needs "), F.lit(str(n)), F.lit(" final bars"))).alias("limitation"))
-
-
-def compare_horizons(trends: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """trends(horizon, direction) -> per key: aligned, divergent, mixed or not-comparable, and the directions that were seen."""
-    known = F.col("direction") != "unavailable"
-    g = trends.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(known, F.col("direction")))).alias("directions"), F.count_if(known).alias("n"))
-    both = F.array_contains("directions", "bullish") & F.array_contains("directions", "bearish")
-    return g.withColumn("state", F.when(F.col("n") < 2, "not-comparable").when(F.size("directions") == 1, "aligned").when(both, "divergent").otherwise("mixed"))
+        *keys, "bars", "sma_fast", F.when(ready, F.col("_slow")).alias("sma_slow"), F.when(ready, ret).alias("return_percent"), F.when(ready, "ready").when(full, "unavailable").otherwise("insufficient_data").alias("state"),
+        F.when(~ready, "unavailable").when(up, "up").when(down, "down").otherwise("mixed").alias("direction"), F.when(~full, lacking).when(~ready, "non_positive_close_not_comparable").alias("limitation"))
+
+
+def compare_horizons(trends: DataFrame, keys: Sequence[str], horizons: Sequence[str]) -> DataFrame:
+    """trends(horizon, state, direction) -> per key: state, directions seen. Any of the horizons that isn't ready, or isn't there,
+    makes the set not comparable; aligned: all up or all down; divergent: some up and some down; else mixed."""
+    ready = (F.col("state") == "ready") & F.col("horizon").isin(*horizons)
+    g = trends.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(ready, F.col("direction")))).alias("directions"), F.count_distinct(F.when(ready, F.col("horizon"))).alias("_n"))
+    one = (F.size("directions") == 1) & (F.array_contains("directions", "up") | F.array_contains("directions", "down"))
+    both = F.array_contains("directions", "up") & F.array_contains("directions", "down")
+    return g.withColumn("state", F.when(F.col("_n") < len(horizons), "not_comparable").when(one, "aligned").when(both, "divergent").otherwise("mixed")).drop("_n")

@@ -194,38 +194,58 @@ def sweep_setups(status: DataFrame, keys: Sequence[str], within: int = 8) -> Dat
     """A structure break with the latest sweep of its direction in the eight bars before that is still valid when it comes; of
     several breaks at one bar the last. Confidence is their mean plus 0.08, 0.82 at most."""
     sweep = F.col("kind").endswith("sweep")
-    w = Window.partitionBy(*keys, "direction").orderBy("idx").rangeBetween(-within, -1)
-    swept = F.max(F.when(sweep, F.struct("idx", "confidence", "invalid_idx"))).over(w)
-    x = status.withColumn("_live", F.collect_list(F.when(sweep, F.struct("idx", "confidence", "invalid_idx"))).over(w)).withColumn("_s", swept)
-    live = F.filter("_live", lambda s: s["invalid_idx"].isNull() | (s["invalid_idx"] > F.col("idx")))
-    x = x.where(~sweep).withColumn("_pick", F.array_max(live)).where("_pick is not null")
+    swept = status.where(sweep).select(*keys, "direction", F.struct(F.col("idx"), "confidence", "invalid_idx").alias("s"), F.explode(F.expr(f"sequence(idx + 1, idx + {within})")).alias("idx"))
+    live = status.where(~sweep).join(swept, [*keys, "direction", "idx"]).where("s.invalid_idx is null or s.invalid_idx > idx")
+    x = live.groupBy(*keys, "idx", "seq", "direction", "kind", "confidence").agg(F.max("s").alias("_pick"))
     last = x.groupBy(*keys, "idx").agg(F.max_by(F.struct("direction", "kind", "confidence", "_pick"), "seq").alias("e")).select(*keys, "idx", "e.*")
     return last.select(*keys, "idx", "direction", "kind", F.col("_pick.idx").alias("sweep_idx"), F.least(F.lit(0.82), (F.col("_pick.confidence") + F.col("confidence")) / 2 + 0.08).alias("confidence"))
 
 
-def trend_lines(bars: DataFrame, keys: Sequence[str], look_back: int = 260, last: int = 10, apart: int = 5, span: int = 5, touch_atr: float = 0.35, break_atr: float = 0.75) -> DataFrame:
-    """At each series' last bar, lines through two of its last ten unique swings of a kind, at most five swings apart and five bars
-    or more: rising under lows (support), falling over highs (resistance). touches are swings within touch_atr of the line; a line
-    breaks at a close break_atr beyond it, or at the second close in a row beyond it. Of each side the best live line (touches, then
-    span) and the last broken one."""
-    df = with_index(atr(bars, keys), keys).withColumn("atr", F.coalesce("atr", F.abs("close") * 0.004))
-    end = df.groupBy(*keys).agg(F.max("idx").alias("_end"))
-    recent = last_k(pivots(df, keys, "unique"), [*keys, "kind"], last, F.desc("idx")).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("idx")))
-    a = recent.select(*keys, "kind", F.col("idx").alias("i1"), F.col("price").alias("p1"), F.col("_r").alias("r1"))
-    b = recent.select(*keys, "kind", F.col("idx").alias("i2"), F.col("price").alias("p2"), F.col("_r").alias("r2"), F.col("confirmed_idx").alias("known"))
-    pairs = a.join(b, [*keys, "kind"]).where((F.col("r1") < F.col("r2")) & (F.col("r2") - F.col("r1") <= apart) & (F.col("i2") - F.col("i1") >= span))
-    pairs = pairs.withColumn("slope", F.try_divide(F.col("p2") - F.col("p1"), F.col("i2") - F.col("i1"))).where(F.when(F.col("kind") == "low", F.col("slope") > 0).otherwise(F.col("slope") < 0)).join(end, list(keys))
-    ids = [*keys, "kind", "i1", "i2"]
-    touched = pairs.join(recent.select(*keys, "kind", F.col("idx").alias("ti"), F.col("price").alias("tp")), [*keys, "kind"]).join(df.select(*keys, F.col("idx").alias("ti"), F.col("atr").alias("ta")), [*keys, "ti"])
+# Fixed values of the trend-line rules: swings looked at, their distance in swings and bars, and bounds in ATR.
+LINE_BARS, LINE_SWINGS, LINE_APART, LINE_SPAN, LINE_LEAST, LINE_BROKEN = 260, 10, 5, 5, 13, 80
+LINE_SIDE_ATR, LINE_SLOPE_ATR, LINE_TOUCH_ATR, LINE_BREAK_ATR = 0.4, 0.35, 0.28, 0.75
+
+
+def trend_lines(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """At each series' last bar (of 13 or more), lines through two of its last ten unique swings of a kind, at most five swings
+    apart and five bars or more, lows for support, highs for resistance.
+
+    The second swing may lie 0.4 ATR beyond the first at most, and the slope be 0.35 ATR a bar. Behind the second swing a bar
+    touches within 0.28 ATR of the line if its close isn't beyond that; the line is broken by the second close in a row beyond
+    that, or by one 0.75 ATR beyond the line. quality weighs duration, touches and mean distance. Of each side the best
+    unbroken line, and the one broken last if that is 80 bars ago at most. ATR of a bar without one: that at the second swing,
+    or half a percent of the close there.
+    """
+    df = with_index(atr(bars, keys), keys)
+    end = df.groupBy(*keys).agg(F.max("idx").alias("_end"), F.max_by("open_time", "idx").alias("end_time")).where(F.col("_end") >= LINE_LEAST)
+    near = pivots(df, keys, "unique").join(end, list(keys)).where(F.col("idx") >= F.col("_end") - LINE_BARS)
+    recent = last_k(near, [*keys, "kind"], LINE_SWINGS, F.desc("idx")).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("idx")))
+    at = df.select(*keys, F.col("idx").alias("i2"), F.coalesce("atr", F.col("close") * 0.005).alias("a"))
+    first = recent.select(*keys, "kind", F.col("idx").alias("i1"), F.col("price").alias("p1"), F.col("_r").alias("_r1"))
+    second = recent.select(*keys, "kind", F.col("idx").alias("i2"), F.col("price").alias("p2"), F.col("_r").alias("_r2"), "_end", "end_time").join(at, [*keys, "i2"])
+    pairs = first.join(second, [*keys, "kind"]).where((F.col("_r1") < F.col("_r2")) & (F.col("_r2") - F.col("_r1") <= LINE_APART) & (F.col("i2") - F.col("i1") >= LINE_SPAN) & (F.col("a") > 0))
+    low = F.col("kind") == "low"
+    away = F.when(low, F.col("p1") - F.col("p2")).otherwise(F.col("p2") - F.col("p1"))
+    pairs = pairs.withColumn("slope", F.try_divide(F.col("p2") - F.col("p1"), F.col("i2") - F.col("i1"))).where((away <= F.col("a") * LINE_SIDE_ATR) & (F.abs("slope") <= F.col("a") * LINE_SLOPE_ATR))
     line = lambda i: F.col("p1") + F.col("slope") * (i - F.col("i1"))
-    touches = touched.where((F.col("ti") >= F.col("i1")) & (F.abs(F.col("tp") - line(F.col("ti"))) <= F.col("ta") * touch_atr)).groupBy(*ids).agg(F.count("*").alias("touches"))
-    ahead = _near(pairs.withColumn("_from", F.greatest(F.col("i1"), F.col("_end") - look_back)), df, keys, F.col("_from"), F.col("_end"), 256)
-    sign = F.when(F.col("kind") == "low", -1.0).otherwise(1.0)
-    beyond = (F.col("b.close") - line(F.col("b.idx"))) * sign
-    far = ahead.withColumn("_x", beyond).withColumn("_prev", F.lag("_x").over(Window.partitionBy(*ids).orderBy("b.idx")))
-    broken = far.where((F.col("_x") > F.col("b.atr") * break_atr) | ((F.col("_x") > 0) & (F.col("_prev") > 0))).groupBy(*ids).agg(F.min("b.idx").alias("broken_idx"))
-    lines = pairs.join(touches, ids, "left").join(broken, ids, "left").withColumn("status", F.when(F.col("broken_idx").isNull(), "live").otherwise("broken"))
-    lines = lines.select(*ids, "p1", "p2", "slope", F.coalesce("touches", F.lit(0)).alias("touches"), "status", "broken_idx", line(F.col("_end")).alias("value"))
-    live = last_k(lines.where("status = 'live'"), [*keys, "kind"], 1, F.desc("touches"), F.desc(F.col("i2") - F.col("i1")), F.desc("i2"))
-    gone = last_k(lines.where("status = 'broken'"), [*keys, "kind"], 1, F.desc("broken_idx"), F.desc("touches"), F.desc("i2"), F.desc("i1"))
-    return live.unionByName(gone)
+    pairs = pairs.withColumn("value", line(F.col("_end"))).where("value > 0")
+    ids = [*keys, "kind", "i1", "i2"]
+    ahead = _near(pairs, df, keys, F.col("i2") + 1, F.col("_end"), 256).withColumn("_atr", F.coalesce("b.atr", "a")).withColumn("_x", line(F.col("b.idx")))
+    beyond = F.when(low, F.col("_x") - F.col("b.close")).otherwise(F.col("b.close") - F.col("_x"))
+    distance = F.abs(F.when(low, F.col("b.low")).otherwise(F.col("b.high")) - F.col("_x"))
+    ahead = ahead.withColumn("_by", beyond).withColumn("_far", distance).withColumn("_tol", F.col("_atr") * LINE_TOUCH_ATR)
+    ahead = ahead.withColumn("_out", F.col("_by") > F.col("_tol")).withColumn("_twice", F.col("_out") & F.coalesce(F.lag("_out").over(Window.partitionBy(*ids).orderBy("b.idx")), F.lit(False)))
+    judged = ahead.groupBy(*ids).agg(
+        F.count_if((F.col("_far") <= F.col("_tol")) & ~F.col("_out")).alias("_touches"), F.avg(F.least(F.lit(2.0), F.col("_far") / F.greatest("_atr", F.lit(2.0**-52)))).alias("_error"),
+        F.min(F.when(F.col("_twice") | (F.col("_by") > F.col("_atr") * LINE_BREAK_ATR), F.struct(F.col("b.idx").alias("idx"), F.col("b.open_time").alias("at"), F.col("_twice").alias("twice")))).alias("_broken"))
+    lines = pairs.join(judged, ids, "left").withColumn("touches", F.coalesce("_touches", F.lit(0)) + 2).withColumn("atr_error", F.coalesce("_error", F.lit(0.0)))
+    share = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    lines = lines.withColumn("quality", share(share((F.col("_end") - F.col("i1")) / 120) * 0.25 + share((F.col("touches") - 2) / 4) * 0.5 + (1 - share(F.col("atr_error") / 1.5)) * 0.25))
+    status = F.when(F.col("_broken").isNotNull(), "invalidated").when(F.col("touches") >= 3, "tested").when(F.col("quality") >= 0.48, "confirmed").otherwise("candidate")
+    reason = F.when(F.col("_broken.twice"), "two closes in a row").otherwise("one close far beyond")
+    lines = lines.withColumn("status", status).withColumn("broken_idx", F.col("_broken.idx")).withColumn("broken_at", F.col("_broken.at")).withColumn("broken_by", F.when(F.col("_broken").isNotNull(), reason))
+    lines = lines.select(*ids, "p1", "p2", "slope", "value", "_end", "end_time", "touches", "atr_error", "quality", "status", "broken_idx", "broken_at", "broken_by")
+    rounded = F.round("quality", 9)  # sums in another order must not decide
+    live = last_k(lines.where("broken_idx is null"), [*keys, "kind"], 1, F.desc(rounded), F.desc("i2"), F.asc("i1"))
+    gone = last_k(lines.where("broken_idx is not null"), [*keys, "kind"], 1, F.desc("broken_idx"), F.asc("i2"), F.asc("i1")).where(F.col("_end") - F.col("broken_idx") <= LINE_BROKEN)
+    return live.unionByName(gone).drop("_end")

@@ -53,18 +53,24 @@ def _ma_sql() -> str:
         for n in ind.MA_PERIODS)
     every = lambda op: " AND ".join(f"(ma{y} IS NULL OR ma{x} {op} ma{y})" for x, y in zip(ind.MA_PERIODS, ind.MA_PERIODS[1:], strict=False))
     slopes = lambda op: " AND ".join(f"(s{n} IS NULL OR s{n} {op} 0)" for n in ind.MA_PERIODS)
-    return (f"WITH {_ATR}, m AS (SELECT *, coalesce(atr, close * 0.005) AS a, {mas} FROM atr), s AS (SELECT *, {more} FROM m {W}) SELECT {T}, round(ma20, 6) AS ma20, round(s60, 6) AS slope60, CASE WHEN a > 0 THEN round((close - ma120) / a, 6) END AS distance120, {act}, "
-            f"CASE WHEN ma60 IS NULL THEN 'insufficient' WHEN close > ma20 AND {every('>')} AND {slopes('>=')} THEN 'bullish' WHEN close < ma20 AND {every('<')} AND {slopes('<=')} THEN 'bearish' ELSE 'mixed' END AS alignment FROM s WHERE idx >= 20")
+    return (f"{_ATR}, m AS (SELECT *, coalesce(atr, close * 0.005) AS a, {mas} FROM atr), s AS (SELECT *, {more} FROM m {W}), mas AS (SELECT *, round(s60, 6) AS slope60, CASE WHEN a > 0 THEN (close - ma60) / a END AS distance60, CASE WHEN a > 0 THEN round((close - ma120) / a, 6) END AS distance120, CASE WHEN a > 0 THEN (close - ma250) / a END AS distance250, {act}, "
+            f"({' + '.join(f'(ma{n} IS NOT NULL)::INTEGER' for n in ind.MA_PERIODS)}) AS available, CASE WHEN ma60 IS NULL THEN 'insufficient' WHEN close > ma20 AND {every('>')} AND {slopes('>=')} THEN 'bullish' WHEN close < ma20 AND {every('<')} AND {slopes('<=')} THEN 'bearish' ELSE 'mixed' END AS alignment FROM s WHERE idx >= 20)")
 
 
-@query(_ma_sql())
+_MA = _ma_sql()
+
+
+@query(f"WITH {_MA} SELECT {T}, round(ma20, 6) AS ma20, slope60, distance120, {', '.join(f'interaction{n}' for n in ind.MA_PERIODS)}, alignment FROM mas")
 def w4_ma_structure(spark: SparkSession, d: str) -> DataFrame:
     return _out(ind.ma_structure(b.hourly(spark, d), K), "ma20", "slope60", "distance120", plain=(*(f"interaction{n}" for n in ind.MA_PERIODS), "alignment"))
 
 
-@query(f"""WITH {b.HOURLY}, x AS (SELECT *, count(*) {_n(20)} AS n, avg(close) {_n(20)} AS mid, stddev_pop(close) {_n(20)} AS sd FROM bars),
+_BANDS = f"""WITH {b.HOURLY}, x AS (SELECT *, count(*) {_n(20)} AS n, avg(close) {_n(20)} AS mid, stddev_pop(close) {_n(20)} AS sd FROM bars),
   y AS (SELECT *, round(4 * sd / abs(mid), 12) AS bw, (close - mid) / greatest(2.220446049250313e-16, 2 * sd) AS pos FROM x WHERE n >= 20 AND mid <> 0), h AS (SELECT *, list(bw) {_n(120)} AS l, lag(bw) OVER w AS prev FROM y {W}),
-  z AS (SELECT *, CASE WHEN len(l) >= 20 THEN len(list_filter(l, lambda v: v <= bw)) / len(l) END AS pct FROM h)
+  z AS (SELECT *, CASE WHEN len(l) >= 20 THEN len(list_filter(l, lambda v: v <= bw)) / len(l) END AS pct FROM h)"""
+
+
+@query(_BANDS + f"""
   SELECT {T}, round(mid, 6) AS middle, round(bw, 6) AS bandwidth, round(pos, 4) AS position, round(pct, 6) AS bandwidth_percentile FROM z""")
 def w5_bollinger(spark: SparkSession, d: str) -> DataFrame:
     x = ind.bollinger(b.hourly(spark, d), K)
@@ -91,9 +97,12 @@ def _term(h: int) -> str:
     return f"tanh(r{h} / greatest(0.0001, CASE WHEN coalesce(vol, 0) > 0 THEN vol * sqrt({h}) ELSE greatest(0.01, abs(r{h})) END))"
 
 
-@query(f"""WITH {_VOL}, m AS (SELECT *, {', '.join(f'CASE WHEN lag(close, {h}) OVER w > 0 THEN close / lag(close, {h}) OVER w - 1 END AS r{h}' for h, _ in ind.HORIZONS)} FROM v {W})
-  SELECT {T}, round(greatest(-1, least(1, ({' + '.join(f'coalesce({_term(h)} * {s}, 0)' for h, s in ind.HORIZONS)}) / ({' + '.join(f'(CASE WHEN r{h} IS NOT NULL THEN {s} ELSE 0 END)' for h, s in ind.HORIZONS)}))), 6) AS momentum,
-  ((r20 IS NOT NULL)::INTEGER + (r60 IS NOT NULL)::INTEGER + (r120 IS NOT NULL)::INTEGER) AS horizons FROM m WHERE r20 IS NOT NULL""")
+_MOMENTUM = f"""WITH {_VOL}, m AS (SELECT *, {', '.join(f'CASE WHEN lag(close, {h}) OVER w > 0 THEN close / lag(close, {h}) OVER w - 1 END AS r{h}' for h, _ in ind.HORIZONS)} FROM v {W}),
+  mo AS (SELECT *, greatest(-1, least(1, ({' + '.join(f'coalesce({_term(h)} * {s}, 0)' for h, s in ind.HORIZONS)}) / ({' + '.join(f'(CASE WHEN r{h} IS NOT NULL THEN {s} ELSE 0 END)' for h, s in ind.HORIZONS)}))) AS momentum,
+  ((r20 IS NOT NULL)::INTEGER + (r60 IS NOT NULL)::INTEGER + (r120 IS NOT NULL)::INTEGER) AS horizons FROM m WHERE r20 IS NOT NULL)"""
+
+
+@query(_MOMENTUM + f" SELECT {T}, round(momentum, 6) AS momentum, horizons FROM mo")
 def w8_momentum(spark: SparkSession, d: str) -> DataFrame:
     return _out(ind.momentum(b.hourly(spark, d), K), "momentum", plain=("horizons",))
 
@@ -103,21 +112,30 @@ def w9_trend_slope(spark: SparkSession, d: str) -> DataFrame:
     return _out(ind.trend_slope(b.hourly(spark, d), K), "slope")
 
 
-@query(f"""WITH {b.HOURLY}, x AS (SELECT *, CASE WHEN volume > 0 THEN sqrt(volume) ELSE 1 END AS wt, greatest(-1, least(1, (close - open) / greatest(high - low, abs(close) * 1e-8))) AS body FROM bars) SELECT {T}, round(sum(body * wt) {_n(32)} / sum(wt) {_n(32)}, 6) AS flow_pressure FROM x""")
+_FLOW = f"WITH {b.HOURLY}, x AS (SELECT *, CASE WHEN volume > 0 THEN sqrt(volume) ELSE 1 END AS wt, greatest(-1, least(1, (close - open) / greatest(high - low, abs(close) * 1e-8))) AS body FROM bars)"
+
+
+@query(_FLOW + f" SELECT {T}, round(sum(body * wt) {_n(32)} / sum(wt) {_n(32)}, 6) AS flow_pressure FROM x")
 def w10_flow_pressure(spark: SparkSession, d: str) -> DataFrame:
     return _out(ind.flow_pressure(b.hourly(spark, d), K), "flow_pressure")
 
 
-@query(f"""WITH {b.HOURLY}, l AS (SELECT *, list_filter(list({{'v': volume, 'c': close}}) {_n(24)}, lambda x: x.v > 0) AS l FROM bars), h AS (SELECT *, len(l) // 2 AS half FROM l),
-  m AS (SELECT *, list_avg(list_transform(l[1:half], lambda x: x.v)) AS e, list_avg(list_transform(l[half + 1:], lambda x: x.v)) AS t, l[len(l)].c - l[1].c AS p FROM h)
-  SELECT {T}, CASE WHEN volume IS NULL OR len(l) < 12 THEN 'unavailable' WHEN sign(p) = sign(t - e) OR abs((t - e) / e) < 0.04 THEN 'confirming' ELSE 'diverging' END AS volume_state FROM m""")
+_VOLUME = f"""WITH {b.HOURLY}, l AS (SELECT *, list_filter(list({{'v': volume, 'c': close}}) {_n(24)}, lambda x: x.v > 0) AS l FROM bars), h AS (SELECT *, len(l) // 2 AS half FROM l),
+  m AS (SELECT *, list_avg(list_transform(l[1:half], lambda x: x.v)) AS e, list_avg(list_transform(l[half + 1:], lambda x: x.v)) AS t, l[len(l)].c - l[1].c AS p FROM h),
+  vs AS (SELECT *, CASE WHEN volume IS NULL OR len(l) < 12 THEN 'unavailable' WHEN sign(p) = sign(t - e) OR abs((t - e) / e) < 0.04 THEN 'confirming' ELSE 'diverging' END AS volume_state FROM m)"""
+
+
+@query(_VOLUME + f" SELECT {T}, volume_state FROM vs")
 def w11_volume_price(spark: SparkSession, d: str) -> DataFrame:
     return _out(ind.volume_price(b.hourly(spark, d), K), plain=("volume_state",))
 
 
-@query(f"""WITH RECURSIVE {b.INDEXED}, f AS (SELECT instrument, idx, open_time, close AS fast, close AS slow, 0.0::DOUBLE AS sig FROM b WHERE idx = 1 UNION ALL
+_MACD = f"""WITH RECURSIVE {b.INDEXED}, f AS (SELECT instrument, idx, open_time, close AS fast, close AS slow, 0.0::DOUBLE AS sig FROM b WHERE idx = 1 UNION ALL
   SELECT b.instrument, b.idx, b.open_time, b.close * (2 / 13.0::DOUBLE) + f.fast * (11 / 13.0::DOUBLE), b.close * (2 / 27.0::DOUBLE) + f.slow * (25 / 27.0::DOUBLE), (b.close * (2 / 13.0::DOUBLE) + f.fast * (11 / 13.0::DOUBLE) - b.close * (2 / 27.0::DOUBLE) - f.slow * (25 / 27.0::DOUBLE)) * 0.2 + f.sig * 0.8
-  FROM f JOIN b ON b.instrument = f.instrument AND b.idx = f.idx + 1) SELECT {T}, round(fast - slow, 5) AS macd, round(sig, 5) AS signal FROM f WHERE idx >= 26""")
+  FROM f JOIN b ON b.instrument = f.instrument AND b.idx = f.idx + 1)"""
+
+
+@query(_MACD + f" SELECT {T}, round(fast - slow, 5) AS macd, round(sig, 5) AS signal FROM f WHERE idx >= 26")
 def w12_macd(spark: SparkSession, d: str) -> DataFrame:
     return ind.macd(b.hourly(spark, d), K).select("instrument", F.unix_seconds("open_time").alias("open_time"), F.round("macd", 5).alias("macd"), F.round("signal", 5).alias("signal"))
 
@@ -132,11 +150,14 @@ def w13_kdj(spark: SparkSession, d: str) -> DataFrame:
     return ind.kdj(b.hourly(spark, d), K).select("instrument", F.unix_seconds("open_time").alias("open_time"), *(F.round(c, 5).alias(c) for c in ("k", "d", "j")))
 
 
-@query(f"""{_KDJ}, g AS (SELECT instrument, idx, open_time, round(k, 9) AS k, round(d, 9) AS d FROM f), z AS (SELECT *, CASE WHEN k >= 80 AND d >= 80 THEN 'high' WHEN k <= 20 AND d <= 20 THEN 'low' ELSE 'middle' END AS zone, lag(k) OVER w AS pk, lag(d) OVER w AS pd FROM g {W}),
+_KDJ_STATE = f"""{_KDJ}, g AS (SELECT instrument, idx, open_time, round(k, 9) AS k, round(d, 9) AS d FROM f), z AS (SELECT *, CASE WHEN k >= 80 AND d >= 80 THEN 'high' WHEN k <= 20 AND d <= 20 THEN 'low' ELSE 'middle' END AS zone, lag(k) OVER w AS pk, lag(d) OVER w AS pd FROM g {W}),
   c AS (SELECT *, CASE WHEN pk <= pd AND k > d THEN 'bullish' WHEN pk >= pd AND k < d THEN 'bearish' ELSE 'none' END AS crossing, CASE WHEN lag(zone) OVER w = zone THEN 0 ELSE 1 END AS n FROM z {W}), i AS (SELECT *, sum(n) OVER w AS i FROM c {W}),
-  s AS (SELECT *, row_number() OVER (PARTITION BY instrument, i ORDER BY open_time) AS s FROM i), p AS (SELECT *, lag(s) OVER w AS ps, lag(zone) OVER w AS pz FROM s {W})
-  SELECT {T}, zone, crossing AS cross, (CASE WHEN zone = 'middle' THEN 0 ELSE s END)::INTEGER AS streak, CASE WHEN zone <> 'middle' THEN zone || (CASE WHEN s >= 3 THEN '-dulling' ELSE '-entering' END) WHEN pz = 'high' AND ps >= 3 AND crossing = 'bearish' THEN 'high-releasing'
-  WHEN pz = 'low' AND ps >= 3 AND crossing = 'bullish' THEN 'low-releasing' ELSE 'normal' END AS dulling FROM p""")
+  s AS (SELECT *, row_number() OVER (PARTITION BY instrument, i ORDER BY open_time) AS s FROM i), p AS (SELECT *, lag(s) OVER w AS ps, lag(zone) OVER w AS pz FROM s {W}),
+  ks AS (SELECT *, (CASE WHEN zone = 'middle' THEN 0 ELSE s END)::INTEGER AS streak, CASE WHEN zone <> 'middle' THEN zone || (CASE WHEN s >= 3 THEN '-dulling' ELSE '-entering' END) WHEN pz = 'high' AND ps >= 3 AND crossing = 'bearish' THEN 'high-releasing'
+  WHEN pz = 'low' AND ps >= 3 AND crossing = 'bullish' THEN 'low-releasing' ELSE 'normal' END AS dulling FROM p)"""
+
+
+@query(_KDJ_STATE + f" SELECT {T}, zone, crossing AS cross, streak, dulling FROM ks")
 def w14_kdj_state(spark: SparkSession, d: str) -> DataFrame:
     return _out(ind.kdj_state(ind.kdj(b.hourly(spark, d), K, all_rows=True), K), plain=("zone", "cross", "streak", "dulling"))
 
@@ -164,15 +185,25 @@ def w17_trailing_percentile(spark: SparkSession, d: str) -> DataFrame:
     return ind.trailing_percentile(h, K).select("instrument", F.col("date").cast("string").alias("date"), "samples", "percentile")
 
 
-@query(f"""WITH {b.INDEXED}, n AS (SELECT *, max(idx) OVER (PARTITION BY instrument) AS m FROM b), l AS (SELECT * FROM n WHERE idx > m - 240), s AS (SELECT instrument, min(low) AS lo, max(high) AS hi, (max(high) - min(low)) / 32 AS wd FROM l GROUP BY 1),
+_POC = f"""WITH {b.INDEXED}, n AS (SELECT *, max(idx) OVER (PARTITION BY instrument) AS m FROM b), l AS (SELECT * FROM n WHERE idx > m - 240), s AS (SELECT instrument, min(low) AS lo, max(high) AS hi, (max(high) - min(low)) / 32 AS wd FROM l GROUP BY 1),
   x AS (SELECT l.instrument, lo, wd, greatest(0, least(31, floor((low - lo) / wd)))::INTEGER AS a, greatest(0, least(31, floor((high - lo) / wd)))::INTEGER AS z, CASE WHEN volume > 0 THEN volume ELSE 1 END AS v FROM l JOIN s USING (instrument)),
   e AS (SELECT instrument, lo, wd, unnest(generate_series(a, z)) AS bin, v::DOUBLE / (z - a + 1) AS v FROM x), g AS (SELECT instrument, lo, wd, bin, round(sum(v), 9) AS v FROM e GROUP BY 1, 2, 3, 4), r AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY v DESC, bin) AS n FROM g)
-  SELECT instrument, round(lo + (bin + 0.5) * wd, 6) AS poc FROM r WHERE n = 1""")
+  SELECT instrument, round(lo + (bin + 0.5) * wd, 6) AS poc FROM r WHERE n = 1"""
+
+
+@query(_POC)
 def w26_poc(spark: SparkSession, d: str) -> DataFrame:
     return ind.poc(b.hourly(spark, d), K).select("instrument", F.round("poc", 6).alias("poc"))
 
 
-@query()
+_POC_EVERY = f"""WITH {b.INDEXED}, s AS (SELECT instrument, idx, open_time, close, min(low) {_n(240)} AS lo, (max(high) {_n(240)} - min(low) {_n(240)}) / 32 AS wd FROM b),
+  x AS (SELECT s.instrument, s.idx, s.lo, s.wd, greatest(0, least(31, floor((b.low - lo) / wd)))::INTEGER AS a, greatest(0, least(31, floor((b.high - lo) / wd)))::INTEGER AS z, CASE WHEN b.volume > 0 THEN b.volume ELSE 1 END AS v
+    FROM s JOIN b ON b.instrument = s.instrument AND b.idx BETWEEN s.idx - 239 AND s.idx WHERE wd > 0),
+  e AS (SELECT instrument, idx, unnest(generate_series(a, z)) AS bin, v::DOUBLE / (z - a + 1) AS v FROM x), g AS (SELECT instrument, idx, bin, round(sum(v), 6) AS v FROM e GROUP BY 1, 2, 3),
+  r AS (SELECT instrument, idx, arg_max(bin, v * 100 - bin * 1e-6) AS bin FROM g GROUP BY 1, 2), pocs AS (SELECT s.*, CASE WHEN wd > 0 THEN lo + (bin + 0.5) * wd ELSE close END AS poc FROM s LEFT JOIN r USING (instrument, idx))"""
+
+
+@query(_POC_EVERY + f" SELECT {T}, round(poc, 6) AS poc FROM pocs")
 def w26_poc_every_bar(spark: SparkSession, d: str) -> DataFrame:
     return _out(ind.poc_every_bar(b.hourly(spark, d), K), "poc")
 
@@ -220,9 +251,12 @@ def m1_pivots_left(spark: SparkSession, d: str) -> DataFrame:
     return _pivots(spark, d, "left")
 
 
-@query(_pivot_sql("left") + """, e AS (SELECT instrument, max(idx) AS m, arg_max(close, idx) AS c FROM b GROUP BY 1), f AS (SELECT b.instrument, min(low) AS lo, max(high) AS hi FROM b JOIN e USING (instrument) WHERE idx > m - 160 GROUP BY 1),
+_LEVELS = _pivot_sql("left") + """, e AS (SELECT instrument, max(idx) AS m, arg_max(close, idx) AS c FROM b GROUP BY 1), f AS (SELECT b.instrument, min(low) AS lo, max(high) AS hi FROM b JOIN e USING (instrument) WHERE idx > m - 160 GROUP BY 1),
   s AS (SELECT p.instrument, arg_max(price, idx) FILTER (kind = 'low' AND price < c) AS s, arg_max(price, idx) FILTER (kind = 'high' AND price > c) AS r FROM piv p JOIN e USING (instrument) WHERE idx > m - 160 AND confirmed_idx <= m GROUP BY 1)
-  SELECT f.instrument, coalesce(s.s, f.lo) AS support, coalesce(s.r, f.hi) AS resistance FROM f LEFT JOIN s USING (instrument)""")
+  SELECT f.instrument, coalesce(s.s, f.lo) AS support, coalesce(s.r, f.hi) AS resistance FROM f LEFT JOIN s USING (instrument)"""
+
+
+@query(_LEVELS)
 def m2_support_resistance(spark: SparkSession, d: str) -> DataFrame:
     return st.support_resistance(b.hourly(spark, d), K)
 
@@ -285,76 +319,132 @@ def m8_event_status(spark: SparkSession, d: str) -> DataFrame:
     return st.event_status(st.structure_events(bars, K), bars, K).select("instrument", "idx", "kind", "invalid_idx", "status")
 
 
-@query()
-def m9_sweep_setups(spark: SparkSession, d: str) -> DataFrame:
-    bars = b.hourly(spark, d)
-    return st.sweep_setups(st.event_status(st.structure_events(bars, K), bars, K), K)
+_SETUPS = _EVENTS + """, z AS (SELECT ev.*, (SELECT min(x.idx) FROM j x WHERE x.instrument = ev.instrument AND x.idx BETWEEN ev.idx + 1 AND ev.idx + 220 AND (CASE WHEN direction = 'bullish' THEN x.close < ref_price - x.a * 0.5 ELSE x.close > ref_price + x.a * 0.5 END)) AS invalid_idx FROM ev),
+  pk AS (SELECT k.instrument, k.idx, k.direction, k.kind, k.confidence, arg_max({'i': s.idx, 'c': s.confidence}, s.idx * 10 + s.confidence) AS s FROM z k JOIN z s ON s.instrument = k.instrument AND s.direction = k.direction AND s.idx BETWEEN k.idx - 8 AND k.idx - 1 AND s.kind LIKE '%sweep' AND (s.invalid_idx IS NULL OR s.invalid_idx > k.idx)
+    WHERE k.kind NOT LIKE '%sweep' GROUP BY ALL),
+  setups AS (SELECT instrument, idx, direction, kind, s.i AS sweep_idx, least(0.82, (s.c + confidence) / 2 + 0.08) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY instrument, idx ORDER BY direction = 'bullish') AS n FROM pk) WHERE n = 1)"""
 
 
-@query()
+@query(_SETUPS + " SELECT instrument, idx, direction, kind, sweep_idx, round(confidence, 6) AS confidence FROM setups")
+def m9_sweep_setups(spark: SparkSession, d: str) -> DataFrame:
+    bars = b.hourly(spark, d)
+    return st.sweep_setups(st.event_status(st.structure_events(bars, K), bars, K), K).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(_pivot_sql("unique") + """, en AS (SELECT instrument, max(idx) AS m FROM b GROUP BY 1 HAVING max(idx) >= 13), rc AS (SELECT p.*, m, row_number() OVER (PARTITION BY p.instrument, kind ORDER BY p.idx DESC) AS n FROM piv p JOIN en USING (instrument) WHERE p.idx >= m - 260),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY instrument, kind ORDER BY idx) AS r FROM rc WHERE n <= 10),
+  pr AS (SELECT x.instrument, x.kind, x.m, x.idx AS i1, x.price AS p1, y.idx AS i2, y.price AS p2, coalesce(a.atr, a.close * 0.005) AS a, (y.price - x.price) / (y.idx - x.idx) AS slope FROM rk x JOIN rk y ON y.instrument = x.instrument AND y.kind = x.kind AND y.r > x.r AND y.r - x.r <= 5 AND y.idx - x.idx >= 5
+    JOIN atr a ON a.instrument = y.instrument AND a.idx = y.idx),
+  cd AS (SELECT *, p1 + slope * (m - i1) AS value FROM pr WHERE a > 0 AND (CASE WHEN kind = 'low' THEN p2 >= p1 - a * 0.4 ELSE p2 <= p1 + a * 0.4 END) AND abs(slope) <= a * 0.35),
+  bs AS (SELECT c.*, t.idx, t.open_time, coalesce(t.atr, c.a) AS ba, CASE WHEN kind = 'low' THEN p1 + slope * (t.idx - i1) - t.close ELSE t.close - (p1 + slope * (t.idx - i1)) END AS bd, abs(CASE WHEN kind = 'low' THEN t.low ELSE t.high END - (p1 + slope * (t.idx - i1))) AS far
+    FROM cd c JOIN atr t ON t.instrument = c.instrument AND t.idx > c.i2 WHERE value > 0),
+  bo AS (SELECT *, bd > ba * 0.28 AS ob FROM bs), bt AS (SELECT *, ob AND coalesce(lag(ob) OVER (PARTITION BY instrument, kind, i1, i2 ORDER BY idx), false) AS twice FROM bo),
+  jd AS (SELECT instrument, kind, m, i1, i2, p1, p2, slope, value, 2 + count(*) FILTER (far <= ba * 0.28 AND NOT ob) AS touches, avg(least(2, far / greatest(ba, 2.220446049250313e-16))) AS err, arg_min({'i': idx, 't': twice}, idx) FILTER (twice OR bd > ba * 0.75) AS br FROM bt GROUP BY ALL),
+  ql AS (SELECT *, greatest(0, least(1, greatest(0, least(1, (m - i1) / 120.0::DOUBLE)) * 0.25 + greatest(0, least(1, (touches - 2) / 4.0::DOUBLE)) * 0.5 + (1 - greatest(0, least(1, err / 1.5))) * 0.25)) AS quality FROM jd),
+  rn AS (SELECT *, row_number() OVER (PARTITION BY instrument, kind, br IS NULL ORDER BY CASE WHEN br IS NULL THEN -round(quality, 9) ELSE -br.i END, CASE WHEN br IS NULL THEN -i2 ELSE i2 END, i1) AS n FROM ql)
+  SELECT instrument, kind, i1, i2, round(value, 6) AS value, touches, round(err, 6) AS atr_error, round(quality, 6) AS quality, CASE WHEN br IS NOT NULL THEN 'invalidated' WHEN touches >= 3 THEN 'tested' WHEN quality >= 0.48 THEN 'confirmed' ELSE 'candidate' END AS status, br.i AS broken_idx,
+  CASE WHEN br IS NOT NULL THEN (CASE WHEN br.t THEN 'two closes in a row' ELSE 'one close far beyond' END) END AS broken_by FROM rn WHERE n = 1 AND (br IS NULL OR m - br.i <= 80)""")
 def m10_trend_lines(spark: SparkSession, d: str) -> DataFrame:
-    return st.trend_lines(b.hourly(spark, d), K)
-
-
-@query()
+    x = st.trend_lines(b.hourly(spark, d), K)
+    return x.select("instrument", "kind", "i1", "i2", "touches", "status", "broken_idx", "broken_by", *(F.round(c, 6).alias(c) for c in ("value", "atr_error", "quality")))
+
+
+def _side(up: str, down: str) -> str:
+    return f"CASE WHEN {up} THEN 1 WHEN {down} THEN -1 ELSE 0 END"
+
+
+_PATTERNS = f"""SELECT instrument, idx, count(DISTINCT dir) AS sides, arg_max(dir, conf) AS dir, max(conf) AS conf FROM (
+  SELECT * FROM ({_DOUBLE} SELECT instrument, good AS idx, CASE kind WHEN 'low' THEN 1 ELSE -1 END AS dir, 0.68 AS conf FROM h WHERE good IS NOT NULL AND (bad IS NULL OR good < bad)) UNION ALL
+  SELECT * FROM ({_TWO_B} SELECT instrument, good, CASE kind WHEN 'low' THEN 1 ELSE -1 END, 0.64 FROM r WHERE n = 1)) GROUP BY 1, 2"""
+#: strategy -> (rows, direction, confidence), from the SQL of what each is made of.
+_STRATEGIES = {
+    "structure": (f"(WITH {b.INDEXED}, sl AS (SELECT instrument, idx, open_time, CASE WHEN count(*) {_n(30)} >= 4 THEN regr_slope(close, idx) {_n(30)} / avg(close) {_n(30)} * 100 END AS slope FROM b), pt AS ({_PATTERNS}) SELECT sl.instrument, sl.open_time, slope, sides, dir, conf FROM sl LEFT JOIN pt ON pt.instrument = sl.instrument AND pt.idx = sl.idx WHERE slope IS NOT NULL OR sides IS NOT NULL)",
+                  f"CASE WHEN sides > 1 THEN 0 WHEN sides = 1 THEN dir ELSE {_side('slope > 0.004', 'slope < -0.004')} END", "CASE WHEN sides > 1 THEN 0 WHEN sides = 1 THEN conf ELSE greatest(0.56, least(0.82, 0.56 + abs(slope) * 5)) END"),
+    "ma-structure": (f"(WITH {_MA} SELECT *, CASE WHEN interaction60 <> 'none' THEN {{'i': interaction60, 'd': distance60}} WHEN interaction250 <> 'none' THEN {{'i': interaction250, 'd': distance250}} END AS it FROM mas)",
+                     f"CASE WHEN it.i = 'support-test' THEN 1 WHEN it.i = 'resistance-test' THEN -1 WHEN it.i = 'break' THEN (CASE WHEN coalesce(it.d, 0) >= 0 THEN 1 ELSE -1 END) ELSE {_side("alignment = 'bullish'", "alignment = 'bearish'")} END",
+                     "CASE WHEN alignment = 'insufficient' THEN 0 ELSE greatest(0.52, least(0.72, 0.52 + available * 0.045)) END"),
+    "macd": (f"({_MACD} SELECT f.instrument, f.open_time, fast - slow - sig AS h, b.close FROM f JOIN b ON b.instrument = f.instrument AND b.idx = f.idx WHERE f.idx >= 26)", "sign(h)", "greatest(0.56, least(0.82, 0.56 + abs(h) / greatest(1, close) * 60))"),
+    "kdj": (f"({_KDJ_STATE} SELECT * FROM ks WHERE idx >= 9)", "CASE WHEN zone <> 'middle' THEN 0 WHEN dulling = 'high-releasing' THEN -1 WHEN dulling = 'low-releasing' THEN 1 ELSE sign(k - d) END", "CASE WHEN zone <> 'middle' THEN 0 WHEN dulling LIKE '%releasing' THEN 0.52 ELSE 0.56 END"),
+    "rsi": (f"({_RSI}, p AS (SELECT *, lag(rsi) OVER w AS p FROM v {W}) SELECT *, {_side('p <= 30 AND rsi > 30', 'p >= 70 AND rsi < 70')} AS s FROM p)", "s", "CASE WHEN s = 0 THEN 0 ELSE 0.54 END"),
+    "bollinger": (f"({_BANDS} SELECT *, CASE WHEN coalesce(pct <= 0.2, false) THEN false ELSE coalesce(bw > prev * 1.04, false) AND coalesce(pct, 0.5) >= 0.45 END AS x FROM z)", _side("x AND pos > 1", "x AND pos < -1"), "CASE WHEN x AND abs(pos) > 1 THEN 0.61 ELSE 0 END"),
+    "nine-count": (f"(WITH {b.INDEXED} SELECT instrument, open_time FROM b WHERE idx > 4)", "0", "0"),
+    "momentum-ensemble": (f"({_MOMENTUM} SELECT *, {' + '.join(f'coalesce((r{h} > 0)::INTEGER, 0)' for h, _ in ind.HORIZONS)} AS up, {' + '.join(f'coalesce((r{h} < 0)::INTEGER, 0)' for h, _ in ind.HORIZONS)} AS dn FROM mo)",
+                          _side("horizons >= 2 AND up >= 2 AND momentum > 0.15", "horizons >= 2 AND dn >= 2 AND momentum < -0.15"), "CASE WHEN horizons >= 2 AND ((up >= 2 AND momentum > 0.15) OR (dn >= 2 AND momentum < -0.15)) THEN greatest(0.5, least(0.72, 0.5 + abs(momentum) * 0.22)) ELSE 0 END"),
+    "fair-value": (f"(WITH {b.INDEXED}, g AS (SELECT *, {_side('low > lag(high, 2) OVER w', 'high < lag(low, 2) OVER w')} AS g FROM b {W}) SELECT instrument, open_time, last_value(nullif(g, 0) IGNORE NULLS) {_n(120)} AS z FROM g)", "z", "0.57"),
+    "poc-proxy": (f"({_POC_EVERY} SELECT * FROM pocs)", "CASE WHEN round(close, 9) >= round(poc, 9) THEN 1 ELSE -1 END", "0.52"),
+    "order-flow-proxy": (f"({_FLOW} SELECT instrument, open_time, greatest(-1, least(1, sum(body * wt) {_n(32)} / sum(wt) {_n(32)})) AS p FROM x)", _side("p > 0.08", "p < -0.08"), "0.44"),
+    "volume-price": (f"({_VOLUME} SELECT * FROM vs)", _side("volume_state = 'confirming'", "volume_state = 'diverging'"), "CASE WHEN volume_state = 'unavailable' THEN 0 ELSE 0.54 END"),
+    "smart-money": (f"({_SETUPS} SELECT s.*, b.open_time FROM setups s JOIN b ON b.instrument = s.instrument AND b.idx = s.idx)", "CASE WHEN direction = 'bullish' THEN 1 ELSE -1 END", "confidence"),
+}
+_SIGNALS = " UNION ALL ".join(f"SELECT instrument, open_time, '{name}' AS strategy, ({side})::INTEGER AS direction, ({conf})::DOUBLE AS confidence FROM {rows}{' WHERE z IS NOT NULL' if name == 'fair-value' else ''}" for name, (rows, side, conf) in _STRATEGIES.items())
+
+
+@query(f"SELECT {T}, strategy, direction, round(confidence, 6) AS confidence FROM ({_SIGNALS})")
 def m11_signals(spark: SparkSession, d: str) -> DataFrame:
     return _out(sg.signals(b.hourly(spark, d), K), "confidence", plain=("strategy", "direction"))
 
 
-_NATIVE = ("momentum-ensemble", "order-flow-proxy", "volume-price", "bollinger", "fair-value", "ma-structure")
+_SCORES = f"""sgs AS ({_SIGNALS}), cs AS (SELECT instrument, open_time, round(coalesce(sum(direction * confidence) FILTER (confidence > 0 AND strategy <> 'nine-count') / nullif(sum(confidence) FILTER (confidence > 0 AND strategy <> 'nine-count'), 0), 0), 12) AS score FROM sgs GROUP BY 1, 2)"""
 
 
-@query()
+@query(f"WITH {_SCORES} SELECT {T}, round(score, 6) AS score, CASE WHEN score > 0.2 THEN 'trend-up' WHEN score < -0.2 THEN 'trend-down' ELSE 'balanced' END AS regime FROM cs")
 def m12_composite(spark: SparkSession, d: str) -> DataFrame:
-    return _out(sg.composite(sg.signals(b.hourly(spark, d), K, _NATIVE), K), "score", plain=("regime",))
+    return _out(sg.composite(sg.signals(b.hourly(spark, d), K), K), "score", plain=("regime",))
 
 
-@query()
+@query(f"""SELECT instrument, unnest(['support', 'resistance']) AS kind, round(unnest([support, resistance]), 6) AS price FROM ({_LEVELS}) UNION ALL SELECT instrument, 'poc', poc FROM ({_POC}) UNION ALL
+  SELECT instrument, t.k, round(t.p, 6) FROM (WITH {_MA}, l AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY open_time DESC) AS n FROM mas) SELECT instrument, unnest([{{'k': 'ma60', 'i': interaction60, 'p': ma60}}, {{'k': 'ma250', 'i': interaction250, 'p': ma250}}]) AS t FROM l WHERE n = 1) WHERE t.i <> 'none'""")
 def m13_levels(spark: SparkSession, d: str) -> DataFrame:
-    return sg.levels(b.hourly(spark, d), K)
+    return sg.levels(b.hourly(spark, d), K).withColumn("price", F.round("price", 6))
 
 
-@query(f"""WITH {b.INDEXED}, x AS (SELECT *, CASE WHEN volume > 0 THEN sqrt(volume) ELSE 1 END AS wt, greatest(-1, least(1, (close - open) / greatest(high - low, abs(close) * 1e-8))) AS body FROM b),
-  s AS (SELECT *, round(sum(body * wt) {_n(32)} / sum(wt) {_n(32)}, 9) AS score FROM x), t AS (SELECT *, CASE WHEN idx < 35 THEN 0 WHEN score > 0.2 THEN 1 WHEN score < -0.2 THEN -1 ELSE 0 END AS t FROM s),
+@query(f"""WITH {_SCORES}, s AS (SELECT b.*, c.score FROM ({{IDX}}) b JOIN cs c ON c.instrument = b.instrument AND c.open_time = b.open_time), t AS (SELECT *, CASE WHEN idx < 35 THEN 0 WHEN score >= 0.2 THEN 1 WHEN score <= -0.2 THEN -1 ELSE 0 END AS t FROM s),
   p AS (SELECT *, coalesce(lag(t) OVER w, 0) AS p, coalesce(close / nullif(lag(close) OVER w, 0) - 1, 0) AS r FROM t {W}),
-  f AS (SELECT *, greatest(1e-9, (1 + p * r) * (1 - 0.0002 * abs(t - p))) AS f, CASE WHEN t <> p AND t <> 0 THEN close END AS e FROM p),
+  f AS (SELECT *, greatest(0.01, 1 + p * r) * (1 - 0.0002 * abs(t - p)) AS f, CASE WHEN t <> p AND t <> 0 THEN close END AS e FROM p),
   q AS (SELECT *, exp(sum(ln(f)) OVER w) AS equity, last_value(e IGNORE NULLS) OVER w AS entry FROM f {W}), z AS (SELECT *, greatest(1, max(equity) OVER w) AS peak, lag(entry) OVER w AS inn FROM q {W})
-  SELECT instrument, round(arg_max(equity, idx), 6) AS equity, round(max(1 - equity / peak), 6) AS max_drawdown, count(*) FILTER (p <> 0 AND t <> p) AS closed_trades,
-  round(count(*) FILTER (p <> 0 AND t <> p AND (close - inn) * p > 0)::DOUBLE / nullif(count(*) FILTER (p <> 0 AND t <> p), 0), 6) AS win_rate FROM z GROUP BY 1""")
+  SELECT instrument, round((arg_max(equity, idx) - 1) * 100, 6) AS total_return_percent, round(max(1 - equity / peak) * 100, 6) AS max_drawdown_percent, count(*) FILTER (p <> 0 AND t <> p AND inn > 0) AS closed_trades,
+  coalesce(round(count(*) FILTER (p <> 0 AND t <> p AND inn > 0 AND (close - inn) * p > 0)::DOUBLE / nullif(count(*) FILTER (p <> 0 AND t <> p AND inn > 0), 0) * 100, 6), 0) AS win_rate FROM z GROUP BY 1""".replace("{IDX}", f"WITH {b.INDEXED} SELECT * FROM b"))
 def m14_signal_performance(spark: SparkSession, d: str) -> DataFrame:
     from quotemill.operators.scan import with_index
 
-    s = ind.flow_pressure(with_index(b.hourly(spark, d), K), K).withColumn("score", F.round("flow_pressure", 9))
-    return sg.signal_performance(s, K).select("instrument", *(F.round(c, 6).alias(c) for c in ("equity", "max_drawdown", "win_rate")), "closed_trades")
+    bars = b.hourly(spark, d)
+    scored = sg.composite(sg.signals(bars, K), K).join(with_index(bars, K).select("instrument", "open_time", "close"), ["instrument", "open_time"])
+    return sg.signal_performance(scored, K).select("instrument", *(F.round(c, 6).alias(c) for c in ("total_return_percent", "max_drawdown_percent", "win_rate")), "closed_trades")
+
+
+HORIZONS = ("short", "medium", "long")
+_SPANS = {"daily": (86_400, 604_800, 2_592_000), "ticks": (3_600, 86_400, 604_800)}
 
 
 def _horizons(spark: SparkSession, d: str) -> DataFrame:
-    q = b.daily_prices(spark, d)
-    day = ba.ohlc_bars(q, K, 86_400)
-    week = ba.ohlc_bars(q, K, 604_800)
-    month = ba.ohlc_bars(q, K, 2_592_000)
+    """Orders over days, weeks and 30 days; quotes over hours, days and weeks, those of views below zero."""
+    columns = ("instrument", "observed_at", "last", "id")
+    q = b.quotes(spark, d).withColumn("last", F.when(F.col("instrument") == "view", F.col("last") - 1e6).otherwise(F.col("last")))
     out = None
-    for name, bars in (("1d", day), ("1w", week), ("1mo", month)):
-        part = bars.select(F.lit(name).alias("horizon"), *bars.columns, F.lit("final").alias("state"))
-        out = part if out is None else out.unionByName(part)
+    for ticks, spans in ((b.daily_prices(spark, d).select(*columns), _SPANS["daily"]), (q.select(*columns), _SPANS["ticks"])):
+        for name, seconds in zip(HORIZONS, spans, strict=True):
+            bars = ba.ohlc_bars(ticks, K, seconds)
+            part = bars.select(F.lit(name).alias("horizon"), *bars.columns, F.lit("final").alias("state"))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return sg.horizon_trend(out, ["horizon", *K])
 
 
-_TREND = f"""WITH {b.DAILY}, hz AS (SELECT * FROM (VALUES ('1d', 86400), ('1w', 604800), ('1mo', 2592000)) AS t(horizon, s)), m AS (SELECT horizon, instrument, (epoch(observed_at)::BIGINT // s) AS t, last(last ORDER BY observed_at, id) AS close FROM daily, hz GROUP BY 1, 2, 3),
-  n AS (SELECT *, row_number() OVER (PARTITION BY horizon, instrument ORDER BY t DESC) AS r FROM m), g AS (SELECT horizon, instrument, count(*) AS bars, avg(close) FILTER (r <= 5) AS s5, avg(close) AS s20, arg_max(close, t) AS c, arg_min(close, t) AS f FROM n WHERE r <= 20 GROUP BY 1, 2),
-  tr AS (SELECT horizon, instrument, bars, CASE WHEN bars >= 20 THEN round(s5, 6) END AS sma5, CASE WHEN bars >= 20 THEN round(s20, 6) END AS sma20, CASE WHEN bars >= 20 THEN round(c / f * 100 - 100, 6) END AS return_percent,
-  CASE WHEN bars < 20 THEN 'unavailable' WHEN c > s5 AND s5 > s20 AND c > f THEN 'bullish' WHEN c < s5 AND s5 < s20 AND c < f THEN 'bearish' ELSE 'neutral' END AS direction FROM g)"""
+_TREND = f"""WITH {b.DAILY}, {b.QUOTES}, al AS (SELECT 'daily' AS src, instrument, observed_at, last, id FROM daily UNION ALL SELECT 'ticks', instrument, observed_at, CASE WHEN instrument = 'view' THEN last - 1e6 ELSE last END, id FROM quotes),
+  hz AS (SELECT * FROM (VALUES {', '.join(f"('{src}', '{h}', {s})" for src, spans in _SPANS.items() for h, s in zip(HORIZONS, spans, strict=True))}) AS t(src, horizon, s)), m AS (SELECT horizon, instrument, (epoch(observed_at)::BIGINT // s) AS t, last(last ORDER BY observed_at, id) AS close FROM al JOIN hz USING (src) GROUP BY 1, 2, 3),
+  n AS (SELECT *, row_number() OVER (PARTITION BY horizon, instrument ORDER BY t DESC) AS r FROM m), g AS (SELECT horizon, instrument, count(*) AS bars, CASE WHEN count(*) >= 5 AND min(close) FILTER (r <= 5) > 0 THEN avg(close) FILTER (r <= 5) END AS s5, avg(close) AS s20, arg_max(close, t) AS c, arg_min(close, t) AS f, min(close) > 0 AS valid FROM n WHERE r <= 20 GROUP BY 1, 2),
+  tr AS (SELECT horizon, instrument, bars, round(s5, 6) AS sma_fast, CASE WHEN bars >= 20 AND valid THEN round(s20, 6) END AS sma_slow, CASE WHEN bars >= 20 AND valid THEN round(c / f * 100 - 100, 6) END AS return_percent, CASE WHEN bars < 20 THEN 'insufficient_data' WHEN valid THEN 'ready' ELSE 'unavailable' END AS state,
+  CASE WHEN bars < 20 OR NOT valid THEN 'unavailable' WHEN c > s5 AND s5 > s20 AND c > f THEN 'up' WHEN c < s5 AND s5 < s20 AND c < f THEN 'down' ELSE 'mixed' END AS direction, CASE WHEN bars < 20 THEN 'requires_20_final_bars_has_' || bars WHEN NOT valid THEN 'non_positive_close_not_comparable' END AS limitation FROM g)"""
 
 
-@query(_TREND + " SELECT horizon, instrument, bars, sma5, sma20, return_percent, direction FROM tr")
+@query(_TREND + " SELECT horizon, instrument, bars, sma_fast, sma_slow, return_percent, state, direction, limitation FROM tr")
 def m15_horizon_trend(spark: SparkSession, d: str) -> DataFrame:
-    return _horizons(spark, d).select("horizon", "instrument", "bars", *(F.round(c, 6).alias(c) for c in ("sma5", "sma20", "return_percent")), "direction")
+    return _horizons(spark, d).select("horizon", "instrument", "bars", *(F.round(c, 6).alias(c) for c in ("sma_fast", "sma_slow", "return_percent")), "state", "direction", "limitation")
 
 
-@query(_TREND + """, c AS (SELECT instrument, list_sort(list(DISTINCT direction) FILTER (direction <> 'unavailable')) AS ds, count(*) FILTER (direction <> 'unavailable') AS n FROM tr GROUP BY 1)
-  SELECT instrument, array_to_string(ds, ',') AS directions, CASE WHEN n < 2 THEN 'not-comparable' WHEN len(ds) = 1 THEN 'aligned' WHEN list_contains(ds, 'bullish') AND list_contains(ds, 'bearish') THEN 'divergent' ELSE 'mixed' END AS state FROM c""")
+@query(_TREND + """, c AS (SELECT instrument, list_sort(list(DISTINCT direction) FILTER (state = 'ready')) AS ds, count(*) FILTER (state = 'ready') AS n FROM tr GROUP BY 1)
+  SELECT instrument, coalesce(array_to_string(ds, ','), '') AS directions, CASE WHEN n < 3 THEN 'not_comparable' WHEN ds IN (['up'], ['down']) THEN 'aligned' WHEN list_contains(ds, 'up') AND list_contains(ds, 'down') THEN 'divergent' ELSE 'mixed' END AS state FROM c""")
 def m16_compare_horizons(spark: SparkSession, d: str) -> DataFrame:
-    return sg.compare_horizons(_horizons(spark, d), K).select("instrument", F.array_join("directions", ",").alias("directions"), "state")
+    return sg.compare_horizons(_horizons(spark, d), K, HORIZONS).select("instrument", F.array_join("directions", ",").alias("directions"), "state")
 
 
 @query(_TREND + " SELECT l.instrument, l.horizon AS left_order, l.direction AS left_value, r.horizon AS right_order, r.direction AS right_value FROM tr l JOIN tr r ON l.instrument = r.instrument AND l.horizon < r.horizon AND l.direction <> r.direction")

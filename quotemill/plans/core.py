@@ -132,12 +132,14 @@ def p4_visible_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CAUSAL = f"""WITH {b.LAYERED}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument, open_time ORDER BY revision DESC, received_at DESC, close DESC) AS n FROM layers),
-  j AS (SELECT *, CASE WHEN state <> 'final' THEN 'not_final' WHEN coalesce(finalized_at, open_time + INTERVAL 1 HOUR) > TIMESTAMP '2024-01-20' THEN 'bucket_open' WHEN finalized_at > TIMESTAMP '2024-01-20' THEN 'finalized_later'
-   WHEN observed_at > TIMESTAMP '2024-01-20' THEN 'observed_later' WHEN received_at > TIMESTAMP '2024-01-20' THEN 'received_later' END AS reason FROM n WHERE n = 1)"""
+  f AS (SELECT *, epoch(open_time)::BIGINT // 3600 AS h, CASE WHEN (epoch(open_time)::BIGINT // 3600) % 9 = 0 THEN NULL ELSE finalized_at END AS fin, CASE WHEN (epoch(open_time)::BIGINT // 3600) % 8 = 0 THEN open_time WHEN (epoch(open_time)::BIGINT // 3600) % 3 = 0 THEN open_time + INTERVAL 2 HOUR END AS be FROM n WHERE n = 1),
+  j AS (SELECT *, CASE WHEN state <> 'final' OR fin IS NULL THEN 'non_final' WHEN be <= open_time THEN 'invalid_time' WHEN greatest(coalesce(be, open_time + INTERVAL 1 HOUR), fin, observed_at, received_at) > TIMESTAMP '2024-01-20' THEN 'after_as_of' END AS reason FROM f)"""
 
 
 def _causal(spark: SparkSession, d: str):
-    x = b.layered(spark, d).withColumn("bucket_end", F.lit(None).cast("timestamp")).select("instrument", "open_time", "close", "revision", "received_at", "observed_at", "state", "finalized_at", "bucket_end")
+    hour = F.expr("unix_seconds(open_time) div 3600")
+    end = F.when(hour % 8 == 0, F.col("open_time")).when(hour % 3 == 0, F.timestamp_seconds(F.unix_seconds("open_time") + 7200))
+    x = b.layered(spark, d).withColumn("finalized_at", F.when(hour % 9 != 0, F.col("finalized_at"))).withColumn("bucket_end", end).select("instrument", "open_time", "close", "revision", "received_at", "observed_at", "state", "finalized_at", "bucket_end")
     # of equal revision and receipt the higher close counts
     best = x.groupBy("instrument", "open_time").agg(F.max_by(F.struct("close", "revision", "received_at", "observed_at", "state", "finalized_at", "bucket_end"), F.struct("revision", "received_at", "close")).alias("l")).select("instrument", "open_time", "l.*")
     return fi.causal_bars(best, K, "2024-01-20", 3600)
@@ -158,13 +160,14 @@ def p6_confirmed_prefix(spark: SparkSession, d: str) -> DataFrame:
     return fi.confirmed_prefix(b.layered(spark, d), K).select("instrument", "channel", _s("open_time"), "state")
 
 
-@query(f"WITH {b.POSITIONS} SELECT product, contract, volume FROM positions WHERE regexp_matches(contract, '^r[0-9]{{4}}$') AND product = 'r1'")
+@query(f"WITH {b.POSITIONS}, s AS (SELECT product, contract, volume FROM positions UNION ALL SELECT product, 'rsum' || contract, volume FROM positions) SELECT * FROM s WHERE regexp_matches(contract, '^r[0-9]{{4}}$')")
 def p7_real_contracts(spark: SparkSession, d: str) -> DataFrame:
-    return fi.real_contracts(b.positions(spark, d).where("product = 'r1'"), "r").select("product", "contract", "volume")
+    p = b.positions(spark, d).select("product", "contract", "volume")
+    return fi.real_contracts(p.unionByName(p.withColumn("contract", F.concat(F.lit("rsum"), "contract"))), "r")
 
 
-@query(r"""SELECT doc_id, (regexp_matches(text, '(?i)\b(api[_-]?key|secret|token|password|passwd|authorization)\b\s*[:=]') OR regexp_matches(text, '\bsk-[A-Za-z0-9_-]{16,}') OR regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b')
-  OR regexp_matches(text, '(?i)\bbearer\s+[A-Za-z0-9._-]{16,}') OR regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----')) AS has_secret FROM documents""")
+@query(r"""SELECT doc_id, coalesce(regexp_matches(text, '\bsk-[A-Za-z0-9_-]{16,}\b') OR regexp_matches(text, '(?i)\bBearer\s+\S{16,}') OR regexp_matches(text, '\beyJ[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{12,}\b')
+  OR regexp_matches(text, '(?i)\b(?:api[_ -]?key|authorization|session[_ -]?token|access[_ -]?token)\s*[:=]\s*\S{12,}'), false) AS has_secret FROM documents""")
 def p8_has_secret(spark: SparkSession, d: str) -> DataFrame:
     return b.read(spark, d, "documents").select("doc_id", fi.has_secret("text").alias("has_secret"))
 
@@ -339,25 +342,33 @@ def j1_bind_sources(spark: SparkSession, d: str) -> DataFrame:
     return jo.bind_sources(b.quotes(spark, d), contracts).select("id", "source_id")
 
 
-@query(f"""WITH {b.QUOTES}, l AS (SELECT *, row_number() OVER (PARTITION BY instrument, channel ORDER BY observed_at DESC, received_at DESC, id DESC) AS n FROM quotes WHERE channel <> 'ch2' AND NOT (channel = 'ch1' AND instrument = 'view')),
-  p AS (SELECT * FROM l WHERE n = 1 AND channel = 'ch0'), s AS (SELECT * FROM l WHERE n = 1 AND channel = 'ch1')
-  SELECT p.instrument, p.last, s.volume AS volume, CASE WHEN s.volume IS NULL THEN 'volume' ELSE '' END AS unavailable, CASE WHEN s.volume IS NOT NULL AND epoch(TIMESTAMP '2024-01-31')::BIGINT - floor(epoch(s.observed_at))::BIGINT > 86400 THEN 'volume' ELSE '' END AS stale,
-  CASE WHEN s.volume IS NULL THEN 'partial' WHEN epoch(TIMESTAMP '2024-01-31')::BIGINT - floor(epoch(s.observed_at))::BIGINT > 86400 THEN 'stale' ELSE 'complete' END AS quality FROM p LEFT JOIN s ON s.instrument = p.instrument""")
+@query(f"""WITH {b.QUOTES}, l AS (SELECT *, instrument || (id % 40) AS sym, row_number() OVER (PARTITION BY instrument, id % 40, channel ORDER BY observed_at DESC, received_at DESC, id DESC) AS n FROM quotes WHERE channel <> 'ch2' AND NOT (channel = 'ch1' AND instrument = 'view')),
+  p AS (SELECT *, CASE WHEN id % 5 = 0 THEN NULL ELSE last / 100 END AS change FROM l WHERE n = 1 AND channel = 'ch0'), s AS (SELECT *, CASE WHEN id % 7 = 0 THEN NULL ELSE last END AS high FROM l WHERE n = 1 AND channel = 'ch1'),
+  m AS (SELECT unnest([true, false]) AS allow), late AS (SELECT m.allow, p.sym, p.last, p.change, s.sym AS has, s.volume AS v, s.high AS h, epoch_us(TIMESTAMP '2024-01-31') - epoch_us(p.received_at) > 172800000000 AS late, coalesce(epoch_us(TIMESTAMP '2024-01-31') - epoch_us(s.received_at) > 129600000000, false) AS old FROM p LEFT JOIN s ON s.sym = p.sym, m),
+  q AS (SELECT *, has IS NOT NULL AND (allow OR NOT old) AS shown FROM late WHERE allow OR NOT late)
+  SELECT allow AS stale_allowed, sym AS instrument, last, CASE WHEN shown THEN v END AS volume, CASE WHEN shown THEN h END AS high, concat_ws(',', CASE WHEN change IS NULL THEN 'change' END, CASE WHEN has IS NULL OR (shown AND v IS NULL) THEN 'volume' END, CASE WHEN has IS NULL OR (shown AND h IS NULL) THEN 'high' END) AS unavailable,
+  concat_ws(',', CASE WHEN late THEN 'last' END, CASE WHEN late AND change IS NOT NULL THEN 'change' END, CASE WHEN old THEN 'volume' END, CASE WHEN old THEN 'high' END) AS stale,
+  CASE WHEN late OR old OR change IS NULL OR has IS NULL OR (shown AND (v IS NULL OR h IS NULL)) THEN 'degraded' ELSE 'complete' END AS quality FROM q""")
 def j2_compose_quotes(spark: SparkSession, d: str) -> DataFrame:
-    l = ba.latest_quotes(b.quotes(spark, d).where("channel <> 'ch2' and not (channel = 'ch1' and instrument = 'view')"), ["instrument", "channel"])  # noqa: E741
-    price = l.where("channel = 'ch0'").select("instrument", "last")
-    out = jo.compose_quotes(price, l.where("channel = 'ch1'"), "2024-01-31", 86_400, ["volume"])
-    return out.select("instrument", "last", "volume", F.array_join("unavailable_fields", ",").alias("unavailable"), F.array_join("stale_fields", ",").alias("stale"), "quality")
-
-
-@query(f"""WITH {b.QUOTES}, a AS (SELECT *, last * 0.01 AS change FROM quotes WHERE instrument = 'click'), z AS (SELECT *, last * 0.02 AS change, row_number() OVER (PARTITION BY observed_at ORDER BY last DESC, last * 0.02 DESC) AS n FROM quotes WHERE instrument = 'view'),
-  j AS (SELECT a.id, a.observed_at, a.last, a.change, z.last AS bl, z.change AS bc FROM a ASOF JOIN (SELECT * FROM z WHERE n = 1) z ON a.observed_at >= z.observed_at),
-  p AS (SELECT id, last * bl / 31.1035 AS price, (last - change) * (bl - bc) / 31.1035 AS prev FROM j)
-  SELECT id, round(price, 6) AS price, round(price - prev, 6) AS change, CASE WHEN prev <> 0 THEN round((price - prev) / prev * 100, 6) END AS percent FROM p""")
+    q = b.quotes(spark, d).where("channel <> 'ch2' and not (channel = 'ch1' and instrument = 'view')").withColumn("instrument", F.concat("instrument", (F.col("id") % 40).cast("string")))
+    l = ba.latest_quotes(q, ["instrument", "channel"])  # noqa: E741
+    price = l.where("channel = 'ch0'").select("instrument", "last", F.when(F.col("id") % 5 != 0, F.col("last") / 100).alias("change"), "received_at")
+    supplement = l.where("channel = 'ch1'").withColumn("high", F.when(F.col("id") % 7 != 0, F.col("last")))
+    out = None
+    for allow in (True, False):
+        part = jo.compose_quotes(price, supplement, "2024-01-31", 172_800, 129_600, ["last", "change"], ["volume", "high"], allow).withColumn("stale_allowed", F.lit(allow))
+        out = part if out is None else out.unionByName(part)
+    return out.select("stale_allowed", "instrument", "last", "volume", "high", F.array_join("unavailable_fields", ",").alias("unavailable"), F.array_join("stale_fields", ",").alias("stale"), "quality")
+
+
+@query(f"""WITH {b.QUOTES}, a AS (SELECT *, last * 0.01 AS change FROM quotes WHERE channel = 'ch0'), z AS (SELECT *, last * 0.02 AS change, row_number() OVER (PARTITION BY instrument, observed_at ORDER BY last DESC, last * 0.02 DESC) AS n FROM quotes WHERE channel = 'ch1'),
+  j AS (SELECT a.id, a.instrument, a.observed_at, a.last, a.change, z.last AS bl, z.change AS bc FROM a ASOF JOIN (SELECT * FROM z WHERE n = 1) z ON a.instrument = z.instrument AND a.observed_at >= z.observed_at),
+  p AS (SELECT id, instrument, last * bl / 31.1035 AS price, (last - change) * (bl - bc) / 31.1035 AS prev FROM j)
+  SELECT id, instrument AS pair, round(price, 6) AS price, round(price - prev, 6) AS change, CASE WHEN prev <> 0 THEN round((price - prev) / prev * 100, 6) END AS percent FROM p""")
 def j3_cross_rate(spark: SparkSession, d: str) -> DataFrame:
-    q = b.quotes(spark, d).select("instrument", "observed_at", "last", "id")
-    leg = lambda i, f: q.where(F.col("instrument") == i).select("id", "observed_at", "last", (F.col("last") * f).alias("change"))
-    return jo.cross_rate(leg("click", 0.01), leg("view", 0.02), 31.1035).select("id", _r("price"), _r("change"), _r("percent"))
+    q = b.quotes(spark, d)
+    leg = lambda c, f: q.where(F.col("channel") == c).select("id", F.col("instrument").alias("pair"), "observed_at", "last", (F.col("last") * f).alias("change"))
+    return jo.cross_rate(leg("ch0", 0.01), leg("ch1", 0.02), 31.1035).select("id", "pair", _r("price"), _r("change"), _r("percent"))
 
 
 @query(f"""WITH {b.HOURLY}, x AS (SELECT *, open_time + INTERVAL 1 HOUR AS available_at FROM bars)
@@ -452,31 +463,52 @@ def _ranges(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").cast("long").alias("segment_id"), F.col("event_type").alias("instrument"), F.lit("bar").alias("kind"), ts.alias("segment_start"), F.timestamp_micros(F.unix_micros(ts) + F.round(F.col("value") * 60_000_000).cast("long")).alias("segment_end"))
 
 
-@query(f"WITH {_RANGES} SELECT a.segment_id AS left_id, b.segment_id AS right_id FROM cov a JOIN cov b ON a.instrument = b.instrument AND a.segment_id < b.segment_id AND a.s < b.e AND a.e > b.s WHERE a.instrument = 'purchase'")
+@query(f"WITH {_RANGES} SELECT a.segment_id AS left_id, b.segment_id AS right_id FROM cov a JOIN cov b ON a.instrument = b.instrument AND a.segment_id < b.segment_id AND a.s < b.e AND a.e > b.s")
 def j9_overlapping_segments(spark: SparkSession, d: str) -> DataFrame:
-    return jo.overlapping_segments(_ranges(spark, d).where("instrument = 'purchase'"))
+    return jo.overlapping_segments(_ranges(spark, d))
 
 
 @query(f"""WITH {_RANGES}, c AS (SELECT instrument, greatest(s, TIMESTAMP '2024-01-02') AS s, least(e, TIMESTAMP '2024-01-28') AS e FROM cov WHERE e > TIMESTAMP '2024-01-02' AND s < TIMESTAMP '2024-01-28'),
   w AS (SELECT *, max(e) OVER (PARTITION BY instrument ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
-  h AS (SELECT instrument, coalesce(reach, TIMESTAMP '2024-01-02') AS a, s AS z FROM w UNION ALL SELECT instrument, max(e), TIMESTAMP '2024-01-28' FROM c GROUP BY 1)
+  h AS (SELECT instrument, coalesce(reach, TIMESTAMP '2024-01-02') AS a, s AS z FROM w UNION ALL SELECT instrument, max(e), TIMESTAMP '2024-01-28' FROM c GROUP BY 1 UNION ALL SELECT r_name, TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-28' FROM region)
   SELECT instrument, epoch_us(a) AS gap_start, epoch_us(z) AS gap_end FROM h WHERE a < z""")
 def w21_missing_ranges(spark: SparkSession, d: str) -> DataFrame:
     c = _ranges(spark, d).withColumnsRenamed({"segment_start": "range_start", "segment_end": "range_end"})
-    return cal.missing_ranges(c, K, "2024-01-02", "2024-01-28").select("instrument", _us("gap_start"), _us("gap_end"))
+    wanted = c.select("instrument").unionByName(b.read(spark, d, "region").select(F.col("r_name").alias("instrument")))  # regions have no range
+    return cal.missing_ranges(c, K, "2024-01-02", "2024-01-28", wanted).select("instrument", _us("gap_start"), _us("gap_end"))
+
+
+_DESCRIPTORS = """descr AS (SELECT p_partkey AS dataset_id, 'i' || p_partkey % 2 AS instrument, p_brand AS underlying, 'c' || p_partkey % 40 AS currency, CASE WHEN p_size % 4 = 0 THEN 'quote' ELSE 'bar' END AS kind, CASE WHEN p_size % 5 = 0 THEN 'close' ELSE 'open' END AS semantics,
+  CASE p_size % 3 WHEN 0 THEN ['bid'] WHEN 1 THEN ['ask', 'last'] ELSE ['bid', 'last'] END AS fields, CASE WHEN p_size % 7 = 0 THEN 'bid' ELSE 'mid' END AS basis, 60 * (1 + p_size % 2) AS iv, p_partkey // 3 % 5 AS grp FROM part)"""
+_JUDGED = """SELECT a.dataset_id AS left_id, b.dataset_id AS right_id, CASE WHEN other THEN 'incompatible' WHEN r = '' THEN 'exact' ELSE 'sanity_only' END AS level, CASE WHEN other THEN 'different underlying or quote currency' ELSE r END AS reasons, a.grp <> b.grp AS independent, CASE WHEN other THEN '' ELSE array_to_string(common, ',') END AS common_fields
+  FROM (SELECT a, b, a.underlying <> b.underlying OR a.currency <> b.currency AS other, CASE WHEN a.kind = 'quote' AND b.kind = 'quote' THEN list_sort(list_intersect(a.fields, b.fields)) ELSE [] END AS common, concat_ws('; ',
+    CASE WHEN a.instrument <> b.instrument OR a.underlying <> b.underlying OR a.currency <> b.currency THEN 'different instrument, venue, or contract identity' END, CASE WHEN a.kind <> b.kind THEN 'different record granularity' END, CASE WHEN a.semantics <> b.semantics THEN 'different timestamp semantics' END,
+    CASE WHEN a.kind = 'quote' AND b.kind = 'quote' AND NOT list_has_any(a.fields, b.fields) THEN 'quote channels have no common price field' END, CASE WHEN a.kind = 'bar' AND b.kind = 'bar' AND a.basis <> b.basis THEN 'different bar price basis' END, CASE WHEN a.kind = 'bar' AND b.kind = 'bar' AND a.iv <> b.iv THEN 'different bar interval' END) AS r FROM """
+
 
+def _descriptors(spark: SparkSession, d: str) -> DataFrame:
+    p, key, size = b.read(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
+    words = lambda *w: F.array(*map(F.lit, w))
+    return p.select(
+        key.alias("dataset_id"), F.concat(F.lit("i"), (key % 2).cast("string")).alias("instrument"), F.col("p_brand").alias("underlying"), F.concat(F.lit("c"), (key % 40).cast("string")).alias("currency"), F.lit("spot").alias("type"), F.lit("v").alias("venue"), F.lit(None).cast("string").alias("contract"),
+        F.when(size % 4 == 0, "quote").otherwise("bar").alias("kind"), F.when(size % 5 == 0, "close").otherwise("open").alias("semantics"), F.when(size % 3 == 0, words("bid")).when(size % 3 == 1, words("ask", "last")).otherwise(words("bid", "last")).alias("fields"),
+        F.when(size % 7 == 0, "bid").otherwise("mid").alias("basis"), (60 * (1 + size % 2)).alias("interval_seconds"), (F.expr("p_partkey div 3") % 5).alias("independence_group"))
 
-_DESCRIPTORS = """descr AS (SELECT p_partkey AS dataset_id, p_brand AS instrument, CASE WHEN p_partkey % 2 = 0 THEN 'bar' ELSE 'tick' END AS kind, 'mid' AS basis, 60 AS interval_seconds, p_partkey % 3 AS scale, p_type AS venue, p_partkey % 4 AS provider, p_partkey % 5 AS grp FROM part WHERE p_size < 6)"""
 
+def _compatible(df: DataFrame) -> DataFrame:
+    return df.select("left_id", "right_id", "level", F.array_join("reasons", "; ").alias("reasons"), "independent", F.array_join("common_fields", ",").alias("common_fields"))
 
-@query(f"""WITH {_DESCRIPTORS} SELECT a.dataset_id AS left_id, b.dataset_id AS right_id, CASE WHEN a.kind <> b.kind THEN 'incompatible' WHEN a.scale <> b.scale OR a.venue <> b.venue THEN 'comparable' ELSE 'exact' END AS level,
-  concat_ws(',', CASE WHEN a.kind <> b.kind THEN 'kind_differs' END, CASE WHEN a.scale <> b.scale THEN 'scale_differs' END, CASE WHEN a.venue <> b.venue THEN 'venue_differs' END) AS reasons, (a.provider <> b.provider AND a.grp <> b.grp) AS independent
-  FROM descr a JOIN descr b ON a.instrument = b.instrument AND a.dataset_id < b.dataset_id""")
+
+@query(f"WITH {_DESCRIPTORS} {_JUDGED} descr a JOIN descr b ON a.underlying = b.underlying AND a.currency = b.currency AND a.dataset_id < b.dataset_id)")
 def j12_compatibility(spark: SparkSession, d: str) -> DataFrame:
-    p = b.read(spark, d, "part").where("p_size < 6")
-    x = p.select(F.col("p_partkey").alias("dataset_id"), F.col("p_brand").alias("instrument"), F.when(F.col("p_partkey") % 2 == 0, "bar").otherwise("tick").alias("kind"), F.lit("mid").alias("basis"), F.lit(60).alias("interval_seconds"),
-                 (F.col("p_partkey") % 3).alias("scale"), F.col("p_type").alias("venue"), (F.col("p_partkey") % 4).alias("provider"), (F.col("p_partkey") % 5).alias("independence_group"), F.array(F.lit("open"), F.lit("close")).alias("fields"))
-    return jo.compatibility(x).select("left_id", "right_id", "level", F.array_join("reasons", ",").alias("reasons"), "independent")
+    return _compatible(jo.compatibility(_descriptors(spark, d)))
+
+
+@query(f"WITH {_DESCRIPTORS} {_JUDGED} descr a JOIN descr b ON b.dataset_id IN (a.dataset_id + 1, a.dataset_id + 40))")
+def j12_judged_pairs(spark: SparkSession, d: str) -> DataFrame:
+    x = _descriptors(spark, d)
+    pairs = x.select(F.col("dataset_id").alias("left_id"), F.explode(F.array(F.col("dataset_id") + 1, F.col("dataset_id") + 40)).alias("right_id"))
+    return _compatible(jo.compatibility(x, pairs))
 
 
 @query(f"""WITH {b.QUOTES}, {b.EVENTS} SELECT e.event_id, t.tier, t.family FROM market_events e JOIN (SELECT 'signup' AS event_type, 1 AS tier, 'growth' AS family) t USING (event_type)""")
@@ -535,15 +567,17 @@ def w19_series_gaps(spark: SparkSession, d: str) -> DataFrame:
     return cal.series_gaps(a, K, 60).select("instrument", _s("open_time"), "kind", "missing_seconds")
 
 
-@query(f"""WITH {_MINUTES}, {_SESSIONS}, a AS (SELECT m.*, s.session_start, s.session_end FROM m JOIN sessions s ON m.open_time >= s.session_start AND m.open_time < s.session_end),
-  g AS (SELECT instrument, session_start, session_end, min(open_time) AS f, max(open_time) AS l, arg_min(open, open_time) AS fo, arg_max(close, open_time) AS lc FROM a GROUP BY 1, 2, 3),
-  h AS (SELECT *, lag(session_end) OVER w AS pe, lag(l) OVER w AS pl, lag(lc) OVER w AS pc FROM g WINDOW w AS (PARTITION BY instrument ORDER BY session_start))
-  SELECT instrument, epoch(session_start)::BIGINT AS session_start, epoch(session_start)::BIGINT - epoch(pe)::BIGINT AS closed_seconds, (epoch(f) - epoch(session_start) <= 120 AND epoch(pe) - epoch(pl) <= 120) AS complete, round(fo - pc, 6) AS difference,
-  CASE WHEN pc <> 0 THEN round((fo - pc) / pc * 100, 6) END AS percent, CASE WHEN fo - pc > 0.005 THEN 'up' WHEN fo - pc < -0.005 THEN 'down' ELSE 'flat' END AS direction,
-  len(list_filter(generate_series(pe::DATE, session_start::DATE, INTERVAL 1 DAY), lambda x: dayofweek(x) = 6)) > 0 AS weekend FROM h WHERE pe IS NOT NULL""")
+@query(f"""WITH {_MINUTES}, {_SESSIONS}, ax AS (SELECT *, row_number() OVER (ORDER BY session_start) AS n, lead(session_start) OVER (ORDER BY session_start) AS ns FROM (SELECT DISTINCT session_start, session_end FROM sessions)),
+  g AS (SELECT instrument, x.n, min(open_time) AS f, max(open_time) AS l, arg_min(open, open_time) AS fo, arg_max(close, open_time) AS lc FROM m JOIN ax x ON m.open_time >= x.session_start AND m.open_time < x.session_end GROUP BY 1, 2),
+  r AS (SELECT instrument, min(n) AS a, max(n) AS z FROM g GROUP BY 1), h AS (SELECT r.instrument, ax.session_end AS ce, ax.ns, coalesce(epoch(ax.session_end) - epoch(p.l) <= 120, false) AS co, coalesce(epoch(q.f) - epoch(ax.ns) <= 120, false) AS oo, p.lc, q.fo
+    FROM r JOIN ax ON ax.n >= r.a AND ax.n < r.z AND ax.ns > ax.session_end LEFT JOIN g p ON p.instrument = r.instrument AND p.n = ax.n LEFT JOIN g q ON q.instrument = r.instrument AND q.n = ax.n + 1),
+  k AS (SELECT *, CASE WHEN co AND oo THEN fo - lc END AS diff, epoch(ns)::BIGINT - epoch(ce)::BIGINT AS s FROM h)
+  SELECT instrument, epoch(ce)::BIGINT AS closed_at, epoch(ns)::BIGINT AS opened_at, s AS closed_seconds, CASE WHEN s >= 86400 THEN 'weekend' ELSE 'session' END AS kind, CASE WHEN co AND oo THEN 'complete' WHEN NOT co AND NOT oo THEN 'missing-both' WHEN co THEN 'missing-open' ELSE 'missing-close' END AS boundary_state,
+  round(diff, 6) AS difference, CASE WHEN lc <> 0 THEN round(diff / lc * 100, 6) END AS percent, CASE WHEN diff IS NULL THEN 'unknown' WHEN abs(diff) < 0.005 THEN 'flat' WHEN diff > 0 THEN 'up' ELSE 'down' END AS direction FROM k""")
 def w20_session_gaps(spark: SparkSession, d: str) -> DataFrame:
-    a = cal.with_disjoint_session(_minutes(spark, d), _sessions(spark))
-    return cal.session_gaps(a, K, 2).select("instrument", _s("session_start"), "closed_seconds", "complete", _r("difference"), _r("percent"), "direction", "weekend")
+    sess = _sessions(spark)
+    a = cal.with_disjoint_session(_minutes(spark, d), sess)
+    return cal.session_gaps(a, sess, K, 2).select("instrument", _s("closed_at"), _s("opened_at"), "closed_seconds", "kind", "boundary_state", _r("difference"), _r("percent"), "direction")
 
 
 @query(f"""WITH {b.QUOTES}, x AS (SELECT *, round(last / 10) AS p, lag(round(last / 10)) OVER (PARTITION BY instrument, channel ORDER BY observed_at, id) AS prev FROM quotes) SELECT id, p FROM x WHERE prev IS DISTINCT FROM p""")

@@ -21,61 +21,80 @@ from quotemill.streaming import bars as sb
 K = list(b.KEYS)
 
 
+AT = "2024-01-28"
+
+
 def _study(spark: SparkSession, d: str):
-    """Market events against the bars of clicks."""
-    bars = b.hourly(spark, d).where("instrument = 'click'").withColumn("available_at", F.timestamp_seconds(F.unix_seconds("open_time") + 3600))
-    return b.market_events(spark, d).select("event_id", F.lit("click").alias("instrument"), "marker"), bars
+    """Each market event against the bars of every instrument that its type concerns."""
+    bars = b.hourly(spark, d).withColumn("available_at", F.timestamp_seconds(F.unix_seconds("open_time") + 3600))
+    concerned = bars.select("instrument").distinct().withColumn("event_type", F.lit("signup"))
+    return b.market_events(spark, d).join(F.broadcast(concerned), "event_type").select("event_id", "instrument", "marker", "published_at"), bars
 
 
-_STUDY = f"""{b.HOURLY}, {b.EVENTS}, cb AS (SELECT *, open_time + INTERVAL 1 HOUR AS available_at FROM bars WHERE instrument = 'click'),
-  wins AS (SELECT * FROM (VALUES ('1m', 60), ('5m', 300), ('15m', 900), ('30m', 1800), ('1h', 3600), ('4h', 14400), ('1d', 86400), ('20d', 1728000)) AS t(win, s)),
-  pts AS (SELECT event_id, win, 0 AS day, marker AS s, marker + to_seconds(w.s) AS e, marker FROM market_events, wins w UNION ALL
-    SELECT event_id, win, k, marker - to_days(k), marker - to_days(k) + to_seconds(w.s), marker FROM market_events, wins w, (SELECT unnest(generate_series(1, 60))::INTEGER AS k)),
-  p1 AS (SELECT pts.*, cb.close AS sp FROM pts ASOF LEFT JOIN cb ON pts.s >= cb.available_at), p2 AS (SELECT p1.*, cb.close AS ep FROM p1 ASOF LEFT JOIN cb ON p1.e >= cb.available_at), rets AS (SELECT *, (ep / nullif(sp, 0) - 1) * 100 AS ret FROM p2)"""
+_STUDY = f"""{b.HOURLY}, {b.EVENTS}, cb AS (SELECT *, open_time + INTERVAL 1 HOUR AS available_at FROM bars), pb AS (SELECT * FROM cb WHERE close > 0),
+  wins AS (SELECT * FROM (VALUES ('1m', 60, 'shock'), ('5m', 300, 'shock'), ('30m', 1800, 'shock'), ('2h', 7200, 'shock'), ('4h', 14400, 'regime'), ('1d', 86400, 'regime'), ('5d', 432000, 'regime'), ('20d', 1728000, 'regime')) AS t(win, s, part)),
+  evs AS (SELECT e.*, i.instrument FROM market_events e, (SELECT DISTINCT instrument FROM bars) i),
+  pts AS (SELECT event_id, instrument, win, w.s AS secs, part, 0 AS day, marker AS s, marker + to_seconds(w.s) AS e, marker, published_at FROM evs, wins w UNION ALL
+    SELECT event_id, instrument, win, w.s, part, k, marker - to_days(k), marker - to_days(k) + to_seconds(w.s), marker, published_at FROM evs, wins w, (SELECT unnest(generate_series(1, 60))::INTEGER AS k)),
+  p1 AS (SELECT pts.*, pb.close AS sp FROM pts ASOF LEFT JOIN pb ON pts.instrument = pb.instrument AND pts.s >= pb.available_at),
+  p2 AS (SELECT p1.*, pb.close AS ep FROM p1 ASOF LEFT JOIN pb ON p1.instrument = pb.instrument AND p1.e >= pb.available_at), rets AS (SELECT *, (ep / nullif(sp, 0) - 1) * 100 AS ret FROM p2),
+  seen AS (SELECT * FROM rets WHERE day = 0 AND e <= TIMESTAMP '{AT}' AND published_at <= TIMESTAMP '{AT}' AND ret IS NOT NULL)"""
 
 
-@query(f"WITH {_STUDY} SELECT event_id, win AS \"window\", sp AS start_price, ep AS end_price, round(ret, 6) AS ret FROM rets WHERE day = 0 AND e <= TIMESTAMP '2024-01-28'")
+@query(f"WITH {_STUDY} SELECT event_id, instrument, win AS \"window\", sp AS start_price, ep AS end_price, round(ret, 6) AS ret FROM seen")
 def e1_event_reactions(spark: SparkSession, d: str) -> DataFrame:
     e, bars = _study(spark, d)
-    return ev.event_reactions(e, bars, K, "2024-01-28").select("event_id", "window", "start_price", "end_price", F.round("ret", 6).alias("ret"))
+    return ev.event_reactions(e, bars, K, AT).select("event_id", "instrument", "window", "start_price", "end_price", F.round("ret", 6).alias("ret"))
 
 
-@query(f"WITH {_STUDY} SELECT event_id, win AS \"window\", day, round(ret, 6) AS ret FROM rets WHERE day > 0 AND e <= marker AND ret IS NOT NULL")
+@query(f"WITH {_STUDY} SELECT event_id, instrument, win AS \"window\", day, round(ret, 6) AS ret FROM rets WHERE day > 0 AND e <= marker AND ret IS NOT NULL")
 def e2_baseline_returns(spark: SparkSession, d: str) -> DataFrame:
     e, bars = _study(spark, d)
-    return ev.baseline_returns(e, bars, K).select("event_id", "window", "day", F.round("ret", 6).alias("ret"))
+    return ev.baseline_returns(e, bars, K).select("event_id", "instrument", "window", "day", F.round("ret", 6).alias("ret"))
 
 
-_Z = """, base AS (SELECT event_id, win, round(ret, 9) AS ret FROM rets WHERE day > 0 AND e <= marker AND ret IS NOT NULL), md AS (SELECT event_id, win, quantile_cont(ret, 0.5) AS m, count(*) AS n FROM base GROUP BY 1, 2),
-  mad AS (SELECT event_id, win, quantile_cont(abs(ret - m), 0.5) AS dv FROM base JOIN md USING (event_id, win) GROUP BY 1, 2),
-  z AS (SELECT r.event_id, r.win, r.ret, coalesce(n, 0) AS samples, CASE WHEN coalesce(n, 0) < 5 THEN NULL WHEN dv > 0 THEN (round(r.ret, 9) - m) / (1.4826 * dv) WHEN round(r.ret, 9) = m THEN 0 ELSE sign(r.ret - m) * 10 END AS z
-  FROM rets r LEFT JOIN md USING (event_id, win) LEFT JOIN mad USING (event_id, win) WHERE r.day = 0 AND r.e <= TIMESTAMP '2024-01-28')"""
+_Z = """, base AS (SELECT event_id, instrument, win, round(ret, 9) AS ret FROM rets WHERE day > 0 AND e <= marker AND ret IS NOT NULL), md AS (SELECT event_id, instrument, win, quantile_cont(ret, 0.5) AS m, count(*) AS n FROM base GROUP BY 1, 2, 3),
+  mad AS (SELECT event_id, instrument, win, quantile_cont(abs(ret - m), 0.5) AS dv FROM base JOIN md USING (event_id, instrument, win) GROUP BY 1, 2, 3),
+  z AS (SELECT r.event_id, r.instrument, r.win, r.secs, r.part, round(r.ret, 9) AS ret, coalesce(n, 0) AS samples, CASE WHEN coalesce(n, 0) < 5 THEN NULL WHEN dv < 1e-9 THEN (CASE WHEN abs(round(r.ret, 9) - m) < 1e-9 THEN 0 END) ELSE (round(r.ret, 9) - m) / (1.4826 * dv) END AS z
+  FROM seen r LEFT JOIN md USING (event_id, instrument, win) LEFT JOIN mad USING (event_id, instrument, win))"""
 
 
 def _z(spark: SparkSession, d: str) -> DataFrame:
     e, bars = _study(spark, d)
     rounded = lambda df: df.withColumn("ret", F.round("ret", 9))
-    return ev.robust_z(rounded(ev.event_reactions(e, bars, K, "2024-01-28")), rounded(ev.baseline_returns(e, bars, K)), ["event_id", "instrument", "window"], "ret")
+    return ev.robust_z(rounded(ev.event_reactions(e, bars, K, AT)), rounded(ev.baseline_returns(e, bars, K)), ["event_id", "instrument", "window"], "ret")
 
 
-@query(f"WITH {_STUDY}{_Z} SELECT event_id, win AS \"window\", samples, round(z, 4) AS z FROM z")
+@query(f"WITH {_STUDY}{_Z} SELECT event_id, instrument, win AS \"window\", samples, round(z, 4) AS z FROM z")
 def e3_robust_z(spark: SparkSession, d: str) -> DataFrame:
-    return _z(spark, d).select("event_id", "window", F.coalesce("samples", F.lit(0)).alias("samples"), F.round("z", 4).alias("z"))
+    return _z(spark, d).select("event_id", "instrument", "window", "samples", F.round("z", 4).alias("z"))
 
 
-@query(f"""WITH {_STUDY}, v AS (SELECT event_id, day, sum(cb.volume)::DOUBLE AS v FROM pts JOIN cb ON cb.available_at > pts.s AND cb.available_at <= pts.s + INTERVAL 30 MINUTE WHERE win = '30m' GROUP BY 1, 2),
-  md AS (SELECT event_id, quantile_cont(v, 0.5) AS m, count(*) AS n FROM v WHERE day > 0 GROUP BY 1), mad AS (SELECT event_id, quantile_cont(abs(v - m), 0.5) AS dv FROM v JOIN md USING (event_id) WHERE day > 0 GROUP BY 1)
-  SELECT e.event_id, v.v AS window_volume, CASE WHEN coalesce(n, 0) < 5 THEN NULL WHEN dv > 0 THEN round((v.v - m) / (1.4826 * dv), 4) WHEN v.v = m THEN 0 ELSE sign(v.v - m) * 10 END AS z
-  FROM market_events e LEFT JOIN v ON v.event_id = e.event_id AND v.day = 0 LEFT JOIN md ON md.event_id = e.event_id LEFT JOIN mad ON mad.event_id = e.event_id""")
-def e4_volume_z(spark: SparkSession, d: str) -> DataFrame:
-    e, bars = _study(spark, d)
-    return ev.volume_z(e, bars, K).select("event_id", "window_volume", F.round("z", 4).alias("z"))
+_VZ = f""", v AS (SELECT pts.event_id, pts.instrument, pts.day, pts.published_at, sum(cb.volume)::DOUBLE AS v FROM pts JOIN cb ON cb.instrument = pts.instrument AND cb.available_at > pts.s AND cb.available_at <= pts.s + INTERVAL 30 MINUTE WHERE win = '30m' AND cb.volume >= 0
+    AND (day > 0 OR (pts.e <= TIMESTAMP '{AT}' AND pts.published_at <= TIMESTAMP '{AT}')) GROUP BY 1, 2, 3, 4),
+  vmd AS (SELECT event_id, instrument, quantile_cont(v, 0.5) AS m, count(*) AS n FROM v WHERE day > 0 GROUP BY 1, 2), vmad AS (SELECT event_id, instrument, quantile_cont(abs(v - m), 0.5) AS dv FROM v JOIN vmd USING (event_id, instrument) WHERE day > 0 GROUP BY 1, 2),
+  vz AS (SELECT v.event_id, v.instrument, v.v AS window_volume, CASE WHEN coalesce(n, 0) < 5 THEN NULL WHEN dv < 1e-9 THEN (CASE WHEN abs(v.v - m) < 1e-9 THEN 0 END) ELSE (v.v - m) / (1.4826 * dv) END AS z
+    FROM v LEFT JOIN vmd USING (event_id, instrument) LEFT JOIN vmad USING (event_id, instrument) WHERE v.day = 0)"""
 
 
-@query()
+@query(f"WITH {_STUDY}{_VZ} SELECT event_id, instrument, window_volume, round(z, 4) AS z FROM vz")
+def e4_volume_z(spark: SparkSession, d: str) -> DataFrame:
+    e, bars = _study(spark, d)
+    return ev.volume_z(e, bars, K, AT).select("event_id", "instrument", "window_volume", F.round("z", 4).alias("z"))
+
+
+@query(f"""WITH {_STUDY}{_Z}{_VZ}, g AS (SELECT event_id, instrument, max(abs(z)) FILTER (part = 'shock') AS pz, max(abs(z)) AS strength, count(*) FILTER (part = 'shock') AS shocks, count(*) FILTER (part = 'regime') AS regimes,
+    arg_max({{'r': ret, 'z': z}}, secs) FILTER (part = 'shock' AND z IS NOT NULL) AS usable, arg_max({{'r': ret, 'z': z}}, secs) FILTER (part = 'shock') AS lastshock, arg_max(ret, secs) FILTER (part = 'regime') AS terminal,
+    count(*) FILTER (part = 'regime' AND ret > 0) AS up, count(*) FILTER (part = 'regime' AND ret < 0) AS down, avg(least(100, abs(z) * 25)) FILTER (part = 'regime') AS raw FROM z GROUP BY 1, 2),
+  j AS (SELECT e.event_id, e.instrument, g.* EXCLUDE (event_id, instrument), vz.z AS vz, CASE WHEN pz IS NOT NULL THEN 35 ELSE 0 END + CASE WHEN vz.z IS NOT NULL THEN 20 ELSE 0 END AS sc, CASE WHEN raw IS NOT NULL THEN 30 ELSE 0 END AS rc,
+    coalesce(usable, lastshock) AS seen FROM evs e LEFT JOIN g USING (event_id, instrument) LEFT JOIN vz USING (event_id, instrument) WHERE e.published_at <= TIMESTAMP '{AT}')
+  SELECT event_id, instrument, floor((coalesce(least(100, abs(pz) * 25), 0) * 35 + coalesce(least(100, abs(vz) * 25), 0) * 20) / nullif(sc, 0) + 0.5)::BIGINT AS shock_score, sc::INTEGER AS shock_coverage,
+    floor(raw * (0.5 + 0.5 * (CASE sign(terminal) WHEN 1 THEN up WHEN -1 THEN down ELSE 0 END) / regimes) + 0.5)::BIGINT AS regime_score, rc::INTEGER AS regime_coverage,
+    CASE WHEN seen IS NULL THEN 'unavailable' WHEN abs(seen.z) < 0.75 OR abs(seen.r) < 1e-6 THEN 'neutral' WHEN seen.r > 0 THEN 'bullish' ELSE 'bearish' END AS direction,
+    CASE WHEN coalesce(shocks, 0) + coalesce(regimes, 0) = 0 THEN 'unavailable' WHEN greatest(sc, rc) >= 70 AND strength >= 2 THEN 'high' WHEN greatest(sc, rc) >= 50 AND strength >= 1.25 THEN 'medium' ELSE 'low' END AS confidence FROM j""")
 def e5_event_scores(spark: SparkSession, d: str) -> DataFrame:
     e, bars = _study(spark, d)
-    return ev.event_scores(_z(spark, d), ev.volume_z(e, bars, K), K).select("event_id", "shock", "regime_score", "coverage", "direction", "band")
+    return ev.event_scores(ev.published(e, AT), _z(spark, d), ev.volume_z(e, bars, K, AT), K)
 
 
 # --- options, positions, volatility --------------------------------------------------------------------------------------
@@ -221,24 +240,29 @@ def g5_compare_quotes(spark: SparkSession, d: str) -> DataFrame:
     return gov.compare_quotes(_pairs(spark), q, 3_600_000_000).select("overlap", F.round("max_bps", 6).alias("max_bps"), F.round("median_bps", 6).alias("median_bps"), "status")
 
 
-_ADMIT = """ds AS (SELECT DISTINCT p_partkey AS dataset_id FROM part), rp AS (SELECT p_partkey AS dataset_id, CASE p_size % 3 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' ELSE 'pass_with_warnings' END AS status FROM part WHERE p_partkey % 10 <> 3),
-  ar AS (SELECT p_partkey AS dataset_id, p_size % 4 <> 0 AS verified FROM part WHERE p_partkey % 17 <> 0), el AS (SELECT p_partkey AS l, (p_partkey + 1) AS r FROM part WHERE p_partkey % 5 = 0)"""
+_ADMIT = """ds AS (SELECT p_partkey AS dataset_id, CASE WHEN p_partkey % 9 = 0 THEN 'quote' ELSE 'bar' END AS kind, CASE WHEN p_partkey % 2 = 0 THEN p_size % 7 <> 0 END AS hashed FROM part), rp AS (SELECT p_partkey AS dataset_id, CASE p_size % 3 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' ELSE 'pass_with_warnings' END AS status FROM part WHERE p_partkey % 10 <> 3),
+  ar AS (SELECT p_partkey AS dataset_id, p_size % 4 <> 0 AS verified FROM part WHERE p_partkey % 17 <> 0), el AS (SELECT p_partkey AS l, p_partkey + k AS r, p_partkey * 10 + k AS evidence_id, CASE WHEN p_size % 6 = 0 THEN 'sanity_only' ELSE 'exact' END AS level, CASE WHEN p_size % 5 = 0 THEN 'fail' ELSE 'pass' END AS status, p_size % 8 <> 0 AS independent
+    FROM part, (SELECT unnest([1, 2]) AS k) WHERE p_partkey % 5 = 0)"""
 
 
-def _admitted(spark: SparkSession, d: str) -> DataFrame:
+def _admitted(spark: SparkSession, d: str, least: int) -> DataFrame:
     p = b.read(spark, d, "part")
-    rp = p.where("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("dataset_id"), F.when(F.col("p_size") % 3 == 0, "fail").when(F.col("p_size") % 3 == 1, "pass").otherwise("pass_with_warnings").alias("status"))
-    ar = p.where("p_partkey % 17 <> 0").select(F.col("p_partkey").alias("dataset_id"), (F.col("p_size") % 4 != 0).alias("verified"))
-    e = p.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("left_id"), (F.col("p_partkey") + 1).alias("right_id"), F.lit("pass").alias("status"), F.lit("exact").alias("level"), F.lit(True).alias("independent"))
-    return gov.admit(p.select(F.col("p_partkey").alias("dataset_id")), rp, e, ar)
-
-
-@query(f"""WITH {_ADMIT}, c AS (SELECT d, count(DISTINCT o) AS n FROM (SELECT l AS d, r AS o FROM el UNION ALL SELECT r, l FROM el) GROUP BY 1),
-  j AS (SELECT ds.dataset_id, status, verified, coalesce(n, 0) AS n FROM ds LEFT JOIN rp USING (dataset_id) LEFT JOIN ar USING (dataset_id) LEFT JOIN c ON c.d = ds.dataset_id)
-  SELECT dataset_id, n AS confirming, concat_ws(',', CASE WHEN status IS NULL THEN 'no_report' END, CASE WHEN status = 'fail' THEN 'validation_failed' END, CASE WHEN verified IS NULL THEN 'no_artifact' END, CASE WHEN NOT verified THEN 'artifact_unverified' END, CASE WHEN n = 0 THEN 'no_independent_evidence' END) AS blockers,
-  CASE WHEN status IS NULL OR status = 'fail' OR verified IS NULL OR NOT verified THEN 'quarantined' WHEN n = 0 THEN 'validated_candidate' ELSE 'trusted' END AS state FROM j""")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    ds = p.select(key.alias("dataset_id"), F.when(key % 9 == 0, "quote").otherwise("bar").alias("kind"), F.when(key % 2 == 0, size % 7 != 0).alias("records_hashed"))
+    rp = p.where("p_partkey % 10 <> 3").select(key.alias("dataset_id"), F.when(size % 3 == 0, "fail").when(size % 3 == 1, "pass").otherwise("pass_with_warnings").alias("status"))
+    ar = p.where("p_partkey % 17 <> 0").select(key.alias("dataset_id"), (size % 4 != 0).alias("verified"))
+    e = p.where("p_partkey % 5 = 0").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    e = e.select((key * 10 + F.col("k")).alias("evidence_id"), key.alias("left_id"), (key + F.col("k")).alias("right_id"), F.when(size % 5 == 0, "fail").otherwise("pass").alias("status"),
+                 F.when(size % 6 == 0, "sanity_only").otherwise("exact").alias("level"), (size % 8 != 0).alias("independent"))
+    return gov.admit(ds, rp, e, ar, "trusted_bar_history", least)
+
+
+@query(f"""WITH {_ADMIT}, c AS (SELECT d, count(DISTINCT o) AS n, array_to_string(list_sort(list(DISTINCT evidence_id)), ',') AS ids FROM (SELECT l AS d, r AS o, * FROM el UNION ALL SELECT r, l, * FROM el) WHERE level = 'exact' AND independent AND status = 'pass' GROUP BY 1),
+  a AS (SELECT dataset_id, bool_and(verified) AS verified FROM ar GROUP BY 1), j AS (SELECT ds.*, status, coalesce(verified, hashed, false) AS lineage, coalesce(n, 0) AS n, coalesce(ids, '') AS ids FROM ds JOIN rp USING (dataset_id) LEFT JOIN a USING (dataset_id) LEFT JOIN c ON c.d = ds.dataset_id),
+  x AS (SELECT *, concat_ws(',', CASE WHEN kind <> 'bar' THEN 'TARGET_RECORD_KIND_MISMATCH' END, CASE WHEN status = 'fail' THEN 'STRUCTURAL_VALIDATION_FAILED' END, CASE WHEN NOT lineage THEN 'RAW_LINEAGE_NOT_VERIFIED' END, CASE WHEN n < 1 THEN 'INSUFFICIENT_INDEPENDENT_EXACT_CONFIRMATION' END) AS blockers FROM j)
+  SELECT dataset_id, n AS confirming, ids AS accepted, blockers, CASE WHEN status = 'fail' THEN 'quarantined' WHEN blockers <> '' THEN 'validated_candidate' ELSE 'trusted' END AS state FROM x""")
 def g6_admit(spark: SparkSession, d: str) -> DataFrame:
-    return _admitted(spark, d).select("dataset_id", "confirming", F.array_join("blockers", ",").alias("blockers"), "state")
+    return _admitted(spark, d, 1).select("dataset_id", "confirming", F.array_join(F.transform("accepted_ids", lambda x: x.cast("string")), ",").alias("accepted"), F.array_join("blockers", ",").alias("blockers"), "state")
 
 
 _SEG = """sg AS (SELECT s_suppkey AS segment_id, s_nationkey AS dataset_id, 'i' || (s_nationkey % 5) AS instrument, CASE WHEN s_suppkey % 9 = 0 THEN 'tick' ELSE 'bar' END AS kind, DATE '2024-01-01'::TIMESTAMP + to_days((s_suppkey * 7 % 300)::INTEGER) AS s, DATE '2024-01-01'::TIMESTAMP + to_days((s_suppkey * 7 % 300)::INTEGER) + INTERVAL 36 HOUR AS e FROM supplier),
@@ -282,6 +306,19 @@ def a13_infer_quantum(spark: SparkSession, d: str) -> DataFrame:
     return gov.infer_quantum(x, K)
 
 
+@query("""WITH c AS (SELECT p_partkey AS evidence_id, p_partkey % 50 AS l, p_partkey % 50 + 1 AS r, CASE WHEN p_size % 2 = 0 THEN 'exact' ELSE 'comparable' END AS compatibility, p_size % 3 <> 0 AS independent, CASE WHEN p_size % 5 = 0 THEN 'fail' ELSE 'pass' END AS status FROM part),
+  sg AS (SELECT s_suppkey AS segment_id, s_suppkey % 50 AS dataset_id FROM supplier), ok AS (SELECT DISTINCT d, evidence_id FROM (SELECT l AS d, * FROM c UNION ALL SELECT r, * FROM c) WHERE compatibility = 'exact' AND independent AND status = 'pass'),
+  dec AS (SELECT d AS dataset_id, list(evidence_id) AS ids FROM ok WHERE d < 50 GROUP BY 1), own AS (SELECT sg.*, CASE WHEN segment_id % 3 = 0 THEN ids[2:] ELSE ids END AS mine, ids FROM sg LEFT JOIN dec USING (dataset_id))
+  SELECT segment_id, coalesce(len(mine) > 0 AND len(mine) = len(ids), false) AS verified FROM own""")
+def j8_segment_lineage(spark: SparkSession, d: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    e = b.read(spark, d, "part").select(key.alias("evidence_id"), (key % 50).alias("left_id"), (key % 50 + 1).alias("right_id"), F.when(size % 2 == 0, "exact").otherwise("comparable").alias("compatibility"), (size % 3 != 0).alias("independent"), F.when(size % 5 == 0, "fail").otherwise("pass").alias("status"))
+    seg = b.read(spark, d, "supplier").select(F.col("s_suppkey").alias("segment_id"), (F.col("s_suppkey") % 50).alias("dataset_id"))
+    decisions = jo.accepted_evidence(e, seg.select("dataset_id").distinct()).groupBy("dataset_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("accepted_ids"))
+    some = F.when(F.col("segment_id") % 3 == 0, F.slice("accepted_ids", 2, 1 << 30)).otherwise(F.col("accepted_ids"))
+    return jo.segment_lineage(seg.join(decisions, "dataset_id", "left").withColumn("evidence_ids", some).drop("accepted_ids"), decisions, e).select("segment_id", "verified")
+
+
 # --- streams -------------------------------------------------------------------------------------------------------------
 
 def streamed(spark: SparkSession, q: DataFrame, make, mode: str, order: tuple[str, ...] = ("received_at", "id"), files: int = 4) -> DataFrame:
