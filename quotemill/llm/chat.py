@@ -1,8 +1,8 @@
 """Chat formatting, in DataFrame expressions only.
 
 The nested field paths of a record are hashed to a schema fingerprint, which selects a declarative mapping of its layout to
-canonical turns. Typed tables have one fingerprint, from their schema; JSON records have one each, from the schema of the
-parsed value. Turns become one text by a ChatML-like template with reversible escapes and a loss mask over assistant texts.
+canonical turns. Only paths that a layout needs count. Typed tables have one fingerprint, from their schema; JSON records have
+one each, from the parsed value. Turns become one text by a ChatML-like template with reversible escapes and a loss mask over assistant texts.
 """
 
 from __future__ import annotations
@@ -35,28 +35,18 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-def json_fingerprint(json: Column) -> Column:
-    """Fingerprint of each JSON record: its schema as DDL with types left out, fields sorted by name as Spark sorts them."""
-    ddl = F.schema_of_variant(F.try_parse_json(json))
-    bare = F.regexp_replace(ddl, r": (?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\(\d+,\d+\)|DATE|TIMESTAMP|FLOAT)", "")
-    return F.substring(F.sha2(bare, 256), 1, 16)
-
-
-def _ddl_fingerprint(bare: str) -> str:
-    return hashlib.sha256(bare.encode()).hexdigest()[:16]
-
-
 @dataclass(frozen=True)
 class Mapping:
-    """How one layout becomes turns: turns(get) is an array of struct(role, text), get(path) reads a field."""
+    """How one layout becomes turns: paths are the fields it needs; turns(get) is an array of struct(role, text), get(path, type)
+    reads a field."""
 
     name: str
-    ddl: str
+    paths: tuple[str, ...]
     turns: Callable[[Callable[[str, str], Column]], Column]
 
     @property
-    def json_key(self) -> str:
-        return _ddl_fingerprint(self.ddl)
+    def fingerprint(self) -> str:
+        return fingerprint(list(self.paths))
 
 
 def _turn(role: str | Column, text: Column) -> Column:
@@ -95,59 +85,75 @@ def _instruction(get: Callable[[str, str], Column]) -> Column:
     return F.array(_turn("user", asked), _turn("assistant", get("output", "string")))
 
 
-#: Known layouts, by the DDL of a record without its types.
+#: Known layouts. Of those whose fields a record has the first counts: lists of turns, then the layouts of more fields. What
+#: else a record has doesn't matter.
 MAPPINGS = (
-    Mapping("messages", "OBJECT<messages: ARRAY<OBJECT<content, role>>>", _messages("messages", "role", "content")),
-    Mapping("texts", "OBJECT<messages: ARRAY<OBJECT<role, text>>>", _messages("messages", "role", "text")),
-    Mapping("from_value", "OBJECT<conversations: ARRAY<OBJECT<from, value>>>", _messages("conversations", "from", "value")),
-    Mapping("instruction", "OBJECT<input, instruction, output>", _instruction),
-    Mapping("bare_instruction", "OBJECT<instruction, output>", _pair("instruction", "output")),
-    Mapping("prompt", "OBJECT<completion, prompt>", _pair("prompt", "completion")),
-    Mapping("response", "OBJECT<prompt, response>", _pair("prompt", "response")),
-    Mapping("system_prompt", "OBJECT<prompt, response, system>", _pair("prompt", "response", "system")),
-    Mapping("question", "OBJECT<answer, question>", _pair("question", "answer")),
+    Mapping("messages", ("messages[].role", "messages[].content"), _messages("messages", "role", "content")),
+    Mapping("texts", ("messages[].role", "messages[].text"), _messages("messages", "role", "text")),
+    Mapping("from_value", ("conversations[].from", "conversations[].value"), _messages("conversations", "from", "value")),
+    Mapping("instruction", ("instruction", "input", "output"), _instruction),
+    Mapping("system_prompt", ("system", "prompt", "response"), _pair("prompt", "response", "system")),
+    Mapping("bare_instruction", ("instruction", "output"), _pair("instruction", "output")),
+    Mapping("prompt", ("prompt", "completion"), _pair("prompt", "completion")),
+    Mapping("response", ("prompt", "response"), _pair("prompt", "response")),
+    Mapping("question", ("question", "answer"), _pair("question", "answer")),
 )
-#: Typed tables: fingerprint of the field paths -> mapping of the same layout.
-TYPED = {
-    fingerprint(["messages[].role", "messages[].content"]): "messages",
-    fingerprint(["messages[].role", "messages[].text"]): "texts",
-    fingerprint(["conversations[].from", "conversations[].value"]): "from_value",
-    fingerprint(["instruction", "input", "output"]): "instruction",
-    fingerprint(["instruction", "output"]): "bare_instruction",
-    fingerprint(["prompt", "completion"]): "prompt",
-    fingerprint(["prompt", "response"]): "response",
-    fingerprint(["system", "prompt", "response"]): "system_prompt",
-    fingerprint(["question", "answer"]): "question",
-}
-#: One row per turn.
-FLAT = fingerprint(["turn", "role", "text"])
+#: Fingerprint of a layout's field paths -> its mapping.
+BY_FINGERPRINT = {m.fingerprint: m for m in MAPPINGS}
+#: One row per turn: before all others.
+FLAT = ("turn", "role", "text")
+
+
+def layout_fingerprint(paths: list[str]) -> str | None:
+    """Fingerprint of the paths of the first layout that these paths hold; None if they hold none."""
+    have = set(paths)
+    return next((fingerprint(list(p)) for p in (FLAT, *(m.paths for m in MAPPINGS)) if have.issuperset(p)), None)
+
+
+def _present(path: str) -> Column:
+    """Does the parsed record _v have the path, in any element of a list?"""
+    if "[]." not in path:
+        return F.try_variant_get("_v", f"$.{path}", "variant").isNotNull()
+    field, inner = path.split("[].")
+    return F.coalesce(F.exists(F.try_variant_get("_v", f"$.{field}", "array<variant>"), lambda x: F.try_variant_get(x, f"$.{inner}", "variant").isNotNull()), F.lit(False))
+
+
+def json_fingerprint() -> Column:
+    """layout_fingerprint of each parsed record _v."""
+    out = F.lit(None).cast("string")
+    for m in reversed(MAPPINGS):
+        every = _present(m.paths[0])
+        for p in m.paths[1:]:
+            every = every & _present(p)
+        out = F.when(every, F.lit(m.fingerprint)).otherwise(out)
+    return out
 
 
 def turns_from_json(records: DataFrame, key: str, json: str) -> DataFrame:
-    """records(key, json) -> (key, turn, role, text); a record of an unknown layout, or no JSON, gives turn, role, text null."""
-    mapped = records.select(F.col(key), F.try_parse_json(F.col(json)).alias("_v"), json_fingerprint(F.col(json)).alias("_fp"))
+    """records(key, json) -> (key, turn, role, text). Fields that no layout names don't matter. A record of an unknown layout, an
+    empty list of turns, or no JSON gives one row of nulls besides the key: the rejects, to be filtered or counted."""
+    mapped = records.select(F.col(key), F.try_parse_json(F.col(json)).alias("_v")).withColumn("_fp", json_fingerprint())
 
     def get(path: str, kind: str) -> Column:
         return F.try_variant_get("_v", f"$.{path}", kind)
 
     turns = F.lit(None).cast(TURNS)
     for m in MAPPINGS:
-        turns = F.when(F.col("_fp") == m.json_key, m.turns(get)).otherwise(turns)
+        turns = F.when(F.col("_fp") == m.fingerprint, m.turns(get)).otherwise(turns)
     return mapped.select(key, F.posexplode_outer(turns).alias("turn", "_t")).select(key, F.col("turn").cast("long").alias("turn"), F.col("_t.role").alias("role"), F.col("_t.text").alias("text"))
 
 
 def turns_from_table(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """A typed table -> (key, turn, role, text), by the fingerprint of its field paths besides the key; extra columns that no
-    layout names are left out of it. An unknown layout is an error that lists its paths."""
-    named = {"turn", "role", "text", "messages", "conversations", "instruction", "input", "output", "prompt", "completion", "response", "system", "question", "answer"}
-    schema = StructType([f for f in df.schema.fields if f.name != key and f.name in named])
-    found = fingerprint(field_paths(schema))
-    if found == FLAT:
-        return df.select(F.col(key), F.col("turn").cast("long").alias("turn"), F.col("role"), F.col("text"))
-    if found not in TYPED:
-        raise ValueError(f"no mapping for the field paths {field_paths(schema)}")
-    mapping = next(m for m in MAPPINGS if m.name == TYPED[found])
-    exploded = df.select(F.col(key), F.posexplode(mapping.turns(lambda path, kind: F.col(path).cast(kind))).alias("turn", "_t"))
+    """A typed table -> (key, turn, role, text), by the fingerprint of the first layout that its field paths besides the key hold;
+    other columns don't matter, whatever their names. An unknown layout is an error that lists the paths."""
+    paths = field_paths(StructType([f for f in df.schema.fields if f.name != key]))
+    found = layout_fingerprint(paths)
+    if found == fingerprint(list(FLAT)):
+        return df.select(F.col(key), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    if found is None:
+        raise ValueError(f"no mapping for the field paths {paths}")
+    read = lambda path, kind: F.col(path) if kind.startswith("array") else F.col(path).cast(kind)
+    exploded = df.select(F.col(key), F.posexplode(BY_FINGERPRINT[found].turns(read)).alias("turn", "_t"))
     return exploded.select(key, F.col("turn").cast("long").alias("turn"), F.col("_t.role").alias("role"), F.col("_t.text").alias("text"))
 
 
@@ -176,22 +182,23 @@ def format_chats(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     formatted is, for each turn in order, START role newline text END newline, with roles and texts escaped. loss_mask is an
     array of struct(start, end) in code points of formatted, end exclusive: the escaped assistant texts. Null roles and texts
     count as empty; turns of equal number (or null, which come first) stand in the order of role, then text; repeated rows
-    are repeated turns; rows of a null key are one conversation. A conversation is one row, as long as its turns: it's the
-    unit of training, and no group is made beyond it.
+    are repeated turns; a row of a null key belongs to no other: it is a conversation of its own. A conversation is one row, as
+    long as its turns: it's the unit of training, and no group is made beyond it. An empty table gives an empty result.
     """
-    slim = turns.select(F.col(key), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    slim = turns.select(F.col(key), alone.alias("_alone"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     body = slim.withColumn("_head", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))).withColumn("_text", escape(F.col("text")))
     body = body.withColumn("_piece", F.concat("_head", "_text", F.lit(END + "\n")))
-    order = Window.partitionBy(key).orderBy(F.asc_nulls_first("turn"), "role", "text")
+    order = Window.partitionBy(key, "_alone").orderBy(F.asc_nulls_first("turn"), "role", "text")
     placed = body.select(
-        key, F.row_number().over(order).alias("_i"),
+        key, "_alone", F.row_number().over(order).alias("_i"),
         F.sum(F.length("_piece").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_end"),
         (F.col("role") == "assistant").alias("_loss"), F.length("_text").alias("_n"), "_piece",
     )
     # the text ends before END and its newline
     end = F.col("_end") - (len(END) + 1)
     span = F.struct("_i", "_piece", F.when(F.col("_loss"), F.struct((end - F.col("_n")).alias("start"), end.alias("end"))).alias("span"))
-    grouped = placed.groupBy(key).agg(F.array_sort(F.collect_list(span)).alias("_turns"))
+    grouped = placed.groupBy(key, "_alone").agg(F.array_sort(F.collect_list(span)).alias("_turns"))
     formatted = F.array_join(F.transform("_turns", lambda t: t["_piece"]), "")
     mask = F.transform(F.filter("_turns", lambda t: t["span"].isNotNull()), lambda t: t["span"])
     return grouped.select(key, formatted.alias("formatted"), mask.alias("loss_mask"))

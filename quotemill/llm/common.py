@@ -17,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (tests) a fresh local one."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master, as in tests, may do without and gets a fresh
+    folder of its own; anywhere else it would be one that other executors can't read."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quotemill-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -45,6 +48,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct: whatever their names, they can't clash with those that an operator adds beside it."""
+    return F.struct(*(F.col(f"`{c}`").alias(c) for c in df.columns))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns, to tell rows apart that are alike in what an operator looks at; maps count by their JSON."""
+    return F.xxhash64(*(F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields))
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame expressions only.
 
 Fixed patterns give the base spans, which are the seeds. The words before seeds and the seeds' shapes induce lexical
-patterns; Spark scores the graph of patterns and the instances they extract, round by round; patterns of high confidence
-add spans that the fixed patterns don't know. Base spans always stay.
+patterns; Spark scores the graph of patterns and the instances they extract, round by round until no new instance is known;
+patterns of high confidence add spans that the fixed patterns don't know. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import cut, text_or_empty
+from quotemill.llm.common import cut, text_or_empty, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 # Each match starts at the first character of a run, or where the last match ended, as any leftmost match does: long runs
@@ -24,9 +24,7 @@ PATTERNS = {
 #: A candidate identifier: a run of these characters with a digit or an at sign, of MIN_INSTANCE characters or more.
 CANDIDATE = r"(?<![A-Za-z0-9._@%+/-])[A-Za-z._%+/-]*+[0-9@][A-Za-z0-9._@%+/-]*+"
 MIN_INSTANCE = 6
-#: Context: the last word with a letter, and what follows it, in so many code points before the candidate.
-LOOK_BACK = 40
-ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE = 3, 3, 0.8
+MIN_SUPPORT, MIN_CONFIDENCE = 3, 0.8
 
 _SPAN = "array<struct<kind:string,rank:int,start:int,end:int,value:string>>"
 
@@ -94,7 +92,8 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         end = c["start"] + F.length(c["value"])
         same = F.filter("base", lambda b: (b["start"] == c["start"]) & (b["end"] == end))
         cuts = F.exists("base", lambda b: (b["start"] < end) & (c["start"] < b["end"]))
-        context = F.lower(F.regexp_extract(F.right(c["gap"], F.lit(LOOK_BACK)), r"([^\s]*\p{L}[^\p{L}]*)$", 1))
+        # the last word with a letter, and what follows it: read from the end, so that each gap is passed over once
+        context = F.lower(F.reverse(F.regexp_extract(F.reverse(c["gap"]), r"^([^\p{L}]*+\p{L}[^\s]*+)", 1)))
         shape = F.regexp_replace(F.regexp_replace(c["value"], "[A-Za-z]+", "a"), "[0-9]+", "9")
         return F.struct(c["start"].alias("start"), end.alias("end"), c["value"].alias("value"), context.alias("context"), shape.alias("shape"), F.get(same, F.lit(0))["kind"].alias("kind"), cuts.alias("cuts"))
 
@@ -111,27 +110,31 @@ def _validator(kind: str):
     return lambda x: _valid(kind, x["value"])
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def bootstrap(found: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """found(context, shape, value, kind) -> patterns(context, shape, as_kind, confidence) of high confidence.
 
     The graph joins each pattern (context, shape) to the distinct values it extracts. A round rates each pattern by the share
     of its values that are known to be of one kind, accepts those with min_support known values and that confidence, and
-    makes the values they extract known. Scores are sums per pattern over distinct pairs, so a frequent context costs one
-    row per map task in the shuffle. Contexts without a letter make no pattern.
+    makes the values they extract known. Known values only grow, and rounds end with the first that adds none; how many there
+    are follows the longest chain of patterns, not the number of rows. Scores are sums per pattern over distinct pairs, so a
+    frequent context costs one row per map task in the shuffle. Contexts without a letter make no pattern.
     """
     edges = cut(found.where("context != ''").groupBy("context", "shape", "value").agg(F.min("kind").alias("seed")))
-    known = edges.where("seed is not null").groupBy("value").agg(F.min("seed").alias("known"))
-    accepted = None
-    for _ in range(rounds):
+    known = cut(edges.where("seed is not null").groupBy("value").agg(F.min("seed").alias("known")))
+    size = known.count()
+    while True:
         rated = edges.join(known, "value", "left").groupBy("context", "shape").agg(
             F.count("*").alias("n"), *(F.count_if(F.col("known") == k).alias(k) for k in KINDS)
         )
         best = F.array_max(F.array(*(F.struct(F.col(k).alias("hits"), F.lit(k).alias("as_kind")) for k in KINDS)))
         rated = rated.select("context", "shape", "n", best.alias("b")).select("context", "shape", "b.as_kind", "b.hits", (F.col("b.hits") / F.col("n")).alias("confidence"))
         accepted = cut(rated.where((F.col("hits") >= min_support) & (F.col("confidence") >= min_confidence)).drop("hits"))
-        grown = edges.where("seed is null").join(accepted, ["context", "shape"]).select("value", F.col("as_kind").alias("known"))
-        known = cut(known.unionByName(grown).groupBy("value").agg(F.min("known").alias("known")))
-    return accepted
+        grown = edges.where("seed is null").join(accepted, ["context", "shape"]).groupBy("value").agg(F.min("as_kind").alias("known"))
+        # a value keeps the kind it was first known as
+        known = cut(known.unionByName(grown.join(known, "value", "left_anti")))
+        before, size = size, known.count()
+        if size == before:
+            return accepted
 
 
 def added_spans(spanned: DataFrame, key: str) -> DataFrame:
@@ -169,22 +172,25 @@ def spelled(spans: str | Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, n_chars, ...) with each span of its texts replaced by <KIND>; overlapping spans count as one, of
-    the first's kind. Texts without spans, and null ones, stay as they are. n_chars follows the text."""
-    rows = docs.withColumn("text_hash", F.xxhash64(text_or_empty("text")))
-    slim = rows.select("doc_id", "text", "text_hash")
+    """docs(doc_id, text, ...) with each span of its texts replaced by <KIND>; overlapping spans count as one, of the first's
+    kind. Texts without spans, and null ones, stay as they are. A column n_chars, if there is one, follows the text; other
+    columns stay, whatever their names. Null ids and repeated rows are redacted like others; an empty table stays empty."""
+    rows = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(text_or_empty("text")).alias("_hash"))
+    slim = docs.select("doc_id", "text", F.xxhash64(text_or_empty("text")).alias("text_hash"))
     spanned = cut(with_spans(slim).drop("text")).where(F.size("candidates") + F.size("base") > 0)
     added = added_spans(spanned, "doc_id").withColumnsRenamed({"doc_id": "_k", "text_hash": "_h"})
     spans = spanned.join(added, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("text_hash") == F.col("_h")), "left")
-    spans = spans.select("doc_id", "text_hash", _all_spans().alias("spans")).where(F.size("spans") > 0)
+    spans = spans.select("doc_id", "text_hash", _all_spans().alias("_spans")).where(F.size("_spans") > 0)
     spans = spans.dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "_k", "text_hash": "_h"})
-    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("text_hash") == F.col("_h")), "left")
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_replaced("text", "spans"))).withColumn(
-        "n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
-    ).select(*docs.columns)
+    joined = rows.join(spans, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left")
+    joined = joined.withColumn("_text", F.when(F.col("_spans").isNull(), F.col("_row.text")).otherwise(_replaced(F.col("_row.text"), "_spans")))
+    new = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_spans").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
-def _replaced(text: str, spans: str) -> Column:
+def _replaced(text: Column, spans: str) -> Column:
     """The text from span to span, by start: what lies between spans stays, and a span that starts inside others moves their
     end on to its own, so overlapping ones go as their union."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -192,6 +198,6 @@ def _replaced(text: str, spans: str) -> Column:
         ordered,
         F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.when(s["start"] + 1 < a["at"], F.struct(F.greatest(a["at"], s["end"] + 1).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct((s["end"] + 1).alias("at"), F.concat(a["out"], F.substr(F.col(text), a["at"], s["start"] + 1 - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"))),
+            F.struct((s["end"] + 1).alias("at"), F.concat(a["out"], F.substr(text, a["at"], s["start"] + 1 - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"))),
     )
-    return F.concat(folded["out"], F.substr(F.col(text), folded["at"]))
+    return F.concat(folded["out"], F.substr(text, folded["at"]))

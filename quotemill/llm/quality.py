@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import SPACES, cut, text_or_empty
+from quotemill.llm.common import SPACES, cut, text_or_empty, whole_row, written
 
 SYMBOLS = "[#*$%&|<>]+"
 STOPS = "[!?.,;:]+"
@@ -212,11 +212,13 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs(doc_id, text, ...) that pass, with their columns; counts are only kept for labelled texts."""
-    slim = docs.select("doc_id", "text").join(labels.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = fit(labelled_rows(with_ratios(with_counts(slim)).select("doc_id", *RATIOS), labels))
-    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    judged = with_ratios(with_counts(inner, "_text")).withColumn("kept", ~base_failed() & rules.kept())
-    # a filter on an exploded value stays above the counts; else it would be moved below them, and each count made anew
-    held = judged.select(F.explode(F.array(F.struct("_row", "kept"))).alias("x"))
-    return held.where("x.kept").select("x._row.*")
+    """The rows of docs(doc_id, text, ...) that pass, with all their columns, whatever their names.
+
+    Every text is counted once: rows are written with their ratios, rules are learnt from the labelled ones of them, and the
+    verdict is a filter of what was written. Null ids and texts and repeated rows are judged like others; an empty table stays
+    empty.
+    """
+    inner = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    counted = written(with_ratios(with_counts(inner, "_text")).select("_row", "_id", *RATIOS, base_failed().alias("_failed")), "counted")
+    rules = fit(labelled_rows(counted.select(F.col("_id").alias("doc_id"), *RATIOS), labels))
+    return counted.where(~F.col("_failed") & rules.kept()).select("_row.*")

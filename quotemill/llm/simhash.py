@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import cut, text_or_empty, words_of
+from quotemill.llm.common import cut, row_hash, text_or_empty, whole_row, words_of
 from quotemill.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -99,13 +99,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) less all rows of a component but one: that of the least doc_id, of equal ids the one whose text
-    hashes least. Rows of a null doc_id count after all others."""
+    hashes least, of equal texts the one whose whole row does. Rows of a null doc_id count after all others, null texts as
+    empty; of rows equal in all columns one stays. An empty table gives an empty result. Other columns stay, whatever their
+    names."""
     # one key without nulls for the join and for what follows, so texts are shuffled once
-    key = ["_id", "_none", "_hash"]
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull()).withColumn("_hash", F.xxhash64(text_or_empty("text")))
-    marks = cut(with_fingerprint(rows.select(*key, "text")).select(*key, "fp"))
-    nodes = cut(marks.groupBy("fp").agg(F.min(F.struct("_none", "_id", "_hash")).alias("least")))
+    key = ["_none", "_id", "_hash", "_all"]
+    rows = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64(text_or_empty("text")).alias("_hash"), row_hash(docs).alias("_all"))
+    marks = cut(with_fingerprint(rows.select(*key, F.col("_row.text").alias("text"))).select(*key, "fp"))
+    nodes = cut(marks.groupBy("fp").agg(F.min(F.struct(*key)).alias("least")))
     linked = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     rooted = nodes.join(linked, "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
     kept = cut(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.*").distinct())
-    return rows.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).select("_row.*")

@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are dealt to shards by ranges of their id, whose bounds come from a sample that only the ids decide; a task writes a
-shard in id order, rolls files by compressed size, makes headers and digests anew, and commits each shard by renaming its
+Records are dealt to shards by ranges of their id and payload digest, with the same payload bytes in each; a task writes a
+shard in that order, rolls files by compressed size, makes headers and digests anew, and commits each shard by renaming its
 files from temporary names, then its manifest. A task that is run again writes the same bytes over the same names, and
 readers take only files that a manifest lists.
 """
@@ -21,16 +21,16 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import fresh_path
+from quotemill.llm.common import fresh_path, written
 
-#: Compressed bytes after which a file is closed, and payload bytes that a shard is meant to hold.
+#: Compressed bytes after which a file is closed, and payload bytes that a shard holds.
 ROLL_BYTES = 32 << 20
-SHARD_BYTES = 64 << 20
-#: Ids in the sample that sets the bounds of shards: bounds the driver's share.
-SAMPLE = 20_000
+SHARD_BYTES = 32 << 20
+#: Bounds of shards at most, 28 bytes each: what is broadcast. Beyond it shards hold more, half a gigabyte at 100 TB.
+MAX_SHARDS = 200_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK = 1 << 20
@@ -110,27 +110,62 @@ class _Shard:
         return {"shard": self.shard, "files": self.files}
 
 
-def shard_bounds(pages: DataFrame, key: str, size: Column, shard_bytes: int = SHARD_BYTES, sample: int = SAMPLE) -> list:
-    """Ascending ids that part the shards: quantiles of the ids whose hash is in a share that leaves about sample of them."""
-    got = pages.agg(F.count(key).alias("n"), F.sum(size).alias("bytes")).first()
-    shards = -(-(got["bytes"] or 0) // shard_bytes)
-    if shards < 2 or not got["n"]:
-        return []
-    every = max(1, got["n"] // sample)
-    ids = sorted(r[0] for r in pages.select(key).where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0)).collect())
-    return sorted({ids[len(ids) * i // shards] for i in range(1, shards)}) if ids else []
+def digests(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(page_id, payload_sha1, bytes) of each row, as a small table that bounds and revisits are made from."""
+    return written(pages.select(F.col(key).alias("page_id"), F.sha1(F.encode(html, "utf-8")).alias("payload_sha1"), F.octet_length(html).cast("long").alias("bytes")), "digests")
 
 
-def revisits(pages: DataFrame, key: str, html: str, min_bytes: int = 0) -> DataFrame:
-    """(key, payload_sha1, refers_to) of the pages whose payload, of at least min_bytes, a lesser id has: refers_to is the least.
+def shard_bounds(digested: DataFrame, shard_bytes: int = SHARD_BYTES, max_shards: int = MAX_SHARDS) -> np.ndarray:
+    """The first place (see places) of each shard but the first, ascending: rows in the order of id and digest are parted where
+    the sum of their bytes passes a multiple of shard_bytes (more, where that made over max_shards).
+
+    Sums run within range partitions of small rows, on top of the sums of the partitions before; rows that share id and digest
+    are one place and stay together, others of an id may part.
+    """
+    total = digested.agg(F.sum("bytes")).first()[0] or 0
+    size = max(shard_bytes, -(-total // max_shards))
+    if total <= size:
+        return np.zeros(0, _PLACE)
+    spark = digested.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # equal places first become one row, so a place that a third of all rows have is one
+    once = digested.groupBy("page_id", "payload_sha1").agg(F.sum("bytes").alias("bytes"))
+    order = (F.asc_nulls_first("page_id"), F.asc("payload_sha1"))
+    placed = written(once.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "places")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    bases = placed.groupBy("part").agg(F.sum("bytes").alias("b")).select("part", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("base"))
+    sums = placed.join(F.broadcast(bases), "part").withColumn("end", F.col("base") + F.sum("bytes").over(Window.partitionBy("part").orderBy(*order)))
+    shard = F.expr(f"(end - bytes) div {size}")
+    first = sums.groupBy(shard.alias("shard")).agg(F.min(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "payload_sha1")).alias("f"))
+    rows = first.where("shard > 0").select("f.page_id", "f.payload_sha1").toPandas()  # max_shards rows at most
+    return np.sort(places(rows["page_id"], rows["payload_sha1"]))
+
+
+_PLACE = "S29"
+
+
+def places(ids: pd.Series, sha1: pd.Series) -> np.ndarray:
+    """Id and digest as bytes in their order: a flag that puts null ids first, the id, the digest. The flag is never zero, nor is
+    what is cut from the end of such bytes told from zeros: digests of one length keep their order."""
+    known = ids.notna().to_numpy()
+    out = np.empty((len(ids), 29), np.uint8)
+    out[:, 0] = 1 + known
+    out[:, 1:9] = (ids.fillna(0).astype("int64").to_numpy().astype(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 9:] = np.frombuffer(bytes.fromhex("".join(sha1)), np.uint8).reshape(-1, 20)
+    return out.view(_PLACE).ravel()
+
+
+def revisits(digested: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """digested(page_id, payload_sha1, bytes) -> (page_id, payload_sha1, refers_to) of the pages whose payload, of at least
+    min_bytes, a lesser id has: refers_to is the least.
 
     Payloads aren't moved: their digests meet as one row for each digest and map task; a digest that a third of the pages have
     is a skewed side of a join of small rows, which Spark splits.
     """
-    digested = pages.where(F.octet_length(html) >= min_bytes).select(key, F.sha1(F.encode(html, "utf-8")).alias("payload_sha1"))
-    first = digested.groupBy("payload_sha1").agg(F.min(key).alias("refers_to"))
+    big = digested.where(F.col("bytes") >= min_bytes).select("page_id", "payload_sha1")
+    first = big.groupBy("payload_sha1").agg(F.min("page_id").alias("refers_to"))
     # of rows with the same id and payload, all are what the first is
-    return digested.join(first, "payload_sha1").where(F.col("refers_to").isNotNull() & ~F.col(key).eqNullSafe(F.col("refers_to"))).select(key, "payload_sha1", "refers_to").distinct()
+    return big.join(first, "payload_sha1").where(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "payload_sha1", "refers_to").distinct()
 
 
 def write_warc(pages: DataFrame, base: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> list[dict]:
@@ -138,17 +173,18 @@ def write_warc(pages: DataFrame, base: str, key: str = "page_id", url: str = "ur
 
     Payload is the html in UTF-8; null url and html count as empty. Of equal payloads of at least min_bytes, the one with the
     least id is the response, the others revisit it. A null id sorts first, and is a response only if no other row has its
-    payload's digest with an id. Of rows that share the least id and payload, all are responses. An empty table writes
-    nothing.
+    payload's digest with an id. Of rows that share the least id and payload, all are responses; such rows are all in one shard,
+    whose task streams them and rolls its files. An empty table writes nothing. Other columns don't matter.
     """
     slim = pages.select(F.col(key).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    bounds = shard_bounds(slim, "page_id", F.octet_length("html").cast("long"), shard_bytes)
+    digested = digests(slim, "page_id", "html")
+    bounds = shard_bounds(digested, shard_bytes)
     shards = len(bounds) + 1
+    shared = pages.sparkSession.sparkContext.broadcast(bounds)
 
     @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        found = np.searchsorted(np.array(bounds), ids.fillna(-(1 << 62)).to_numpy(), "right") if bounds else np.zeros(len(ids))
-        return pd.Series(found.astype(np.int32))
+    def shard_of(ids: pd.Series, sha1: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, places(ids, sha1), "right").astype(np.int32))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: _Shard | None = None
@@ -173,7 +209,7 @@ def write_warc(pages: DataFrame, base: str, key: str = "page_id", url: str = "ur
             yield pa.RecordBatch.from_arrays([pa.array([json.dumps(m, sort_keys=True) for m in made])], names=["manifest"])
 
     whole = slim.withColumn("payload_sha1", F.sha1(F.encode("html", "utf-8"))).withColumn("refers_to", F.lit(None).cast("long"))
-    both = whole.unionByName(revisits(slim, "page_id", "html", min_bytes), allowMissingColumns=True).withColumn("shard", shard_of("page_id"))
+    both = whole.unionByName(revisits(digested, min_bytes), allowMissingColumns=True).withColumn("shard", shard_of("page_id", "payload_sha1"))
     # a shard is bounded in bytes, so a task holds one or a few whole; payloads are moved once
     order = ("shard", F.asc_nulls_first("page_id"), "payload_sha1", F.desc_nulls_last("refers_to"), "url")
     dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions(*order)
@@ -202,7 +238,8 @@ def _records(stream: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_warc(spark: SparkSession, base: str, manifests: list[dict]) -> DataFrame:
     """One row per record of the files that manifests list: page_id, url, record_type, payload_digest, payload_bytes, refers_to,
-    payload (null for a revisit). Every block's digest is checked, and every response's payload against its own."""
+    payload (null for a revisit). Every block's digest is checked, and every response's payload against its own. Records
+    without an id have a null page_id, repeated records are as many rows, no files none."""
     names = [(f["name"],) for m in manifests for f in m["files"]]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +270,7 @@ _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type"
 
 
 def archive(spark: SparkSession, pages: DataFrame, **settings: int) -> DataFrame:
-    """pages written to a fresh folder of the shared space, and read back."""
+    """pages written to a fresh folder of the shared space, and read back: a row for each row, nulls, repeats and all, as
+    write_warc says; none for an empty table."""
     base = fresh_path(spark, "warc")
     return read_warc(spark, base, write_warc(pages, base, **settings))

@@ -98,6 +98,19 @@ def test_simhash_components(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == len({find(i) for i in range(len(fps))})
 
 
+def test_keep_one_keeps_whole_rows(spark, empty):
+    rows = [(7, "a b c d", "keep", "x", 1, {"a": 1}), (7, "a b c d", "other", "y", 2, {"b": 1}), (9, "a b c d", "z", "z", 3, None), (None, "q", "n", "n", 4, None), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, `a.b` string, fp int, m map<string,int>")
+    for parts in (1, 3, 5):
+        got = simhash.keep_one(df.repartition(parts))
+        assert got.columns == df.columns
+        first, *rest = sorted(map(tuple, got.collect()), key=str)
+        assert len(rest) == 2 and first in rows[:2]
+        assert parts == 1 or first == seen
+        seen = first
+    assert simhash.keep_one(empty).count() == 0
+
+
 def test_simhash_links_are_complete(spark):
     rnd = random.Random(1)
     values = set()
@@ -193,7 +206,9 @@ def test_chat_round_trip(spark):
     want = {}
     for k, n, r, t in sorted(turns, key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
         want.setdefault(k, []).append((r or "", t or ""))
-    assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in out} == want
+    assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in out} == want and len(out) == len(want)
+    alone = chat.parse_chats(chat.format_chats(df.where("conv_id is null").unionByName(df.where("conv_id is null")))).collect()
+    assert [len(r["turns"]) for r in alone] == [1, 1]
     for r in out:
         spans = [r["formatted"][s["start"] : s["end"]] for s in r["loss_mask"]]
         assert [re.sub(r"<\\(\\*)\|", r"<\1|", s) for s in spans] == [t for role, t in want[r["conv_id"]] if role == "assistant"]
@@ -205,15 +220,22 @@ def test_chat_layouts(spark):
     records = [
         ("a", {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "r"}]}), ("b", {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "r"}]}),
         ("c", {"instruction": "q", "input": "i", "output": "r"}), ("d", {"prompt": "q", "completion": "r"}), ("e", {"system": "s", "prompt": "q", "response": "r"}), ("f", {"other": 1}), ("g", None),
+        ("h", {"id": 7, "source": "x", "messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "r"}], "prompt": "p"}), ("i", {"messages": []}), ("j", {"prompt": "q", "response": "r", "input": 3}),
     ]
     df = spark.createDataFrame([(k, None if v is None else json.dumps(v)) for k, v in records], "id string, j string")
     got = {}
     for r in chat.turns_from_json(df, "id", "j").orderBy("id", "turn").collect():
         got.setdefault(r["id"], []).append((r["role"], r["text"]))
     pair = [("user", "q"), ("assistant", "r")]
-    assert got == {"a": pair, "b": pair, "c": [("user", "q\n\ni"), ("assistant", "r")], "d": pair, "e": [("system", "s"), *pair], "f": [(None, None)], "g": [(None, None)]}
+    assert got == {"a": pair, "b": pair, "c": [("user", "q\n\ni"), ("assistant", "r")], "d": pair, "e": [("system", "s"), *pair], "f": [(None, None)], "g": [(None, None)], "h": pair, "i": [(None, None)], "j": pair}
     with pytest.raises(ValueError):
         chat.turns_from_table(df.withColumnRenamed("j", "prompt"), "id")
+    flat = spark.createDataFrame([(1, 0, "user", "q", "x", "y", None)], "conv_id long, turn int, role string, text string, input string, messages string, system string")
+    assert [tuple(r) for r in chat.turns_from_table(flat).collect()] == [(1, 0, "user", "q")]
+    said = spark.createDataFrame([(1, [("user", "q", "n")], "p")], "conv_id long, messages array<struct<role:string,content:string,name:string>>, prompt string")
+    assert [tuple(r) for r in chat.turns_from_table(said).collect()] == [(1, 0, "user", "q")]
+    pairs = spark.createDataFrame([("q", "r", 1, "x")], "prompt string, response string, conv_id long, output string")
+    assert [tuple(r) for r in chat.turns_from_table(pairs).collect()] == [(1, 0, "user", "q"), (1, 1, "assistant", "r")]
 
 
 # --- 5 -------------------------------------------------------------------------------------------------------------------
@@ -275,6 +297,32 @@ def test_redact_overlapping_spans(spark):
     assert got[0][0] == "at <IP> end" and got[1][0] == "<EMAIL>, x"
 
 
+def test_personal_data_follows_chains_of_patterns(spark):
+    # each context is known by the values of the one before: four steps from the seeds
+    steps, texts = ["alpha", "bravo", "charlie", "delta", "echo"], []
+    for k, word in enumerate(steps):
+        values = [f"10.0.{n}.7" for n in range(3)] if k == 0 else [f"Q{k - 1}X{n}77" for n in range(4)]
+        new = [f"Q{k}X{n}77" for n in range(1)] if k == 0 else []
+        texts += [f"{sentence(3)} {word} {v} {sentence(2)}" for v in values + new]
+    far = spark.createDataFrame([(w, "9.9.9.9" if k == 0 else f"s{k}", v, "ip" if k == 0 else None) for k, w in enumerate(steps) for v in ([f"v{k}{n}" for n in range(8)] + ([f"v{k - 1}{n}" for n in range(8)] * (k > 0))) ], "context string, shape string, value string, kind string")
+    # half of a pattern's values known isn't enough, nine in ten is
+    assert {r["context"] for r in pii.bootstrap(far, 3, 0.5).collect()} == set(steps) and {r["context"] for r in pii.bootstrap(far, 3, 0.9).collect()} == {"alpha"}
+
+
+def test_redact_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cd now", "s", 5, "h", "k"), (1, "mail a@b.cd now", "s", 5, "h", "k"), (None, None, "t", 6, "i", "l"), (2, "", None, None, None, None)], "doc_id long, text string, spans string, _k int, text_hash string, `x.y` string")
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    assert Counter(map(tuple, got.collect())) == Counter([(1, "mail <EMAIL> now", "s", 5, "h", "k")] * 2 + [(None, None, "t", 6, "i", "l"), (2, "", None, None, None, None)])
+    assert pii.redact(df.where("false")).count() == 0
+
+
+def test_context_reaches_over_long_gaps(spark):
+    text = "customer id" + " " * 500 + "AB12345 " + "x" * 200_000 + " 10.0.0.1"
+    found = pii.with_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["candidates"]
+    assert found[0]["context"].strip() == "id" and found[-1]["context"] == "x" * 200_000 + " "
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------------
 
 def _check_packing(rows, documents, ids_of, capacity=4096):
@@ -445,6 +493,9 @@ def test_quality_rules(spark, empty):
     assert all(got[i] for i in range(200)) and not any(got[i] for i in range(200, 320))
     kept = quality.keep_good(df, labels)
     assert kept.columns == df.columns and kept.count() == 201
+    odd = df.withColumn("_row", F.lit("r")).withColumn("kept", F.lit(1)).withColumn("bad", F.lit(0)).withColumn("n_words", F.lit("w"))
+    assert quality.keep_good(odd, labels).columns == odd.columns and quality.keep_good(odd, labels).where("_row = 'r' and n_words = 'w'").count() == 201
+    assert quality.keep_good(df.where("false"), labels).count() == 0
     assert quality.quality_verdicts(df, labels.where("false")).where("kept").count() == 321
     assert quality.quality_verdicts(empty.select("doc_id", "text"), labels).count() == 0
 
@@ -469,6 +520,18 @@ def test_warc(spark, tmp_path):
     assert warc.archive(spark, df.where("false")).count() == 0
 
 
+def test_warc_shards_hold_equal_bytes(spark, tmp_path):
+    # one id with many payloads, ids without a value, and one very large page
+    pages = [(5 if i % 3 == 0 else None if i % 3 == 1 else i, f"http://h/{i}", f"{i} " + "y" * 1000) for i in range(300)] + [(9_999, "http://h/big", "z" * 50_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    bounds = warc.shard_bounds(warc.digests(df, "page_id", "html"), 20_000)
+    assert len(bounds) == 15
+    base = f"file://{tmp_path}/w"
+    manifests = warc.write_warc(df, base, shard_bytes=20_000)
+    records = [sum(f["records"] for f in m["files"]) for m in manifests]
+    assert sum(records) == 301 and max(records) <= 21 and warc.read_warc(spark, base, manifests).count() == 301
+
+
 def test_warc_is_deterministic(spark, tmp_path):
     df = spark.createDataFrame([(i, f"http://h/{i}", sentence(40)) for i in range(200)], "page_id long, url string, html string")
     digests = []
