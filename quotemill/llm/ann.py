@@ -1,41 +1,46 @@
 """Approximate nearest neighbours from balanced posting lists.
 
-Centroids are fitted on a bounded sample and linked into a neighbour graph that every task searches in memory. Each vector is
-posted to its nearest centroid's list, and near a boundary also to the lists of the next ones. How many of the nearest lists a
+Centroids are fitted on a bounded sample and linked into a neighbour graph that every task searches in memory. Each distinct
+vector is posted to its nearest centroid's list, and near a boundary also to the next one's. How many of the nearest lists a
 query reads is measured: a sample of queries is answered by brute force, and as many lists are read as give their neighbours
-with the wanted recall. Long lists are parted evenly, so no task holds more than a part.
+with the wanted recall. Long lists are parted evenly, so no task holds more than a part. Vectors travel as bytes of their own
+element type; blocks of queries and vectors are compared at once, and what comes near is measured exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from quotemill.llm.common import cut
+from quotemill.llm.common import cut, written
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Vectors that the centroids are fitted on at most; bounds the driver's share.
+    #: Vectors, and their bytes, that the centroids are fitted on at most; bounds the driver's share.
     sample: int = 40_000
+    sample_bytes: int = 64 << 20
     #: Vectors to a list on average, and lists at most: bounds what is broadcast (16 MB of centroids of 64 dimensions).
     per_list: int = 160
     max_lists: int = 65_536
     #: A vector is posted to at most so many lists, those within this ratio of the distance to its nearest centroid.
-    copies: int = 4
+    copies: int = 2
     post_ratio: float = 1.10
     #: A query reads at least so many lists, and as many more as the sample of probes needs for this recall.
     reads: int = 64
     recall: float = 0.95
     probes: int = 128
     #: Neighbours of a centroid in the graph, and width of a search.
-    degree: int = 24
-    width: int = 96
+    degree: int = 16
+    width: int = 32
     #: Vectors, and queries, of a part of a list.
     part: int = 4_096
 
@@ -129,14 +134,18 @@ class Graph:
         return np.argsort(d, axis=1, kind="stable")[:, :limit]
 
 
-def _posts(graph, limit: int, ratio: float, width: int):
+def _vectors(column: pd.Series, kind: str) -> np.ndarray:
+    """Bytes of vectors of one length as rows of double precision."""
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
+
+
+def _posts(graph, limit: int, ratio: float, width: int, kind: str):
     @F.pandas_udf("array<int>")
     def lists(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in vectors:
             out: list = []
             for at in range(0, len(batch), 512):
-                x = np.vstack(batch.iloc[at : at + 512].to_numpy()).astype(np.float32)
-                nodes, d = graph.value.search(x, width)
+                nodes, d = graph.value.search(_vectors(batch.iloc[at : at + 512], kind).astype(np.float32), width)
                 ok = (d <= d[:, :1] * ratio + 1e-12)[:, :limit] & np.isfinite(d[:, :limit])
                 out += [n[k].tolist() for n, k in zip(nodes[:, :limit], ok, strict=True)]
             yield pd.Series(out, dtype=object)
@@ -144,7 +153,7 @@ def _posts(graph, limit: int, ratio: float, width: int):
     return lists
 
 
-def _ranked(graph, first: int, limit: int):
+def _ranked(graph, first: int, limit: int, kind: str):
     """Lists from the first-th nearest to before the limit-th, by the distances to all centroids: lists of equal distance
     come by their number, so that ranges of one query never overlap."""
 
@@ -153,16 +162,56 @@ def _ranked(graph, first: int, limit: int):
         for batch in vectors:
             out: list = []
             for at in range(0, len(batch), 128):
-                out += [list(map(int, n)) for n in graph.value.ranked(np.vstack(batch.iloc[at : at + 128].to_numpy()), limit)[:, first:]]
+                out += [list(map(int, n)) for n in graph.value.ranked(_vectors(batch.iloc[at : at + 128], kind), limit)[:, first:]]
             yield pd.Series(out, dtype=object)
 
     return lists
 
 
-def _reads_for(indexed: DataFrame, asked: DataFrame, graph: Graph, k: int, settings: Settings) -> int:
+def _packed(df: DataFrame, key: str, vector: str, id_name: str, name: str) -> tuple[DataFrame, str]:
+    """(id_name, dim, name) of the usable rows, vectors as bytes; and the numpy type of their elements."""
+    single = isinstance(df.schema[vector].dataType, ArrayType) and isinstance(df.schema[vector].dataType.elementType, FloatType)
+    kind, element = ("<f4", "float") if single else ("<f8", "double")
+    rows = df.select(F.col(key).cast("long").alias(id_name), F.col(vector).cast(f"array<{element}>").alias(name)).where(F.col(id_name).isNotNull() & usable(name))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            column = pa.array(column.to_pylist(), column.type) if column.offset else column
+            flat, ends = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), kind), column.offsets.to_numpy()
+            at = ((ends - ends[0]) * flat.itemsize).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(flat.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int32)), data], names=[id_name, "dim", name])
+
+    return rows.mapInArrow(pack, f"{id_name} long, dim int, {name} binary"), kind
+
+
+def _best(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, id, distance): of each query the k nearest ids other than its own among the vectors x, each of which
+    has one id or several. Distances by product pick what may count, with room for their rounding; those are measured exactly."""
+    qn, xn = (q**2).sum(1), (x**2).sum(1)
+    rough = qn[:, None] + xn - 2 * (q @ x.T)
+    n = min(k + 1, len(x))  # its own vector may be one of them
+    reach = np.partition(rough, n - 1, axis=1)[:, n - 1] + 1e-9 * (qn + xn.max())
+    at, node = np.nonzero(rough <= reach[:, None])
+    exact = np.concatenate([np.sqrt(((x[node[b : b + 65_536]] - q[at[b : b + 65_536]]) ** 2).sum(1)) for b in range(0, max(1, len(at)), 65_536)])
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    starts, flat, times = np.cumsum(counts) - counts, np.concatenate(ids).astype(np.int64), counts[node]
+    row = np.repeat(np.arange(len(at)), times)
+    found = flat[starts[node[row]] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)]
+    place, score = at[row], exact[row]
+    other = found != own[place]
+    place, found, score = place[other], found[other], score[other]
+    order = np.lexsort((found, score, place))
+    place, found, score = place[order], found[order], score[order]
+    rank = np.arange(len(place)) - np.searchsorted(place, place)
+    return place[rank < k], found[rank < k], score[rank < k]
+
+
+def _reads_for(indexed: DataFrame, asked: DataFrame, graph: Graph, k: int, settings: Settings, kind: str, query_kind: str) -> int:
     """Lists to read so that the probes, a hash sample of the queries, find settings.recall of their true k nearest rows.
 
-    Each task keeps the k best rows of each probe as it passes over its rows; the lists that hold the true neighbours, and
+    Each task keeps the best vectors of each probe as it passes over its rows; the lists that hold the true neighbours, and
     their places in the probe's order of lists, give the recall of every number of reads at once."""
     n = len(graph.centroids)
     if n <= settings.reads:
@@ -170,7 +219,7 @@ def _reads_for(indexed: DataFrame, asked: DataFrame, graph: Graph, k: int, setti
     probes = asked.orderBy(F.xxhash64("query_id"), "query_id", "q").limit(settings.probes).toPandas()
     if not len(probes):
         return settings.reads
-    ids, q = probes["query_id"].to_numpy(), np.vstack(probes["q"].to_numpy())
+    own, q = probes["query_id"].to_numpy(), _vectors(probes["q"], query_kind)
     norms = (q**2).sum(1)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,64 +227,74 @@ def _reads_for(indexed: DataFrame, asked: DataFrame, graph: Graph, k: int, setti
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 rows = batch.iloc[at : at + 4096]
-                x, of = np.vstack(rows["v"].to_numpy()), rows["vec_id"].to_numpy()
+                x = _vectors(rows["v"], kind)
                 d = np.maximum(norms[:, None] + (x**2).sum(1) - 2 * q @ x.T, 0)
-                d[ids[:, None] == of] = np.inf
-                top = np.argpartition(d, min(k, len(x)) - 1, axis=1)[:, :k]
-                probe = np.repeat(np.arange(len(q)), top.shape[1])
-                made = pd.DataFrame({"probe": probe, "vec_id": of[top.ravel()], "score": np.take_along_axis(d, top, 1).ravel(), "lists": rows["lists"].to_numpy()[top.ravel()]})
-                made = made[np.isfinite(made["score"])]
+                top = np.argpartition(d, min(k + 1, len(x)) - 1, axis=1)[:, : k + 1]
+                probe, place = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
+                made = pd.DataFrame({"probe": probe, "score": np.take_along_axis(d, top, 1).ravel(), "ids": rows["ids"].to_numpy()[place], "lists": rows["lists"].to_numpy()[place]})
                 held = made if held is None else pd.concat([held, made])
-                held = held.sort_values(["probe", "score", "vec_id"]).groupby("probe").head(k)
+                held = held.sort_values(["probe", "score"], kind="stable").groupby("probe").head(k + 1)
         if held is not None and len(held):
             yield held
 
-    found = indexed.select("vec_id", "v", "lists").mapInPandas(best, "probe int, vec_id long, score double, lists array<int>")
-    true = found.withColumn("_n", F.row_number().over(Window.partitionBy("probe").orderBy("score", "vec_id"))).where(F.col("_n") <= k).select("probe", "lists").toPandas()
-    if not len(true):
-        return settings.reads
+    found = indexed.select("v", "ids", "lists").mapInPandas(best, "probe int, score double, ids array<long>, lists array<int>")
+    order = Window.partitionBy("probe").orderBy("score", "ids")
+    near = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).toPandas()  # k + 1 rows for each probe
+    near = near.sort_values(["probe", "_n"])
     place = np.empty((len(q), n), np.int32)
     np.put_along_axis(place, graph.ranked(q, n), np.arange(n, dtype=np.int32)[None, :], 1)
-    needed = np.sort([place[p, list(lists)].min() + 1 for p, lists in zip(true["probe"], true["lists"], strict=True)])
+    needed: list[int] = []
+    for probe, rows in near.groupby("probe"):
+        true = [place[probe, list(lists)].min() + 1 for ids, lists in zip(rows["ids"], rows["lists"], strict=True) for i in ids if i != own[probe]]
+        needed += true[:k]
+    if not needed:
+        return settings.reads
+    needed.sort()
     return int(max(settings.reads, needed[int(np.ceil(settings.recall * len(needed))) - 1]))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()) -> DataFrame:
-    """For each distinct row of queries(key, vector) its k nearest rows of vectors found, other than that of its own key:
-    query_id, rank from 1, vec_id, score: Euclidean distance in double precision, ties to the smaller id.
+_OUT = "query_id long, rank int, vec_id long, score double"
 
-    Vectors that are null, zero, of another length than the commonest (of equal ones the least), or hold null or non-finite
-    components take no part, nor do rows of a null key. Copies of a vector: those of the k + 1 least ids are posted, and no
-    other can be among k nearest, so that copies don't fill lists. Repeated rows count once. Empty tables give an empty
-    result.
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()) -> DataFrame:
+    """For each distinct row of queries(key, vector) its k nearest rows of vectors found, other than those of its own key:
+    query_id, rank from 1, vec_id, score: Euclidean distance in double precision, ties to the smaller id. All candidates, if
+    there are fewer than k.
+
+    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows of a null key. Vectors of
+    different lengths have no distance: each length is a search of its own (there are a handful). Copies of a vector are one
+    entry with the k + 1 least of their ids: no other can be among k nearest, and copies don't fill lists. Repeated rows count
+    once. Empty tables give an empty result. Other columns don't matter.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
-    lengths = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    out = "query_id long, rank int, vec_id long, score double"
-    if lengths is None:
-        return spark.createDataFrame([], out)
-    dim = lengths["dim"]
-    # the limit is applied in each map task before the shuffle
-    alike = Window.partitionBy("v").orderBy("vec_id")
-    kept = rows.where(F.size("v") == dim).withColumn("_n", F.dense_rank().over(alike)).where(F.col("_n") <= k + 1).select("vec_id", "v")
-    kept = cut(kept.groupBy("vec_id", F.hash("v").alias("_h")).agg(F.first("v").alias("v")).drop("_h"))
-    n = kept.count()
-    every = max(1, n // settings.sample)
-    sample = kept.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).select("v").toPandas()
+    rows, kind = _packed(vectors, key, vector, "vec_id", "v")
+    asked, query_kind = _packed(queries, key, vector, "query_id", "q")
+    # the limit is applied in each map task before the shuffle, and the grouping needs no other
+    alike = Window.partitionBy("dim", "v").orderBy("vec_id")
+    nodes = rows.withColumn("_n", F.dense_rank().over(alike)).where(F.col("_n") <= k + 1).groupBy("dim", "v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    nodes, asked = written(nodes, "vectors"), written(asked.distinct(), "queries")
+    sizes = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    wanted = sorted(set(sizes) & {r["dim"] for r in asked.select("dim").distinct().collect()})
+    parts = [_nearest(nodes.where(F.col("dim") == d).drop("dim"), asked.where(F.col("dim") == d).drop("dim"), sizes[d], d, kind, query_kind, k, settings) for d in wanted]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _OUT)
+
+
+def _nearest(nodes: DataFrame, asked: DataFrame, n: int, dim: int, kind: str, query_kind: str, k: int, settings: Settings) -> DataFrame:
+    """nodes(v, ids), asked(query_id, q), all of dim components."""
+    size = max(1, min(settings.sample, settings.sample_bytes // (dim * 8)))
+    every, hashed = max(1, n // size), F.xxhash64("v")
+    sample = nodes.where(F.pmod(hashed, F.lit(every)) == 0).orderBy(hashed, "v").limit(size).select("v").toPandas()
     if not len(sample):
-        sample = kept.limit(settings.sample).select("v").toPandas()
-    found = fit_centroids(np.vstack(sample["v"].to_numpy()).astype(np.float32), min(settings.max_lists, -(-n // settings.per_list)))
-    graph = spark.sparkContext.broadcast(Graph(found, settings.degree))
-    asked = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q")).where(F.col("query_id").isNotNull() & usable("q", dim)).distinct()
-    asked = cut(asked)
-    indexed = cut(kept.withColumn("lists", _posts(graph, settings.copies, settings.post_ratio, settings.width)("v")))
-    posted = indexed.select("vec_id", "v", F.explode("lists").alias("list"))
-    first, last, made = 0, _reads_for(indexed, asked, graph.value, k, settings), None
+        sample = nodes.limit(size).select("v").toPandas()
+    found = fit_centroids(_vectors(sample["v"], kind).astype(np.float32), min(settings.max_lists, -(-n // settings.per_list)))
+    graph = nodes.sparkSession.sparkContext.broadcast(Graph(found, settings.degree))
+    indexed = written(nodes.withColumn("lists", _posts(graph, settings.copies, settings.post_ratio, settings.width, kind)("v")), "posted")
+    posted = indexed.select("v", "ids", F.explode("lists").alias("list"))
+    first, last, made = 0, _reads_for(indexed, asked, graph.value, k, settings, kind, query_kind), None
     while True:
-        seek = _ranked(graph, first, last)
-        sought = cut(asked.withColumn("lists", seek("q"))).select("query_id", "q", F.explode("lists").alias("list"))
-        now = cut(_search(posted, sought, k, settings))
+        seek = _ranked(graph, first, last, query_kind)
+        sought = asked.withColumn("lists", seek("q")).select("query_id", "q", F.explode("lists").alias("list"))
+        now = cut(_search(posted, sought, k, settings, kind, query_kind))
         made = now if made is None else made.unionByName(now)
         if last >= len(found):
             break
@@ -251,27 +310,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _search(posted: DataFrame, sought: DataFrame, k: int, settings: Settings) -> DataFrame:
-    """posted(list, vec_id, v), sought(list, query_id, q) -> query_id, vec_id, score: the k nearest rows of each list's part."""
-    # parts of a list: each holds as many vectors, and meets as many queries, as Settings.part at most on average
-    parts = posted.groupBy("list").agg(F.ceil(F.count("*") / settings.part).cast("int").alias("v_parts")).join(
-        sought.groupBy("list").agg(F.ceil(F.count("*") / settings.part).cast("int").alias("q_parts")), "list")
-    left = posted.join(parts, "list").withColumn("v_part", F.pmod(F.xxhash64("vec_id"), F.col("v_parts")).cast("int")).withColumn("q_part", F.explode(F.expr("sequence(0, q_parts - 1)"))).select("list", "v_part", "q_part", "vec_id", "v")
-    right = sought.join(parts, "list").withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int")).withColumn("v_part", F.explode(F.expr("sequence(0, v_parts - 1)"))).select("list", "v_part", "q_part", "query_id", "q")
+def _search(posted: DataFrame, sought: DataFrame, k: int, settings: Settings, kind: str, query_kind: str) -> DataFrame:
+    """posted(list, v, ids), sought(list, query_id, q) -> query_id, vec_id, score: the k nearest rows of each list's part."""
+    # parts of a list: each holds as many vectors, and meets as many queries, as Settings.part at most on average; a row for each
+    # of max_lists lists at most is broadcast
+    parts = cut(posted.groupBy("list").agg(F.ceil(F.count("*") / settings.part).cast("int").alias("v_parts")).join(
+        sought.groupBy("list").agg(F.ceil(F.count("*") / settings.part).cast("int").alias("q_parts")), "list"))
+    left = posted.join(F.broadcast(parts), "list").withColumn("v_part", F.pmod(F.xxhash64("v"), F.col("v_parts")).cast("int")).withColumn("q_part", F.explode(F.expr("sequence(0, q_parts - 1)"))).select("list", "v_part", "q_part", "v", "ids")
+    right = sought.join(F.broadcast(parts), "list").withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int")).withColumn("v_part", F.explode(F.expr("sequence(0, v_parts - 1)"))).select("list", "v_part", "q_part", "query_id", "q")
 
     def near(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(vs) or not len(qs):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        ids, x = vs["vec_id"].to_numpy(), np.vstack(vs["v"].to_numpy())
-        made = []
-        for query, q in zip(qs["query_id"], qs["q"], strict=True):
-            d = np.sqrt(((x - np.asarray(q)) ** 2).sum(1))
-            d[ids == query] = np.inf
-            best = np.lexsort((ids, d))[:k] if len(d) <= 4 * k else (c := np.flatnonzero(d <= np.partition(d, k)[k]))[np.lexsort((ids[c], d[c]))[:k]]
-            best = best[np.isfinite(d[best])]
-            made.append((np.full(len(best), query), ids[best], d[best]))
-        q, v, s = (np.concatenate(c) for c in zip(*made, strict=True))
-        return pd.DataFrame({"query_id": q.astype(np.int64), "vec_id": v.astype(np.int64), "score": s})
+            return empty
+        x, q, own, ids = _vectors(vs["v"], kind), _vectors(qs["q"], query_kind), qs["query_id"].to_numpy(), list(vs["ids"])
+        made = [empty]
+        for at in range(0, len(q), 256):
+            place, found, score = _best(q[at : at + 256], own[at : at + 256], x, ids, k)
+            made.append(pd.DataFrame({"query_id": own[at : at + 256][place], "vec_id": found, "score": score}))
+        return pd.concat(made)
 
     on = ["list", "v_part", "q_part"]
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(near, "query_id long, vec_id long, score double")

@@ -417,6 +417,30 @@ def test_neighbours(spark):
     assert ann.nearest(df.where("false"), df.where("false")).count() == 0
     few = df.where("vec_id in (100, 200, 300)")
     assert ann.nearest(few, few).count() == 6
+    clash = df.withColumnsRenamed({"vec_id": "key", "embedding": "x"}).withColumn("v", F.lit(1)).withColumn("ids", F.lit("i")).withColumn("list", F.lit(2)).where("key is null or key < 300")
+    assert ann.nearest(clash, clash.where("key = 100"), key="key", vector="x").count() == 10
+
+
+def test_neighbours_of_each_length(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(c) for c in rng.normal(size=4 if i % 3 else 6)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id < 6")).collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    vectors = {i: np.array(v, np.float32).astype(float) for i, v in rows}
+    for q in range(6):
+        want = sorted((float(np.sqrt(((vectors[q] - v) ** 2).sum())), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))[:10]
+        assert [i for _, i in sorted(got[q])] == [i for _, i in want] and np.allclose([s for s, _ in sorted(got[q])], [s for s, _ in want], atol=1e-12)
+
+
+def test_neighbours_in_far_groups(spark):
+    # groups of five far from each other: lists of the nearest centroids hold fewer than ten
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(size=(1600, 8)), *(1000 * (g + 1) + rng.normal(size=(5, 8)) for g in range(6))])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = Counter(r["query_id"] for r in ann.nearest(df, df.where("vec_id >= 1600"), settings=ann.Settings(per_list=4, reads=2, recall=0.01)).collect())
+    assert found == Counter({i: 10 for i in range(1600, 1630)})
 
 
 def test_neighbours_reads_follow_recall(spark):
