@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,21 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+_SPACE = re.compile("[ \t-\r]")
+
+
+def blocks(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """Parts of about size characters, cut before white space; a stretch without any stays whole."""
+    at = 0
+    while len(text) - at > size:
+        space = _SPACE.search(text, at + size)
+        if not space:
+            break
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:] if at else text
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of UTF-8 text with A-Z lower-cased: bytes.split() and bytes.lower() know ASCII only."""
     return text.lower().split()

@@ -1,152 +1,323 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax, beside an add-half unigram base.
 
-A token's probability is p(class | context) p(unit | class, context) p(token | unit). Classes are hashes of a token's last
-letters; a unit is one of the most frequent tokens, or the rest of a class; within the rest add-half frequencies hold, with a
-place for unseen tokens. Contexts are hashed too: the token before (n-gram), the one before that (skip) and both together.
-
-All features are functions of the hashed contexts, so counts per context and outcome are the training set: Spark sums them
-over every training token, and gradient updates run over those sums, whose size the hashes bound.
+A token's probability is p(class | before, skipped) p(token | class, before). Classes are hashes of a token's last letters.
+
+- The class softmax has features of the token before (n-gram), of the one before that (skip), and of both together, hashed.
+- Within a class each context (the whole word before, and the class) has units of its own: every successor that training saw
+  twice or more has a feature, hashed to 2**48, and the rest of the class is one unit, under which a token has its add-half
+  frequency in the class, with a place for unseen tokens. The softmax over a context's units adds to one, and so does the rest.
+
+Texts are tokenised once, into chunks of numpy arrays. What a chunk asks for (its distinct tokens and features, sorted, with
+their counts in training texts) goes to blocks of the hash space, as many as the corpus needs; a block sums over all chunks,
+trains the units of its contexts by gradient updates, and answers each chunk in the order it asked. So counts and features grow
+with the corpus and no task holds more than a block and a chunk. The class softmax learns from counts of hashed contexts over
+all training tokens; each round Spark sums the gradients by feature.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import cut, text_or_empty, words_of, written
+from quotemill.llm.common import blocks, cut, text_or_empty, words_of, written
 
 #: The end of a text; no word can be this.
 END = b"\n"
-#: Tokens with a unit of their own at most: bounds what is collected and broadcast.
-HEAD = 8_192
 #: Classes of last letters; one more is that of the end alone.
 SUFFIXES = 63
 CLASSES = SUFFIXES + 1
-#: Context buckets: the start of a text, the most frequent tokens, and the last letters of others.
-OWN = 64
-BUCKETS = 1 + OWN + SUFFIXES
-#: Hash buckets of pairs of contexts.
-PAIRS = 2_048
-ROUNDS, STEP, PRIOR = 20, 0.35, 1.0
-#: Tokens that a worker holds at once, and distinct ones before it passes their counts on.
-_CHUNK, _FLUSH = 400_000, 300_000
-_BLOCK = 1 << 20
+#: Buckets of the token before and of the one before it: the start of a text, the most frequent tokens, and hashes of others.
+BEFORE, BEFORE_OWN = 512, 255
+SKIPPED, SKIPPED_OWN = 64, 31
+CONTEXTS = BEFORE * SKIPPED
+#: Hash buckets of pairs of them.
+PAIRS = 4_096
+ROUNDS, STEP, PRIOR = 16, 0.35, 1.0
+#: Bits of a hashed context (word and class) and of a hashed successor; a successor has a feature from so many occurrences on,
+#: and leaves this much of its count to the rest.
+CONTEXT_BITS, TOKEN_BITS, LEAST, DISCOUNT = 26, 22, 2, 0.75
+#: Tokens, and distinct ones, of a chunk; characters of the corpus to a block.
+CHUNK_TOKENS, CHUNK_WORDS = 2_000_000, 400_000
+BLOCK_CHARS = 12_000_000
+_START = np.uint64(0)
 
 
 def held_out(key: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "utf-8")) % 5 == 1
 
 
-def suffix(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % SUFFIXES
-
-
-def _chunks(texts: list[str]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Tokens with the number of their text, ends included, some 400,000 at a time; long texts go on in the next."""
-    words: list[bytes] = []
-    of: list[tuple[int, int]] = []
-    for i, text in enumerate(texts):
-        at = 0
-        while at < len(text):
-            end = text.find(" ", at + _BLOCK)
-            end = len(text) if end < 0 else end
-            found = words_of(text[at:end].encode("utf-8", "surrogatepass"))
-            words += found
-            of.append((i, len(found)))
-            at = end
-            if len(words) >= _CHUNK:
-                yield words, np.repeat(*np.array(of).T)
-                words, of = [], []
-        words.append(END)
-        of.append((i, 1))
-    if words:
-        yield words, np.repeat(*np.array(of).T)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
-        counts.clear()
-        return out
+def token_class(word: bytes) -> int:
+    return SUFFIXES if word == END else zlib.crc32(word[-2:]) % SUFFIXES
 
-    for batch in batches:
-        for words, _ in _chunks(batch.column(0).to_pylist()):
-            counts.update(words)
-            if len(counts) >= _FLUSH:
-                yield flush()
-    if counts:
-        yield flush()
+
+def token_hash(word: bytes) -> int:
+    """58 bits of the word's hash, then six of its class."""
+    return xxhash.xxh64_intdigest(word) & ~63 | token_class(word)
+
+
+# --- arrays in cells -----------------------------------------------------------------------------------------------------
+
+def _pack(a: np.ndarray) -> bytes:
+    """An array as compressed planes of its bytes: of sorted differences and small numbers few planes cost anything."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+    return struct.pack("<q", len(a)) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    n, size = struct.unpack_from("<q", data)[0], np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def _pack_sorted(a: np.ndarray) -> bytes:
+    return _pack(np.diff(a, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, "<u8"), dtype=np.uint64)
 
 
-class _Units(dict):
-    """token -> unit; a token without one has that of its class's rest."""
+# --- chunks --------------------------------------------------------------------------------------------------------------
+
+class _Ids(dict):
+    """word -> number, in the order of first appearance."""
 
     def __missing__(self, word: bytes) -> int:
-        return HEAD + suffix(word)
+        self[word] = n = len(self)
+        return n
+
+
+class _Chunk:
+    """Tokens of texts in a row. lead tokens, at most two, stand before those of a text that an earlier chunk began."""
 
+    def __init__(self, lead: list[bytes]):
+        self.ids, self.lead = _Ids(), len(lead)
+        self.parts = [np.fromiter(map(self.ids.__getitem__, lead), np.int64, len(lead))]
+        self.tokens, self.texts = 0, []
 
-class Vocabulary:
-    """Units of the head tokens in order of frequency, and the class and context bucket of each unit."""
+    def add(self, words: list[bytes]) -> None:
+        self.parts.append(np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)))
+        self.tokens += len(words)
+        self.texts[-1][3] += len(words)
 
-    def __init__(self, head: list[bytes]):
-        self.units = _Units({w: i for i, w in enumerate(head)})
-        classes = np.full(HEAD + SUFFIXES, 0, np.int64)
-        classes[: len(head)] = [SUFFIXES if w == END else suffix(w) for w in head]
-        classes[HEAD:] = np.arange(SUFFIXES)
-        self.classes, self.real = classes, np.r_[np.arange(HEAD) < len(head), np.ones(SUFFIXES, bool)]
-        self.buckets = 1 + OWN + np.minimum(classes, SUFFIXES - 1)
-        self.buckets[: min(OWN, len(head))] = 1 + np.arange(min(OWN, len(head)))
+    def full(self) -> bool:
+        return self.tokens >= CHUNK_TOKENS or len(self.ids) >= CHUNK_WORDS
 
-    def __reduce__(self):
-        return Vocabulary, ([w for w, _ in sorted(self.units.items(), key=lambda x: x[1])],)
+    def record(self, chunk: int) -> dict:
+        """Tokens by falling frequency, which packs best; hashes ascending, and each token's place among them."""
+        ids = np.concatenate(self.parts)
+        hashes = np.fromiter(map(token_hash, self.ids), np.uint64, len(self.ids))
+        order = np.argsort(-np.bincount(ids, minlength=len(hashes)), kind="stable")
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order), dtype=np.uint32)
+        place = np.argsort(hashes[order], kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[place] = np.arange(len(order), dtype=np.uint32)
+        row, key, held, n = map(list, zip(*self.texts, strict=True))
+        return {"chunk": chunk, "lead": self.lead, "rows": row, "keys": key, "held": held, "n": n, "tokens": _pack(number[ids]), "rank": _pack(rank), "hashes": _pack_sorted(hashes[order][place])}
 
-    def contexts(self, texts: list[str]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each chunk: tokens, their texts' numbers, units, and the buckets of the token before and of the one before it."""
-        tail_b, tail_of = np.zeros(2, np.int64), np.full(2, -1)
-        for words, of in _chunks(texts):
-            units = np.fromiter(map(self.units.__getitem__, words), np.int64, len(words))
-            b, o = np.r_[tail_b, self.buckets[units]], np.r_[tail_of, of]
-            yield words, of, units, np.where(o[1:-1] == of, b[1:-1], 0), np.where(o[:-2] == of, b[:-2], 0)
-            tail_b, tail_of = b[-2:], o[-2:]
 
+_CHUNKS = pa.schema([
+    ("chunk", pa.int64()), ("lead", pa.int32()), ("rows", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("tokens", pa.binary()), ("rank", pa.binary()),
+    ("hashes", pa.binary())])
+_CHUNKS_DDL = "chunk long, lead int, rows array<long>, keys array<long>, held array<boolean>, n array<long>, tokens binary, rank binary, hashes binary"
 
-def _gather(vocabulary):
-    """Counts of (pair of contexts, class) and (context, unit), as keys of one table: the former first."""
-    width = HEAD + SUFFIXES
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
-        counts = np.zeros(BUCKETS * BUCKETS * CLASSES + BUCKETS * width, np.int64)
+def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId()
+    chunk, made, row = _Chunk([]), 0, 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([chunk.record((part << 28) + made)], schema=_CHUNKS)
+
+    for batch in batches:
+        for key, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            number = (part << 33) + row
+            chunk.texts.append([number, key, held, 0])
+            last: list[bytes] = []
+            for block in blocks(text.as_py()):
+                words = words_of(block.encode("utf-8", "surrogatepass"))
+                for at in range(0, len(words), CHUNK_TOKENS):
+                    some = words[at : at + CHUNK_TOKENS]
+                    chunk.add(some)
+                    last = (last + some[-2:])[-2:]
+                    if chunk.full():
+                        yield out()
+                        chunk, made = _Chunk(last), made + 1
+                        chunk.texts.append([number, key, held, 0])
+            chunk.add([END])
+            row += 1
+            if chunk.full():
+                yield out()
+                chunk, made = _Chunk([]), made + 1
+    if chunk.texts:
+        yield out()
+
+
+class Opened:
+    """A chunk's arrays by position: hashes of token, of the one before and of the one before that (0 where the text starts), the
+    text, and whether it's for training; lead tokens are no positions."""
+
+    def __init__(self, row: dict):
+        tokens, rank = _unpack(row["tokens"], "<u4"), _unpack(row["rank"], "<u4")
+        self.hashes, self.place = _unpack_sorted(row["hashes"]), rank[tokens][row["lead"] :]
+        self.of = np.repeat(np.arange(len(row["n"])), np.asarray(row["n"], np.int64))
+        self.train = ~np.asarray(row["held"], bool)[self.of]
+        of = np.r_[np.full(2, -1), np.zeros(row["lead"], np.int64), self.of]
+        h = np.r_[np.zeros(2, np.uint64), self.hashes[rank[tokens]]]
+        own = of[2 + row["lead"] :]
+        self.token = h[2 + row["lead"] :]
+        self.before = np.where(of[1 + row["lead"] : -1] == own, h[1 + row["lead"] : -1], _START)
+        self.skipped = np.where(of[row["lead"] : -2] == own, h[row["lead"] : -2], _START)
+
+    def features(self) -> np.ndarray:
+        """The context of each position, word before and class, and its token, hashed."""
+        cls = self.token & np.uint64(63)
+        context = (self.before * np.uint64(0x9E3779B97F4A7C15) + (cls + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xFF51AFD7ED558CCD)
+        token = (self.token * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(64 - TOKEN_BITS)
+        return (context >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(TOKEN_BITS) | token
+
+
+def _block_of(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """The leading bits of keys of so many bits."""
+    return (keys >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+TOKENS, FEATURES, SUMS, OFTEN = range(4)
+
+
+def _asks(bits: int):
+    """For each chunk and block what the chunk asks: keys, ascending, and how often each is in its training texts."""
+
+    def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, _, units, b1, b2 in v.contexts(batch.column(0).to_pylist()):
-                for keys in ((b1 * BUCKETS + b2) * CLASSES + v.classes[units], BUCKETS * BUCKETS * CLASSES + b1 * width + units):
-                    found, n = np.unique(keys, return_counts=True)
-                    counts[found] += n
+            for row in batch.to_dict("records"):
+                x, made = Opened(row), []
+                seen = np.bincount(x.place[x.train], minlength=len(x.hashes))
+                keys, at = np.unique(x.features(), return_inverse=True)
+                for kind, width, k, n in ((TOKENS, 64, x.hashes, seen), (FEATURES, CONTEXT_BITS + TOKEN_BITS, keys, np.bincount(at[x.train], minlength=len(keys)))):
+                    block = _block_of(k, bits, width)
+                    starts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(k)]
+                    for a, b in zip(starts[:-1], starts[1:], strict=True):
+                        made.append((kind, int(block[a]), row["chunk"], _pack_sorted(k[a:b]), _pack(n[a:b].astype(np.uint32))))
+                yield pd.DataFrame(made, columns=["kind", "block", "chunk", "keys", "n"])
+
+    return asks
+
+
+# --- units of contexts ---------------------------------------------------------------------------------------------------
+
+def fit_units(context: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Features, sorted by context, and their training counts -> p(unit | context) of each, 0 for those without a unit, and of
+    the context's rest.
+
+    Units' weights, against the rest's zero, are trained by gradient steps: observed less expected counts, less the prior's
+    pull, scaled by the expected counts. Of each unit's count DISCOUNT is the rest's, beside all counts without a unit.
+    """
+    first = np.r_[True, context[1:] != context[:-1]] if len(context) else np.zeros(0, bool)
+    of = np.cumsum(first) - 1
+    size = int(of[-1]) + 1 if len(of) else 0
+    unit = n >= LEAST
+    at, seen = of[unit], n[unit] - DISCOUNT
+    total = np.bincount(of, n, size) + 0.5
+    weight = np.log(seen / (total - np.bincount(at, seen, size))[at])
+    for _ in range(rounds):
+        e = np.exp(weight)
+        expected = e * (total / (1 + np.bincount(at, e, size)))[at]
+        weight += STEP * np.clip((seen - expected - 0.1 * PRIOR * weight) / (expected + 0.1 * PRIOR), -2, 2)
+    e = np.exp(weight)
+    z = 1 + np.bincount(at, e, size)
+    own = np.zeros(len(context))
+    own[unit] = e / z[at]
+    return own, (1 / z)[of]
+
+
+_ANSWERS = "kind int, block int, chunk long, a binary, b binary, hash long, c long, v long"
+
+
+def _answer(group: pd.DataFrame) -> pd.DataFrame:
+    """A block: sums of what all chunks ask, and the answers for each. Of tokens: counts, and their sums by class and the most
+    frequent ones beside them; of features: probabilities of units and rests."""
+    kind, block = int(group["kind"].iloc[0]), int(group["block"].iloc[0])
+    asked = [_unpack_sorted(k) for k in group["keys"]]
+    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+    n = np.bincount(at, np.concatenate([_unpack(x, "<u4") for x in group["n"]]), len(keys)).astype(np.int64)
+    cuts = np.cumsum([len(k) for k in asked])[:-1]
+    if kind == FEATURES:
+        own, rest = (x.astype(np.float32).view(np.uint32) for x in fit_units(keys >> np.uint64(TOKEN_BITS), n))
+        rows = [(kind, block, chunk, _pack(own[i]), _pack(rest[i]), None, None, None) for chunk, i in zip(group["chunk"], np.split(at, cuts), strict=True)]
+    else:
+        rows = [(kind, block, chunk, _pack(n[i].astype(np.uint64)), None, None, None, None) for chunk, i in zip(group["chunk"], np.split(at, cuts), strict=True)]
+        cls = (keys & np.uint64(63)).astype(np.int64)
+        sums, known = np.bincount(cls, n, CLASSES).astype(np.int64), np.bincount(cls, n > 0, CLASSES).astype(np.int64)
+        rows += [(SUMS, block, None, None, None, int(c), int(sums[c]), int(known[c])) for c in np.flatnonzero(known)]
+        often = np.lexsort((keys, -n))[:BEFORE_OWN]
+        rows += [(OFTEN, block, None, None, None, int(keys[i].astype(np.int64)), int(n[i]), None) for i in often if n[i]]
+    # columns of whole numbers with gaps: made as such, for floats would round hashes
+    columns = dict(zip(("kind", "block", "chunk", "a", "b", "hash", "c", "v"), map(list, zip(*rows, strict=True)), strict=True))
+    return pd.DataFrame({k: pd.array(v, "Int64") if k in ("chunk", "hash", "c", "v") else v for k, v in columns.items()})
+
+
+# --- class softmax -------------------------------------------------------------------------------------------------------
+
+class Buckets:
+    """Contexts of positions: the most frequent tokens have buckets of their own."""
+
+    def __init__(self, often: list[int]):
+        hashes = np.array(often, np.int64).view(np.uint64)
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
+
+    def _bucket(self, h: np.ndarray, own: int, size: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.sorted, h), max(0, len(self.sorted) - 1))
+        place = np.where(self.sorted[at] == h, self.order[at], own) if len(self.sorted) else np.full(len(h), own)
+        hashed = 1 + own + ((h >> np.uint64(6)) % np.uint64(size - 1 - own)).astype(np.int64)
+        return np.where(h == _START, 0, np.where(place < own, 1 + place, hashed))
+
+    def contexts(self, x: Opened) -> np.ndarray:
+        return self._bucket(x.before, BEFORE_OWN, BEFORE) * SKIPPED + self._bucket(x.skipped, SKIPPED_OWN, SKIPPED)
+
+
+def _gather(buckets):
+    """Counts of (context, class) over a task's training tokens."""
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(CONTEXTS * CLASSES, np.int64)
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                x = Opened(row)
+                keys = (buckets.value.contexts(x) * CLASSES + (x.token & np.uint64(63)).astype(np.int64))[x.train]
+                counts += np.bincount(keys, minlength=len(counts))
         found = np.flatnonzero(counts)
-        for at in range(0, len(found), 100_000):
-            part = found[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["key", "n"])
+        for at in range(0, len(found), 200_000):
+            part = found[at : at + 200_000]
+            yield pd.DataFrame({"key": part, "n": counts[part]})
 
     return gather
 
 
-def _pair_bucket(ctx: np.ndarray) -> np.ndarray:
-    return (ctx.astype(np.int64) * 2654435761 % (1 << 32)) % PAIRS
+#: Rows of weights: bias, tokens before, skipped tokens, hashed pairs.
+FEATURE_ROWS = 1 + BEFORE + SKIPPED + PAIRS
+_PARTS = 8
+
+
+def _features(ctx: np.ndarray) -> tuple[np.ndarray, ...]:
+    pair = (ctx.astype(np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32)) % np.uint64(PAIRS)
+    return 1 + ctx // SKIPPED, 1 + BEFORE + ctx % SKIPPED, 1 + BEFORE + SKIPPED + pair.astype(np.int64)
 
 
 def class_logits(weights: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    """Rows of weights: bias, contexts before, skipped contexts, hashed pairs."""
     before, skipped, both = _features(ctx)
     return weights[0] + weights[before] + weights[skipped] + weights[both]
 
@@ -156,17 +327,13 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def _features(ctx: np.ndarray) -> tuple[np.ndarray, ...]:
-    return 1 + ctx // BUCKETS, 1 + BUCKETS + ctx % BUCKETS, 1 + 2 * BUCKETS + _pair_bucket(ctx)
-
-
 def _sums(weights):
     """Per feature and class: expected counts under the weights, over this partition's contexts; without weights the observed
-    counts. Half a megabyte, whatever the corpus."""
+    counts. Sent in blocks of features."""
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = None if weights is None else weights.value
-        out = np.zeros((1 + 2 * BUCKETS + PAIRS, CLASSES))
+        out = np.zeros((FEATURE_ROWS, CLASSES))
         for batch in batches:
             ctx, row = np.unique(batch["ctx"].to_numpy(), return_inverse=True)
             n = np.zeros((len(ctx), CLASSES))
@@ -175,22 +342,27 @@ def _sums(weights):
             out[0] += x.sum(axis=0)
             for rows in _features(ctx):
                 np.add.at(out, rows, x)
-        yield pd.DataFrame({"g": [out.astype(np.float32).tobytes()]})
+        yield pd.DataFrame({"block": range(_PARTS), "g": [x.astype(np.float32).tobytes() for x in np.array_split(out, _PARTS)]})
 
     return sums
 
 
-def train_classes(counts: DataFrame, parts: int = 8) -> np.ndarray:
-    """counts(ctx, cls, n) -> weights, by gradient updates: each partition of contexts sums its part of the gradient (observed
-    less expected counts), the driver adds the parts and takes a step scaled by the expected counts."""
+def _added(group: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(g, np.float32).astype(np.float64) for g in group["g"])
+    return pd.DataFrame({"block": [group["block"].iloc[0]], "g": [total.astype(np.float32).tobytes()]})
+
+
+def train_classes(counts: DataFrame, parts: int = _PARTS) -> np.ndarray:
+    """counts(ctx, cls, n) -> weights, by gradient updates: each partition of contexts computes its part of the gradient (observed
+    less expected counts), Spark sums the parts by feature, and a step scaled by the expected counts is taken."""
     spark = counts.sparkSession
-    counts = cut(counts.repartition(parts, "ctx")).coalesce(parts)  # parts tasks send a row each, however the table is dealt
+    counts = cut(counts.repartition(parts, "ctx")).coalesce(parts)  # a row per context and class at most, however large the corpus
 
     def added(weights) -> np.ndarray:
-        total = np.zeros((1 + 2 * BUCKETS + PAIRS, CLASSES))
-        for r in counts.mapInPandas(_sums(weights), "g binary").collect():
-            total += np.frombuffer(r["g"], np.float32).reshape(total.shape)
-        return total
+        total = counts.mapInPandas(_sums(weights), "block int, g binary").groupBy("block").applyInPandas(_added, "block int, g binary").toPandas()
+        if not len(total):
+            return np.zeros((FEATURE_ROWS, CLASSES))
+        return np.frombuffer(b"".join(total.sort_values("block")["g"]), np.float32).reshape(FEATURE_ROWS, CLASSES).astype(np.float64)
 
     observed = added(None)
     w = np.zeros(observed.shape, np.float32)
@@ -204,130 +376,68 @@ def train_classes(counts: DataFrame, parts: int = 8) -> np.ndarray:
     return w
 
 
-def train_units(counts: DataFrame, classes: np.ndarray, real: np.ndarray) -> DataFrame:
-    """counts(b1, unit, n) -> (b1, logp): natural logs of p(unit | class, context) for all units, as bytes of float32.
-
-    A unit's weight is its frequency in its class plus a feature of the context before it; the features of a context are
-    trained by gradient steps where its counts are, each context alone.
-    """
-    width = HEAD + SUFFIXES
-    totals = np.zeros(width)
-    for r in counts.groupBy("unit").agg(F.sum("n").alias("n")).collect():  # at most `width` rows
-        totals[r["unit"]] = r["n"]
-    bias = np.where(real, np.log(totals + 0.5), -np.inf)
-
-    def normal(x: np.ndarray) -> np.ndarray:
-        sums = np.bincount(classes, np.exp(x - bias.max()), minlength=CLASSES)
-        return x - bias.max() - np.log(np.maximum(sums, 1e-300))[classes]
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        n = np.bincount(group["unit"], group["n"], minlength=width)
-        in_class = np.bincount(classes, n, minlength=CLASSES)[classes]
-        f = np.zeros(width)
-        for _ in range(ROUNDS):
-            expected = np.exp(normal(bias + f)) * in_class
-            f += 0.5 * np.clip((n - expected - PRIOR * f) / (expected + PRIOR), -2, 2)
-        return pd.DataFrame({"b1": [int(group["b1"].iloc[0])], "logp": [normal(bias + f).astype(np.float32).tobytes()]})
+# --- scores --------------------------------------------------------------------------------------------------------------
 
-    return counts.groupBy("b1").applyInPandas(fit, "b1 int, logp binary")
+class Model:
+    """What every chunk's scoring reads: buckets, log10 p(class | context), sums by class. A few megabytes, whatever the corpus."""
 
+    def __init__(self, buckets: Buckets, class_table: np.ndarray, class_sums: np.ndarray, class_known: np.ndarray):
+        self.buckets, self.class_table = buckets, class_table
+        self.total, self.distinct = int(class_sums.sum()), int(class_known.sum())
+        self.rest = class_sums + 0.5 * (class_known + 1)
 
-class Model:
-    """Tables of log10 probabilities that scoring reads; a few MB, whatever the corpus."""
 
-    def __init__(self, vocabulary: Vocabulary, class_table: np.ndarray, unit_table: np.ndarray, head_base: np.ndarray):
-        self.vocabulary, self.class_table, self.unit_table, self.head_base = vocabulary, class_table, unit_table, head_base
+_SCORES = "row long, key long, held boolean, n long, known long, base double, score double"
 
 
 def _score(model):
-    """For each text a row with sums over its tokens that have a unit; for each other token and chunk a row with the texts it is
-    in, as often as it is there. Which texts is told by row_id: the partition and a number in it."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, part, made = model.value, TaskContext.get().partitionId() << 33, 0
-        v = m.vocabulary
-        for batch in batches:
-            n = batch.num_rows
-            sums = {k: np.zeros(n) for k in ("n_tokens", "n_head", "head_base", "score")}
-            rests = np.zeros(n * SUFFIXES)
-            for words, of, units, b1, b2 in v.contexts(batch.column(2).to_pylist()):
-                rest = units >= HEAD
-                value = m.class_table[b1 * BUCKETS + b2, v.classes[units]].astype(np.float64) + m.unit_table[b1, units]
-                sums["n_tokens"] += np.bincount(of, minlength=n)
-                sums["n_head"] += np.bincount(of, ~rest, minlength=n)
-                sums["score"] += np.bincount(of, value, minlength=n)
-                sums["head_base"] += np.bincount(of[~rest], m.head_base[units[~rest]], minlength=n)
-                rests += np.bincount(of[rest] * SUFFIXES + units[rest] - HEAD, minlength=n * SUFFIXES)
-                numbers: dict[bytes, int] = {}
-                number = np.fromiter((numbers.setdefault(w, len(numbers)) for w in compress(words, rest.tolist())), np.int64, int(rest.sum()))
-                if len(number):
-                    places = np.argsort(number, kind="stable")
-                    offsets = np.searchsorted(number[places], np.arange(len(numbers) + 1)).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(part + made + of[rest][places]))
-                    yield _rows(len(numbers), token=pa.array(list(numbers), pa.binary()), row_ids=ids)
-            yield _rows(
-                n, row_id=pa.array(part + made + np.arange(n)), doc_id=batch.column(0), held_out=batch.column(1), **{k: pa.array(x) for k, x in sums.items()},
-                rests=pa.ListArray.from_arrays(pa.array(np.arange(0, n * SUFFIXES + 1, SUFFIXES, dtype=np.int32)), pa.array(rests)))
-            made += n
+    def score(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        m, made = model.value, []
+        for row in chunks.to_dict("records"):
+            x, answers = Opened(row), answers.sort_values("block")
+            mine = lambda kind: answers[answers["kind"] == kind]  # noqa: E731, B023
+            counts = np.concatenate([_unpack(a, "<u8") for a in mine(TOKENS)["a"]])[x.place].astype(np.float64)
+            keys, at = np.unique(x.features(), return_inverse=True)
+            own, rest = (np.concatenate([_unpack(a, "<u4") for a in mine(FEATURES)[c]]).view(np.float32)[at].astype(np.float64) for c in ("a", "b"))
+            cls = (x.token & np.uint64(63)).astype(np.int64)
+            within = np.log10(own + rest * (counts + 0.5) / m.rest[cls])
+            value = m.class_table[m.buckets.contexts(x), cls] + within
+            base = np.log10(counts + 0.5) - np.log10(m.total + 0.5 * (m.distinct + 1))
+            per = lambda v=None: np.bincount(x.of, v, len(row["n"]))  # noqa: E731, B023
+            made.append(pd.DataFrame({"row": row["rows"], "key": pd.array(row["keys"], "Int64"), "held": row["held"], "n": per(), "known": per(counts > 0).astype(np.int64), "base": per(base), "score": per(value)}))
+        return pd.concat(made) if made else pd.DataFrame({"row": [], "key": [], "held": [], "n": [], "known": [], "base": [], "score": []})
 
     return score
 
 
-_FIELDS = {"token": pa.binary(), "row_ids": pa.list_(pa.int64()), "row_id": pa.int64(), "doc_id": None, "held_out": pa.bool_(), "n_tokens": pa.float64(), "n_head": pa.float64(), "head_base": pa.float64(), "score": pa.float64(), "rests": pa.list_(pa.float64())}
-
-
-def _rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns.get(k) if k in columns else pa.nulls(n, t or pa.int64()) for k, t in _FIELDS.items()], names=list(_FIELDS))
-
-
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     The model and the base learn from the rows whose crc32 of the key as text isn't 1 modulo 5; all are scored. Null texts
     count as empty: the end alone; a null key as an empty text. Rows that share a key are scored apart. The key is a long. With
-    no training rows every token is unseen. An empty table gives an empty result.
+    no training rows every token is unseen. An empty table gives an empty result. Long texts go on from chunk to chunk. Other
+    columns don't matter.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key)).alias("held_out"), text_or_empty(text).alias("text"))
-    train = slim.where(~F.col("held_out")).select("text")
-    counts = written(train.mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c")), "counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head = counts.orderBy(F.desc("c"), "token").limit(HEAD).collect()
-    vocabulary = Vocabulary([bytes(r["token"]) for r in head])
-    shared = spark.sparkContext.broadcast(vocabulary)
-    width = HEAD + SUFFIXES
-    table = written(train.mapInArrow(_gather(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "contexts")
-    split = BUCKETS * BUCKETS * CLASSES
-    by_class = table.where(F.col("key") < split).select(F.expr(f"cast(key div {CLASSES} as int)").alias("ctx"), (F.col("key") % CLASSES).cast("int").alias("cls"), "n")
-    by_unit = table.where(F.col("key") >= split).select(F.expr(f"cast((key - {split}) div {width} as int)").alias("b1"), ((F.col("key") - split) % width).cast("int").alias("unit"), "n")
-    weights = train_classes(by_class)
-    log10 = np.log(10)
-    class_table = (_log_softmax(class_logits(weights, np.arange(BUCKETS * BUCKETS))) / log10).astype(np.float32)
-    # a context that training never saw has the frequencies of the classes alone
-    empty = np.zeros(width)
-    for r in by_unit.groupBy("unit").agg(F.sum("n").alias("n")).collect():  # at most `width` rows
-        empty[r["unit"]] = r["n"]
-    plain = np.where(vocabulary.real, np.log(empty + 0.5), -np.inf)
-    plain -= np.log(np.maximum(np.bincount(vocabulary.classes, np.exp(plain), minlength=CLASSES), 1e-300))[vocabulary.classes]
-    unit_table = np.repeat(plain[None, :].astype(np.float32), BUCKETS, axis=0)
-    for r in train_units(by_unit, vocabulary.classes, vocabulary.real).collect():  # at most BUCKETS rows
-        unit_table[r["b1"]] = np.frombuffer(r["logp"], np.float32)
-    unit_table /= log10
-    model = spark.sparkContext.broadcast(Model(vocabulary, class_table, unit_table, np.log10(np.array([r["c"] for r in head] or [0]) + 0.5)))
-
-    scored = written(slim.mapInArrow(_score(model), "token binary, row_ids array<long>, row_id long, doc_id long, held_out boolean, n_tokens double, n_head double, head_base double, score double, rests array<double>"), "scored")
-    # tokens and distinct tokens of each class's rest, for its denominator
-    names = [r["token"] for r in head]
-    tail = counts.join(F.broadcast(spark.createDataFrame([(n,) for n in names], "token binary")), "token", "left_anti")
-    tail_class = (F.crc32(F.substring("token", -2, 2)) % SUFFIXES).cast("int")
-    sizes = {r["k"]: (r["n"], r["v"]) for r in tail.groupBy(tail_class.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # at most SUFFIXES rows
-    denominators = [float(np.log10(sizes.get(k, (0, 0))[0] + 0.5 * (sizes.get(k, (0, 0))[1] + 1))) for k in range(SUFFIXES)]
-    seen = scored.where("token is not null").select("token", "row_ids").join(counts, "token", "left")
-    seen = seen.select(F.explode("row_ids").alias("row_id"), F.log10(F.coalesce("c", F.lit(0)) + 0.5).alias("x"), F.col("c").isNotNull().cast("long").alias("known"))
-    per_row = seen.groupBy("row_id").agg(F.sum("x").alias("tail_base"), F.sum("known").alias("tail_known"))
-    rows = scored.where("token is null").drop("token", "row_ids").join(per_row, "row_id", "left")
-    tail_base, base = F.coalesce("tail_base", F.lit(0.0)), float(np.log10(total["n"] + 0.5 * (total["v"] + 1)))
-    taken = F.aggregate(F.zip_with("rests", F.array(*map(F.lit, denominators)), lambda n, d: n * d), F.lit(0.0), lambda a, x: a + x)
-    return rows.select(
-        F.col("doc_id").alias(key), "held_out", F.col("n_tokens").cast("long").alias("n_tokens"), (F.col("n_head") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total["n"]).cast("long").alias("train_tokens"), (F.col("head_base") + tail_base - F.col("n_tokens") * base).alias("base_score"), (F.col("score") + tail_base - taken).alias("score"))
+    chars = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(1, chars / BLOCK_CHARS)))))
+    chunks = written(slim.mapInArrow(_tokenised, _CHUNKS_DDL), "chunks")
+    asked = chunks.mapInPandas(_asks(bits), "kind int, block int, chunk long, keys binary, n binary")
+    answers = written(asked.groupBy("kind", "block").applyInPandas(_answer, _ANSWERS), "answers")
+    class_sums, class_known = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    for r in answers.where(F.col("kind") == SUMS).groupBy("hash").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():  # a row for each class
+        class_sums[r["hash"]], class_known[r["hash"]] = r["c"], r["v"]
+    often = answers.where(F.col("kind") == OFTEN).orderBy(F.desc("c"), "hash").limit(BEFORE_OWN).select("hash").collect()
+    buckets = Buckets([r["hash"] for r in often])
+    counts = chunks.mapInPandas(_gather(spark.sparkContext.broadcast(buckets)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    weights = train_classes(counts.select(F.expr(f"cast(key div {CLASSES} as int)").alias("ctx"), (F.col("key") % CLASSES).cast("int").alias("cls"), "n"))
+    class_table = (_log_softmax(class_logits(weights, np.arange(CONTEXTS))) / np.log(10)).astype(np.float32)
+    model = spark.sparkContext.broadcast(Model(buckets, class_table, class_sums, class_known))
+    replies = answers.where(F.col("kind").isin(TOKENS, FEATURES)).select("chunk", "kind", "block", "a", "b")
+    scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_score(model), _SCORES)
+    # a text that several chunks hold is one row
+    sums = scored.groupBy("row").agg(F.first("key").alias("key"), F.first("held").alias("held"), *(F.sum(c).alias(c) for c in ("n", "known", "base", "score")))
+    return sums.select(
+        F.col("key").alias(key), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(class_sums.sum())).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score")

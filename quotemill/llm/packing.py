@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import text_or_empty
+from quotemill.llm.common import blocks, text_or_empty
 
 CAPACITY = 4096
 END_ID = 2
@@ -33,7 +33,6 @@ CLASSES = 64
 STORE, STORE_CHARS = 600_000, 24_000_000
 #: Characters that are split into words, and that are packed, at once.
 _BLOCK, _GROUP = 1 << 21, 1 << 23
-_SPACE = re.compile("[ \t-\r]")
 _CONTROLS = re.compile("[\x1c-\x1f]")
 #: Words of printable ASCII and Latin letters: composed already, each with one lower-case character. No control string.
 _SIMPLE = re.compile("(?!.*<[|])[!-~\xc0-\xd6\xd8-\xf6\xf8-\xffĀ-įı-ňŊ-ž]+")
@@ -144,7 +143,7 @@ class WordIds:
             held.clear()
 
         for i, text in enumerate(texts):
-            for block in _blocks(text):
+            for block in blocks(text, _BLOCK):
                 held.append((i, [w.decode() for w in block.encode().split()] if _CONTROLS.search(block) else block.split()))
                 size += len(block)
                 if size >= _BLOCK:
@@ -154,18 +153,6 @@ class WordIds:
         return [p[0] if len(p) == 1 else b"".join(p) for p in parts]
 
 
-def _blocks(text: str) -> Iterator[str]:
-    """Parts of about _BLOCK characters, cut before white space."""
-    at = 0
-    while len(text) - at > _BLOCK:
-        space = _SPACE.search(text, at + _BLOCK)
-        if not space:
-            break
-        yield text[at : space.start()]
-        at = space.start()
-    yield text[at:] if at else text
-
-
 @lru_cache(maxsize=2)
 def _word_ids(path: str) -> WordIds:
     return WordIds(path)

@@ -156,11 +156,104 @@ def test_lm_base_and_gain(spark, empty):
     assert lm.score_texts(empty.select("doc_id", "text")).count() == 0
 
 
+def plain_scores(rows):
+    """The model with dictionaries: exact contexts and successors, classes by the operator's weights formula on small counts."""
+    held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 5 == 1
+    texts = [(k, [w.encode() for w in words(lower(t))] + [lm.END]) for k, t in rows]
+    counts = Counter(w for k, ws in texts if not held(k) for w in ws)
+    follow = Counter((a, w) for k, ws in texts if not held(k) for a, w in zip([None, *ws[:-1]], ws, strict=True))
+    units = {}
+    for a, c in {(a, lm.token_class(w)) for k, ws in texts for a, w in zip([None, *ws[:-1]], ws, strict=True)}:
+        here = {w: n for (b, w), n in follow.items() if b == a and lm.token_class(w) == c}
+        names = [w for w, n in here.items() if n >= lm.LEAST]
+        total, seen = sum(here.values()) + 0.5, [here[w] - lm.DISCOUNT for w in names]
+        v = [math.log(s / (total - sum(seen))) for s in seen]
+        for _ in range(lm.ROUNDS):
+            z = 1 + sum(math.exp(x) for x in v)
+            e = [total * math.exp(x) / z for x in v]
+            v = [x + lm.STEP * min(2, max(-2, (s - y - 0.1 * lm.PRIOR * x) / (y + 0.1 * lm.PRIOR))) for x, s, y in zip(v, seen, e, strict=True)]
+        z = 1 + sum(math.exp(x) for x in v)
+        units[a, c] = {w: math.exp(x) / z for w, x in zip(names, v, strict=True)}, 1 / z
+    sums, known = Counter(), Counter()
+    for w, n in counts.items():
+        sums[lm.token_class(w)] += n
+        known[lm.token_class(w)] += 1
+    often = sorted(counts, key=lambda w: (-counts[w], np.uint64(lm.token_hash(w)).astype(np.int64)))
+    place = {w: i for i, w in enumerate(often)}
+
+    def bucket(w, own, size):
+        if w is None:
+            return 0
+        return 1 + place[w] if place.get(w, own) < own else 1 + own + (lm.token_hash(w) >> 6) % (size - 1 - own)
+
+    def context(ws, i):
+        return bucket(ws[i - 1] if i else None, lm.BEFORE_OWN, lm.BEFORE) * lm.SKIPPED + bucket(ws[i - 2] if i > 1 else None, lm.SKIPPED_OWN, lm.SKIPPED)
+
+    seen = Counter((context(ws, i), lm.token_class(w)) for k, ws in texts if not held(k) for i, w in enumerate(ws))
+    observed, ctxs = np.zeros((lm.FEATURE_ROWS, lm.CLASSES)), sorted({c for c, _ in seen})
+    n = np.zeros((len(ctxs), lm.CLASSES))
+    for (c, cls), x in seen.items():
+        n[ctxs.index(c), cls] = x
+    ctxs = np.array(ctxs)
+
+    def spread(x):
+        out = np.zeros(observed.shape)
+        out[0] = x.sum(axis=0)
+        for at in lm._features(ctxs):
+            np.add.at(out, at, x)
+        return out
+
+    observed, w = spread(n), np.zeros(observed.shape)
+    w[0] = np.log(observed[0] + 0.5) - np.log(observed[0].sum() + 0.5 * lm.CLASSES)
+    for _ in range(lm.ROUNDS):
+        p = np.exp(lm._log_softmax(lm.class_logits(w, ctxs))) * n.sum(axis=1, keepdims=True)
+        expected = spread(p)
+        w = w + lm.STEP * np.clip((observed - expected - lm.PRIOR * w) / (expected + lm.PRIOR), -2, 2)
+    out = []
+    for k, ws in texts:
+        score = 0.0
+        for i, x in enumerate(ws):
+            cls = lm.token_class(x)
+            own, rest = units[ws[i - 1] if i else None, cls]
+            q = (counts[x] + 0.5) / (sums[cls] + 0.5 * (known[cls] + 1))
+            score += lm._log_softmax(lm.class_logits(w, np.array([context(ws, i)])))[0, cls] / math.log(10) + math.log10(own.get(x, 0) + rest * q)
+        out.append((k, len(ws), score))
+    return out
+
+
+def test_lm_scores_are_those_of_a_plain_model(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(WORDS[: 5 + i % 20]) for _ in range(rnd.randrange(0, 40)))) for i in range(80)] + [(None, None), (3, WORDS[0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, n int").repartition(3)
+    want = sorted((str(k), n, round(x, 3)) for k, n, x in plain_scores(rows))
+    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 3)) for r in lm.score_texts(df).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-3)
+
+
+def test_lm_chunks_change_nothing(spark):
+    # texts that go on from chunk to chunk keep their contexts: one long text is scored as where it fits
+    text = " ".join(WORDS[i % 7] for i in range(2_100_000))
+    df = spark.createDataFrame([(1, text), (2, "kasa kato"), (4, text[:2000])], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in lm.score_texts(df).collect()}
+    assert got[1]["n_tokens"] == 2_100_001 and got[1]["n_known"] == 2_100_001 and got[2]["n_tokens"] == 3
+    assert got[1]["score"] > -2_100_000 * 0.05 and got[1]["score"] / got[1]["n_tokens"] > got[1]["base_score"] / got[1]["n_tokens"]
+
+
 def test_lm_is_a_distribution():
-    vocabulary = lm.Vocabulary([b"the", lm.END, b"of"])
-    w = np.random.default_rng(0).normal(size=(1 + 2 * lm.BUCKETS + lm.PAIRS, lm.CLASSES))
+    rnd = np.random.default_rng(0)
+    w = rnd.normal(size=(lm.FEATURE_ROWS, lm.CLASSES))
     assert np.allclose(np.exp(lm._log_softmax(lm.class_logits(w, np.arange(50)))).sum(axis=1), 1)
-    assert vocabulary.units[b"the"] == 0 and vocabulary.units[b"zebra"] == lm.HEAD + lm.suffix(b"zebra")
+    context, n = np.sort(rnd.integers(0, 40, 300)).astype(np.uint64), rnd.integers(0, 9, 300)
+    own, rest = lm.fit_units(context, n)
+    for c in range(40):
+        here = context == c
+        if here.any():
+            # its units and its rest add to one, and the rest to the class by add-half frequencies
+            assert np.isclose(own[here].sum() + rest[here][0], 1) and (rest[here] > 0).all() and (own[here][n[here] < lm.LEAST] == 0).all()
+    own, rest = lm.fit_units(np.zeros(2, np.uint64), np.array([50, 0]))
+    assert own[0] > 0.95 and lm.fit_units(np.zeros(1, np.uint64), np.array([0]))[1][0] == 1
+    a = np.sort(rnd.integers(0, 1 << 60, 1000).astype(np.uint64))
+    assert (lm._unpack_sorted(lm._pack_sorted(a)) == a).all() and len(lm._unpack(lm._pack(a[:0]), "<u8")) == 0
 
 
 # --- 3 -------------------------------------------------------------------------------------------------------------------
