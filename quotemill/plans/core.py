@@ -15,6 +15,8 @@ from quotemill.operators import governance as gov
 from quotemill.operators import joins as jo
 from quotemill.plans import bindings as b
 from quotemill.plans.registry import query
+from quotemill.session import shared_path
+from quotemill.sources import readers as rd
 
 K = list(b.KEYS)
 
@@ -42,13 +44,16 @@ BARS = "SELECT instrument, epoch(open_time)::BIGINT AS open_time, open, high, lo
 
 @query(f"WITH {b.QUOTES} SELECT instrument, channel, epoch_us(observed_at) AS observed_at, last, id FROM quotes WHERE instrument = 'click' AND channel = 'ch1' AND observed_at >= TIMESTAMP '2024-01-05' AND observed_at < TIMESTAMP '2024-01-20'")
 def s1_quote_scan(spark: SparkSession, d: str) -> DataFrame:
-    q = b.quotes(spark, d).where("instrument = 'click' and channel = 'ch1'")
-    return fi.slice_series(q, "2024-01-05", "2024-01-20", "observed_at").select("instrument", "channel", _us("observed_at"), "last", "id")
+    path = shared_path(spark, "quotes")
+    b.quotes(spark, d).write.partitionBy("instrument").parquet(path)
+    return rd.read_quotes(spark, path, "click", "ch1", "2024-01-05", "2024-01-20").select("instrument", "channel", _us("observed_at"), "last", "id")
 
 
 @query(f"WITH {b.HOURLY} {BARS} bars WHERE open_time >= TIMESTAMP '2024-01-10' AND open_time < TIMESTAMP '2024-01-12'")
 def s2_bar_scan(spark: SparkSession, d: str) -> DataFrame:
-    return _bars(fi.slice_series(b.hourly(spark, d), "2024-01-10", "2024-01-12"))
+    path = shared_path(spark, "bars")
+    b.hourly(spark, d).write.partitionBy("instrument").parquet(path)
+    return _bars(rd.read_bars(spark, path, None, "2024-01-10", "2024-01-12"))
 
 
 @query(f"""WITH {b.QUOTES}, old AS (SELECT * FROM quotes WHERE id % 3 = 0), fresh AS (SELECT *, row_number() OVER (PARTITION BY instrument, channel, epoch_us(received_at) // 60000000 ORDER BY id) AS n FROM quotes q WHERE NOT EXISTS
@@ -89,7 +94,7 @@ def s20_merge_progress(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, source, n_chars FROM documents WHERE doc_id < (SELECT max(doc_id) FROM documents) AND lang = 'en' ORDER BY doc_id DESC LIMIT 20")
 def s21_feed_page(spark: SparkSession, d: str) -> DataFrame:
-    docs = b.read(spark, d, "documents")
+    docs = rd.read_feed(spark, f"{d}/documents.parquet")
     top = docs.agg(F.max("doc_id").alias("m"))
     return docs.join(F.broadcast(top), F.col("doc_id") < F.col("m")).where("lang = 'en'").orderBy(F.desc("doc_id")).limit(20).select("doc_id", "source", "n_chars")
 

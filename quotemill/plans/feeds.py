@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,17 +9,13 @@ from quotemill.operators import bars as ba
 from quotemill.plans import bindings as b
 from quotemill.plans.registry import query
 from quotemill.plans.studies import streamed
+from quotemill.session import shared_path
 from quotemill.sources import readers as rd
 from quotemill.streaming import bars as sb
 
 K = list(b.KEYS)
 
 
-def _shared(spark: SparkSession, what: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}" if root else "file://" + tempfile.mkdtemp(prefix=f"quotemill-{what}-")
-
-
 def _lines(spark: SparkSession, d: str, seconds: int, pattern: str, fields: tuple[str, ...]) -> DataFrame:
     """One text per instrument and day: a provider's answer for a trade date."""
     bars = ba.ohlc_bars(b.quotes(spark, d), K, seconds)
@@ -53,7 +46,7 @@ def s11_daily_stats_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {b.HOURLY} SELECT instrument, '1h' AS period, epoch(open_time)::BIGINT AS open_time, CASE WHEN instrument IN ('click', 'view') THEN close + 1 ELSE close END AS close FROM bars")
 def s19_period_sink(spark: SparkSession, d: str) -> DataFrame:
-    path = _shared(spark, "periods")
+    path = shared_path(spark, "periods")
     bars = b.hourly(spark, d).select("instrument", F.lit("1h").alias("period"), "open_time", "close")
     rd.write_period_bars(bars, path)
     rd.write_period_bars(bars.where("instrument in ('click', 'view')").withColumn("close", F.col("close") + 1), path)
@@ -88,21 +81,158 @@ def r7_period_stream(spark: SparkSession, d: str) -> DataFrame:
     return last.select("instrument", "bucket_start", "l.*")
 
 
-@query(f"WITH {b.QUOTES}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY observed_at DESC, received_at DESC, id DESC) AS n FROM quotes) SELECT instrument, id, last FROM n WHERE n = 1")
+@query(f"WITH {b.QUOTES}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument, channel ORDER BY observed_at DESC, received_at DESC, id DESC) AS n FROM quotes) SELECT instrument, channel, id, last FROM n WHERE n = 1")
 def r8_latest_stream(spark: SparkSession, d: str) -> DataFrame:
-    return ba.latest_quotes(streamed(spark, b.quotes(spark, d), lambda s: s.select("instrument", "observed_at", "received_at", "last", "id"), "append"), K).select("instrument", "id", "last")
+    key = ("instrument", "channel")
+    out = streamed(spark, b.quotes(spark, d), lambda s: s.select(*key, "observed_at", "received_at", "last", "id"), "append", sink=lambda path: sb.latest_sink(path, key))
+    return out.select(*key, "id", "last")
+
+
+_SECONDS = _LIVE.replace("INTERVAL 1 HOUR", "INTERVAL 1 SECOND")
 
 
-@query(f"""WITH {b.QUOTES}, l AS (SELECT *, last_value(CASE WHEN instrument = 'click' THEN last END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN instrument = 'view' THEN last END IGNORE NULLS) OVER w AS z FROM quotes WHERE instrument IN ('click', 'view')
-  WINDOW w AS (ORDER BY received_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT id, round(a * z / 31.1035, 6) AS last FROM l WHERE a IS NOT NULL AND z IS NOT NULL""")
+@query(f"WITH {_SECONDS}, n AS (SELECT *, h < max(h) OVER (PARTITION BY instrument) AS past FROM live) SELECT instrument, epoch(h)::BIGINT AS open_time, close, n + past::INTEGER AS revision, CASE WHEN past THEN 'final' ELSE 'provisional_quote' END AS state FROM n")
+def r4_second_bars(spark: SparkSession, d: str) -> DataFrame:
+    """The next second makes a one-second bar final."""
+    out = streamed(spark, b.quotes(spark, d), lambda s: sb.bar_stream(sb.tick_rows(s), (1,)), "update")
+    return sb.coalesce_batch(out, ["instrument", "interval", "open_time"]).select("instrument", "open_time", "close", "revision", "state")
+
+
+_MINUTE = _LIVE.replace("INTERVAL 1 HOUR", "INTERVAL 1 MINUTE")
+
+
+@query(f"WITH {_MINUTE} SELECT instrument, epoch(h)::BIGINT AS open_time, open, high, low, close, n AS revision, 'provisional_quote' AS state FROM live")
+def r13_minute_stream(spark: SparkSession, d: str) -> DataFrame:
+    out = streamed(spark, b.quotes(spark, d), lambda s: sb.bar_stream(sb.tick_rows(s), (60,)), "update")
+    return sb.coalesce_batch(out, ["instrument", "interval", "open_time"]).select("instrument", "open_time", "open", "high", "low", "close", "revision", "state")
+
+
+@query(f"""WITH {b.HOURLY}, x AS (SELECT *, max(open_time) OVER (PARTITION BY instrument ORDER BY received_at, open_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen, max(open_time) OVER (PARTITION BY instrument) AS top FROM bars)
+  SELECT instrument, epoch(open_time)::BIGINT AS open_time, close, CASE WHEN coalesce(open_time < seen, false) OR open_time = top THEN 1 ELSE 2 END AS revision, CASE WHEN open_time = top THEN 'provisional_authoritative' ELSE 'final' END AS state FROM x""")
+def r5_authoritative_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Bars that a provider sends: each one makes those before it final; one that comes late is final at once."""
+    bars = b.hourly(spark, d).withColumn("revision", F.lit(1))
+    out = streamed(spark, sb.bar_rows(bars, 3600), lambda s: sb.bar_stream(s, ()), "update")
+    return sb.coalesce_batch(out, ["instrument", "interval", "open_time"]).select("instrument", "open_time", "close", "revision", "state")
+
+
+@query(f"""WITH {b.HOURLY}, k AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY open_time) AS n FROM bars), again AS (SELECT * FROM k WHERE n <= 2 UNION ALL SELECT * FROM k WHERE n > 2)
+  SELECT instrument, count(*)::BIGINT AS bars, max(n)::BIGINT - least(24, count(*)) + 1 AS first_kept FROM again GROUP BY 1""")
+def r6_kept_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Of each series the newest 24 bars are kept: one that comes again at the end is known if it's among them, and new if not."""
+    from quotemill.operators.scan import with_index
+
+    bars = with_index(b.hourly(spark, d).withColumn("revision", F.lit(1)), K)
+    rows = sb.bar_rows(bars, 3600)
+    # all bars once more, as they were, behind all others: those in the state change nothing, others come out anew
+    end = rows.agg(F.max("received_at").alias("end"))
+    again = rows.crossJoin(F.broadcast(end)).withColumn("received_at", F.col("end") + F.col("received_at")).drop("end")  # one row
+    out = streamed(spark, rows.unionByName(again), lambda s: sb.bar_stream(s, (), 24), "update")
+    late = out.join(F.broadcast(end), F.col("received_at") > F.col("end")).select("instrument", "open_time").distinct()
+    numbered = bars.select("instrument", F.unix_seconds("open_time").alias("open_time"), "idx").join(late.withColumn("late", F.lit(True)), ["instrument", "open_time"], "left")
+    return numbered.groupBy("instrument").agg(F.count("*").alias("bars"), F.coalesce(F.min(F.when(F.col("late").isNull(), F.col("idx"))), F.lit(0)).alias("first_kept"))
+
+
+@query(f"""WITH {b.QUOTES}, l AS (SELECT *, last_value(CASE WHEN channel = 'ch0' THEN last END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN channel = 'ch1' THEN last END IGNORE NULLS) OVER w AS z FROM quotes WHERE channel IN ('ch0', 'ch1')
+  WINDOW w AS (PARTITION BY instrument ORDER BY received_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT instrument AS pair, id, round(a * z / 31.1035, 6) AS last FROM l WHERE a IS NOT NULL AND z IS NOT NULL""")
 def r9_derived_stream(spark: SparkSession, d: str) -> DataFrame:
-    q = b.quotes(spark, d).where("instrument in ('click', 'view')")
-    legs = q.select(F.lit("click*view").alias("pair"), F.when(F.col("instrument") == "click", "a").otherwise("b").alias("leg"), F.unix_micros("observed_at").alias("observed_at"), F.unix_micros("received_at").alias("received_at"), "last", "id")
-    return streamed(spark, legs, lambda s: sb.derived_stream(s, 31.1035), "append").select("id", F.round("last", 6).alias("last"))
+    q = b.quotes(spark, d).where("channel in ('ch0', 'ch1')")
+    legs = q.select(F.col("instrument").alias("pair"), F.when(F.col("channel") == "ch0", "a").otherwise("b").alias("leg"), F.unix_micros("observed_at").alias("observed_at"), F.unix_micros("received_at").alias("received_at"), "last", "id")
+    return streamed(spark, legs, lambda s: sb.derived_stream(s, 31.1035), "append").select("pair", "id", F.round("last", 6).alias("last"))
 
 
 @query(f"WITH {_LIVE}, f AS (SELECT instrument, min(h) AS f FROM live GROUP BY 1) SELECT l.instrument, epoch(h)::BIGINT AS open_time, open, high, low, close, n AS ticks FROM live l JOIN f USING (instrument) WHERE h > f.f")
 def r10_reprocess(spark: SparkSession, d: str) -> DataFrame:
-    frames = b.quotes(spark, d).select(F.lpad(F.col("id").cast("string"), 12, "0").alias("msg_id"), "instrument", "observed_at", "received_at", "last", F.lit(None).cast("string").alias("error"))
-    bars, _ = sb.reprocess_frames(frames, 3600)
+    path = shared_path(spark, "frames")
+    q = b.quotes(spark, d)
+    # milliseconds are what a frame carries; the log is written, read, decoded and reduced
+    rd.encode_frames(q.select("channel", F.lit("k").alias("connection"), F.col("id").alias("sequence"), "received_at", F.lit("wide").alias("encoding"), "instrument", "observed_at", "last")).write.parquet(path)
+    ticks = rd.decode_frames(rd.read_frame_log(spark, path)).withColumn("msg_id", F.lpad(F.col("sequence").cast("string"), 12, "0"))
+    bars, _ = sb.reprocess_frames(ticks, 3600)
     return bars.select("instrument", F.unix_seconds("open_time").alias("open_time"), "open", "high", "low", "close", "ticks")
+
+
+# --- files of providers --------------------------------------------------------------------------------------------------
+
+@query(f"""WITH {b.QUOTES} SELECT 'ch' || (id % 3) || ':k:' || id AS msg_id, CASE WHEN id % 10 <> 9 THEN instrument END AS instrument, CASE WHEN id % 10 <> 9 THEN CASE WHEN id % 2 = 0 THEN epoch_us(observed_at) // 1000 ELSE epoch_us(observed_at) // 1000000 * 1000 END END AS ms,
+  CASE WHEN id % 10 <> 9 THEN last END AS last, CASE WHEN id % 10 = 9 THEN 'ValueError' END AS error FROM quotes""")
+def s13_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks as frames of both layouts, twice in the log, some cut short."""
+    path = shared_path(spark, "frames")
+    q = b.quotes(spark, d)
+    f = rd.encode_frames(q.select(F.concat(F.lit("ch"), (F.col("id") % 3).cast("string")).alias("channel"), F.lit("k").alias("connection"), F.col("id").alias("sequence"), "received_at", F.when(F.col("id") % 2 == 0, "wide").otherwise("narrow").alias("encoding"), "instrument", "observed_at", "last"))
+    f = f.withColumn("body", F.when(F.col("sequence") % 10 == 9, F.substr("body", F.lit(1), F.length("body") - 1)).otherwise(F.col("body")))
+    f.unionByName(f.where("sequence % 4 = 0")).unionByName(f.withColumn("version", F.lit(2))).write.parquet(path)
+    x = rd.decode_frames(rd.read_frame_log(spark, path))
+    return x.select("msg_id", "instrument", F.unix_millis("observed_at").alias("ms"), "last", "error")
+
+
+@query(f"""WITH {b.HOURLY}, r AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY open_time) AS n FROM bars)
+  SELECT instrument, n::INTEGER AS row_number, epoch(open_time)::BIGINT AS open_time, printf('%.2f', close) AS close_text, sha256(strftime(open_time, '%Y-%m-%dT%H:%M:%SZ') || ',' || printf('%.2f', open) || ',' || printf('%.2f', high) || ',' || printf('%.2f', low) || ',' || printf('%.2f', close) || ',' || volume || ',bid,' || instrument) AS line_sha256 FROM r""")
+def s3_bar_package(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "package")
+    two = lambda c: F.format_string("%.2f", c)
+    line = F.concat_ws(",", F.date_format("open_time", "yyyy-MM-dd'T'HH:mm:ss'Z'"), *map(two, ("open", "high", "low", "close")), F.col("volume").cast("string"), F.lit("bid"), "instrument")
+    files = b.hourly(spark, d).groupBy("instrument").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    files.select("instrument", F.concat(F.lit(rd.PACKAGE_HEADER + "\n"), "lines").alias("value")).write.partitionBy("instrument").text(path)
+    x = rd.read_bar_package(spark, path)
+    return x.select(F.col("source").alias("instrument"), "row_number", F.unix_seconds("open_time").alias("open_time"), "close_text", "line_sha256")
+
+
+@query(f"WITH {b.QUOTES} SELECT instrument, instrument <> 'view' AS verified FROM quotes GROUP BY 1 UNION ALL SELECT 'nowhere', false")
+def s4_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "artifacts")
+    b.quotes(spark, d).groupBy("instrument").agg(F.max("last").cast("string").alias("value")).write.partitionBy("instrument").text(path)
+    folder = F.length(F.regexp_replace(F.lit(path), "^[a-z0-9]+:/+", "/")) + 2
+    known = spark.read.text(path, wholetext=True).select("instrument", F.substr(F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:/+", "/"), folder).alias("path"), F.octet_length("value").cast("long").alias("bytes"), F.sha2("value", 256).alias("sha256"))
+    manifest = known.withColumn("sha256", F.when(F.col("instrument") == "view", F.reverse("sha256")).otherwise(F.col("sha256"))).unionByName(known.limit(1).withColumn("path", F.lit("instrument=nowhere/part")).withColumn("instrument", F.lit("nowhere")))
+    return rd.verify_artifacts(spark, manifest, path).select("instrument", "verified")
+
+
+@query(f"WITH {b.DAILY} SELECT 'VIX' AS code, observed_at::DATE::VARCHAR AS date, last(round(last, 2) ORDER BY id) AS value FROM daily GROUP BY 2")
+def s5_vol_history(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "history")
+    q = b.daily_prices(spark, d)
+    line = F.struct("id", F.concat(F.date_format("observed_at", "MM/dd/yyyy"), F.lit(", "), F.format_string("%.2f", "last")).alias("l"))
+    text = q.agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("lines"))  # one history is one small file
+    text.select(F.concat(F.lit("Date, VIX\n01/02/1990,\n"), "lines").alias("value")).write.text(path)
+    return rd.read_vol_history(spark, path, "VIX").withColumn("date", F.col("date").cast("string"))
+
+
+@query(f"""WITH {b.QUOTES}, x AS (SELECT *, date_trunc('second', observed_at) AS t FROM quotes) SELECT instrument AS code, last AS value, epoch(CASE WHEN id % 2 = 0 THEN t ELSE t + INTERVAL 6 HOUR END)::BIGINT AS observed_at FROM x WHERE id % 5 <> 0""")
+def s6_vol_quotes(spark: SparkSession, d: str) -> DataFrame:
+    q = b.quotes(spark, d)
+    at = F.concat(F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("id") % 2 == 0, "Z").otherwise(""))
+    j = F.to_json(F.struct(F.concat(F.lit("^"), "instrument").alias("symbol"), F.struct(F.when(F.col("id") % 5 != 0, F.col("last")).alias("current_price"), at.alias("last_trade_time")).alias("data")))
+    return rd.normalize_vol_quotes(q.select(j.alias("json"))).withColumn("observed_at", F.unix_seconds("observed_at"))
+
+
+@query(f"WITH {b.POSITIONS} SELECT contract, volume, open_interest, oi_change FROM positions")
+def s7_positions(spark: SparkSession, d: str) -> DataFrame:
+    p = b.positions(spark, d)
+    row = F.struct(F.upper("contract").alias("contractname"), F.concat(F.col("volume").cast("string"), F.lit(".0")).alias("volume"), F.col("open_interest").cast("string").alias("openinterest"), F.col("oi_change").cast("string").alias("openinterestchg"))
+    page = p.groupBy("product").agg(F.to_json(F.struct(F.concat(F.collect_list(row), F.array(F.struct(F.lit("rindex").alias("contractname"), F.lit("1").alias("volume"), F.lit("2").alias("openinterest"), F.lit(None).cast("string").alias("openinterestchg")))).alias("delaymarket"))).alias("json"))
+    return rd.normalize_positions(page, "r").select("contract", "volume", "open_interest", "oi_change")
+
+
+@query("""WITH m AS (SELECT chr((97 + p_partkey // 10000)::INTEGER) || 'x' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') AS underlying, p_partkey AS k, p_size, floor(p_retailprice)::BIGINT AS strike FROM part WHERE p_partkey % 400 <> 0)
+  SELECT underlying || CASE WHEN k % 2 = 0 THEN 'C' ELSE 'P' END || strike AS contract, underlying, CASE WHEN k % 2 = 0 THEN 'call' ELSE 'put' END AS type, strike::DOUBLE AS strike, CASE WHEN k % 3 <> 0 THEN CASE k % 2 WHEN 0 THEN 1.0 ELSE -0.5 END END::DOUBLE AS delta, CASE WHEN k % 5 <> 0 THEN p_size / 100.0 END::DOUBLE AS iv, (k * 3 % 500)::BIGINT AS volume FROM m""")
+def s8_option_chain(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    p = b.read(spark, d, "part").withColumn("underlying", F.concat(F.char((97 + F.expr("p_partkey div 10000")).cast("long")), F.lit("x"), F.lpad((k % 10_000).cast("string"), 4, "0")))
+    p = p.withColumn("contract", F.concat("underlying", F.when(k % 2 == 0, "C").otherwise("P"), F.floor("p_retailprice").cast("string")))
+    master = p.select("contract", F.lit("2024-06-15").cast("date").alias("expiry"), F.lit(1000).alias("multiplier"))
+    quotes = p.where(k % 400 != 0).select("contract", F.col("p_retailprice").alias("last"), (k * 3 % 500).cast("long").alias("volume"), (k * 7 % 1000).cast("long").alias("open_interest"))
+    delta = p.where(k % 3 != 0).select("contract", F.when(k % 2 == 0, 1.000001).otherwise(-0.5).alias("delta"))
+    iv = p.where(k % 5 != 0).select("underlying", (F.col("p_size") / 100.0).alias("iv"))
+    return rd.build_option_chain(master, quotes, delta, iv).select("contract", "underlying", "type", "strike", "delta", "iv", "volume")
+
+
+@query(f"""WITH {b.HOURLY}, f AS (SELECT *, instrument || '-' || strftime(open_time, '%Y%m%d') || '.gz' AS file FROM bars)
+  SELECT file, epoch(open_time)::BIGINT AS open_time, open, high, low, close, volume, row_number() OVER (PARTITION BY file ORDER BY open_time) - 1 AS record FROM f WHERE low > 0""")
+def s12_bar_archives(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "archives")
+    bars = b.hourly(spark, d).where("low > 0").withColumn("file", F.concat("instrument", F.lit("-"), F.date_format("open_time", "yyyyMMdd"), F.lit(".gz")))
+    rd.write_bar_archives(bars.select("file", "open_time", *("open", "high", "low", "close"), "volume"), path).write.format("noop").mode("overwrite").save()
+    x = rd.decode_bar_archives(spark, path)
+    return x.select("file", F.unix_seconds("open_time").alias("open_time"), "open", "high", "low", "close", "volume", "record")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +12,7 @@ from quotemill.operators import governance as gov
 from quotemill.operators import joins as jo
 from quotemill.plans import bindings as b
 from quotemill.plans.registry import query
-from quotemill.session import SETTINGS
+from quotemill.session import SETTINGS, shared_path
 from quotemill.streaming import bars as sb
 
 K = list(b.KEYS)
@@ -321,20 +318,29 @@ def j8_segment_lineage(spark: SparkSession, d: str) -> DataFrame:
 
 # --- streams -------------------------------------------------------------------------------------------------------------
 
-def streamed(spark: SparkSession, q: DataFrame, make, mode: str, order: tuple[str, ...] = ("received_at", "id"), files: int = 4) -> DataFrame:
-    """A table as a stream of files in an order, through make, into a table in the shared folder."""
+def streamed(spark: SparkSession, q: DataFrame, make, mode: str, order: tuple[str, ...] = ("received_at", "id"), files: int = 4, sink=None) -> DataFrame:
+    """A table as a stream of files in an order, one file a batch, through make into a table in the shared folder. The stream stops
+    after half of the files and starts again from its checkpoint, so state is kept, written and read. sink(path) writes a batch to
+    a table of its own instead."""
     # state of arbitrary processors needs this store
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}" if root else "file://" + tempfile.mkdtemp(prefix="quotemill-stream-")
-    q.repartitionByRange(files, order[0]).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{base}/in")
-    stream = spark.readStream.schema(q.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
-    out = make(stream)
+    base = shared_path(spark, "stream")
+    number = F.unix_micros(order[0]) if dict(q.dtypes)[order[0]] == "timestamp" else F.col(order[0])
+    bounds = q.agg(F.percentile_approx(number, [i / files for i in range(1, files)], 1000)).first()[0] or []
+    part = F.lit(0)
+    for x in sorted(bounds):
+        part = part + (number > x).cast("int")
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/b={n}")
 
-    out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    for half in (range(files // 2), range(files // 2, files)):
+        for k in half:  # one after the other, for the order of files is that of their times
+            q.where(part == k).coalesce(1).sortWithinPartitions(*order).write.mode("append").parquet(f"{base}/in")
+        out = make(spark.readStream.schema(q.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+        out.writeStream.outputMode(mode).foreachBatch(sink(f"{base}/table") if sink else put).option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    if sink:
+        return spark.read.parquet(f"{base}/table")
     return spark.read.schema(out.schema).parquet(f"{base}/out").select(*out.columns)
 
 

@@ -18,12 +18,18 @@ PACKAGE_SCHEMA = "timestamp_utc string, open string, high string, low string, cl
 ARCHIVE = np.dtype([("t", "<i8"), ("high", "<i8"), ("open", "<i8"), ("low", "<i8"), ("close", "<i8"), ("volume", "<i8")])
 
 
-def read_quotes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_quotes(spark: SparkSession, path: str, instrument: str | None = None, channel: str | None = None, start=None, end=None, time: str = "observed_at") -> DataFrame:
+    """Ticks of a table in [start, end) of an instrument and channel, each bound if it's given: filters that reach the scan."""
+    df = spark.read.parquet(path)
+    for name, value in (("instrument", instrument), ("channel", channel)):
+        df = df if value is None else df.where(F.col(name) == value)
+    df = df if start is None else df.where(F.col(time) >= F.lit(start).cast("timestamp"))
+    return df if end is None else df.where(F.col(time) < F.lit(end).cast("timestamp"))
 
 
-def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_bars(spark: SparkSession, path: str, instrument: str | None = None, start=None, end=None) -> DataFrame:
+    """Bars of a table, as read_quotes, by their opening."""
+    return read_quotes(spark, path, instrument, None, start, end, "open_time")
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -51,21 +57,25 @@ def read_bar_package(spark: SparkSession, root: str, price_side: str = "bid") ->
 
 
 def verify_artifacts(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
-    """manifest(path, bytes, sha256) with verified: is the file there with this length and digest?"""
-    have = spark.read.format("binaryFile").load(root).select(F.col("path").alias("_p"), F.length("content").cast("long").alias("_n"), F.sha2("content", 256).alias("_h"))
-    j = manifest.join(have, F.substring_index("_p", "/", -1) == F.substring_index("path", "/", -1), "left")
+    """manifest(path, bytes, sha256) with verified: is the file of that path under root there with this length and digest?"""
+    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    folder = F.length(bare(F.lit(root.rstrip("/")))) + 2
+    have = files.select(F.substr(bare("path"), folder).alias("_p"), F.length("content").cast("long").alias("_n"), F.sha2("content", 256).alias("_h"))
+    j = manifest.join(have, F.col("_p") == F.col("path"), "left")
     return j.withColumn("verified", F.coalesce((F.col("_n") == F.col("bytes")) & (F.col("_h") == F.lower("sha256")), F.lit(False))).drop("_p", "_n", "_h")
 
 
 def read_vol_history(spark: SparkSession, path: str, code: str) -> DataFrame:
-    """History of a volatility index: the value is CLOSE, or a column named as the index; dates MM/dd/yyyy; blanks are left out; of
-    one date the last row counts."""
-    raw = spark.read.option("header", "true").csv(path)
-    names = {c.strip().upper(): c for c in raw.columns}
-    value = names.get("CLOSE") or names.get(code.upper())
-    if "DATE" not in names or value is None:
-        raise ValueError(f"no DATE and value column in {raw.columns}")
-    rows = raw.select(F.to_date(F.trim(f"`{names['DATE']}`"), "MM/dd/yyyy").alias("date"), F.try_to_number(F.trim(f"`{value}`"), F.lit("999999.999999")).cast("double").alias("value"), F.monotonically_increasing_id().alias("_n"))
+    """History of a volatility index, a file of a few thousand lines: the value is CLOSE, or a column named as the index; dates
+    MM/dd/yyyy; blanks are left out; of one date the last line counts. A file without those columns is an error."""
+    files = spark.read.text(path, wholetext=True).select(F.split(F.rtrim("value", F.lit("\r\n")), "\r?\n").alias("_lines"))
+    names = F.transform(F.split(F.get("_lines", F.lit(0)), ","), lambda c: F.upper(F.trim(c)))
+    at = lambda name: F.array_position(names, name) - 1
+    value = F.when(at("CLOSE") >= 0, at("CLOSE")).otherwise(at(code.upper()))
+    checked = F.when((at("DATE") < 0) | (value < 0), F.raise_error(F.concat(F.lit("no DATE and value column in "), F.get("_lines", F.lit(0))))).otherwise(value)
+    rows = files.select(at("DATE").cast("int").alias("_d"), checked.cast("int").alias("_v"), F.posexplode(F.slice("_lines", 2, 1 << 30)).alias("_n", "_line")).withColumn("_f", F.split("_line", ","))
+    rows = rows.select(F.try_to_timestamp(F.trim(F.get("_f", "_d")), F.lit("MM/dd/yyyy")).cast("date").alias("date"), F.try_to_number(F.trim(F.get("_f", "_v")), F.lit("999999999.999999")).cast("double").alias("value"), "_n")
     return rows.where("date is not null and value is not null").groupBy("date").agg(F.max_by("value", "_n").alias("value")).select(F.lit(code).alias("code"), "date", "value")
 
 
@@ -155,12 +165,37 @@ def decode_bar_archives(spark: SparkSession, glob: str) -> DataFrame:
     return files.mapInPandas(decode, "file string, open_time timestamp, open double, high double, low double, close double, volume long, record long")
 
 
+def write_bar_archives(bars: DataFrame, root: str, file: str = "file") -> DataFrame:
+    """bars(file, open_time, OHLC, volume) as gzip archives under root, a folder all executors share: one for each file name, in the
+    order of time. Returns file and records of each. A task that runs again writes the same bytes over the same name."""
+
+    def write(g: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        g = g.sort_values("open_time")
+        rows = np.zeros(len(g), ARCHIVE)
+        rows["t"] = g["open_time"].astype("int64") // 1_000_000_000 if g["open_time"].dtype == "datetime64[ns]" else g["open_time"].astype("datetime64[s]").astype("int64")
+        for c in ("open", "high", "low", "close"):
+            rows[c] = np.rint(g[c].to_numpy() * 1e6)
+        rows["volume"] = g["volume"]
+        store, base = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
+        store.create_dir(base, recursive=True)
+        name = g[file].iloc[0]
+        with store.open_output_stream(f"{base}/.{name}.tmp", compression=None) as out:
+            out.write(gzip.compress(rows.tobytes(), mtime=0))
+        store.move(f"{base}/.{name}.tmp", f"{base}/{name}")
+        return pd.DataFrame({"file": [name], "records": [len(g)]})
+
+    return bars.groupBy(file).applyInPandas(write, "file string, records long")
+
+
 def archive_completeness(manifest: DataFrame, bars: DataFrame) -> DataFrame:
-    """manifest(file, range_start, range_end, declared) with found, the records of the file inside the range, and complete."""
-    j = manifest.join(bars.select("file", "open_time"), "file", "left")
-    inside = (F.col("open_time") >= F.col("range_start")) & (F.col("open_time") <= F.col("range_end"))
-    g = j.groupBy(*manifest.columns).agg(F.count_if(F.coalesce(inside, F.lit(False))).alias("found"))
-    return g.withColumn("complete", F.col("found") == F.col("declared"))
+    """manifest(file, range_start, range_end, declared) with found, the records of the file inside the range, and complete. Records are
+    counted per file and range before anything is joined back."""
+    ranges = manifest.select("file", "range_start", "range_end").distinct()
+    inside = bars.select("file", "open_time").join(ranges, "file").where((F.col("open_time") >= F.col("range_start")) & (F.col("open_time") <= F.col("range_end")))
+    found = inside.groupBy("file", "range_start", "range_end").agg(F.count("*").alias("found"))
+    return manifest.join(found, ["file", "range_start", "range_end"], "left").na.fill(0, ["found"]).withColumn("complete", F.col("found") == F.col("declared"))
 
 
 def read_frame_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -177,26 +212,31 @@ def message_id() -> Column:
     return F.concat_ws(":", "channel", "connection", F.col("sequence").cast("string"))
 
 
+def encode_frames(ticks: DataFrame) -> DataFrame:
+    """ticks(channel, connection, sequence, received_at, encoding, instrument, observed_at, last) as raw frames."""
+    little = lambda x, n: F.reverse(F.substring(F.lpad(F.hex(x), 16, "0"), 17 - 2 * n, 2 * n))
+    # hex digits reversed are bytes reversed with their digits swapped: swap them back
+    swapped = lambda x, n: F.regexp_replace(little(x, n), "(.)(.)", "$2$1")
+    price = F.round(F.col("last") * 1_000_000).cast("long")
+    wide = F.col("encoding") == "wide"
+    head = F.concat(F.lpad(F.hex(F.length("instrument").cast("long")), 2, "0"), F.hex("instrument"))
+    body = F.unhex(F.concat(head, F.when(wide, swapped(F.expr("unix_micros(observed_at) div 1000"), 8)).otherwise(swapped(F.unix_seconds("observed_at"), 4)), swapped(price, 8)))
+    return ticks.select(F.lit(1).alias("version"), "channel", "connection", F.col("sequence").cast("long").alias("sequence"), "received_at", "encoding", body.alias("body"))
+
+
 def decode_frames(frames: DataFrame) -> DataFrame:
     """Frames -> ticks: a byte of length, the symbol, then millisecond time and price in millionths as little-endian integers, eight
     bytes each (wide), or four of seconds and eight of price (narrow). A frame that doesn't decode is a row with its error."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            rows = []
-            for i, encoding, body in zip(g["msg_id"], g["encoding"], g["body"], strict=True):
-                try:
-                    n = body[0]
-                    symbol, rest = bytes(body[1 : 1 + n]).decode("ascii"), bytes(body[1 + n :])
-                    width = 8 if encoding == "wide" else 4
-                    if len(rest) != width + 8:
-                        raise ValueError("length")
-                    t, price = int.from_bytes(rest[:width], "little"), int.from_bytes(rest[width:], "little", signed=True)
-                    rows.append((i, symbol, pd.Timestamp(t, unit="ms" if width == 8 else "s"), price / 1e6, None))
-                except (IndexError, ValueError, UnicodeDecodeError) as e:
-                    rows.append((i, None, None, None, type(e).__name__))
-            yield pd.DataFrame(rows, columns=["msg_id", "instrument", "observed_at", "last", "error"])
-
-    rest = frames.select("msg_id", "channel", "sequence", "received_at")
-    ticks = frames.select("msg_id", "encoding", "body").mapInPandas(decode, "msg_id string, instrument string, observed_at timestamp, last double, error string")
-    return ticks.join(rest, "msg_id")
+    body, n = F.col("body"), F.conv(F.hex(F.substring("body", 1, 1)), 16, 10).cast("int")
+    wide = F.col("encoding") == "wide"
+    width = F.when(wide, 8).otherwise(4)
+    # little-endian bytes as a number: hex digits turned round pair by pair
+    number = lambda at, size: F.conv(F.regexp_replace(F.reverse(F.hex(F.substr(body, at, size))), "(.)(.)", "$2$1"), 16, -10).cast("long")
+    symbol = F.substr(body, F.lit(2), n)
+    error = F.when(F.length(body) < 1, "IndexError").when(F.length(body) != 1 + n + width + 8, "ValueError").when(~F.hex(symbol).rlike("^([0-7][0-9A-F])*$"), "UnicodeDecodeError")
+    x = frames.withColumn("error", error)
+    ok = F.col("error").isNull()
+    time = number(n + 2, width)
+    at = F.when(wide, F.timestamp_millis(time)).otherwise(F.timestamp_seconds(time))
+    return x.select(
+        "msg_id", F.when(ok, F.decode(symbol, "US-ASCII")).alias("instrument"), F.when(ok, at).alias("observed_at"), F.when(ok, number(n + 2 + width, F.lit(8)) / 1e6).alias("last"), "error", "channel", "sequence", "received_at")

@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -88,13 +89,18 @@ class BarReducer(StatefulProcessor):
         before, changed = set(have), {}
         batch = pd.concat(list(rows)).sort_values(["received_at", "id"], kind="stable")
 
+        newest_of: dict[int, int] = {}
+        for n, bucket in have:
+            newest_of[n] = max(bucket, newest_of.get(n, bucket))
+
         def put(k: tuple[int, int], bar: dict) -> None:
             have[k] = changed[k] = bar
+            newest_of[k[0]] = max(k[1], newest_of.get(k[0], k[1]))
 
         for r in batch.itertuples(index=False):
             if r.kind == "tick":
                 for n in self.intervals:
-                    self._tick(have, put, n, r)
+                    self._tick(have, newest_of, put, n, r)
             else:
                 self._bar(have, put, r)
         for n in {k[0] for k in have}:
@@ -109,9 +115,9 @@ class BarReducer(StatefulProcessor):
         yield pd.DataFrame(out, columns=[c.split()[0] for c in BAR_SCHEMA.split(", ")])
 
     @staticmethod
-    def _tick(have: dict, put: Callable, n: int, r) -> None:
+    def _tick(have: dict, newest_of: dict, put: Callable, n: int, r) -> None:
         bucket = int(r.observed_at) // 1_000_000 // n * n
-        newest = max((k[1] for k in have if k[0] == n), default=None)
+        newest = newest_of.get(n)
         if newest is not None and bucket < newest:
             return
         if n == 1 and newest is not None and bucket > newest and have[(n, newest)]["state"] == "provisional_quote":
@@ -157,9 +163,9 @@ def bar_rows(bars: DataFrame, seconds: int) -> DataFrame:
     return bars.select("instrument", F.lit("bar").alias("kind"), F.unix_micros("open_time").alias("observed_at"), F.unix_micros("received_at").alias("received_at"), d("close").alias("last"), d("open").alias("open"), d("high").alias("high"), d("low").alias("low"), d("volume").alias("volume"), F.lit(seconds).cast("long").alias("interval"), F.col("revision").cast("long").alias("revision"), F.unix_seconds("open_time").alias("id"))
 
 
-def bar_stream(rows: DataFrame, intervals: Sequence[int] = (1, 60)) -> DataFrame:
+def bar_stream(rows: DataFrame, intervals: Sequence[int] = (1, 60), kept: int = KEPT) -> DataFrame:
     """Update rows of BAR_SCHEMA: every change of a bar, with a higher revision each time."""
-    return rows.groupBy("instrument").transformWithStateInPandas(BarReducer(intervals), BAR_SCHEMA, "Update", "None")
+    return rows.groupBy("instrument").transformWithStateInPandas(BarReducer(intervals, kept), BAR_SCHEMA, "Update", "None")
 
 
 class PeriodRoller(StatefulProcessor):
@@ -239,26 +245,45 @@ def coalesce_batch(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("revision", "received_at")).alias("l")).select(*keys, "l.*")
 
 
-def latest_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the latest tick of each instrument as a table, one version for each batch, monotone in receipt."""
+#: Partitions of the tables that sinks merge into; a batch rewrites those that it has keys of.
+SINK_PARTS = 64
+
+
+def _merge_into(path: str, batch: DataFrame, keys: Sequence[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
+    """Rows of a batch merged into a table: the partitions that its keys hash to are read, merged and overwritten, others stay."""
+    spark = batch.sparkSession
+    keyed = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(SINK_PARTS)).cast("int")).persist()  # the batch is read twice
+    touched = [r[0] for r in keyed.select("part").distinct().collect()]  # SINK_PARTS at most
+    if touched:
+        try:
+            before = spark.read.parquet(path).where(F.col("part").isin(touched))
+        except AnalysisException:  # no table yet
+            before = None
+        merged = merge(before, keyed)
+        merged.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    keyed.unpersist()
+
+
+def latest_sink(path: str, keys: Sequence[str] = ("instrument",)) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the latest tick of each key as a table, monotone in observation, then receipt; a batch that runs again
+    changes nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, now = batch.sparkSession, f"{path}/v{batch_id}"
-        before = f"{path}/v{batch_id - 1}"
-        merged = batch if batch_id == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(before))
-        latest_quotes(merged, ["instrument"]).write.mode("overwrite").parquet(now)
+        _merge_into(path, batch, keys, lambda before, new: latest_quotes(new if before is None else before.unionByName(new), list(keys)))
 
     return write
 
 
 def realtime_sink(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: upserts bars by revision; a version of the table for each batch, so a batch that runs again is harmless."""
+    """For foreachBatch: upserts bars by revision; rows that a batch that runs again brings have no higher revision, so it's
+    harmless."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, now = batch.sparkSession, f"{path}/v{batch_id}"
-        start = batch.limit(0).withColumn("mutation_id", F.lit(None).cast("long"))
-        existing = start if batch_id == 0 else spark.read.schema(start.schema).parquet(f"{path}/v{batch_id - 1}")
-        merge_realtime_bars(existing, coalesce_batch(batch, [*keys, "open_time"]).select(*batch.columns), keys, batch_id).write.mode("overwrite").parquet(now)
+        def merge(before: DataFrame | None, new: DataFrame) -> DataFrame:
+            start = new.limit(0).withColumn("mutation_id", F.lit(None).cast("long"))
+            return merge_realtime_bars(start if before is None else before.select(*start.columns), coalesce_batch(new, [*keys, "open_time"]).select(*new.columns), keys, batch_id)
+
+        _merge_into(path, batch, keys, merge)
 
     return write
 
