@@ -114,24 +114,47 @@ def finalize_bars(bars: DataFrame, keys: Sequence[str], native: bool = True) ->
         "finalized_at", F.when(F.col("_close"), F.col("received_at")).otherwise(F.col("finalized_at"))).drop("_close")
 
 
+def standard_candidates(stored: DataFrame, ticks: DataFrame, seconds: int = 60) -> DataFrame:
+    """Stored bars (instrument, source_id, open_time, OHLC, volume, received_at) and those that ticks (instrument, source_id,
+    observed_at, received_at, last, id) make, which have no volume; record_rank puts stored ones first."""
+    made = ohlc_bars(ticks.withColumn("volume", F.lit(None).cast("double")), ("instrument", "source_id"), seconds)
+    columns = ("instrument", "source_id", "open_time", "open", "high", "low", "close", "volume", "received_at")
+    own = lambda df, rank: df.select(*(F.col(c).cast("double").alias(c) if c in ("open", "high", "low", "close", "volume") else F.col(c) for c in columns), F.lit(rank).alias("record_rank"))
+    return own(stored, 0).unionByName(own(made, 1))
+
+
 def standardize(candidates: DataFrame, priority: dict[str, int], max_deviation: float = 0.001) -> DataFrame:
-    """Consensus bars of several sources: candidates(instrument, source_id, open_time, OHLC, volume, received_at).
+    """Consensus bars of several sources: candidates(instrument, source_id, open_time, OHLC, volume, received_at, record_rank).
 
-    Of a source and minute the bar received last counts. The deviation is (max - min) / abs(mean) of the closes; one source
-    alone, or a deviation of at most max_deviation, is accepted, and the source of the best priority (then name) is taken.
-    evidence lists the sources in that order.
+    Of a source and minute the least record_rank counts, of those the bar received last. The deviation is (max - min) /
+    abs(mean) of the closes; one source alone, or a deviation of at most max_deviation, is accepted, and the source of the best
+    priority (then name) is taken. evidence is the JSON of all sources' prices in that order, method how it was accepted.
     """
     rank = F.lit(1 << 30)
     for s, p in priority.items():
         rank = F.when(F.col("source_id") == s, p).otherwise(rank)
-    cols = ["open", "high", "low", "close", "volume", "received_at"]
-    best = candidates.groupBy("instrument", "open_time", "source_id").agg(latest(cols, "received_at", "close").alias("_l")).select("instrument", "open_time", "source_id", "_l.*").withColumn("_rank", rank)
+    cols = ["open", "high", "low", "close", "volume", "received_at", "record_rank"]
+    best = candidates.groupBy("instrument", "open_time", "source_id").agg(
+        F.min_by(F.struct(*cols), F.struct("record_rank", -F.unix_micros("received_at"), "close")).alias("_l")).select("instrument", "open_time", "source_id", "_l.*").withColumn("_rank", rank)
+    said = F.transform(F.array_sort(F.collect_list(F.struct("_rank", "source_id", "open", "high", "low", "close"))), lambda x: F.struct(x["source_id"].alias("source_id"), *(x[c].cast("string").alias(c) for c in ("open", "high", "low", "close"))))
     g = best.groupBy("instrument", "open_time").agg(
         F.count("*").alias("sources"), F.min("close").alias("_lo"), F.max("close").alias("_hi"), F.avg("close").alias("_avg"),
-        F.min_by(F.struct("source_id", *cols), F.struct("_rank", "source_id")).alias("_p"),
-        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "source_id", "close"))), lambda x: F.struct(x["source_id"].alias("source_id"), x["close"].alias("close")))).alias("evidence"))
-    deviation = F.try_divide(F.col("_hi") - F.col("_lo"), F.abs("_avg"))
-    return g.withColumn("deviation", deviation).where((F.col("sources") == 1) | (F.col("deviation") <= max_deviation)).select("instrument", "open_time", "_p.*", "sources", "deviation", "evidence")
+        F.min_by(F.struct("source_id", *cols), F.struct("_rank", "source_id")).alias("_p"), F.to_json(said).alias("evidence"))
+    deviation = F.coalesce(F.try_divide(F.col("_hi") - F.col("_lo"), F.abs("_avg")), F.lit(0.0))
+    method = F.when(F.col("sources") > 1, "cross_source_consensus").otherwise("single_source_structural")
+    accepted = g.withColumn("deviation", deviation).where((F.col("sources") == 1) | (F.col("deviation") <= max_deviation))
+    return accepted.select("instrument", "open_time", "_p.*", "sources", "deviation", method.alias("method"), "evidence").drop("record_rank")
+
+
+def merge_standard(existing: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Standard bars with those made anew: a new one has revision 1, one whose evidence has changed one more than before, any other
+    stays as it was."""
+    keys, rest = ["instrument", "open_time"], [c for c in fresh.columns if c not in ("instrument", "open_time")]
+    old = existing.select(*keys, F.struct(*rest, "revision").alias("_o"))
+    j = old.join(fresh.select(*keys, F.struct(*rest).alias("_n")), keys, "full")
+    take = F.col("_n").isNotNull() & (F.col("_o").isNull() | ~F.col("_o.evidence").eqNullSafe(F.col("_n.evidence")))
+    revision = F.when(F.col("_o").isNull(), 1).when(take, F.col("_o.revision") + 1).otherwise(F.col("_o.revision"))
+    return j.select(*keys, *(F.when(take, F.col(f"_n.{c}")).otherwise(F.col(f"_o.{c}")).alias(c) for c in rest), revision.cast("long").alias("revision"))
 
 
 def series_fingerprint(bars: DataFrame, keys: Sequence[str]) -> DataFrame:

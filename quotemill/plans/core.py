@@ -257,11 +257,31 @@ def a2_period_bars_1w(spark: SparkSession, d: str) -> DataFrame:
     return _rolled(cal.period_bars(cal.period_bounds(x, "1w", "Asia/Shanghai"), K, "2024-01-29"))
 
 
-@query(f"""WITH {b.DAILY}, m AS (SELECT instrument, time_bucket(INTERVAL 1 DAY, observed_at) AS t, first(last ORDER BY observed_at, id) AS open, max(last) AS high, min(last) AS low, last(last ORDER BY observed_at, id) AS close, count(*) AS n FROM daily GROUP BY 1, 2)
-  SELECT instrument, epoch(date_trunc('quarter', t)::TIMESTAMP)::BIGINT AS bucket_start, first(open ORDER BY t) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY t) AS close, count(*) AS components FROM m GROUP BY instrument, date_trunc('quarter', t)""")
-def a2_period_bars_1q(spark: SparkSession, d: str) -> DataFrame:
+def _calendar_sql(unit: str) -> str:
+    return f"""WITH {b.DAILY}, m AS (SELECT instrument, time_bucket(INTERVAL 1 DAY, observed_at) AS t, first(last ORDER BY observed_at, id) AS open, max(last) AS high, min(last) AS low, last(last ORDER BY observed_at, id) AS close, count(*) AS n FROM daily GROUP BY 1, 2)
+  SELECT instrument, epoch(date_trunc('{unit}', t)::TIMESTAMP)::BIGINT AS bucket_start, epoch(date_trunc('{unit}', t)::TIMESTAMP + INTERVAL 1 {unit})::BIGINT AS bucket_end, first(open ORDER BY t) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY t) AS close, count(*) AS components FROM m GROUP BY instrument, date_trunc('{unit}', t)"""
+
+
+def _calendar_bars(spark: SparkSession, d: str, period: str) -> DataFrame:
     m = ba.ohlc_bars(b.daily_prices(spark, d), K, 86_400).withColumn("state", F.lit("final")).withColumn("revision", F.col("ticks")).withColumn("finalized_at", F.col("received_at")).withColumn("trading_date", F.to_date("open_time"))
-    return cal.period_bars(cal.period_bounds(m, "1q"), K).select("instrument", _s("bucket_start"), "open", "high", "low", "close", "components")
+    x = cal.period_bounds(m, period)
+    ends = x.select(*K, "bucket_start", "bucket_end").distinct()
+    return cal.period_bars(x, K).drop("bucket_end").join(ends, [*K, "bucket_start"]).select("instrument", _s("bucket_start"), _s("bucket_end"), "open", "high", "low", "close", "components")
+
+
+@query(_calendar_sql("quarter"))
+def a2_period_bars_1q(spark: SparkSession, d: str) -> DataFrame:
+    return _calendar_bars(spark, d, "1q")
+
+
+@query(_calendar_sql("month"))
+def a2_period_bars_1mo(spark: SparkSession, d: str) -> DataFrame:
+    return _calendar_bars(spark, d, "1mo")
+
+
+@query(_calendar_sql("year"))
+def a2_period_bars_1y(spark: SparkSession, d: str) -> DataFrame:
+    return _calendar_bars(spark, d, "1y")
 
 
 @query(f"""WITH {b.QUOTES}, {_SESSIONS}, u AS (SELECT s.trading_date, s.session_start, s.session_end FROM sessions s WHERE EXISTS (SELECT 1 FROM quotes q WHERE q.observed_at >= s.session_start AND q.observed_at < s.session_end))
@@ -271,13 +291,33 @@ def a4_trading_day_end(spark: SparkSession, d: str) -> DataFrame:
     return cal.trading_day_end(used).select(F.col("trading_date").cast("string").alias("trading_date"), _s("day_end"), _s("day_start"))
 
 
-@query(f"""WITH {b.QUOTES}, m AS (SELECT instrument, channel, time_bucket(INTERVAL 1 HOUR, observed_at) AS t, first(last ORDER BY observed_at, id) AS open, last(last ORDER BY observed_at, id) AS close, max(received_at) AS r FROM quotes GROUP BY 1, 2, 3),
-  g AS (SELECT instrument, t, count(*) AS sources, (max(close) - min(close)) / abs(avg(close)) AS deviation, first(channel ORDER BY (CASE channel WHEN 'ch2' THEN 0 WHEN 'ch0' THEN 1 ELSE 2 END)) AS source_id,
-  first(close ORDER BY (CASE channel WHEN 'ch2' THEN 0 WHEN 'ch0' THEN 1 ELSE 2 END)) AS close FROM m GROUP BY 1, 2)
-  SELECT instrument, epoch(t)::BIGINT AS open_time, source_id, close, sources, round(deviation, 6) AS deviation FROM g WHERE sources = 1 OR deviation <= 0.5""")
+_STANDARD = f"""WITH {b.QUOTES}, c AS (SELECT instrument, channel AS s, time_bucket(INTERVAL 1 HOUR, observed_at) AS t, first(last ORDER BY observed_at, id) AS open, max(last) AS high, min(last) AS low, last(last ORDER BY observed_at, id) AS close, NULL::DOUBLE AS volume, max(received_at) AS r, 1 AS k FROM quotes GROUP BY 1, 2, 3
+    UNION ALL SELECT instrument, channel, time_bucket(INTERVAL 1 HOUR, observed_at), max(last), max(last) + 1, min(last), max(last), sum(volume)::DOUBLE, max(received_at), 0 FROM quotes WHERE channel <> 'ch1' AND id % 3 = 0 GROUP BY 1, 2, 3),
+  m AS (SELECT *, CASE s WHEN 'ch2' THEN 0 WHEN 'ch0' THEN 1 ELSE 2 END AS p FROM (SELECT *, row_number() OVER (PARTITION BY instrument, s, t ORDER BY k, r DESC, close) AS n FROM c) WHERE n = 1),
+  g AS (SELECT instrument, t, count(*) AS sources, coalesce((max(close) - min(close)) / nullif(abs(avg(close)), 0), 0) AS deviation, arg_min({{'s': s, 'close': close, 'volume': volume}}, p) AS b,
+    to_json(list({{'source_id': s, 'open': open::VARCHAR, 'high': high::VARCHAR, 'low': low::VARCHAR, 'close': close::VARCHAR}} ORDER BY p))::VARCHAR AS evidence FROM m GROUP BY 1, 2), a AS (SELECT * FROM g WHERE sources = 1 OR deviation <= 0.5)"""
+
+
+def _standard(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars of ticks, and stored ones of two channels that differ from them."""
+    q = b.quotes(spark, d).withColumnRenamed("channel", "source_id")
+    top = F.max("last")
+    stored = q.where("source_id <> 'ch1' and id % 3 = 0").groupBy("instrument", "source_id", fn.epoch_floor("observed_at", 3600).alias("open_time")).agg(
+        top.alias("open"), (top + 1).alias("high"), F.min("last").alias("low"), top.alias("close"), F.sum("volume").alias("volume"), F.max("received_at").alias("received_at"))
+    return ba.standardize(ba.standard_candidates(stored, q, 3600), {"ch2": 0, "ch0": 1, "ch1": 2}, 0.5)
+
+
+@query(_STANDARD + """ SELECT instrument, epoch(t)::BIGINT AS open_time, b.s AS source_id, b.close AS close, b.volume AS volume, sources, round(deviation, 6) AS deviation, CASE WHEN sources > 1 THEN 'cross_source_consensus' ELSE 'single_source_structural' END AS method, evidence FROM a""")
 def a5_standardize(spark: SparkSession, d: str) -> DataFrame:
-    c = ba.ohlc_bars(b.quotes(spark, d), ["instrument", "channel"], 3600).withColumnRenamed("channel", "source_id")
-    return ba.standardize(c, {"ch2": 0, "ch0": 1, "ch1": 2}, 0.5).select("instrument", _s("open_time"), "source_id", "close", "sources", _r("deviation"))
+    return _standard(spark, d).select("instrument", _s("open_time"), "source_id", "close", "volume", "sources", _r("deviation"), "method", "evidence")
+
+
+@query(_STANDARD + """, h AS (SELECT *, epoch(t)::BIGINT // 3600 AS n FROM a) SELECT instrument, epoch(t)::BIGINT AS open_time, evidence, CASE WHEN n % 4 = 0 THEN 1 WHEN n % 4 = 1 THEN 6 ELSE 5 END::BIGINT AS revision FROM h""")
+def a5_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """The same bars once more: some not there before, some with other evidence, the rest unchanged."""
+    fresh, n = _standard(spark, d), F.expr("unix_seconds(open_time) div 3600 % 4")
+    old = fresh.where(n != 0).withColumn("evidence", F.when(n == 1, F.lit("[]")).otherwise(F.col("evidence"))).withColumn("revision", F.lit(5).cast("long"))
+    return ba.merge_standard(old, fresh).select("instrument", _s("open_time"), "evidence", "revision")
 
 
 @query(f"WITH {b.POSITIONS} SELECT product, count(*) AS contracts, sum(volume)::BIGINT AS volume, sum(open_interest)::BIGINT AS open_interest, CASE WHEN count(oi_change) = count(*) THEN sum(oi_change)::BIGINT END AS oi_change, count(oi_change) AS covered FROM positions GROUP BY 1")
@@ -339,6 +379,12 @@ def j15_purge_source(spark: SparkSession, d: str) -> DataFrame:
     return ba.purge_source(g, "3")[0].select("l_orderkey", "source_id")
 
 
+@query("""WITH g AS (SELECT l_orderkey, (first(l_partkey ORDER BY l_linenumber, l_partkey) % 10)::VARCHAR AS s, list((l_partkey % 10)::VARCHAR) AS e FROM lineitem GROUP BY 1) SELECT count(*) FILTER (s = '3') AS "primary", count(*) FILTER (s <> '3' AND list_contains(e, '3')) AS evidence_only FROM g""")
+def j15_purge_counts(spark: SparkSession, d: str) -> DataFrame:
+    g = b.read(spark, d, "lineitem").groupBy("l_orderkey").agg((F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")) % 10).cast("string").alias("source_id"), F.array_agg((F.col("l_partkey") % 10).cast("string")).alias("evidence"))
+    return ba.purge_source(g, "3")[1]
+
+
 # --- joins ---------------------------------------------------------------------------------------------------------------
 
 @query(f"WITH {b.QUOTES} SELECT id, CASE channel WHEN 'ch0' THEN 'alpha' ELSE 'beta' END AS source_id FROM quotes WHERE channel IN ('ch0', 'ch1')")
@@ -634,6 +680,15 @@ def f6_number_scalars(spark: SparkSession, d: str) -> DataFrame:
                     F.round(fn.change_absolute("last", "prev")[1], 6).alias("percent"), fn.bounded_score(F.col("last") - 10).alias("score"))
 
 
+@query(f"""WITH {b.DAILY} SELECT id, epoch(date_trunc('quarter', observed_at)::TIMESTAMP)::BIGINT AS quarter_start, epoch(date_trunc('year', observed_at)::TIMESTAMP)::BIGINT AS year_start, epoch(date_trunc('year', observed_at)::TIMESTAMP + INTERVAL 1 YEAR)::BIGINT AS year_end,
+  id / 1000000.0::DOUBLE AS price, CASE WHEN id % 7 <> 0 THEN round_even((last - id % 7 * 777) / (id % 7 * 777) * 100, 2) END AS percent, (epoch(date_trunc('month', observed_at)::TIMESTAMP + INTERVAL 1 MONTH) - epoch(observed_at))::DOUBLE AS to_month_end FROM daily""")
+def f2_calendar_scalars(spark: SparkSession, d: str) -> DataFrame:
+    q, day = b.daily_prices(spark, d), F.to_date("observed_at")
+    s = lambda c, n: F.unix_seconds(c.cast("timestamp")).alias(n)
+    return q.select("id", s(fn.calendar_start(day, "1q"), "quarter_start"), s(fn.calendar_start(day, "1y"), "year_start"), s(fn.calendar_end(day, "1y"), "year_end"), fn.micros_to_price("id").cast("double").alias("price"),
+                    fn.change_rounded("last", (F.col("id") % 7 * 777).cast("double"))[1].alias("percent"), fn.seconds_to_close("observed_at", "1mo").alias("to_month_end"))
+
+
 @query(f"""WITH {b.QUOTES} SELECT id, 'tick:' || channel || ':' || channel || ':' || instrument || ':' || strftime(observed_at, '%Y%m%dT%H%M%S.%f') || ':' || id || ':-' AS event_id, volume FROM quotes""")
 def f13_event_ids(spark: SparkSession, d: str) -> DataFrame:
     q = b.quotes(spark, d)
