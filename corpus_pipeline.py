@@ -10,7 +10,8 @@ from quotemill.llm.common import fresh_path, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Documents that base rules or learned ones reject go; the others stay whole, nulls, repeats and other columns too. None of an
+    empty table."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -20,11 +21,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans become <KIND>."""
+    """Spans become <KIND>; no row goes, and other columns stay. Null texts stay null."""
     return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document, each row of docs being one: null and empty texts are their end id alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

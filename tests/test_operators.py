@@ -111,6 +111,31 @@ def test_source_with_two_owners_is_an_error(spark):
         jo.bind_sources(spark.createDataFrame([("a", 1)], "channel string, id long"), c).collect()
 
 
+def test_fingerprint_follows_every_edit(spark):
+    base = series(spark, wave(20)).withColumn("state", F.lit("final")).withColumn("revision", F.lit(1))
+    print_ = lambda df: tuple(ba.series_fingerprint(df, K).first())
+    same = print_(base)
+    assert print_(base.repartition(5)) == same and same[1] == 20
+    edits = [base.withColumn(c, F.when(F.col("volume") == 103, new).otherwise(F.col(c))) for c, new in (("close", F.lit(1.0)), ("volume", F.lit(7)), ("state", F.lit("x")), ("revision", F.lit(2)))]
+    twice = base.unionByName(base.where("volume = 105"))
+    assert len({same, *map(print_, edits), print_(base.where("volume <> 104")), print_(twice), print_(twice.unionByName(base.where("volume = 105")))}) == 8
+
+
+def test_standard_bars(spark):
+    t = lambda s: T0 + timedelta(seconds=s)
+    stored = spark.createDataFrame([("x", "a", T0, 1.0, 3.0, 1.0, 2.0, 5.0, t(70)), ("x", "a", T0, 1.0, 3.0, 1.0, 2.001, 5.0, t(80))], "instrument string, source_id string, open_time timestamp, open double, high double, low double, close double, volume double, received_at timestamp")
+    ticks = spark.createDataFrame([("x", s, t(o), t(o + 1), p, i) for i, (s, o, p) in enumerate([("a", 5, 9.0), ("b", 5, 2.0), ("b", 50, 2.002), ("c", 65, 4.0)])], "instrument string, source_id string, observed_at timestamp, received_at timestamp, last double, id long")
+    fresh = ba.standardize(ba.standard_candidates(stored, ticks), {"b": 0, "a": 1})
+    got = {r["open_time"]: r for r in fresh.collect()}
+    # a stored bar goes before the ticks of its source, and of stored ones the last received
+    assert got[T0]["source_id"] == "b" and got[T0]["sources"] == 2 and got[T0]["volume"] is None and got[T0]["method"] == "cross_source_consensus"
+    assert [e["close"] for e in json.loads(got[T0]["evidence"])] == ["2.002", "2.001"] and got[t(60)]["method"] == "single_source_structural"
+    first = ba.merge_standard(fresh.withColumn("revision", F.lit(1).cast("long")).where("false"), fresh)
+    assert {r["revision"] for r in first.collect()} == {1} and {r["revision"] for r in ba.merge_standard(first, fresh).collect()} == {1}
+    changed = fresh.withColumn("evidence", F.when(F.col("sources") == 2, F.lit("[]")).otherwise(F.col("evidence")))
+    assert {r["sources"]: r["revision"] for r in ba.merge_standard(first, changed).collect()} == {2: 2, 1: 1}
+
+
 # --- indicators: the past doesn't change with the future, chunks don't change a scan -------------------------------------
 
 @pytest.mark.parametrize("make", [lambda b: ind.macd(b, K), lambda b: ind.kdj(b, K), lambda b: ind.rsi(b, K), lambda b: ind.bollinger(b, K), lambda b: ind.nine_count(b, K), lambda b: ind.momentum(b, K), lambda b: ind.ma_structure(b, K), lambda b: st.structure_events(b, K), lambda b: ind.poc_every_bar(b, K)])
@@ -323,6 +348,11 @@ def test_bar_package_and_artifacts(spark, tmp_path):
     manifest = spark.createDataFrame([("a.csv", len(text), hashlib.sha256(text.encode()).hexdigest()), ("b.csv", 1, "00")], "path string, bytes long, sha256 string")
     assert {r["path"]: r["verified"] for r in rd.verify_artifacts(spark, manifest, f"file://{tmp_path}/p").collect()} == {"a.csv": True, "b.csv": False}
     (tmp_path / "p/a.csv").write_text("wrong\n" + text)
+    # files of one name in two folders aren't crossed
+    (tmp_path / "q/u").mkdir(parents=True), (tmp_path / "q/v").mkdir()
+    (tmp_path / "q/u/a.csv").write_text("u"), (tmp_path / "q/v/a.csv").write_text("v")
+    crossed = spark.createDataFrame([("u/a.csv", 1, hashlib.sha256(b"u").hexdigest()), ("v/a.csv", 1, hashlib.sha256(b"u").hexdigest())], "path string, bytes long, sha256 string")
+    assert {r["path"]: r["verified"] for r in rd.verify_artifacts(spark, crossed, f"file://{tmp_path}/q").collect()} == {"u/a.csv": True, "v/a.csv": False}
     with pytest.raises(Exception, match="header"):
         rd.read_bar_package(spark, f"file://{tmp_path}/p").collect()
 

@@ -41,7 +41,6 @@ def test_oracle(spark, duck, name):
     assert ours == sorted((tuple(_value(r[i]) for i in at) for r in rel.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    df = QUERIES[name](spark, DATA)
-    assert df.columns and df.count() >= 0
+def test_every_query_has_sql_but_hashes():
+    # 64-bit hashes of rows are beyond SQL; tests/test_operators.py compares them with edits of their rows
+    assert set(QUERIES) - set(ORACLES) == {"a15_series_fingerprint"}
