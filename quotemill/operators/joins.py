@@ -58,12 +58,13 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
     are parted by spans of time, into which the last row before them is carried, so that no key is one task. Of right rows of
     one time the greatest by order, then columns, counts.
     """
-    at = lambda c: F.expr(f"unix_seconds({c}) div {span}")
+    time = lambda c: F.col(c).cast("timestamp")
+    at = lambda c: F.floor(F.unix_seconds(time(c)) / span)
     right_type, left_type = right.select(F.struct(*columns)).schema[0].dataType, left.select(F.struct(*left.columns)).schema[0].dataType
     orders = [f"_o{i}" for i in range(len(order))]
     no_order = [F.lit(None).cast(right.schema[c].dataType).alias(o) for c, o in zip(order, orders, strict=True)]
-    probes = left.select(*keys, at(left_time).alias("_b"), F.col(left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right_type).alias("_r"), *no_order)
-    points = right.select(*keys, at(right_time).alias("_b"), F.col(right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(left_type).alias("_l"), F.struct(*columns).alias("_r"), *[F.col(c).alias(o) for c, o in zip(order, orders, strict=True)])
+    probes = left.select(*keys, at(left_time).alias("_b"), time(left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right_type).alias("_r"), *no_order)
+    points = right.select(*keys, at(right_time).alias("_b"), time(right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(left_type).alias("_l"), F.struct(*columns).alias("_r"), *[F.col(c).alias(o) for c, o in zip(order, orders, strict=True)])
     heads = points.groupBy(*keys, "_b").agg(F.max_by("_r", F.struct("_t", *orders, "_r")).alias("_r"))
     carried = _carried(probes, heads, keys, "last").select(*keys, "_b", F.timestamp_seconds(F.col("_b") * span).alias("_t"), F.lit(-1).alias("_side"), F.lit(None).cast(left_type).alias("_l"), "_r", *no_order)
     w = Window.partitionBy(*keys, "_b").orderBy("_t", "_side", *orders, "_r").rowsBetween(Window.unboundedPreceding, 0)
@@ -78,7 +79,7 @@ def asof_price(points: DataFrame, bars: DataFrame, keys: Sequence[str], time: st
     the next ones, as in asof. An available bar opens before it is available, so the strict bound holds unless a bar's interval
     is zero; such bars are left out.
     """
-    at = lambda c: F.expr(f"unix_seconds({c}) div {span}")
+    at = lambda c: F.floor(F.unix_seconds(c) / span)
     left_type = points.select(F.struct(*points.columns)).schema[0].dataType
     bar = F.struct(F.col("open_time"), F.col("close").cast("double").alias("close"))
     probes = points.select(*keys, at(time).alias("_b"), F.col(time).alias("_t"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_l"), F.lit(None).cast("struct<open_time:timestamp,close:double>").alias("_r"))

@@ -74,8 +74,10 @@ def read_vol_history(spark: SparkSession, path: str, code: str) -> DataFrame:
     at = lambda name: F.array_position(names, name) - 1
     value = F.when(at("CLOSE") >= 0, at("CLOSE")).otherwise(at(code.upper()))
     checked = F.when((at("DATE") < 0) | (value < 0), F.raise_error(F.concat(F.lit("no DATE and value column in "), F.get("_lines", F.lit(0))))).otherwise(value)
-    rows = files.select(at("DATE").cast("int").alias("_d"), checked.cast("int").alias("_v"), F.posexplode(F.slice("_lines", 2, 1 << 30)).alias("_n", "_line")).withColumn("_f", F.split("_line", ","))
-    rows = rows.select(F.try_to_timestamp(F.trim(F.get("_f", "_d")), F.lit("MM/dd/yyyy")).cast("date").alias("date"), F.try_to_number(F.trim(F.get("_f", "_v")), F.lit("999999999.999999")).cast("double").alias("value"), "_n")
+    # two fields of each line: rows that are exploded don't carry the file
+    said = F.transform(F.slice("_lines", 2, 1 << 30), lambda line, i: F.struct(i.alias("_n"), F.trim(F.get(F.split(line, ","), at("DATE").cast("int"))).alias("_d"), F.trim(F.get(F.split(line, ","), checked.cast("int"))).alias("_v")))
+    rows = files.select(F.explode(said).alias("x")).select("x.*")
+    rows = rows.select(F.try_to_timestamp("_d", F.lit("MM/dd/yyyy")).cast("date").alias("date"), F.try_to_number("_v", F.lit("999999999.999999")).cast("double").alias("value"), "_n")
     return rows.where("date is not null and value is not null").groupBy("date").agg(F.max_by("value", "_n").alias("value")).select(F.lit(code).alias("code"), "date", "value")
 
 
