@@ -42,11 +42,13 @@ CONTEXTS = BEFORE * SKIPPED
 #: Hash buckets of pairs of them.
 PAIRS = 4_096
 ROUNDS, STEP, PRIOR = 16, 0.35, 1.0
+#: Ranges of contexts, each a task's in every round; how many tasks' counts of a range are added at once, and how often.
+_PARTS, _FAN, _LEVELS = 8, 64, 4
 #: Bits of a hashed context (word and class) and of a hashed successor; a successor has a feature from so many occurrences on,
 #: and leaves this much of its count to the rest.
 CONTEXT_BITS, TOKEN_BITS, LEAST, DISCOUNT = 26, 22, 2, 0.75
 #: Tokens, and distinct ones, of a chunk; characters of the corpus to a block.
-CHUNK_TOKENS, CHUNK_WORDS = 2_000_000, 400_000
+CHUNK_TOKENS, CHUNK_WORDS = 1_250_000, 400_000
 BLOCK_CHARS = 12_000_000
 _START = np.uint64(0)
 
@@ -300,16 +302,26 @@ def _gather(buckets):
                 keys = (buckets.value.contexts(x) * CLASSES + (x.token & np.uint64(63)).astype(np.int64))[x.train]
                 counts += np.bincount(keys, minlength=len(counts))
         found = np.flatnonzero(counts)
-        for at in range(0, len(found), 200_000):
-            part = found[at : at + 200_000]
-            yield pd.DataFrame({"key": part, "n": counts[part]})
+        block = found // (CONTEXTS * CLASSES // _PARTS)
+        task = TaskContext.get().partitionId()
+        made = [(int(b), task, _pack_sorted(found[block == b].astype(np.uint64)), _pack(counts[found[block == b]].astype(np.uint64))) for b in np.unique(block)]
+        yield pd.DataFrame(made, columns=["block", "task", "keys", "n"])
 
     return gather
 
 
+def _gathered(group: pd.DataFrame) -> pd.DataFrame:
+    """The counts of a range of contexts over _FAN tasks, as one row of theirs."""
+    size = CONTEXTS * CLASSES // _PARTS
+    total, first = np.zeros(size, np.int64), int(group["block"].iloc[0]) * size
+    for keys, n in zip(group["keys"], group["n"], strict=True):
+        total[_unpack_sorted(keys).astype(np.int64) - first] += _unpack(n, "<u8").astype(np.int64)
+    found = np.flatnonzero(total)
+    return pd.DataFrame({"block": [group["block"].iloc[0]], "task": [group["task"].iloc[0] // _FAN], "keys": [_pack_sorted((found + first).astype(np.uint64))], "n": [_pack(total[found].astype(np.uint64))]})
+
+
 #: Rows of weights: bias, tokens before, skipped tokens, hashed pairs.
 FEATURE_ROWS = 1 + BEFORE + SKIPPED + PAIRS
-_PARTS = 8
 
 
 def _features(ctx: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -334,10 +346,11 @@ def _sums(weights):
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = None if weights is None else weights.value
         out = np.zeros((FEATURE_ROWS, CLASSES))
-        for batch in batches:
-            ctx, row = np.unique(batch["ctx"].to_numpy(), return_inverse=True)
+        for keys, many in ((k, m) for batch in batches for k, m in zip(batch["keys"], batch["n"], strict=True)):
+            key = _unpack_sorted(keys).astype(np.int64)
+            ctx, row = np.unique(key // CLASSES, return_inverse=True)
             n = np.zeros((len(ctx), CLASSES))
-            np.add.at(n, (row, batch["cls"].to_numpy()), batch["n"].to_numpy())
+            n[row, key % CLASSES] = _unpack(many, "<u8")
             x = n if w is None else np.exp(_log_softmax(class_logits(w, ctx))) * n.sum(axis=1, keepdims=True)
             out[0] += x.sum(axis=0)
             for rows in _features(ctx):
@@ -352,11 +365,11 @@ def _added(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [group["block"].iloc[0]], "g": [total.astype(np.float32).tobytes()]})
 
 
-def train_classes(counts: DataFrame, parts: int = _PARTS) -> np.ndarray:
-    """counts(ctx, cls, n) -> weights, by gradient updates: each partition of contexts computes its part of the gradient (observed
-    less expected counts), Spark sums the parts by feature, and a step scaled by the expected counts is taken."""
+def train_classes(counts: DataFrame) -> np.ndarray:
+    """counts(block, task, keys, n), a row for each range of contexts -> weights, by gradient updates: each range computes its part of the
+    gradient (observed less expected counts), Spark sums the parts by feature, and a step scaled by the expected counts is taken."""
     spark = counts.sparkSession
-    counts = cut(counts.repartition(parts, "ctx")).coalesce(parts)  # a row per context and class at most, however large the corpus
+    counts = cut(counts)
 
     def added(weights) -> np.ndarray:
         total = counts.mapInPandas(_sums(weights), "block int, g binary").groupBy("block").applyInPandas(_added, "block int, g binary").toPandas()
@@ -430,8 +443,11 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         class_sums[r["hash"]], class_known[r["hash"]] = r["c"], r["v"]
     often = answers.where(F.col("kind") == OFTEN).orderBy(F.desc("c"), "hash").limit(BEFORE_OWN).select("hash").collect()
     buckets = Buckets([r["hash"] for r in often])
-    counts = chunks.mapInPandas(_gather(spark.sparkContext.broadcast(buckets)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    weights = train_classes(counts.select(F.expr(f"cast(key div {CLASSES} as int)").alias("ctx"), (F.col("key") % CLASSES).cast("int").alias("cls"), "n"))
+    packed = "block int, task long, keys binary, n binary"
+    counts = chunks.mapInPandas(_gather(spark.sparkContext.broadcast(buckets)), packed)
+    for _ in range(_LEVELS):  # a tree: no task adds more than _FAN rows, for up to _FAN ** _LEVELS tasks
+        counts = counts.groupBy("block", F.expr(f"task div {_FAN}")).applyInPandas(_gathered, packed)
+    weights = train_classes(counts)
     class_table = (_log_softmax(class_logits(weights, np.arange(CONTEXTS))) / np.log(10)).astype(np.float32)
     model = spark.sparkContext.broadcast(Model(buckets, class_table, class_sums, class_known))
     replies = answers.where(F.col("kind").isin(TOKENS, FEATURES)).select("chunk", "kind", "block", "a", "b")
