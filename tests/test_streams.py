@@ -69,7 +69,7 @@ def test_sinks(spark, tmp_path):
     for n, rows in enumerate([[("x", 0, 1, 1, 1.0), ("x", 60, 1, 1, 2.0)], [("x", 0, 2, 2, 3.0), ("x", 60, 1, 0, 9.0)]]):
         sink(spark.createDataFrame(rows, schema), n)
         sink(spark.createDataFrame(rows, schema), n)  # a batch that runs again
-    got = {r["open_time"]: (r["close"], r["mutation_id"] >> 32) for r in spark.read.parquet(str(tmp_path / "bars/v1")).collect()}
+    got = {r["open_time"]: (r["close"], r["mutation_id"] >> 32) for r in spark.read.parquet(str(tmp_path / "bars")).collect()}
     assert got == {0: (3.0, 1), 60: (2.0, 0)}
 
 
