@@ -5,7 +5,7 @@ A token's probability is p(class | before, skipped) p(token | class, before). Cl
 - The class softmax has features of the token before (n-gram), of the one before that (skip), and of both together, hashed.
 - Within a class each context (the whole word before, and the class) has units of its own: every successor that training saw
   twice or more has a feature, hashed to 2**48, and the rest of the class is one unit, under which a token has its add-half
-  frequency in the class, with a place for unseen tokens. The softmax over a context's units adds to one, and so does the rest.
+  frequency in the class, with a place for unseen tokens. The softmax over a context's units adds to one, and so does the rest; probabilities are sent with eleven binary digits.
 
 Texts are tokenised once, into chunks of numpy arrays. What a chunk asks for (its distinct tokens and features, sorted, with
 their counts in training texts) goes to blocks of the hash space, as many as the corpus needs; a block sums over all chunks,
@@ -41,9 +41,9 @@ SKIPPED, SKIPPED_OWN = 64, 31
 CONTEXTS = BEFORE * SKIPPED
 #: Hash buckets of pairs of them.
 PAIRS = 4_096
-ROUNDS, STEP, PRIOR = 16, 0.35, 1.0
+ROUNDS, STEP, PRIOR = 12, 0.5, 1.0
 #: Ranges of contexts, each a task's in every round; how many tasks' counts of a range are added at once, and how often.
-_PARTS, _FAN, _LEVELS = 8, 64, 4
+_PARTS, _FAN, _LEVELS = 4, 64, 4
 #: Bits of a hashed context (word and class) and of a hashed successor; a successor has a feature from so many occurrences on,
 #: and leaves this much of its count to the rest.
 CONTEXT_BITS, TOKEN_BITS, LEAST, DISCOUNT = 26, 22, 2, 0.75
@@ -86,6 +86,11 @@ def _pack_sorted(a: np.ndarray) -> bytes:
     return _pack(np.diff(a, prepend=np.uint64(0)))
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """Bits of single-precision numbers above zero, rounded to eleven of their digits: what is sent stays short."""
+    return (x.astype(np.float32).view(np.uint32) + np.uint32(1 << 12)) >> np.uint32(13) << np.uint32(13)
+
+
 def _unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, "<u8"), dtype=np.uint64)
 
@@ -199,20 +204,24 @@ def _block_of(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
 TOKENS, FEATURES, SUMS, OFTEN = range(4)
 
 
-def _asks(bits: int):
-    """For each chunk and block what the chunk asks: keys, ascending, and how often each is in its training texts."""
+def _asks(kind: int, bits: int):
+    """For each chunk and block what the chunk asks, of tokens or features: keys, ascending, and how often each is in its training
+    texts."""
 
     def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
                 x, made = Opened(row), []
-                seen = np.bincount(x.place[x.train], minlength=len(x.hashes))
-                keys, at = np.unique(x.features(), return_inverse=True)
-                for kind, width, k, n in ((TOKENS, 64, x.hashes, seen), (FEATURES, CONTEXT_BITS + TOKEN_BITS, keys, np.bincount(at[x.train], minlength=len(keys)))):
-                    block = _block_of(k, bits, width)
-                    starts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(k)]
-                    for a, b in zip(starts[:-1], starts[1:], strict=True):
-                        made.append((kind, int(block[a]), row["chunk"], _pack_sorted(k[a:b]), _pack(n[a:b].astype(np.uint32))))
+                if kind == TOKENS:
+                    width, keys, n = 64, x.hashes, np.bincount(x.place[x.train], minlength=len(x.hashes))
+                else:
+                    width = CONTEXT_BITS + TOKEN_BITS
+                    keys, at = np.unique(x.features(), return_inverse=True)
+                    n = np.bincount(at[x.train], minlength=len(keys))
+                block = _block_of(keys, bits, width)
+                starts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(keys)]
+                for a, b in zip(starts[:-1], starts[1:], strict=True):
+                    made.append((kind, int(block[a]), row["chunk"], _pack_sorted(keys[a:b]), _pack(n[a:b].astype(np.uint32))))
                 yield pd.DataFrame(made, columns=["kind", "block", "chunk", "keys", "n"])
 
     return asks
@@ -257,7 +266,7 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     n = np.bincount(at, np.concatenate([_unpack(x, "<u4") for x in group["n"]]), len(keys)).astype(np.int64)
     cuts = np.cumsum([len(k) for k in asked])[:-1]
     if kind == FEATURES:
-        own, rest = (x.astype(np.float32).view(np.uint32) for x in fit_units(keys >> np.uint64(TOKEN_BITS), n))
+        own, rest = (_short(x) for x in fit_units(keys >> np.uint64(TOKEN_BITS), n))
         rows = [(kind, block, chunk, _pack(own[i]), _pack(rest[i]), None, None, None) for chunk, i in zip(group["chunk"], np.split(at, cuts), strict=True)]
     else:
         rows = [(kind, block, chunk, _pack(n[i].astype(np.uint64)), None, None, None, None) for chunk, i in zip(group["chunk"], np.split(at, cuts), strict=True)]
@@ -436,8 +445,12 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     chars = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, chars / BLOCK_CHARS)))))
     chunks = written(slim.mapInArrow(_tokenised, _CHUNKS_DDL), "chunks")
-    asked = chunks.mapInPandas(_asks(bits), "kind int, block int, chunk long, keys binary, n binary")
-    answers = written(asked.groupBy("kind", "block").applyInPandas(_answer, _ANSWERS), "answers")
+
+    def answered(kind: int) -> DataFrame:
+        asked = chunks.mapInPandas(_asks(kind, bits), "kind int, block int, chunk long, keys binary, n binary")
+        return asked.groupBy("kind", "block").applyInPandas(_answer, _ANSWERS)
+
+    answers = written(answered(TOKENS), "answers")
     class_sums, class_known = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in answers.where(F.col("kind") == SUMS).groupBy("hash").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():  # a row for each class
         class_sums[r["hash"]], class_known[r["hash"]] = r["c"], r["v"]
@@ -450,7 +463,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     weights = train_classes(counts)
     class_table = (_log_softmax(class_logits(weights, np.arange(CONTEXTS))) / np.log(10)).astype(np.float32)
     model = spark.sparkContext.broadcast(Model(buckets, class_table, class_sums, class_known))
-    replies = answers.where(F.col("kind").isin(TOKENS, FEATURES)).select("chunk", "kind", "block", "a", "b")
+    replies = answers.where(F.col("kind") == TOKENS).unionByName(answered(FEATURES)).select("chunk", "kind", "block", "a", "b")
     scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_score(model), _SCORES)
     # a text that several chunks hold is one row
     sums = scored.groupBy("row").agg(F.first("key").alias("key"), F.first("held").alias("held"), *(F.sum(c).alias(c) for c in ("n", "known", "base", "score")))
