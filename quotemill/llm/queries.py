@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import ann, best_fit, bpe, chat, license, lm, packing, pii, quality, simhash, warc
+from quotemill.llm import alignment, ann, best_fit, bpe, chat, license, lm, packing, pii, quality, simhash, warc
 from quotemill.llm.common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -75,8 +75,12 @@ def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_lm_score, op3_license_scan, op4_chat_format, op5_personal_data, op6_pack, op7_neighbours, op8_byte_bpe, op9_quality_rules, op10_warc, op12_best_fit)}
+    return {f.__name__: f for f in (op1_simhash, op2_lm_score, op3_license_scan, op4_chat_format, op5_personal_data, op6_pack, op7_neighbours, op8_byte_bpe, op9_quality_rules, op10_warc, op12_best_fit, op13_align)}
 
 
 ORACLES = {
