@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import alignment, ann, best_fit, bpe, chat, license, lm, packing, pii, quality, simhash, warc
+from quotemill.llm import alignment, ann, best_fit, bpe, chat, license, lm, packing, pii, prefix_trie, quality, simhash, warc
 from quotemill.llm.common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -71,6 +71,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
 
@@ -80,7 +84,7 @@ def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_lm_score, op3_license_scan, op4_chat_format, op5_personal_data, op6_pack, op7_neighbours, op8_byte_bpe, op9_quality_rules, op10_warc, op12_best_fit, op13_align)}
+    return {f.__name__: f for f in (op1_simhash, op2_lm_score, op3_license_scan, op4_chat_format, op5_personal_data, op6_pack, op7_neighbours, op8_byte_bpe, op9_quality_rules, op10_warc, op11_prefix_trie, op12_best_fit, op13_align)}
 
 
 ORACLES = {
@@ -100,6 +104,33 @@ ORACLES = {
           array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(s, (1 + 5 * (k // 4))::INTEGER, 5))::INTEGER >> (15 - 5 * (k % 4))::INTEGER) & 31)), 1)), '') AS payload_digest,
           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
         FROM p JOIN f USING (s)""",
+    # a node's key is the digests of its turns, so what it is below are the key's beginnings
+    "op11_prefix_trie": """
+        WITH t AS (
+          SELECT conv_id, sha256(strlen(r) || ':' || r || x) AS e, strlen(x) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, sha256(strlen(r) || ':' || r || x)) - 1 AS p
+          FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+        c AS (
+          SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ord(s)::BIGINT)),
+            lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 9 AS h
+          FROM (SELECT DISTINCT conv_id FROM t)),
+        turns AS (
+          SELECT c.conv_id, t.p, t.e, t.b FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.p < h
+          UNION ALL SELECT c.conv_id, t.p, t.e, t.b FROM c JOIN t ON t.conv_id = c.conv_id AND t.p >= h),
+        placed AS (SELECT conv_id, e, b, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS d FROM turns),
+        prefixes AS (
+          SELECT conv_id, d, b, string_agg(e, '') OVER (PARTITION BY conv_id ORDER BY d) AS k FROM placed
+          UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+        ended AS (SELECT conv_id, max(d) AS n FROM prefixes GROUP BY conv_id),
+        nodes AS (
+          SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256
+          FROM prefixes JOIN ended USING (conv_id) GROUP BY k, d),
+        kids AS (SELECT left(k, 64 * (d - 1)) AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+        counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (k)),
+        below AS (
+          SELECT left(k, 64 * at) AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * b) AS saved_tokens
+          FROM (SELECT *, unnest(range(d + 1)) AS at FROM counted) GROUP BY 1)
+        SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+        FROM counted n JOIN below USING (k) LEFT JOIN nodes u ON n.d > 0 AND u.d = n.d - 1 AND u.k = left(n.k, 64 * (n.d - 1))""",
 }
 
 
