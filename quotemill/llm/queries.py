@@ -127,8 +127,8 @@ ORACLES = {
         kids AS (SELECT left(k, 64 * (d - 1)) AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
         counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (k)),
         below AS (
-          SELECT left(k, 64 * at) AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * b) AS saved_tokens
-          FROM (SELECT *, unnest(range(d + 1)) AS at FROM counted) GROUP BY 1)
+          SELECT left(k, 64 * top) AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * b) AS saved_tokens
+          FROM (SELECT *, unnest(range(d + 1)) AS top FROM counted) GROUP BY 1)
         SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
         FROM counted n JOIN below USING (k) LEFT JOIN nodes u ON n.d > 0 AND u.d = n.d - 1 AND u.k = left(n.k, 64 * (n.d - 1))""",
 }
