@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from quotemill.session import shared_path
+
 #: What tells one series from another; operators take other keys as a parameter.
 SERIES = ("source_id", "instrument", "interval")
 
@@ -70,10 +72,7 @@ def latest_per_bucket(df: DataFrame, keys: Sequence[str], micros: int, time: str
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once for several uses: a reliable checkpoint where the session has a folder for it, else Spark's cache, whose
-    lost parts are computed anew."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else df.persist()
+    """df computed once for several uses: a table in the shared folder, which outlives executors and goes with that folder."""
+    path = shared_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

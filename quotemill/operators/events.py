@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import bounded_score, half_up
+from quotemill.operators.common import settled
 from quotemill.operators.joins import asof_price
+from quotemill.operators.medians import medians
 
 # Windows after an event in seconds, those of the first shock and those of what lasts; weights of the score's parts.
 SHOCK = {"1m": 60, "5m": 300, "30m": 1800, "2h": 7200}
@@ -58,8 +60,9 @@ def baseline_returns(events: DataFrame, bars: DataFrame, keys: Sequence[str], da
 def robust_z(values: DataFrame, baseline: DataFrame, by: Sequence[str], value: str, least: int = 5) -> DataFrame:
     """(x - median) / (1.4826 MAD) against the baseline of the same key; null with fewer than least samples; with a MAD of zero
     (below 1e-9) 0 at the median and null elsewhere."""
-    med = baseline.groupBy(*by).agg(F.percentile(value, 0.5).alias("_m"), F.count(value).alias("samples"))
-    mad = baseline.join(med, list(by)).groupBy(*by).agg(F.percentile(F.abs(F.col(value) - F.col("_m")), 0.5).alias("_d"))
+    known = settled(baseline.select(*by, value))  # read by both medians
+    med = settled(medians(known, by, value, "_m", "samples"))
+    mad = medians(known.join(med, list(by)).select(*by, F.abs(F.col(value) - F.col("_m")).alias("_a")), by, "_a", "_d")
     j = values.join(med, list(by), "left").join(mad, list(by), "left")
     d = F.col(value) - F.col("_m")
     z = F.when(F.coalesce("samples", F.lit(0)) < least, None).when(F.col("_d") >= 1e-9, d / (F.col("_d") * 1.4826)).when(F.abs(d) < 1e-9, 0.0)

@@ -1,4 +1,8 @@
-"""Technical indicators for every bar of every series. A window that isn't full gives null, unless said otherwise."""
+"""Technical indicators for every bar of every series. A window that isn't full gives null, unless said otherwise.
+
+Windows reach back a number of bars that is known, so they run in spans of a series with the bars before them that they reach. A
+function's twin with _rows is the same over whatever rows it is given, for spans that are bordered already.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.operators.common import gated, last_k, rows
-from quotemill.operators.scan import affine_scan, with_index
+from quotemill.operators.scan import affine_scan
+from quotemill.operators.spans import in_spans, indexed
 
 # Fixed values of the rules.
 MA_PERIODS = (20, 60, 120, 250)
@@ -27,6 +32,10 @@ def _sma(keys: Sequence[str], n: int, column: str = "close") -> Column:
 
 
 def sma(bars: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    return in_spans(bars, keys, n - 1, lambda x, k: sma_rows(x, k, n))
+
+
+def sma_rows(bars: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     return bars.withColumn(f"sma{n}", _sma(keys, n))
 
 
@@ -37,6 +46,10 @@ def true_range(keys: Sequence[str]) -> Column:
 
 def atr(bars: DataFrame, keys: Sequence[str], n: int = 14) -> DataFrame:
     """Simple mean of n true ranges, that of the first bar its own range; null if not above zero."""
+    return in_spans(bars, keys, n, lambda x, k: atr_rows(x, k, n))
+
+
+def atr_rows(bars: DataFrame, keys: Sequence[str], n: int = 14) -> DataFrame:
     w = _w(keys)
     df = bars.withColumn("tr", true_range(keys))
     mean = gated(F.avg("tr").over(rows(w, n)), w, n)
@@ -45,12 +58,20 @@ def atr(bars: DataFrame, keys: Sequence[str], n: int = 14) -> DataFrame:
 
 def atr_partial(bars: DataFrame, keys: Sequence[str], n: int = 14) -> DataFrame:
     """As atr with shorter windows at the start, and abs(close) * 1e-8 at least."""
+    return in_spans(bars, keys, n, lambda x, k: atr_partial_rows(x, k, n))
+
+
+def atr_partial_rows(bars: DataFrame, keys: Sequence[str], n: int = 14) -> DataFrame:
     return bars.withColumn("_tr", true_range(keys)).withColumn("atr_partial", F.greatest(F.avg("_tr").over(rows(_w(keys), n)), F.abs("close") * 1e-8)).drop("_tr")
 
 
 def ma_structure(bars: DataFrame, keys: Sequence[str], periods: Sequence[int] = MA_PERIODS) -> DataFrame:
     """For each period: value, slope in percent over five bars, distance in ATR, interaction; and the alignment of all."""
-    w, df = _w(keys), atr(bars, keys)
+    return in_spans(bars, keys, max(periods) + 5, lambda x, k: ma_structure_rows(x, k, periods))
+
+
+def ma_structure_rows(bars: DataFrame, keys: Sequence[str], periods: Sequence[int] = MA_PERIODS) -> DataFrame:
+    w, df = _w(keys), atr_rows(bars, keys)
     df = df.withColumn("_idx", F.row_number().over(w)).withColumn("_atr", F.coalesce("atr", F.col("close") * 0.005)).withColumn("_pc", F.lag("close").over(w))
     for n in periods:
         df = df.withColumn(f"ma{n}", _sma(keys, n))
@@ -76,6 +97,10 @@ def ma_structure(bars: DataFrame, keys: Sequence[str], periods: Sequence[int] =
 
 def bollinger(bars: DataFrame, keys: Sequence[str], n: int = 20, deviations: float = 2.0, history: int = 120) -> DataFrame:
     """Bands around the mean of n closes; bandwidth's percentile among the last history bandwidths (20 at least); state."""
+    return in_spans(bars, keys, n + history, lambda x, k: bollinger_rows(x, k, n, deviations, history))
+
+
+def bollinger_rows(bars: DataFrame, keys: Sequence[str], n: int = 20, deviations: float = 2.0, history: int = 120) -> DataFrame:
     w = _w(keys)
     middle = gated(F.avg("close").over(rows(w, n)), w, n)
     df = bars.withColumn("middle", F.when(middle != 0, middle)).withColumn("_sd", F.stddev_pop("close").over(rows(w, n))).where("middle is not null")
@@ -113,6 +138,10 @@ def nine_count(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def realized_vol(bars: DataFrame, keys: Sequence[str], n: int = 20) -> DataFrame:
     """Population deviation of n log returns; null if a price isn't positive."""
+    return in_spans(bars, keys, n, lambda x, k: realized_vol_rows(x, k, n))
+
+
+def realized_vol_rows(bars: DataFrame, keys: Sequence[str], n: int = 20) -> DataFrame:
     w = _w(keys)
     p = F.lag("close").over(w)
     df = bars.withColumn("_r", F.when((p > 0) & (F.col("close") > 0), F.ln(F.col("close")) - F.ln(p)))
@@ -122,7 +151,11 @@ def realized_vol(bars: DataFrame, keys: Sequence[str], n: int = 20) -> DataFrame
 
 def momentum(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
     """tanh of returns over 20, 60 and 120 bars in units of volatility, weighted among those available; from bar 21."""
-    w, df = _w(keys), realized_vol(bars, keys)
+    return in_spans(bars, keys, HORIZONS[-1][0], lambda x, k: momentum_rows(x, k))
+
+
+def momentum_rows(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
+    w, df = _w(keys), realized_vol_rows(bars, keys)
     score = weight = F.lit(0.0)
     available = positive = negative = F.lit(0)
     for h, share in HORIZONS:
@@ -140,14 +173,22 @@ def momentum(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def trend_slope(bars: DataFrame, keys: Sequence[str], n: int = 30, least: int = 4) -> DataFrame:
     """Slope of the least-squares line through the last n closes (least of them at least) in percent of their mean."""
+    return in_spans(bars, keys, n - 1, lambda x, k: trend_slope_rows(x, k, n, least))
+
+
+def trend_slope_rows(bars: DataFrame, keys: Sequence[str], n: int = 30, least: int = 4) -> DataFrame:
     w = _w(keys)
-    df = with_index(bars, keys, name="_i")
+    df = bars.withColumn("_i", F.row_number().over(w))  # only distances count
     slope = F.regr_slope(F.col("close"), F.col("_i").cast("double")).over(rows(w, n))
     return df.withColumn("slope", F.when(F.count("close").over(rows(w, n)) >= least, F.try_divide(slope, F.avg("close").over(rows(w, n))) * 100)).drop("_i")
 
 
 def flow_pressure(bars: DataFrame, keys: Sequence[str], n: int = 32) -> DataFrame:
     """Body over range, weighted by the root of volume (one without), over the last n bars or as many as there are."""
+    return in_spans(bars, keys, n - 1, lambda x, k: flow_pressure_rows(x, k, n))
+
+
+def flow_pressure_rows(bars: DataFrame, keys: Sequence[str], n: int = 32) -> DataFrame:
     w = rows(_w(keys), n)
     weight = F.when(F.col("volume") > 0, F.sqrt("volume")).otherwise(1.0)
     body = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("close") - F.col("open")) / F.greatest(F.col("high") - F.col("low"), F.abs("close") * 1e-8)))
@@ -157,6 +198,10 @@ def flow_pressure(bars: DataFrame, keys: Sequence[str], n: int = 32) -> DataFram
 
 def volume_price(bars: DataFrame, keys: Sequence[str], n: int = 24, least: int = 12) -> DataFrame:
     """Does mean volume of the later half of the last n bars move with price? Bars without volume don't count."""
+    return in_spans(bars, keys, n - 1, lambda x, k: volume_price_rows(x, k, n, least))
+
+
+def volume_price_rows(bars: DataFrame, keys: Sequence[str], n: int = 24, least: int = 12) -> DataFrame:
     w = rows(_w(keys), n)
     df = bars.withColumn("_l", F.collect_list(F.when(F.col("volume") > 0, F.struct(F.col("volume").cast("double").alias("v"), F.col("close").alias("c")))).over(w))
     half = F.floor(F.size("_l") / 2).cast("int")
@@ -173,14 +218,14 @@ def macd(bars: DataFrame, keys: Sequence[str], fast: int = 12, slow: int = 26, s
     f, s, g = 2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1)
     a = np.array([[1 - f, 0, 0], [0, 1 - s, 0], [g * (1 - f), -g * (1 - s), 1 - g]])
     first, c = F.col("idx") == 1, F.col("close")
-    out = affine_scan(with_index(bars, keys), keys, "idx", a, F.col("idx") > 1, [F.when(first, c).otherwise(c * f), F.when(first, c).otherwise(c * s), F.when(first, 0.0).otherwise(c * g * (f - s))], ["fast", "slow", "signal"])
+    out = affine_scan(indexed(bars, keys), keys, "idx", a, F.col("idx") > 1, [F.when(first, c).otherwise(c * f), F.when(first, c).otherwise(c * s), F.when(first, 0.0).otherwise(c * g * (f - s))], ["fast", "slow", "signal"])
     return out.withColumn("macd", F.col("fast") - F.col("slow")).withColumn("histogram", F.col("macd") - F.col("signal")).where(F.col("idx") >= slow).drop("fast", "slow")
 
 
 def kdj(bars: DataFrame, keys: Sequence[str], n: int = 9, all_rows: bool = False) -> DataFrame:
     """K, D, J from the place of the close in the range of n bars (fewer at the start, 50 if flat); exposed from bar n."""
-    w = rows(_w(keys), n)
-    df = with_index(bars, keys).withColumn("_lo", F.min("low").over(w)).withColumn("_hi", F.max("high").over(w))
+    span = lambda x, k: x.withColumn("_lo", F.min("low").over(rows(_w(k), n))).withColumn("_hi", F.max("high").over(rows(_w(k), n)))
+    df = in_spans(indexed(bars, keys), keys, n - 1, span)
     df = df.withColumn("rsv", F.when(F.col("_hi") == F.col("_lo"), 50.0).otherwise((F.col("close") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 100)).drop("_lo", "_hi")
     a = np.array([[2 / 3, 0], [2 / 9, 2 / 3]])
     seed = a @ np.array([50.0, 50.0])
@@ -207,11 +252,15 @@ def kdj_state(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def rsi(bars: DataFrame, keys: Sequence[str], n: int = 14) -> DataFrame:
     """Wilder's: the mean of the first n changes, then (n - 1)/n of the last value and 1/n of the new; 50 without movement."""
-    w = _w(keys)
-    df = with_index(bars, keys).withColumn("_c", F.col("close") - F.lag("close").over(w)).withColumn("_g", F.greatest(F.coalesce("_c", F.lit(0.0)), F.lit(0.0))).withColumn("_l", F.greatest(-F.coalesce("_c", F.lit(0.0)), F.lit(0.0)))
     seed = F.col("idx") == n + 1
-    x = lambda c: F.when(seed, F.avg(c).over(rows(w, n))).when(F.col("idx") > n + 1, F.col(c) / n).otherwise(0.0)
-    df = df.withColumn("_vg", x("_g")).withColumn("_vl", x("_l")).drop("_c", "_g", "_l")
+
+    def changes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        w = _w(keys)
+        df = df.withColumn("_c", F.col("close") - F.lag("close").over(w)).withColumn("_g", F.greatest(F.coalesce("_c", F.lit(0.0)), F.lit(0.0))).withColumn("_l", F.greatest(-F.coalesce("_c", F.lit(0.0)), F.lit(0.0)))
+        x = lambda c: F.when(seed, F.avg(c).over(rows(w, n))).when(F.col("idx") > n + 1, F.col(c) / n).otherwise(0.0)
+        return df.withColumn("_vg", x("_g")).withColumn("_vl", x("_l")).drop("_c", "_g", "_l")
+
+    df = in_spans(indexed(bars, keys), keys, n, changes)
     out = affine_scan(df, keys, "idx", np.eye(2) * (n - 1) / n, F.col("idx") > n + 1, [F.col("_vg"), F.col("_vl")], ["gain", "loss"]).where(F.col("idx") > n).drop("_vg", "_vl")
     value = F.when((F.col("gain") == 0) & (F.col("loss") == 0), 50.0).when(F.col("loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("gain", "loss")))
     return out.withColumn("rsi", value).drop("gain", "loss")
@@ -264,7 +313,7 @@ def poc_every_bar(bars: DataFrame, keys: Sequence[str], n: int = 240, bins: int
     schema = bars.select(*keys, "open_time").schema.simpleString()[7:-1] + ", poc:double"
     part = F.expr(f"(idx - 1) div {PART}")
     reach = F.when((F.col("idx") - 1) % PART >= PART - (n - 1), F.array(part, part + 1)).otherwise(F.array(part))
-    slim = with_index(bars, keys).select(*keys, "open_time", "idx", *(F.col(c).cast("double").alias(c) for c in ("low", "high", "close")), F.coalesce(F.col("volume").cast("double"), F.lit(0.0)).alias("volume"), F.explode(reach).alias("_part"))
+    slim = indexed(bars, keys).select(*keys, "open_time", "idx", *(F.col(c).cast("double").alias(c) for c in ("low", "high", "close")), F.coalesce(F.col("volume").cast("double"), F.lit(0.0)).alias("volume"), F.explode(reach).alias("_part"))
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("idx")
@@ -295,7 +344,7 @@ def poc_every_bar(bars: DataFrame, keys: Sequence[str], n: int = 240, bins: int
 def fvg(bars: DataFrame, keys: Sequence[str], n: int = 120, k: int = 4) -> DataFrame:
     """Imbalances of three bars among the last n of a series, the last k of them."""
     w = _w(keys)
-    df = with_index(bars, keys).withColumn("_h2", F.lag("high", 2).over(w)).withColumn("_l2", F.lag("low", 2).over(w)).withColumn("_t2", F.lag("open_time", 2).over(w))
+    df = indexed(bars, keys).withColumn("_h2", F.lag("high", 2).over(w)).withColumn("_l2", F.lag("low", 2).over(w)).withColumn("_t2", F.lag("open_time", 2).over(w))
     df = df.withColumn("_last", F.max("idx").over(Window.partitionBy(*keys))).where((F.col("idx") > F.col("_last") - n) & ((F.col("low") > F.col("_h2")) | (F.col("high") < F.col("_l2"))))
     up = F.col("low") > F.col("_h2")
     zones = df.select(*keys, "idx", "open_time", F.col("_t2").alias("zone_start"), F.when(up, "bullish").otherwise("bearish").alias("direction"), F.when(up, F.col("_h2")).otherwise(F.col("high")).alias("zone_low"), F.when(up, F.col("low")).otherwise(F.col("_l2")).alias("zone_high"))

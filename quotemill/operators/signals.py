@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from quotemill.functions.scalars import clamp
 from quotemill.operators import indicators as ind
 from quotemill.operators import structure as st
-from quotemill.operators.common import last_k, settled
-from quotemill.operators.scan import with_index
+from quotemill.operators.common import last_k
+from quotemill.operators.spans import bordered
 
 #: Strategies that count for the composite score, and those that performance is measured for.
 COMPOSITE = ("structure", "ma-structure", "macd", "kdj", "rsi", "bollinger", "momentum-ensemble", "fair-value", "poc-proxy", "order-flow-proxy", "volume-price", "smart-money")
@@ -26,58 +26,60 @@ def _side(up: Column, down: Column) -> Column:
 
 def signals(bars: DataFrame, keys: Sequence[str], enabled: Sequence[str] = STRATEGIES) -> DataFrame:
     """One row per bar and strategy: direction (1, 0, -1), confidence. A strategy without enough bars has no row."""
-    bars = settled(bars.select(*keys, "open_time", "open", "high", "low", "close", "volume"))  # every strategy reads them
-    df, on = with_index(bars, keys), [*keys, "idx"]
+    # every strategy reads them
+    df, on = st.prepared(bars.select(*keys, "open_time", "open", "high", "low", "close", "volume"), keys, "atr", "atr_partial"), [*keys, "idx"]
     base = df.select(*keys, "idx", "open_time", "open", "high", "low", "close", "volume")
+    # one bordering serves all windows: they reach back as far as the longest mean and its slope
+    part, spans = bordered(base, keys, max(ind.MA_PERIODS) + 5), [*keys, "_span"]
     parts: list[DataFrame] = []
 
     def add(name: str, frame: DataFrame, direction: Column, confidence: Column) -> None:
         if name in enabled:
             parts.append(frame.select(*keys, "idx", F.lit(name).alias("strategy"), direction.cast("int").alias("direction"), confidence.cast("double").alias("confidence")))
 
-    x = ind.trend_slope(base, keys)
+    x = ind.trend_slope_rows(part, spans).where("not _border")
     # a pattern confirmed at this bar decides; two of unlike directions leave it open
-    patterns = st.double_patterns(bars, keys).unionByName(st.two_b_patterns(bars, keys)).groupBy(*keys, F.col("confirm_idx").alias("idx")).agg(
+    patterns = st.double_patterns(df, keys).unionByName(st.two_b_patterns(df, keys)).groupBy(*keys, F.col("confirm_idx").alias("idx")).agg(
         F.count_distinct("direction").alias("_sides"), F.max_by(F.when(F.col("direction") == "bullish", 1).otherwise(-1), "confidence").alias("_dir"), F.max("confidence").alias("_conf"))
     s = x.join(patterns, on, "left").where("slope is not null or _sides is not null")
     add("structure", s, F.when(F.col("_sides") > 1, 0).when(F.col("_sides") == 1, F.col("_dir")).otherwise(_side(F.col("slope") > 0.004, F.col("slope") < -0.004)),
         F.when(F.col("_sides") > 1, 0.0).when(F.col("_sides") == 1, F.col("_conf")).otherwise(clamp(0.56 + F.abs("slope") * 5, 0.56, 0.82)))
-    m = ind.ma_structure(base, keys)
+    m = ind.ma_structure_rows(part, spans).where("not _border")
     first = F.when(F.col("interaction60") != "none", F.struct(F.col("interaction60").alias("i"), F.col("distance60").alias("d"))).when(F.col("interaction250") != "none", F.struct(F.col("interaction250").alias("i"), F.col("distance250").alias("d")))
     m = m.withColumn("_i", first)
     add("ma-structure", m, F.when(F.col("_i.i") == "support-test", 1).when(F.col("_i.i") == "resistance-test", -1).when(F.col("_i.i") == "break", F.when(F.coalesce("_i.d", F.lit(0.0)) >= 0, 1).otherwise(-1)).otherwise(_side(F.col("alignment") == "bullish", F.col("alignment") == "bearish")),
         F.when(F.col("alignment") == "insufficient", 0.0).otherwise(clamp(0.52 + F.col("available") * 0.045, 0.52, 0.72)))
     if "macd" in enabled:
-        d = ind.macd(base.drop("idx"), keys)
+        d = ind.macd(base, keys)
         add("macd", d, F.signum("histogram"), clamp(0.56 + F.abs("histogram") / F.greatest(F.lit(1.0), F.col("close")) * 60, 0.56, 0.82))
     if "kdj" in enabled:
-        k = ind.kdj_state(ind.kdj(base.drop("idx"), keys, all_rows=True), keys).where("idx >= 9")
+        k = ind.kdj_state(ind.kdj(base, keys, all_rows=True), keys).where("idx >= 9")
         free = F.col("score_eligible")
         add("kdj", k, F.when(~free, 0).when(F.col("dulling") == "high-releasing", -1).when(F.col("dulling") == "low-releasing", 1).otherwise(F.signum(F.col("k") - F.col("d"))), F.when(~free, 0.0).when(F.col("dulling").endswith("releasing"), 0.52).otherwise(0.56))
     if "rsi" in enabled:
-        r = ind.rsi_state(ind.rsi(base.drop("idx"), keys), keys)
+        r = ind.rsi_state(ind.rsi(base, keys), keys)
         side = _side(F.col("rsi_signal") == "oversold-recovery", F.col("rsi_signal") == "overbought-reversal")
         add("rsi", r, side, F.when(side == 0, 0.0).otherwise(0.54))
-    b = ind.bollinger(base, keys)
+    b = ind.bollinger_rows(part, spans).where("not _border")
     side = _side((F.col("state_band") == "expanding") & (F.col("position") > 1), (F.col("state_band") == "expanding") & (F.col("position") < -1))
     add("bollinger", b, side, F.when(side == 0, 0.0).otherwise(0.61))
     add("nine-count", ind.nine_count(base, keys), F.lit(0), F.lit(0.0))
-    mo = ind.momentum(base, keys)
+    mo = ind.momentum_rows(part, spans).where("not _border")
     side = _side((F.col("horizons") >= 2) & (F.col("positive") >= 2) & (F.col("momentum") > 0.15), (F.col("horizons") >= 2) & (F.col("negative") >= 2) & (F.col("momentum") < -0.15))
     add("momentum-ensemble", mo, side, F.when(side == 0, 0.0).otherwise(clamp(0.5 + F.abs("momentum") * 0.22, 0.5, 0.72)))
-    w = Window.partitionBy(*keys).orderBy("idx")
+    w = Window.partitionBy(*spans).orderBy("idx")
     gap = _side(F.col("low") > F.lag("high", 2).over(w), F.col("high") < F.lag("low", 2).over(w))
-    f = base.withColumn("_g", gap).withColumn("_z", F.last(F.when(F.col("_g") != 0, F.col("_g")), ignorenulls=True).over(w.rowsBetween(-119, 0))).where("_z is not null")
+    f = part.withColumn("_g", gap).withColumn("_z", F.last(F.when(F.col("_g") != 0, F.col("_g")), ignorenulls=True).over(w.rowsBetween(-119, 0))).where("_z is not null and not _border")
     add("fair-value", f, F.col("_z"), F.lit(0.57))
     if "poc-proxy" in enabled:
         p = ind.poc_every_bar(base, keys).join(base, [*keys, "open_time"])
         add("poc-proxy", p, F.when(F.col("close") >= F.col("poc"), 1).otherwise(-1), F.lit(0.52))
-    o = ind.flow_pressure(base, keys)
+    o = ind.flow_pressure_rows(part, spans).where("not _border")
     add("order-flow-proxy", o, _side(F.col("flow_pressure") > 0.08, F.col("flow_pressure") < -0.08), F.lit(0.44))
-    v = ind.volume_price(base, keys)
+    v = ind.volume_price_rows(part, spans).where("not _border")
     add("volume-price", v, _side(F.col("volume_state") == "confirming", F.col("volume_state") == "diverging"), F.when(F.col("volume_state") == "unavailable", 0.0).otherwise(0.54))
     if "smart-money" in enabled:
-        e = st.sweep_setups(st.event_status(st.structure_events(bars, keys), bars, keys), keys)
+        e = st.sweep_setups(st.event_status(st.structure_events(df, keys), df, keys), keys)
         add("smart-money", e, F.when(F.col("direction") == "bullish", 1).otherwise(-1), F.col("confidence"))
     out = parts[0]
     for part in parts[1:]:

@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.operators.common import last_k
+from quotemill.operators.common import last_k, settled
 from quotemill.operators.indicators import atr, atr_partial
-from quotemill.operators.scan import with_index
+from quotemill.operators.spans import in_spans, indexed
 
 RADIUS = 2
 # Fixed values of the pattern rules.
@@ -28,13 +28,33 @@ def _w(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("idx")
 
 
+def prepared(bars: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
+    """bars with idx and what else is named, of atr and atr_partial: as they are if they have these, else computed once and kept in
+    the shared folder, as the rules below read them several times."""
+    if {"idx", *more} <= set(bars.columns):
+        return bars
+    df = bars
+    for name, known in (("atr", atr), ("atr_partial", atr_partial)):
+        if name in more and name not in df.columns:
+            df = known(df, keys)
+    return settled(indexed(df, keys))
+
+
 def pivots(bars: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
     """Swing highs and lows within two bars on each side, known two bars later: kind, idx, price, confirmed_idx.
 
     unique: beyond all neighbours; loose: not inside any, and beyond one at least; left: beyond those before, not inside those
     after.
     """
-    df, w = (bars if "idx" in bars.columns else with_index(bars, keys)), _w(keys)
+    df = indexed(bars, keys)
+    marked = in_spans(df, keys, RADIUS, lambda x, k: _marked(x, k, rule), ("idx",), ahead=RADIUS).where("_high or _low")
+    both = F.array_compact(F.array(F.when(F.col("_high"), F.struct(F.lit("high").alias("kind"), F.col("high").alias("price"))), F.when(F.col("_low"), F.struct(F.lit("low").alias("kind"), F.col("low").alias("price")))))
+    return marked.select(*keys, "open_time", "idx", (F.col("idx") + RADIUS).alias("confirmed_idx"), F.explode(both).alias("p")).select(*keys, "open_time", "idx", "confirmed_idx", "p.*")
+
+
+def _marked(df: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
+    """df with _high and _low: whether a bar is a swing by the rule."""
+    w = _w(keys)
     before, after = [F.lag, F.lead], range(1, RADIUS + 1)
     near = lambda c: [f(c, i).over(w) for f in before for i in after]
 
@@ -53,15 +73,13 @@ def pivots(bars: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
             return whole & strict[0] & strict[1] & loose[2] & loose[3]
         raise ValueError(f"unknown pivot rule {rule!r}")
 
-    marked = df.withColumn("_high", F.coalesce(test("high", 1), F.lit(False))).withColumn("_low", F.coalesce(test("low", -1), F.lit(False))).where("_high or _low")
-    both = F.array_compact(F.array(F.when(F.col("_high"), F.struct(F.lit("high").alias("kind"), F.col("high").alias("price"))), F.when(F.col("_low"), F.struct(F.lit("low").alias("kind"), F.col("low").alias("price")))))
-    return marked.select(*keys, "open_time", "idx", (F.col("idx") + RADIUS).alias("confirmed_idx"), F.explode(both).alias("p")).select(*keys, "open_time", "idx", "confirmed_idx", "p.*")
+    return df.withColumn("_high", F.coalesce(test("high", 1), F.lit(False))).withColumn("_low", F.coalesce(test("low", -1), F.lit(False)))
 
 
 def support_resistance(bars: DataFrame, keys: Sequence[str], n: int = LOOK_BACK) -> DataFrame:
     """At each series' last bar: the latest swing low below and swing high above its close among the last n bars, else the
     lowest low and highest high of them."""
-    df = with_index(bars, keys)
+    df = prepared(bars, keys)
     swings = pivots(df, keys, "left")
     end = df.groupBy(*keys).agg(F.max("idx").alias("_end"), F.max_by("close", "idx").alias("close"))
     window = df.join(end.drop("close"), list(keys)).where(F.col("idx") > F.col("_end") - n).groupBy(*keys).agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"))
@@ -82,7 +100,7 @@ def _near(candidates: DataFrame, bars: DataFrame, keys: Sequence[str], first: Co
 def double_patterns(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Double bottoms and tops: two swings of a kind in a row, 5 to 80 bars apart, of like price; neckline at the extreme between;
     confirmed by a close beyond it within 40 bars, before any close beyond the invalidation price."""
-    df = with_index(atr_partial(bars, keys), keys)
+    df = prepared(bars, keys, "atr_partial")
     swings = pivots(df, keys, "left").join(df.select(*keys, "idx", F.col("atr_partial").alias("a")), [*keys, "idx"])
     w = Window.partitionBy(*keys, "kind").orderBy("idx")
     c = swings.withColumn("first_idx", F.lag("idx").over(w)).withColumn("first_price", F.lag("price").over(w)).where((F.col("idx") - F.col("first_idx")).between(*SEPARATION))
@@ -109,7 +127,7 @@ def double_patterns(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
 def two_b_patterns(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
     """False breaks: within 30 bars of a known swing a bar goes 0.05 to 1.25 ATR beyond it, and within 3 bars a close is back
     inside before one is beyond the invalidation price; the first such probe of each swing."""
-    df = with_index(atr_partial(bars, keys), keys)
+    df = prepared(bars, keys, "atr_partial")
     swings = pivots(df, keys, "left").select(*keys, "kind", "price", F.col("idx").alias("swing_idx"), "confirmed_idx")
     low = F.col("kind") == "low"
     probes = _near(swings, df, keys, F.col("confirmed_idx") + 1, F.col("confirmed_idx") + PROBE_BARS, 64)
@@ -134,7 +152,7 @@ def pattern_status(patterns: DataFrame, bars: DataFrame, keys: Sequence[str], k:
 
     Patterns are cut to k of a series first, so few meet the bars behind them.
     """
-    df = bars if "idx" in bars.columns else with_index(bars, keys)
+    df = indexed(bars, keys)
     p = patterns.withColumn("_id", F.struct("pattern", "first_idx", "second_idx", "confirm_idx"))
     kept = last_k(p, keys, k, F.desc("confirm_idx"), F.desc("pattern"), F.desc("first_idx"), F.desc("second_idx"))
     end = df.groupBy(*keys).agg(F.max("idx").alias("_end"))
@@ -148,7 +166,7 @@ def structure_events(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
     """At each bar from the 15th on, against the last known swing high and low: sweeps (0.08 to 1.5 ATR beyond, close back by 0.02)
     and breaks (close crosses by 0.12), a break against the swing trend being a change of character. One row per event."""
     w = _w(keys)
-    df = with_index(atr(bars, keys), keys)
+    df = prepared(bars, keys, "atr")
     known = pivots(df, keys, "loose")
     # what becomes known at a bar: at most one swing of each kind
     at = known.groupBy(*keys, F.col("confirmed_idx").alias("idx")).agg(
@@ -182,7 +200,7 @@ def structure_events(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def event_status(events: DataFrame, bars: DataFrame, keys: Sequence[str], n: int = SCAN) -> DataFrame:
     """Events with status and invalid_idx: the first of the n bars after whose close is half an ATR beyond the reference."""
-    df = with_index(atr(bars, keys), keys).withColumn("atr", F.coalesce("atr", F.abs("close") * 0.004))
+    df = prepared(bars, keys, "atr").withColumn("atr", F.coalesce("atr", F.abs("close") * 0.004))
     ids = [*keys, "idx", "seq"]
     ahead = _near(events.withColumnRenamed("open_time", "event_time"), df, keys, F.col("idx") + 1, F.col("idx") + n, 256)
     beyond = F.when(F.col("direction") == "bullish", F.col("b.close") < F.col("ref_price") - F.col("b.atr") * 0.5).otherwise(F.col("b.close") > F.col("ref_price") + F.col("b.atr") * 0.5)
@@ -216,7 +234,7 @@ def trend_lines(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
     unbroken line, and the one broken last if that is 80 bars ago at most. ATR of a bar without one: that at the second swing,
     or half a percent of the close there.
     """
-    df = with_index(atr(bars, keys), keys)
+    df = prepared(bars, keys, "atr")
     end = df.groupBy(*keys).agg(F.max("idx").alias("_end"), F.max_by("open_time", "idx").alias("end_time")).where(F.col("_end") >= LINE_LEAST)
     near = pivots(df, keys, "unique").join(end, list(keys)).where(F.col("idx") >= F.col("_end") - LINE_BARS)
     recent = last_k(near, [*keys, "kind"], LINE_SWINGS, F.desc("idx")).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("idx")))

@@ -405,7 +405,7 @@ def m13_levels(spark: SparkSession, d: str) -> DataFrame:
   SELECT instrument, round((arg_max(equity, idx) - 1) * 100, 6) AS total_return_percent, round(max(1 - equity / peak) * 100, 6) AS max_drawdown_percent, count(*) FILTER (p <> 0 AND t <> p AND inn > 0) AS closed_trades,
   coalesce(round(count(*) FILTER (p <> 0 AND t <> p AND inn > 0 AND (close - inn) * p > 0)::DOUBLE / nullif(count(*) FILTER (p <> 0 AND t <> p AND inn > 0), 0) * 100, 6), 0) AS win_rate FROM z GROUP BY 1""".replace("{IDX}", f"WITH {b.INDEXED} SELECT * FROM b"))
 def m14_signal_performance(spark: SparkSession, d: str) -> DataFrame:
-    from quotemill.operators.scan import with_index
+    from quotemill.operators.spans import with_index
 
     bars = b.hourly(spark, d)
     scored = sg.composite(sg.signals(bars, K), K).join(with_index(bars, K).select("instrument", "open_time", "close"), ["instrument", "open_time"])

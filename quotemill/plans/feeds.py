@@ -120,7 +120,7 @@ def r5_authoritative_bars(spark: SparkSession, d: str) -> DataFrame:
   SELECT instrument, count(*)::BIGINT AS bars, max(n)::BIGINT - least(24, count(*)) + 1 AS first_kept FROM again GROUP BY 1""")
 def r6_kept_bars(spark: SparkSession, d: str) -> DataFrame:
     """Of each series the newest 24 bars are kept: one that comes again at the end is known if it's among them, and new if not."""
-    from quotemill.operators.scan import with_index
+    from quotemill.operators.spans import with_index
 
     bars = with_index(b.hourly(spark, d).withColumn("revision", F.lit(1)), K)
     rows = sb.bar_rows(bars, 3600)

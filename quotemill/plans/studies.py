@@ -193,7 +193,7 @@ _GB = f"""{b.INDEXED}, gb AS (SELECT instrument AS dataset_id, idx + CASE WHEN i
 
 
 def _gov_bars(spark: SparkSession, d: str):
-    from quotemill.operators.scan import with_index
+    from quotemill.operators.spans import with_index
 
     x = with_index(b.hourly(spark, d), K)
     i = F.col("idx")
