@@ -648,7 +648,7 @@ def r12_sequence_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {b.LAYERED}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument, open_time ORDER BY revision DESC, received_at DESC) AS n FROM layers) SELECT instrument, epoch(open_time)::BIGINT AS open_time, revision, epoch_us(received_at) AS received_at FROM n WHERE n = 1")
 def r11_coalesce_batch(spark: SparkSession, d: str) -> DataFrame:
-    from quotemill.streaming.bars import coalesce_batch
+    from quotemill.streaming.sinks import coalesce_batch
 
     return coalesce_batch(b.layered(spark, d), ["instrument", "open_time"]).select("instrument", _s("open_time"), "revision", _us("received_at"))
 

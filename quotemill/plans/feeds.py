@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.operators import bars as ba
+from quotemill.operators import calendar as cal
 from quotemill.plans import bindings as b
+from quotemill.plans.core import _MINUTES, _ROLL, _minutes, _rolled
 from quotemill.plans.registry import query
 from quotemill.plans.studies import streamed
 from quotemill.session import shared_path
 from quotemill.sources import readers as rd
 from quotemill.streaming import bars as sb
+from quotemill.streaming import sinks
+from quotemill.streaming.gaps import gap_stream, standing_gaps
 
 K = list(b.KEYS)
 
@@ -69,7 +73,7 @@ _LIVE = f"""{b.QUOTES}, x AS (SELECT *, time_bucket(INTERVAL 1 HOUR, observed_at
 @query(f"WITH {_LIVE} SELECT instrument, epoch(h)::BIGINT AS open_time, open, high, low, close, n AS revision, 'provisional_quote' AS state FROM live")
 def r3_bar_stream(spark: SparkSession, d: str) -> DataFrame:
     out = streamed(spark, b.quotes(spark, d), lambda s: sb.bar_stream(sb.tick_rows(s), (3600,)), "update")
-    return sb.coalesce_batch(out, ["instrument", "interval", "open_time"]).select("instrument", "open_time", "open", "high", "low", "close", "revision", "state")
+    return sinks.coalesce_batch(out, ["instrument", "interval", "open_time"]).select("instrument", "open_time", "open", "high", "low", "close", "revision", "state")
 
 
 @query(f"WITH {b.QUOTES}, m AS (SELECT instrument, time_bucket(INTERVAL 1 MINUTE, observed_at) AS t, first(last ORDER BY observed_at, id) AS open, max(last) AS high, min(last) AS low, last(last ORDER BY observed_at, id) AS close FROM quotes GROUP BY 1, 2) "
@@ -84,7 +88,7 @@ def r7_period_stream(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {b.QUOTES}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument, channel ORDER BY observed_at DESC, received_at DESC, id DESC) AS n FROM quotes) SELECT instrument, channel, id, last FROM n WHERE n = 1")
 def r8_latest_stream(spark: SparkSession, d: str) -> DataFrame:
     key = ("instrument", "channel")
-    out = streamed(spark, b.quotes(spark, d), lambda s: s.select(*key, "observed_at", "received_at", "last", "id"), "append", sink=lambda path: sb.latest_sink(path, key))
+    out = streamed(spark, b.quotes(spark, d), lambda s: s.select(*key, "observed_at", "received_at", "last", "id"), "append", sink=lambda path: sinks.latest_sink(path, key))
     return out.select(*key, "id", "last")
 
 
@@ -95,7 +99,7 @@ _SECONDS = _LIVE.replace("INTERVAL 1 HOUR", "INTERVAL 1 SECOND")
 def r4_second_bars(spark: SparkSession, d: str) -> DataFrame:
     """The next second makes a one-second bar final."""
     out = streamed(spark, b.quotes(spark, d), lambda s: sb.bar_stream(sb.tick_rows(s), (1,)), "update")
-    return sb.coalesce_batch(out, ["instrument", "interval", "open_time"]).select("instrument", "open_time", "close", "revision", "state")
+    return sinks.coalesce_batch(out, ["instrument", "interval", "open_time"]).select("instrument", "open_time", "close", "revision", "state")
 
 
 _MINUTE = _LIVE.replace("INTERVAL 1 HOUR", "INTERVAL 1 MINUTE")
@@ -104,7 +108,7 @@ _MINUTE = _LIVE.replace("INTERVAL 1 HOUR", "INTERVAL 1 MINUTE")
 @query(f"WITH {_MINUTE} SELECT instrument, epoch(h)::BIGINT AS open_time, open, high, low, close, n AS revision, 'provisional_quote' AS state FROM live")
 def r13_minute_stream(spark: SparkSession, d: str) -> DataFrame:
     out = streamed(spark, b.quotes(spark, d), lambda s: sb.bar_stream(sb.tick_rows(s), (60,)), "update")
-    return sb.coalesce_batch(out, ["instrument", "interval", "open_time"]).select("instrument", "open_time", "open", "high", "low", "close", "revision", "state")
+    return sinks.coalesce_batch(out, ["instrument", "interval", "open_time"]).select("instrument", "open_time", "open", "high", "low", "close", "revision", "state")
 
 
 @query(f"""WITH {b.HOURLY}, x AS (SELECT *, max(open_time) OVER (PARTITION BY instrument ORDER BY received_at, open_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen, max(open_time) OVER (PARTITION BY instrument) AS top FROM bars)
@@ -113,7 +117,7 @@ def r5_authoritative_bars(spark: SparkSession, d: str) -> DataFrame:
     """Bars that a provider sends: each one makes those before it final; one that comes late is final at once."""
     bars = b.hourly(spark, d).withColumn("revision", F.lit(1))
     out = streamed(spark, sb.bar_rows(bars, 3600), lambda s: sb.bar_stream(s, ()), "update")
-    return sb.coalesce_batch(out, ["instrument", "interval", "open_time"]).select("instrument", "open_time", "close", "revision", "state")
+    return sinks.coalesce_batch(out, ["instrument", "interval", "open_time"]).select("instrument", "open_time", "close", "revision", "state")
 
 
 @query(f"""WITH {b.HOURLY}, k AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY open_time) AS n FROM bars), again AS (SELECT * FROM k WHERE n <= 2 UNION ALL SELECT * FROM k WHERE n > 2)
@@ -152,6 +156,55 @@ def r10_reprocess(spark: SparkSession, d: str) -> DataFrame:
     return bars.select("instrument", F.unix_seconds("open_time").alias("open_time"), "open", "high", "low", "close", "ticks")
 
 
+_REPLAYED = f"""{_LIVE.replace("FROM quotes)", "FROM quotes WHERE id % 50 <> 9)")}, f AS (SELECT instrument, min(h) AS f FROM live GROUP BY 1)"""
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of all ticks, one in fifty cut short, one in four twice, and some of a version that isn't read."""
+    q = b.quotes(spark, d)
+    f = rd.encode_frames(q.select("channel", F.lit("k").alias("connection"), F.col("id").alias("sequence"), "received_at", F.lit("wide").alias("encoding"), "instrument", "observed_at", "last"))
+    f = f.withColumn("body", F.when(F.col("sequence") % 50 == 9, F.substr("body", F.lit(1), F.length("body") - 1)).otherwise(F.col("body")))
+    return f.unionByName(f.where("sequence % 4 = 0")).unionByName(f.where("sequence % 3 = 0").withColumn("version", F.lit(2)))
+
+
+@query(f"WITH {_REPLAYED} SELECT l.instrument, epoch(h)::BIGINT AS open_time, open, high, low, close, n AS ticks FROM live l JOIN f USING (instrument) WHERE h > f.f")
+def r10_replay_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A frame log through the live reducer, in several batches with a restart."""
+    out = streamed(spark, _log(spark, d), lambda s: sb.replay(s, (3600,))[0], "update", ("received_at", "sequence"))
+    bars = sb.drop_first_bucket(sinks.coalesce_batch(out, ["instrument", "interval", "open_time"]), K)
+    return bars.select("instrument", "open_time", "open", "high", "low", "close", F.col("revision").alias("ticks"))
+
+
+@query(f"WITH {b.QUOTES} SELECT channel || ':k:' || id AS msg_id, 'ValueError' AS error FROM quotes WHERE id % 50 = 9")
+def r10_replay_errors(spark: SparkSession, d: str) -> DataFrame:
+    return streamed(spark, _log(spark, d), lambda s: sb.replay(s, (3600,))[1], "append", ("received_at", "sequence")).select("msg_id", "error")
+
+
+@query(f"WITH {b.QUOTES}, s AS (SELECT instrument, id AS seq, lag(id) OVER (PARTITION BY instrument ORDER BY id) AS p FROM quotes WHERE id % 10 < 7) SELECT instrument, p + 1 AS gap_from, seq - 1 AS gap_to FROM s WHERE seq > p + 1")
+def r12_gap_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of which some come up to six days late, in several batches: late ones close or split the gaps that were seen."""
+    q = b.quotes(spark, d).where("id % 10 < 7").select("instrument", "id", F.timestamp_micros(F.unix_micros("received_at") + F.when(F.col("id") % 5 == 3, (F.col("id") % 7) * 86_400_000_000).otherwise(0)).alias("received_at"))
+    out = streamed(spark, q, lambda s: gap_stream(s, "instrument", "id", grace_seconds=40 * 86_400), "update")
+    return standing_gaps(out, K)
+
+
+_CORRECTED = _MINUTES.replace("m AS (SELECT *,", "m AS (SELECT instrument, open_time, open, CASE WHEN fixed THEN greatest(high, close + 1) ELSE high END AS high, low, CASE WHEN fixed THEN close + 1 ELSE close END AS close, volume, revision + fixed::INTEGER AS revision,").replace(
+    "FROM m0)", "FROM (SELECT *, (epoch(open_time)::BIGINT // 60) % 3 = 0 AS fixed FROM m0))")
+
+
+@query(f"WITH {_CORRECTED}, y AS (SELECT *, time_bucket(INTERVAL 1 HOUR, open_time) AS bs, time_bucket(INTERVAL 1 HOUR, open_time) + INTERVAL 1 HOUR AS be FROM m) {_ROLL} FROM y GROUP BY instrument, bs")
+def r15_refresh_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Minute bars and, behind all of them, corrections of a third, in several batches with a restart: the hours that each batch
+    touches are made anew, from the cursor on."""
+    m = _minutes(spark, d)
+    later = F.timestamp_micros(F.unix_micros("received_at") + 60 * 86_400_000_000)
+    fixed = m.where("(unix_seconds(open_time) div 60) % 3 = 0").withColumn("close", F.col("close") + 1).withColumn("high", F.greatest("high", "close")).withColumn("revision", F.col("revision") + 1).withColumn("received_at", later)
+    none = F.lit(None).cast("timestamp")
+    bounds = lambda x: cal.period_bounds(x.withColumn("session_start", none).withColumn("session_end", none), "1h")
+    out = streamed(spark, m.unionByName(fixed), lambda s: s, "append", ("received_at", "instrument"), sink=lambda path: sinks.refresh_sink(f"{path}-minutes", path, K, bounds, "2024-01-29"))
+    return _rolled(out)
+
+
 # --- files of providers --------------------------------------------------------------------------------------------------
 
 @query(f"""WITH {b.QUOTES} SELECT 'ch' || (id % 3) || ':k:' || id AS msg_id, CASE WHEN id % 10 <> 9 THEN instrument END AS instrument, CASE WHEN id % 10 <> 9 THEN CASE WHEN id % 2 = 0 THEN epoch_us(observed_at) // 1000 ELSE epoch_us(observed_at) // 1000000 * 1000 END END AS ms,

@@ -14,6 +14,7 @@ from quotemill.plans import bindings as b
 from quotemill.plans.registry import query
 from quotemill.session import SETTINGS, shared_path
 from quotemill.streaming import bars as sb
+from quotemill.streaming.tables import CommittedTable
 
 K = list(b.KEYS)
 
@@ -334,13 +335,15 @@ def streamed(spark: SparkSession, q: DataFrame, make, mode: str, order: tuple[st
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/b={n}")
 
+    # each part's files in one pass over the table; a part becomes a batch in the order of their times
+    q.withColumn("_file", part).repartition(files, "_file").sortWithinPartitions("_file", *order).write.partitionBy("_file").parquet(f"{base}/parts")
     for half in (range(files // 2), range(files // 2, files)):
-        for k in half:  # one after the other, for the order of files is that of their times
-            q.where(part == k).coalesce(1).sortWithinPartitions(*order).write.mode("append").parquet(f"{base}/in")
+        for k in half:
+            spark.read.schema(q.schema).parquet(f"{base}/parts").where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(f"{base}/in")
         out = make(spark.readStream.schema(q.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
         out.writeStream.outputMode(mode).foreachBatch(sink(f"{base}/table") if sink else put).option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
     if sink:
-        return spark.read.parquet(f"{base}/table")
+        return CommittedTable(spark, f"{base}/table").read()
     return spark.read.schema(out.schema).parquet(f"{base}/out").select(*out.columns)
 
 

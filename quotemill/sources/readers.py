@@ -204,7 +204,11 @@ def read_frame_log(spark: SparkSession, path: str, stream: bool = False) -> Data
     """Raw provider frames (version, channel, connection, sequence, received_at, encoding, body) with their message id, each once;
     frames of an unknown version or encoding are left out."""
     schema = "version int, channel string, connection string, sequence long, received_at timestamp, encoding string, body binary"
-    raw = spark.readStream.schema(schema).parquet(path) if stream else spark.read.schema(schema).parquet(path)
+    return frame_log(spark.readStream.schema(schema).parquet(path) if stream else spark.read.schema(schema).parquet(path), stream)
+
+
+def frame_log(raw: DataFrame, stream: bool = False) -> DataFrame:
+    """Rows of a frame log as read_frame_log gives them; on a stream a frame counts once within ten minutes of receipt."""
     ok = raw.where("version = 1 and encoding in ('wide', 'narrow') and sequence >= 0 and channel <> '' and connection <> ''")
     framed = ok.withColumn("msg_id", message_id())
     return framed.withWatermark("received_at", "10 minutes").dropDuplicatesWithinWatermark(["msg_id"]) if stream else framed.dropDuplicates(["msg_id"])

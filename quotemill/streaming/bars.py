@@ -8,16 +8,16 @@ append-only ohlc_stream has the watermark form.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from quotemill.operators.bars import latest_quotes, merge_realtime_bars
 from quotemill.operators.joins import bind_sources
+from quotemill.sources.readers import decode_frames, frame_log
 
 BAR_SCHEMA = "instrument string, interval long, open_time long, open double, high double, low double, close double, volume double, state string, revision long, received_at long, final_at long"
 #: Newest bars kept per series.
@@ -70,6 +70,73 @@ def sample_stream(stream: DataFrame) -> DataFrame:
     return stream.groupBy("instrument").transformWithStateInPandas(SampleFilter(), "instrument string, observed_at long, last double, sequence long, received_at long, id long", "Append", "None")
 
 
+_BAR = "open double, high double, low double, close double, volume double, state string, revision long, received_at long, final_at long"
+_FIELDS = [c.split()[0] for c in _BAR.split(", ")]
+
+
+class _Touched:
+    """A series' state as far as a batch touches it: bars are read once each, on demand."""
+
+    def __init__(self, bars, buckets):
+        self.bars, self.buckets = bars, buckets
+        self.held: dict[tuple[int, int], dict | None] = {}
+        self.changed: dict[tuple[int, int], dict] = {}
+        self.lists: dict[int, tuple[list[int], list[str]]] = {}
+
+    def _list(self, n: int) -> tuple[list[int], list[str]]:
+        """Bucket starts of an interval, rising, and the state of each."""
+        if n not in self.lists:
+            found = self.buckets.getValue((n,)) if self.buckets.containsKey((n,)) else None
+            self.lists[n] = (list(found[0]), list(found[1])) if found is not None else ([], [])
+        return self.lists[n]
+
+    def newest(self, n: int) -> int | None:
+        starts, _ = self._list(n)
+        return starts[-1] if starts else None
+
+    def state(self, n: int, bucket: int) -> str | None:
+        starts, states = self._list(n)
+        k = bisect_left(starts, bucket)
+        return states[k] if k < len(starts) and starts[k] == bucket else None
+
+    def behind_authoritative(self, n: int, bucket: int) -> bool:
+        """Is there a later bucket with more than quotes?"""
+        starts, states = self._list(n)
+        return any(starts[k] > bucket and states[k] != "provisional_quote" for k in range(len(starts) - 1, -1, -1))
+
+    def unsettled_before(self, n: int, bucket: int) -> list[int]:
+        starts, states = self._list(n)
+        return [starts[k] for k in range(bisect_left(starts, bucket)) if states[k] == "provisional_authoritative"]
+
+    def get(self, n: int, bucket: int) -> dict | None:
+        k = (n, bucket)
+        if k not in self.held:
+            found = self.bars.getValue(k) if self.state(n, bucket) is not None else None
+            self.held[k] = None if found is None else dict(zip(_FIELDS, found, strict=True))
+        return self.held[k]
+
+    def put(self, n: int, bucket: int, bar: dict) -> None:
+        self.held[n, bucket] = self.changed[n, bucket] = bar
+        starts, states = self._list(n)
+        k = bisect_left(starts, bucket)
+        if k < len(starts) and starts[k] == bucket:
+            states[k] = bar["state"]
+        else:
+            starts.insert(k, bucket)
+            states.insert(k, bar["state"])
+
+    def store(self, kept: int) -> None:
+        """Writes what changed; of each interval the newest bars stay."""
+        for n in {k[0] for k in self.changed}:
+            starts, states = self.lists[n]
+            for at in starts[:-kept]:
+                if self.changed.pop((n, at), None) is None or self.bars.containsKey((n, at)):
+                    self.bars.removeKey((n, at))
+            self.buckets.updateValue((n,), (starts[-kept:], states[-kept:]))
+        for k, bar in self.changed.items():
+            self.bars.updateValue(k, tuple(bar[c] for c in _FIELDS))
+
+
 class BarReducer(StatefulProcessor):
     """Ticks and authoritative bars of a series to revisioned bars of several intervals.
 
@@ -82,70 +149,54 @@ class BarReducer(StatefulProcessor):
         self.intervals, self.kept = tuple(intervals), kept
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bars = handle.getMapState("bars", "interval long, open_time long", "bar string")
+        self.bars = handle.getMapState("bars", "interval long, open_time long", _BAR)
+        # what buckets an interval has, and how far each is: one short row, so that bars are read where a row touches them
+        self.buckets = handle.getMapState("buckets", "interval long", "open_times array<long>, states array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        have = {tuple(k): json.loads(v[0]) for k, v in self.bars.iterator()}
-        before, changed = set(have), {}
-        batch = pd.concat(list(rows)).sort_values(["received_at", "id"], kind="stable")
-
-        newest_of: dict[int, int] = {}
-        for n, bucket in have:
-            newest_of[n] = max(bucket, newest_of.get(n, bucket))
-
-        def put(k: tuple[int, int], bar: dict) -> None:
-            have[k] = changed[k] = bar
-            newest_of[k[0]] = max(k[1], newest_of.get(k[0], k[1]))
-
-        for r in batch.itertuples(index=False):
+        batch = _Touched(self.bars, self.buckets)
+        for r in pd.concat(list(rows)).sort_values(["received_at", "id"], kind="stable").itertuples(index=False):
             if r.kind == "tick":
                 for n in self.intervals:
-                    self._tick(have, newest_of, put, n, r)
+                    self._tick(batch, n, r)
             else:
-                self._bar(have, put, r)
-        for n in {k[0] for k in have}:
-            for k in sorted((k for k in have if k[0] == n), reverse=True)[self.kept :]:
-                del have[k]
-        for k in before - set(have):
-            self.bars.removeKey(k)
-        for k in changed:
-            if k in have:
-                self.bars.updateValue(k, (json.dumps(have[k]),))
-        out = [(key[0], k[0], k[1], b["open"], b["high"], b["low"], b["close"], b["volume"], b["state"], b["revision"], b["received_at"], b["final_at"]) for k, b in sorted(changed.items())]
+                self._bar(batch, r)
+        out = [(key[0], *k, *(b[c] for c in _FIELDS)) for k, b in sorted(batch.changed.items())]
+        batch.store(self.kept)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in BAR_SCHEMA.split(", ")])
 
     @staticmethod
-    def _tick(have: dict, newest_of: dict, put: Callable, n: int, r) -> None:
+    def _tick(batch: _Touched, n: int, r) -> None:
         bucket = int(r.observed_at) // 1_000_000 // n * n
-        newest = newest_of.get(n)
+        newest = batch.newest(n)
         if newest is not None and bucket < newest:
             return
-        if n == 1 and newest is not None and bucket > newest and have[(n, newest)]["state"] == "provisional_quote":
-            b = have[(n, newest)]
-            put((n, newest), b | {"state": "final", "revision": b["revision"] + 1, "final_at": int(r.received_at)})
-        b = have.get((n, bucket))
+        if n == 1 and newest is not None and bucket > newest and batch.state(n, newest) == "provisional_quote":
+            b = batch.get(n, newest)
+            batch.put(n, newest, b | {"state": "final", "revision": b["revision"] + 1, "final_at": int(r.received_at)})
+        b = batch.get(n, bucket)
         p, at = float(r.last), int(r.received_at)
         if b is None:
-            put((n, bucket), {"open": p, "high": p, "low": p, "close": p, "volume": None, "state": "provisional_quote", "revision": 1, "received_at": at, "final_at": None})
+            batch.put(n, bucket, {"open": p, "high": p, "low": p, "close": p, "volume": None, "state": "provisional_quote", "revision": 1, "received_at": at, "final_at": None})
         elif b["state"] != "final" and at >= b["received_at"]:
-            put((n, bucket), b | {"high": max(b["high"], p), "low": min(b["low"], p), "close": p, "revision": b["revision"] + 1, "received_at": at})
+            batch.put(n, bucket, b | {"high": max(b["high"], p), "low": min(b["low"], p), "close": p, "revision": b["revision"] + 1, "received_at": at})
 
     @staticmethod
-    def _bar(have: dict, put: Callable, r) -> None:
+    def _bar(batch: _Touched, r) -> None:
         n, bucket = int(r.interval), int(r.observed_at) // 1_000_000
-        b, k = have.get((n, bucket)), (n, bucket)
+        b = batch.get(n, bucket)
         new = {"open": float(r.open), "high": float(r.high), "low": float(r.low), "close": float(r.last), "volume": None if pd.isna(r.volume) else float(r.volume)}
         if b is not None:
             same = all(b[c] == new[c] for c in new) and b["state"] != "provisional_quote"
             if same or (b["state"] == "final" and int(r.revision) <= b["revision"]) or (b["state"] != "provisional_quote" and int(r.received_at) < b["received_at"]):
                 return
-        newest = max((x[1] for x in have if x[0] == n and have[x]["state"] != "provisional_quote"), default=None)
-        late = newest is not None and bucket < newest
+        late = batch.behind_authoritative(n, bucket)
         final = late or (b is not None and b["state"] == "final")
-        put(k, new | {"state": "final" if final else "provisional_authoritative", "revision": max(int(r.revision), (b["revision"] + 1) if b else 1), "received_at": int(r.received_at), "final_at": int(r.received_at) if final else None})
+        batch.put(n, bucket, new | {"state": "final" if final else "provisional_authoritative", "revision": max(int(r.revision), (b["revision"] + 1) if b else 1), "received_at": int(r.received_at), "final_at": int(r.received_at) if final else None})
         if not late:
-            for x in [x for x in have if x[0] == n and x[1] < bucket and have[x]["state"] == "provisional_authoritative"]:
-                put(x, have[x] | {"state": "final", "revision": have[x]["revision"] + 1, "final_at": int(r.received_at)})
+            for at in batch.unsettled_before(n, bucket):
+                x = batch.get(n, at)
+                batch.put(n, at, x | {"state": "final", "revision": x["revision"] + 1, "final_at": int(r.received_at)})
 
     def close(self) -> None:
         pass
@@ -239,61 +290,19 @@ def derived_stream(legs: DataFrame, divisor: float) -> DataFrame:
     return legs.groupBy("pair").transformWithStateInPandas(DerivedLegs(divisor), "pair string, observed_at long, received_at long, last double, id long", "Append", "None")
 
 
-def coalesce_batch(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The last transition of each key of a batch."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("revision", "received_at")).alias("l")).select(*keys, "l.*")
-
-
-#: Partitions of the tables that sinks merge into; a batch rewrites those that it has keys of.
-SINK_PARTS = 64
-
-
-def _merge_into(path: str, batch: DataFrame, keys: Sequence[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
-    """Rows of a batch merged into a table: the partitions that its keys hash to are read, merged and overwritten, others stay."""
-    spark = batch.sparkSession
-    keyed = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(SINK_PARTS)).cast("int")).persist()  # the batch is read twice
-    touched = [r[0] for r in keyed.select("part").distinct().collect()]  # SINK_PARTS at most
-    if touched:
-        try:
-            before = spark.read.parquet(path).where(F.col("part").isin(touched))
-        except AnalysisException:  # no table yet
-            before = None
-        merged = merge(before, keyed)
-        merged.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-    keyed.unpersist()
-
-
-def latest_sink(path: str, keys: Sequence[str] = ("instrument",)) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the latest tick of each key as a table, monotone in observation, then receipt; a batch that runs again
-    changes nothing."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        _merge_into(path, batch, keys, lambda before, new: latest_quotes(new if before is None else before.unionByName(new), list(keys)))
-
-    return write
-
-
-def realtime_sink(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: upserts bars by revision; rows that a batch that runs again brings have no higher revision, so it's
-    harmless."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        def merge(before: DataFrame | None, new: DataFrame) -> DataFrame:
-            start = new.limit(0).withColumn("mutation_id", F.lit(None).cast("long"))
-            return merge_realtime_bars(start if before is None else before.select(*start.columns), coalesce_batch(new, [*keys, "open_time"]).select(*new.columns), keys, batch_id)
-
-        _merge_into(path, batch, keys, merge)
-
-    return write
-
-
 def drop_first_bucket(bars: DataFrame, keys: Sequence[str], time: str = "open_time") -> DataFrame:
     """A recording starts inside a bucket: the first of each series is cut short, and goes."""
     first = bars.groupBy(*keys).agg(F.min(time).alias("_first"))
     return bars.join(first, list(keys)).where(F.col(time) > F.col("_first")).drop("_first")
 
 
+def replay(raw: DataFrame, intervals: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """A stream of raw recorded frames -> (changes of bars by the live reducer, frames that don't decode); each frame counts once."""
+    ticks = decode_frames(frame_log(raw, stream=True))
+    good = ticks.where("error is null").withColumn("id", F.col("sequence"))
+    return bar_stream(tick_rows(good), intervals), ticks.where("error is not null").select("msg_id", "error", "received_at")
+
+
 def reprocess_frames(ticks: DataFrame, seconds: int) -> tuple[DataFrame, DataFrame]:
     """Decoded frames -> (bars by the live rules without each series' first bucket, rows that failed to decode).
 

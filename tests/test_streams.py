@@ -3,11 +3,17 @@
 import json
 from datetime import datetime, timedelta
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quotemill.operators import bars as ba
+from quotemill.operators import calendar as cal
 from quotemill.plans import bindings as b
 from quotemill.streaming import bars as sb
+from quotemill.streaming import sinks
+from quotemill.streaming.gaps import gap_stream, standing_gaps
+from quotemill.streaming.tables import CommittedTable
 
 DATA, K = "/root/testdata/sf0.001", ["instrument"]
 
@@ -23,7 +29,7 @@ def streamed(spark, df, make, mode, tmp_path, order, files=3):
 def test_ticks_in_order_give_batch_bars(spark, tmp_path):
     q = b.quotes(spark, DATA).where("instrument <> 'view'").withColumn("received_at", F.col("observed_at"))
     out = streamed(spark, q, lambda s: sb.bar_stream(sb.tick_rows(s), (3600,)), "update", tmp_path, "received_at", files=1)
-    last = sb.coalesce_batch(out, ["instrument", "open_time"])
+    last = sinks.coalesce_batch(out, ["instrument", "open_time"])
     got = {(r["instrument"], r["open_time"]): (r["open"], r["high"], r["low"], r["close"]) for r in last.collect()}
     want = {(r["instrument"], int(r["open_time"].timestamp())): (r["open"], r["high"], r["low"], r["close"]) for r in ba.ohlc_bars(q, K, 3600).withColumn("open_time", F.col("open_time")).collect()}
     assert got == want
@@ -41,7 +47,7 @@ def test_reducer_rules(spark, tmp_path):
     schema = "instrument string, kind string, observed_at long, received_at long, last double, open double, high double, low double, volume double, interval long, revision long, id long"
     df = spark.createDataFrame(rows, schema)
     out = streamed(spark, df, lambda s: sb.bar_stream(s, (1, 60)), "update", tmp_path, "id", files=1)
-    last = {(r["interval"], r["open_time"]): r for r in sb.coalesce_batch(out, ["interval", "open_time"]).collect()}
+    last = {(r["interval"], r["open_time"]): r for r in sinks.coalesce_batch(out, ["interval", "open_time"]).collect()}
     assert (1, 59) not in last and last[(1, 61)]["state"] == "final" and last[(1, 62)]["state"] == "provisional_quote"
     assert last[(60, 60)]["close"] == 11.5 and last[(60, 60)]["state"] == "final" and last[(60, 120)]["state"] == "provisional_authoritative"
 
@@ -65,11 +71,11 @@ def test_periods_and_legs(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     schema = "instrument string, open_time long, revision long, received_at long, close double"
-    sink = sb.realtime_sink(str(tmp_path / "bars"), K)
+    sink = sinks.realtime_sink(str(tmp_path / "bars"), K)
     for n, rows in enumerate([[("x", 0, 1, 1, 1.0), ("x", 60, 1, 1, 2.0)], [("x", 0, 2, 2, 3.0), ("x", 60, 1, 0, 9.0)]]):
         sink(spark.createDataFrame(rows, schema), n)
         sink(spark.createDataFrame(rows, schema), n)  # a batch that runs again
-    got = {r["open_time"]: (r["close"], r["mutation_id"] >> 32) for r in spark.read.parquet(str(tmp_path / "bars")).collect()}
+    got = {r["open_time"]: (r["close"], r["mutation_id"] >> 32) for r in CommittedTable(spark, str(tmp_path / "bars")).read().collect()}
     assert got == {0: (3.0, 1), 60: (2.0, 0)}
 
 
@@ -81,3 +87,118 @@ def test_reprocessing_drops_the_first_bucket(spark):
     bars, errors = sb.reprocess_frames(df, 60)
     assert sorted((r["open_time"], r["open"], r["close"], r["ticks"]) for r in bars.collect()) == [(t0 + timedelta(seconds=60), 1.0, 2.0, 2), (t0 + timedelta(seconds=120), 4.0, 4.0, 1)]
     assert errors.count() == 1 and json.dumps(errors.first()["error"])
+
+
+def test_a_commit_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "bars"), "instrument string, open_time long, revision long, received_at long, close double"
+    sink, told = sinks.realtime_sink(path, K), lambda: {(r["instrument"], r["open_time"]): r["close"] for r in CommittedTable(spark, path).read().collect()}
+    sink(spark.createDataFrame([("x", 0, 1, 1, 1.0), ("y", 0, 1, 1, 5.0)], schema), 0)
+    publish = CommittedTable._publish
+
+    def lost(self, manifest):
+        raise RuntimeError("lost between files and manifest")
+
+    again = spark.createDataFrame([("x", 0, 2, 2, 2.0), ("a", 0, 1, 1, 7.0)], schema)
+    monkeypatch.setattr(CommittedTable, "_publish", lost)
+    with pytest.raises(RuntimeError):
+        sink(again, 1)
+    assert told() == {("x", 0): 1.0, ("y", 0): 5.0}
+    monkeypatch.setattr(CommittedTable, "_publish", publish)
+    sink(again, 1)
+    sink(again, 1)  # and once more
+    assert told() == {("x", 0): 2.0, ("y", 0): 5.0, ("a", 0): 7.0}
+    table = CommittedTable(spark, path)
+    assert table.manifest()["version"] == 1 and table.manifest()["batches"] == {"sink": 1}
+    # what the first commit wrote of y is still its file; only parts that a batch touches are written anew
+    assert {p["version"] for p in table.manifest()["parts"].values()} == {0, 1}
+    assert {r["instrument"] for r in table.read(newer_than=0).collect()} == {"x", "a"}
+    table.expire(1)
+    assert told() == {("x", 0): 2.0, ("y", 0): 5.0, ("a", 0): 7.0} and len(table._names("data")) == 2
+
+
+def test_two_commits_of_a_version(spark, tmp_path):
+    table = CommittedTable(spark, str(tmp_path / "t"))
+    rows = spark.createDataFrame([("0000", 1)], "part string, x long")
+    table.commit(rows, ["0000"], 0)
+    last = table.manifest()
+    with pytest.raises(Exception, match="FileAlreadyExists"):
+        table._publish(last)
+
+
+def test_refresh_takes_up_where_it_failed(spark, tmp_path, monkeypatch):
+    t0 = datetime(2024, 1, 1)
+    minute = lambda m, close, rev: ("x", t0 + timedelta(minutes=m), close, close, close, close, 1, rev, t0 + timedelta(minutes=m), "final", None)
+    schema = "instrument string, open_time timestamp, open double, high double, low double, close double, volume long, revision long, received_at timestamp, state string, finalized_at timestamp"
+    none = F.lit(None).cast("timestamp")
+    bounds = lambda x: cal.period_bounds(x.withColumn("session_start", none).withColumn("session_end", none), "1h")
+    minutes, periods = str(tmp_path / "m"), str(tmp_path / "p")
+    sink = sinks.refresh_sink(minutes, periods, K, bounds)
+    told = lambda: sorted((r["bucket_start"], r["close"], r["components"]) for r in CommittedTable(spark, periods).read().collect())
+    hour = lambda h: t0 + timedelta(hours=h)
+    sink(spark.createDataFrame([minute(0, 1.0, 1), minute(59, 2.0, 1), minute(60, 3.0, 1)], schema), 0)
+    assert told() == [(hour(0), 2.0, 2), (hour(1), 3.0, 1)]
+    # lost between the minutes' commit and that of the periods: the next batch makes up for it
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "refresh", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            sink(spark.createDataFrame([minute(59, 9.0, 2)], schema), 1)
+    assert told()[0] == (hour(0), 2.0, 2)
+    sink(spark.createDataFrame([minute(61, 4.0, 1)], schema), 2)
+    assert told() == [(hour(0), 9.0, 2), (hour(1), 4.0, 2)]
+    assert CommittedTable(spark, periods).manifest()["cursor"] == (3 << 32) - 1
+
+
+def test_gaps_open_split_close_and_get_lost(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    at = lambda s: t0 + timedelta(seconds=s)
+    batches = [[(1, 0), (2, 0), (9, 1)], [(5, 2), (20, 3)], [(3, 4), (4, 4), (15, 5)], [(21, 200)], [(22, 400), (16, 401)]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("k string, seq long, received_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for rows in batches:
+        spark.createDataFrame([("x", n, at(s)) for n, s in rows], "k string, seq long, received_at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        gap_stream(stream, "k", "seq", grace_seconds=60).writeStream.outputMode("update").foreachBatch(lambda x, n: x.write.mode("overwrite").parquet(f"{tmp_path}/out/b={n}")).option(
+            "checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    told = {(r["revision"]): (r["gap_from"], r["gap_to"], r["state"]) for r in out.collect()}
+    assert [told[n] for n in sorted(told)][:9] == [(3, 8, "open"), (3, 4, "open"), (6, 8, "open"), (10, 19, "open"), (3, 4, "closed"), (10, 14, "open"), (16, 19, "open"), (6, 8, "lost"), (10, 14, "lost")]
+    # 16 comes after its gap was given up
+    assert {(r["gap_from"], r["gap_to"]) for r in standing_gaps(out, ["k"]).collect()} == {(6, 8), (10, 14), (16, 19)}
+
+
+class _Map:
+    """A map state that counts what is read."""
+
+    def __init__(self):
+        self.held, self.reads = {}, []
+
+    def containsKey(self, k):  # noqa: N802
+        return k in self.held
+
+    def getValue(self, k):  # noqa: N802
+        self.reads.append(k)
+        return self.held.get(k)
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.held[k] = v
+
+    def removeKey(self, k):  # noqa: N802
+        self.held.pop(k, None)
+
+
+def test_the_reducer_reads_touched_bars_only():
+    maps = {}
+
+    class Handle:
+        def getMapState(self, name, *_):  # noqa: N802
+            return maps.setdefault(name, _Map())
+
+    reducer = sb.BarReducer((60,), kept=100)
+    reducer.init(Handle())
+    tick = lambda s, i: ("tick", s * 1_000_000, s * 1_000_000, 1.0, None, None, None, None, 0, 0, i)
+    frame = lambda rows: pd.DataFrame(rows, columns=["kind", "observed_at", "received_at", "last", "open", "high", "low", "volume", "interval", "revision", "id"])
+    list(reducer.handleInputRows(("x",), iter([frame([tick(60 * k, k) for k in range(150)])]), None))
+    assert len(maps["bars"].held) == 100 and min(maps["bars"].held) == (60, 60 * 50) and maps["bars"].reads == []
+    maps["buckets"].reads.clear()
+    out = pd.concat(reducer.handleInputRows(("x",), iter([frame([tick(60 * 149 + 1, 200), tick(60 * 149 + 2, 201), tick(60 * 150, 202)])]), None))
+    assert maps["bars"].reads == [(60, 60 * 149)] and maps["buckets"].reads == [(60,)]
+    assert out[["open_time", "revision"]].to_numpy().tolist() == [[60 * 149, 3], [60 * 150, 1]] and len(maps["bars"].held) == 100
