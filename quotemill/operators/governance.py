@@ -67,6 +67,15 @@ def report(datasets: DataFrame, findings: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when(F.col("errors") > 0, "fail").when(F.col("warnings") > 0, "pass_with_warnings").otherwise("pass"))
 
 
+def check_row_counts(packages: DataFrame, bars: DataFrame) -> DataFrame:
+    """packages(dataset_id, stated_rows) against the bars read of each: an error finding where the package's own report states another
+    number of rows, or none."""
+    parsed = bars.groupBy("dataset_id").agg(F.count("*").alias("_parsed"))
+    j = packages.join(parsed, "dataset_id", "left")
+    differs = ~F.col("stated_rows").eqNullSafe(F.coalesce("_parsed", F.lit(0)))
+    return j.where(differs).select("dataset_id", F.lit("package_row_count_mismatch").alias("code"), F.lit("error").alias("severity"), F.lit(1).cast("long").alias("n"))
+
+
 def _compared(matched: DataFrame, fields: Sequence[str], pair: Sequence[str], least: int, most_bps: float) -> DataFrame:
     stack = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), deviation_bps(f"l_{f}", f"r_{f}").alias("bps")) for f in fields))).alias("x")
     overlap = matched.groupBy(*pair).agg(F.count("*").alias("overlap"))

@@ -10,8 +10,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotemill.operators.common import gated, last_k, rows
 from quotemill.operators.scan import affine_scan
@@ -106,11 +109,10 @@ def bollinger_rows(bars: DataFrame, keys: Sequence[str], n: int = 20, deviations
     df = bars.withColumn("middle", F.when(middle != 0, middle)).withColumn("_sd", F.stddev_pop("close").over(rows(w, n))).where("middle is not null")
     df = df.withColumn("upper", F.col("middle") + deviations * F.col("_sd")).withColumn("lower", F.col("middle") - deviations * F.col("_sd"))
     df = df.withColumn("bandwidth", (F.col("upper") - F.col("lower")) / F.abs("middle")).withColumn("position", (F.col("close") - F.col("middle")) / F.greatest(F.lit(2.220446049250313e-16), (F.col("upper") - F.col("lower")) / 2))
-    df = df.withColumn("_all", F.collect_list("bandwidth").over(rows(w, history)))
-    rank = F.size(F.filter("_all", lambda x: x <= F.col("bandwidth"))) / F.size("_all")
-    df = df.withColumn("bandwidth_percentile", F.when(F.size("_all") >= 20, rank)).withColumn("_before", F.lag("bandwidth").over(w))
+    df = ranked(df, keys, "bandwidth", "open_time", history)
+    df = df.withColumn("bandwidth_percentile", F.when(F.col("_held") >= 20, F.col("_at_most") / F.col("_held"))).withColumn("_before", F.lag("bandwidth").over(w))
     expanding = F.coalesce(F.col("bandwidth") > F.col("_before") * 1.04, F.lit(False)) & (F.coalesce("bandwidth_percentile", F.lit(0.5)) >= 0.45)
-    return df.withColumn("state_band", F.when(F.col("bandwidth_percentile") <= 0.2, "squeeze").when(expanding, "expanding").otherwise("normal")).drop("_sd", "_all", "_before")
+    return df.withColumn("state_band", F.when(F.col("bandwidth_percentile") <= 0.2, "squeeze").when(expanding, "expanding").otherwise("normal")).drop("_sd", "_held", "_at_most", "_before")
 
 
 def _streak(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -273,13 +275,30 @@ def rsi_state(points: DataFrame, keys: Sequence[str], low: float = 30, high: flo
     return points.withColumn("rsi_zone", state).withColumn("rsi_signal", signal)
 
 
+def ranked(df: DataFrame, keys: Sequence[str], value: str, order: str, window: int, current: bool = True) -> DataFrame:
+    """df with _held, how many of the last window values there are, this one included or only those before, and _at_most, how many of
+    them are at most this one. Nulls and NaN don't count, and have none at most. All rows of keys are one task's, so keys are a
+    span's; their windows are views of one array."""
+
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [(order, "ascending")], null_placement="at_start"))
+        v = t[value].cast(pa.float64()).to_numpy(zero_copy_only=False)
+        seen = np.lib.stride_tricks.sliding_window_view(np.r_[np.full(window, np.nan), v], window)
+        held, least = np.empty(len(v), np.int64), np.empty(len(v), np.int64)
+        for at in range(0, len(v), 4096):
+            some = seen[at + current : at + current + len(v[at : at + 4096])]
+            held[at : at + 4096], least[at : at + 4096] = (~np.isnan(some)).sum(axis=1), (some <= v[at : at + 4096, None]).sum(axis=1)
+        return t.append_column("_held", pa.array(held)).append_column("_at_most", pa.array(least))
+
+    schema = T.StructType([*df.schema.fields, T.StructField("_held", T.LongType()), T.StructField("_at_most", T.LongType())])
+    return df.groupBy(*keys).applyInArrow(fold, schema)
+
+
 def trailing_percentile(hist: DataFrame, keys: Sequence[str], value: str = "value", order: str = "date", window: int = 252, include_current: bool = False) -> DataFrame:
     """Share of the last window values, this one left out or included, that are at most this one, in percent, half to even."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    w = w.rowsBetween(-(window - 1), 0) if include_current else w.rowsBetween(-window, -1)
-    df = hist.withColumn("_l", F.collect_list(value).over(w))
-    rank = F.try_divide(F.size(F.filter("_l", lambda x: x <= F.col(value))) * 100.0, F.size("_l"))
-    return df.withColumn("samples", F.size("_l")).withColumn("percentile", F.bround(rank, 2)).drop("_l")
+    df = in_spans(hist, keys, window, lambda x, k: ranked(x, k, value, order, window, include_current), (order,))
+    rank = F.try_divide(F.col("_at_most") * 100.0, F.col("_held"))
+    return df.withColumn("samples", F.col("_held").cast("int")).withColumn("percentile", F.bround(rank, 2)).drop("_held", "_at_most")
 
 
 def collapse_repeats(samples: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:

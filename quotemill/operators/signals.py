@@ -150,10 +150,21 @@ def horizon_trend(bars: DataFrame, keys: Sequence[str], n: int = 20, fast: int =
 
 
 def compare_horizons(trends: DataFrame, keys: Sequence[str], horizons: Sequence[str]) -> DataFrame:
-    """trends(horizon, state, direction) -> per key: state, directions seen. Any of the horizons that isn't ready, or isn't there,
-    makes the set not comparable; aligned: all up or all down; divergent: some up and some down; else mixed."""
-    ready = (F.col("state") == "ready") & F.col("horizon").isin(*horizons)
-    g = trends.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(ready, F.col("direction")))).alias("directions"), F.count_distinct(F.when(ready, F.col("horizon"))).alias("_n"))
-    one = (F.size("directions") == 1) & (F.array_contains("directions", "up") | F.array_contains("directions", "down"))
-    both = F.array_contains("directions", "up") & F.array_contains("directions", "down")
-    return g.withColumn("state", F.when(F.col("_n") < len(horizons), "not_comparable").when(one, "aligned").when(both, "divergent").otherwise("mixed")).drop("_n")
+    """trends(horizon, state, direction, limitation) -> per key: directions seen, state, aligned_direction, reasons, overall.
+
+    A horizon that isn't ready, or isn't there, makes the set not comparable, for the reason horizon:limitation (unavailable without
+    one), in the order of horizons. aligned: all up or all down, which aligned_direction tells; divergent: some up and some down;
+    else mixed. overall: ready if all are, partial if some are, else unavailable if one is that, else insufficient_data.
+    """
+    known = trends.where(F.col("horizon").isin(*horizons))
+    ready = F.col("state") == "ready"
+    per = F.map_from_entries(F.collect_list(F.when(~ready, F.struct("horizon", F.coalesce("limitation", F.lit("unavailable"))))))  # a row a horizon
+    g = known.groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.when(ready, F.col("direction")))).alias("directions"), F.collect_set(F.when(ready, F.col("horizon"))).alias("_ready"), per.alias("_why"), F.bool_or(F.col("state") == "unavailable").alias("_none"))
+    lacks = lambda h: F.when(~F.array_contains("_ready", h), F.concat(F.lit(f"{h}:"), F.coalesce(F.try_element_at("_why", F.lit(h)), F.lit("unavailable"))))
+    up, down = F.array_contains("directions", "up"), F.array_contains("directions", "down")
+    full, one = F.size("_ready") == len(horizons), F.size("directions") == 1
+    state = F.when(~full, "not_comparable").when(one & (up | down), "aligned").when(up & down, "divergent").otherwise("mixed")
+    absent = F.size("_ready") + F.size("_why") < len(horizons)
+    overall = F.when(full, "ready").when(F.size("_ready") > 0, "partial").when(F.col("_none") | absent, "unavailable").otherwise("insufficient_data")
+    return g.select(*keys, "directions", state.alias("state"), F.when(full & one & (up | down), F.get("directions", F.lit(0))).alias("aligned_direction"), F.array_compact(F.array(*map(lacks, horizons))).alias("reasons"), overall.alias("overall"))

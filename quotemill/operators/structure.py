@@ -147,19 +147,64 @@ def two_b_patterns(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.lit(None).cast("long").alias("neck_idx"), "confirm_idx", F.col("price").alias("trigger"), "invalidation", F.lit(0.64).alias("confidence"))
 
 
-def pattern_status(patterns: DataFrame, bars: DataFrame, keys: Sequence[str], k: int = 12) -> DataFrame:
-    """Patterns with status and invalid_idx, the first later close beyond the invalidation price; the last k of a series.
+#: Bars of a block, and blocks of a stretch.
+BLOCK = 256
+
+
+def first_beyond(candidates: DataFrame, bars: DataFrame, keys: Sequence[str], ids: Sequence[str], start: str, level: str, falling: Column, name: str) -> DataFrame:
+    """candidates with the idx of the first bar from start on whose close is below level (where falling) or above it, null if none is.
 
-    Patterns are cut to k of a series first, so few meet the bars behind them.
+    Extremes of blocks of 256 bars and of stretches of 256 blocks are searched: a candidate meets the bars of its own block and of
+    the one that holds the crossing, the blocks of two stretches, and the stretches behind, however far away the crossing is.
     """
-    df = indexed(bars, keys)
-    p = patterns.withColumn("_id", F.struct("pattern", "first_idx", "second_idx", "confirm_idx"))
-    kept = last_k(p, keys, k, F.desc("confirm_idx"), F.desc("pattern"), F.desc("first_idx"), F.desc("second_idx"))
-    end = df.groupBy(*keys).agg(F.max("idx").alias("_end"))
-    ahead = _near(kept.join(end, list(keys)), df, keys, F.col("confirm_idx") + 1, F.col("_end"), 256)
-    beyond = F.when(F.col("direction") == "bullish", F.col("b.close") < F.col("invalidation")).otherwise(F.col("b.close") > F.col("invalidation"))
-    hit = ahead.where(beyond).groupBy(*keys, "_id").agg(F.min("b.idx").alias("invalid_idx"))
-    return kept.join(hit, [*keys, "_id"], "left").withColumn("status", F.when(F.col("invalid_idx").isNull(), "confirmed").otherwise("invalidated")).drop("_id")
+    of = lambda i, size: F.expr(f"({i} - 1) div {size}")
+    low, high = (lambda x: F.min(x).alias("_low")), (lambda x: F.max(x).alias("_high"))
+    b = bars.select(*keys, F.col("idx").alias("_i"), F.col("close").alias("_c"), of("idx", BLOCK).alias("_block"))
+    blocks = b.groupBy(*keys, "_block").agg(low("_c"), high("_c")).withColumn("_stretch", F.expr(f"_block div {BLOCK}"))
+    stretches = blocks.groupBy(*keys, "_stretch").agg(low("_low"), high("_high"))
+    c = candidates.select(*keys, *ids, F.col(start).alias("_from"), F.col(level).alias("_level"), falling.alias("_falling"))
+    close = F.when(F.col("_falling"), F.col("_c") < F.col("_level")).otherwise(F.col("_c") > F.col("_level"))
+    holds = F.when(F.col("_falling"), F.col("_low") < F.col("_level")).otherwise(F.col("_high") > F.col("_level"))
+    on = [*keys, *ids]
+
+    def bars_of(c: DataFrame) -> DataFrame:
+        return c.join(b, [*keys, "_block"]).where(close & (F.col("_i") >= F.col("_from"))).groupBy(*on).agg(F.min("_i").alias("_hit"))
+
+    def blocks_of(c: DataFrame) -> DataFrame:
+        return c.join(blocks, [*keys, "_stretch"]).where(holds & (F.col("_block") > F.col("_after"))).groupBy(*on).agg(F.min("_block").alias("_block"))
+
+    own = c.withColumn("_block", of("_from", BLOCK))
+    near = own.join(bars_of(own), on, "left")
+    far = near.where("_hit is null").select(*c.columns, F.col("_block").alias("_after"), F.expr(f"_block div {BLOCK}").alias("_stretch"))
+    same = far.join(blocks_of(far), on, "left")
+    behind = same.where("_block is null").drop("_block").withColumnRenamed("_stretch", "_past").join(stretches, list(keys)).where(holds & (F.col("_stretch") > F.col("_past"))).groupBy(*on).agg(F.min("_stretch").alias("_stretch"))
+    later = blocks_of(c.join(behind, on).withColumn("_after", F.lit(-1)))
+    found = same.where("_block is not null").select(*on, "_block").unionByName(later.select(*on, "_block"))
+    hits = near.where("_hit is not null").select(*on, "_hit").unionByName(bars_of(c.join(found, on)))
+    return candidates.join(hits.withColumnRenamed("_hit", name), on, "left")
+
+
+_PATTERN = ("pattern", "first_idx", "second_idx", "confirm_idx")
+
+
+def pattern_status(patterns: DataFrame, bars: DataFrame, keys: Sequence[str], k: int = 12) -> DataFrame:
+    """Patterns with status and invalid_idx, the first later close beyond the invalidation price; the last k of a series."""
+    # the search reads them at each of its steps
+    kept = settled(last_k(patterns, keys, k, F.desc("confirm_idx"), F.desc("pattern"), F.desc("first_idx"), F.desc("second_idx")).withColumn("_start", F.col("confirm_idx") + 1))
+    out = first_beyond(kept, prepared(bars, keys), keys, _PATTERN, "_start", "invalidation", F.col("direction") == "bullish", "invalid_idx")
+    return out.withColumn("status", F.when(F.col("invalid_idx").isNull(), "confirmed").otherwise("invalidated")).drop("_start")
+
+
+def latest_active(statuses: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each series with patterns the one that is in force: of the confirmed ones of the last bar that confirmed any, the most
+    confident, first by name and bars; null where those are of both directions, or none is confirmed."""
+    live = F.col("status") == "confirmed"
+    last = statuses.groupBy(*keys).agg(F.max(F.when(live, F.col("confirm_idx"))).alias("_last"))
+    at = statuses.join(last, list(keys)).where(live & (F.col("confirm_idx") == F.col("_last")))
+    pick = F.struct("pattern", "direction", "first_idx", "second_idx", "confirm_idx", "confidence")
+    best = at.groupBy(*keys).agg(F.count_distinct("direction").alias("_sides"), F.min_by(pick, F.struct(-F.col("confidence"), "pattern", "first_idx", "second_idx")).alias("_p"))
+    one = best.where("_sides = 1").select(*keys, "_p.*")
+    return last.select(*keys).join(one, list(keys), "left")
 
 
 def structure_events(bars: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -286,14 +286,31 @@ def m4_two_b_patterns(spark: SparkSession, d: str) -> DataFrame:
     return st.two_b_patterns(b.hourly(spark, d), K).select("instrument", "pattern", "first_idx", "second_idx", "confirm_idx", F.round("trigger", 6).alias("trigger"), F.round("invalidation", 6).alias("invalidation"))
 
 
-@query(_DOUBLE + """, k AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY good DESC, kind, fi DESC, idx DESC) AS n FROM h WHERE good IS NOT NULL AND (bad IS NULL OR good < bad)),
-  z AS (SELECT k.instrument, k.kind, k.idx, k.good, (SELECT min(b.idx) FROM b WHERE b.instrument = k.instrument AND b.idx > k.good AND (CASE WHEN k.kind = 'low' THEN b.close < k.inv ELSE b.close > k.inv END)) AS invalid_idx FROM k WHERE n <= 12)
-  SELECT instrument, idx AS second_idx, good AS confirm_idx, invalid_idx, CASE WHEN invalid_idx IS NULL THEN 'confirmed' ELSE 'invalidated' END AS status FROM z""")
+def _good(sql: str, kind: str, first: str, second: str, confidence: float, more: str) -> str:
+    """Patterns of a chain of SQL as rows of one shape."""
+    return f"""SELECT instrument, '{kind}-' || CASE kind WHEN 'low' THEN 'bottom' ELSE 'top' END AS pattern, kind = 'low' AS up, {first} AS first_idx, {second} AS second_idx, good, inv, {confidence} AS confidence FROM {sql} WHERE good IS NOT NULL AND (bad IS NULL OR good < bad){more}"""
+
+
+# both kinds of patterns, whose chains have names of their own
+_STATUS = _DOUBLE + _TWO_B[len(_pivot_sql("left")):].replace(" h AS (", " h2 AS (").replace("FROM h WHERE", "FROM h2 WHERE") + f""", al AS ({_good("h", "double", "fi", "idx", 0.68, "")} UNION ALL {_good("r", "two-b", "si", "pi", 0.64, " AND n = 1")}),
+  k AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY good DESC, pattern DESC, first_idx DESC, second_idx DESC) AS place FROM al),
+  z AS (SELECT k.*, (SELECT min(b.idx) FROM b WHERE b.instrument = k.instrument AND b.idx > k.good AND (CASE WHEN k.up THEN b.close < k.inv ELSE b.close > k.inv END)) AS invalid_idx FROM k WHERE place <= 12)"""
+
+
+def _statuses(spark: SparkSession, d: str) -> DataFrame:
+    bars = st.prepared(b.hourly(spark, d), K, "atr_partial")
+    return st.pattern_status(st.double_patterns(bars, K).unionByName(st.two_b_patterns(bars, K)), bars, K)
+
+
+@query(_STATUS + " SELECT instrument, pattern, first_idx, second_idx, good AS confirm_idx, invalid_idx, CASE WHEN invalid_idx IS NULL THEN 'confirmed' ELSE 'invalidated' END AS status FROM z")
 def m5_pattern_status(spark: SparkSession, d: str) -> DataFrame:
-    bars = b.hourly(spark, d)
-    p = st.double_patterns(bars, K)
-    # of equal confirmations bottoms stand first, as in SQL
-    return st.pattern_status(p.withColumn("pattern", F.when(F.col("pattern") == "double-bottom", "a").otherwise("b")), bars, K).select("instrument", "second_idx", "confirm_idx", "invalid_idx", "status")
+    return _statuses(spark, d).select("instrument", "pattern", "first_idx", "second_idx", "confirm_idx", "invalid_idx", "status")
+
+
+@query(_STATUS + """, o AS (SELECT *, max(good) OVER (PARTITION BY instrument) AS top FROM z WHERE invalid_idx IS NULL), best AS (SELECT *, count(DISTINCT up) OVER (PARTITION BY instrument) AS sides, row_number() OVER (PARTITION BY instrument ORDER BY confidence DESC, pattern, first_idx, second_idx) AS rank FROM o WHERE good = top)
+  SELECT i.instrument, t.pattern, t.first_idx, t.second_idx, t.good AS confirm_idx FROM (SELECT DISTINCT instrument FROM z) i LEFT JOIN best t ON t.instrument = i.instrument AND sides = 1 AND rank = 1""")
+def m5_latest_active(spark: SparkSession, d: str) -> DataFrame:
+    return st.latest_active(_statuses(spark, d), K).select("instrument", "pattern", "first_idx", "second_idx", "confirm_idx")
 
 
 _EVENTS = _pivot_sql("loose") + """, k AS (SELECT instrument, confirmed_idx AS idx, max(CASE WHEN kind = 'high' THEN idx END) AS hi, max(CASE WHEN kind = 'high' THEN price END) AS hp, max(CASE WHEN kind = 'low' THEN idx END) AS li, max(CASE WHEN kind = 'low' THEN price END) AS lp FROM piv GROUP BY 1, 2),
@@ -441,10 +458,12 @@ def m15_horizon_trend(spark: SparkSession, d: str) -> DataFrame:
     return _horizons(spark, d).select("horizon", "instrument", "bars", *(F.round(c, 6).alias(c) for c in ("sma_fast", "sma_slow", "return_percent")), "state", "direction", "limitation")
 
 
-@query(_TREND + """, c AS (SELECT instrument, list_sort(list(DISTINCT direction) FILTER (state = 'ready')) AS ds, count(*) FILTER (state = 'ready') AS n FROM tr GROUP BY 1)
-  SELECT instrument, coalesce(array_to_string(ds, ','), '') AS directions, CASE WHEN n < 3 THEN 'not_comparable' WHEN ds IN (['up'], ['down']) THEN 'aligned' WHEN list_contains(ds, 'up') AND list_contains(ds, 'down') THEN 'divergent' ELSE 'mixed' END AS state FROM c""")
+@query(_TREND + """, c AS (SELECT instrument, list_sort(list(DISTINCT direction) FILTER (state = 'ready')) AS ds, count(*) FILTER (state = 'ready') AS n, bool_or(state = 'unavailable') AS none, count(*) AS present,
+   string_agg(horizon || ':' || limitation, ',' ORDER BY CASE horizon WHEN 'short' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) FILTER (state <> 'ready') AS why FROM tr GROUP BY 1)
+  SELECT instrument, coalesce(array_to_string(ds, ','), '') AS directions, CASE WHEN n < 3 THEN 'not_comparable' WHEN ds IN (['up'], ['down']) THEN 'aligned' WHEN list_contains(ds, 'up') AND list_contains(ds, 'down') THEN 'divergent' ELSE 'mixed' END AS state,
+   CASE WHEN n = 3 AND ds IN (['up'], ['down']) THEN ds[1] END AS aligned_direction, coalesce(why, '') AS reasons, CASE WHEN n = 3 THEN 'ready' WHEN n > 0 THEN 'partial' WHEN none OR present < 3 THEN 'unavailable' ELSE 'insufficient_data' END AS overall FROM c""")
 def m16_compare_horizons(spark: SparkSession, d: str) -> DataFrame:
-    return sg.compare_horizons(_horizons(spark, d), K, HORIZONS).select("instrument", F.array_join("directions", ",").alias("directions"), "state")
+    return sg.compare_horizons(_horizons(spark, d), K, HORIZONS).select("instrument", F.array_join("directions", ",").alias("directions"), "state", "aligned_direction", F.array_join("reasons", ",").alias("reasons"), "overall")
 
 
 @query(_TREND + " SELECT l.instrument, l.horizon AS left_order, l.direction AS left_value, r.horizon AS right_order, r.direction AS right_value FROM tr l JOIN tr r ON l.instrument = r.instrument AND l.horizon < r.horizon AND l.direction <> r.direction")

@@ -216,6 +216,17 @@ def g3_report(spark: SparkSession, d: str) -> DataFrame:
     return gov.report(ds, gov.validate_bars(ds, rows))
 
 
+@query(f"""WITH {_GB}, c AS (SELECT dataset_id, count(*) AS parsed FROM gb GROUP BY 1), s AS (SELECT dataset_id, parsed, CASE dataset_id WHEN 'click' THEN NULL WHEN 'view' THEN parsed + 1 ELSE parsed END AS stated FROM c),
+  al AS (SELECT dataset_id, f.s AS s FROM gf WHERE f.n > 0 UNION ALL SELECT dataset_id, 'error' FROM s WHERE stated IS DISTINCT FROM parsed)
+  SELECT dataset_id, count(*) FILTER (s = 'error') AS errors, count(*) FILTER (s = 'warning') AS warnings FROM al GROUP BY 1""")
+def g3_package_report(spark: SparkSession, d: str) -> DataFrame:
+    """Each package states its rows, one of them one too many, and one none."""
+    ds, rows = _gov_bars(spark, d)
+    counted = rows.groupBy("dataset_id").agg(F.count("*").alias("n"))
+    stated = counted.select("dataset_id", F.when(F.col("dataset_id") != "click", F.col("n") + (F.col("dataset_id") == "view").cast("int")).alias("stated_rows"))
+    return gov.report(ds, gov.validate_bars(ds, rows).unionByName(gov.check_row_counts(stated, rows))).select("dataset_id", "errors", "warnings")
+
+
 def _pairs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("left", "right", "exact")], "left_id string, right_id string, level string")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quotemill.operators import governance as gov
 from quotemill.operators import indicators as ind
 from quotemill.operators import spans
+from quotemill.operators import structure as st
 from quotemill.operators.medians import medians
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -117,3 +118,31 @@ def test_median_of_a_million(spark, value, expected):
         expected = statistics.median(x * 7919 % 1000003 for x in range(1_000_000))
     assert [r.m for r in out.collect()] == [expected]
     assert "percentile(" not in out._jdf.queryExecution().toString()
+
+
+def test_first_beyond(spark, monkeypatch):
+    monkeypatch.setattr(st, "BLOCK", 4)
+    rnd = random.Random(6)
+    closes = {"a": [rnd.uniform(90, 110) for _ in range(150)], "b": [100 - 0.1 * k for k in range(90)], "c": [100.0]}
+    bars = spark.createDataFrame([(s, k + 1, v) for s, vs in closes.items() for k, v in enumerate(vs)], "instrument string, idx long, close double")
+    asked = [(s, n, rnd.randint(1, len(vs) + 2), rnd.uniform(88, 112), rnd.random() < 0.5) for s, vs in closes.items() for n in range(60)]
+    found = st.first_beyond(spark.createDataFrame(asked, "instrument string, n int, start long, level double, down boolean"), bars, KEYS, ["n"], "start", "level", F.col("down"), "hit")
+    hit = lambda s, start, level, down: next((k + 1 for k, v in enumerate(closes[s]) if k + 1 >= start and (v < level if down else v > level)), None)
+    assert {(r.instrument, r.n): r.hit for r in found.collect()} == {(s, n): hit(s, start, level, down) for s, n, start, level, down in asked}
+
+
+def test_latest_active(spark):
+    schema = "instrument string, pattern string, direction string, first_idx long, second_idx long, confirm_idx long, confidence double, status string"
+    p = lambda s, name, way, at, sure=0.6, status="confirmed": (s, name, way, 1, 2, at, sure, status)
+    rows = [p("a", "x", "bullish", 5), p("a", "y", "bullish", 9, 0.7), p("a", "x", "bullish", 9), p("a", "z", "bearish", 11, status="invalidated"), p("b", "x", "bullish", 4), p("b", "x", "bearish", 4), p("b", "x", "bullish", 3), p("c", "x", "bullish", 1, status="invalidated")]
+    got = {r.instrument: (r.pattern, r.confirm_idx) for r in st.latest_active(spark.createDataFrame(rows, schema), KEYS).collect()}
+    assert got == {"a": ("y", 9), "b": (None, None), "c": (None, None)}
+
+
+def test_ranked_in_spans(bars, monkeypatch):
+    monkeypatch.setattr(spans, "DAYS", 5)
+    for current in (True, False):
+        w = Window.partitionBy("instrument").orderBy("open_time").rowsBetween(-(30 - 1) if current else -30, 0 if current else -1)
+        listed = bars.withColumn("_l", F.collect_list("volume").over(w)).withColumn("samples", F.size("_l"))
+        listed = listed.withColumn("percentile", F.bround(F.try_divide(F.size(F.filter("_l", lambda x: x <= F.coalesce("volume", F.lit(-1.0)))) * 100.0, F.col("samples")), 2)).drop("_l")
+        same(ind.trailing_percentile(bars, KEYS, "volume", "open_time", 30, current), listed)
