@@ -1,10 +1,11 @@
 """Approximate nearest neighbours from balanced posting lists.
 
-Centroids are fitted on a bounded sample and linked into a neighbour graph that every task searches in memory. Each distinct
-vector is posted to its nearest centroid's list, and near a boundary also to the next one's. How many of the nearest lists a
-query reads is measured: a sample of queries is answered by brute force, and as many lists are read as give their neighbours
-with the wanted recall. Long lists are parted evenly, so no task holds more than a part. Vectors travel as bytes of their own
-element type; blocks of queries and vectors are compared at once, and what comes near is measured exactly.
+Centroids are fitted on a bounded sample and linked into a neighbour graph that every task searches in memory, for vectors and
+for queries. Each distinct vector is posted to its nearest centroid's list, and near a boundary also to the next one's. A query
+reads the lists whose centroid is within a ratio of the distance to its nearest one. The ratio is measured: a sample of queries is
+answered by brute force, and the lists that hold their neighbours tell the ratio that gives the wanted recall, and how wide the
+graph has to be searched to find them. Long lists are parted evenly, so no task holds more than a part. Vectors travel as bytes of
+their own element type; blocks of queries and vectors are compared at once, and what comes near is measured exactly.
 """
 
 from __future__ import annotations
@@ -34,13 +35,13 @@ class Settings:
     #: A vector is posted to at most so many lists, those within this ratio of the distance to its nearest centroid.
     copies: int = 2
     post_ratio: float = 1.10
-    #: A query reads at least so many lists, and as many more as the sample of probes needs for this recall.
-    reads: int = 64
+    #: Share of the probes' neighbours that the lists within the ratio hold; queries that are probes at most.
     recall: float = 0.95
     probes: int = 128
-    #: Neighbours of a centroid in the graph, and width of a search.
+    #: Neighbours of a centroid in the graph, width of a vector's search, and that of a query's to start with.
     degree: int = 16
     width: int = 32
+    query_width: int = 64
     #: Vectors, and queries, of a part of a list.
     part: int = 4_096
 
@@ -127,13 +128,6 @@ class Graph:
         return beam, np.sqrt(dist.clip(0))
 
 
-    def ranked(self, x: np.ndarray, limit: int) -> np.ndarray:
-        """Indexes of the limit nearest centroids, nearest first, equal ones by index: exact, over all centroids."""
-        # the same sums in the same order for each row, so a row has one ranking however it is batched
-        d = self.norms.astype(np.float64) - 2 * np.einsum("qd,cd->qc", x.astype(np.float64), self.centroids.astype(np.float64))
-        return np.argsort(d, axis=1, kind="stable")[:, :limit]
-
-
 def _vectors(column: pd.Series, kind: str) -> np.ndarray:
     """Bytes of vectors of one length as rows of double precision."""
     return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
@@ -153,16 +147,26 @@ def _posts(graph, limit: int, ratio: float, width: int, kind: str):
     return lists
 
 
-def _ranked(graph, first: int, limit: int, kind: str):
-    """Lists from the first-th nearest to before the limit-th, by the distances to all centroids: lists of equal distance
-    come by their number, so that ranges of one query never overlap."""
+def _within(nodes: np.ndarray, d: np.ndarray, ratio: float) -> np.ndarray:
+    """Which centroids found are near enough to be read."""
+    return np.isfinite(d) & (d <= d[:, :1] * ratio + 1e-12) if np.isfinite(ratio) else np.isfinite(d)
+
+
+def _reads(graph, width: int, ratio: float, kind: str):
+    """Lists that a query reads: those found by a search of that width, within the ratio of the nearest; all, if the width is theirs."""
 
     @F.pandas_udf("array<int>")
     def lists(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        n = len(graph.value.centroids)
         for batch in vectors:
             out: list = []
-            for at in range(0, len(batch), 128):
-                out += [list(map(int, n)) for n in graph.value.ranked(_vectors(batch.iloc[at : at + 128], kind), limit)[:, first:]]
+            for at in range(0, len(batch), 256):
+                some = batch.iloc[at : at + 256]
+                if width >= n and not np.isfinite(ratio):
+                    out += [list(range(n))] * len(some)
+                    continue
+                nodes, d = graph.value.search(_vectors(some, kind).astype(np.float32), width)
+                out += [x[k].tolist() for x, k in zip(nodes, _within(nodes, d, ratio), strict=True)]
             yield pd.Series(out, dtype=object)
 
     return lists
@@ -208,17 +212,16 @@ def _best(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: list, k: int) -> t
     return place[rank < k], found[rank < k], score[rank < k]
 
 
-def _reads_for(indexed: DataFrame, asked: DataFrame, graph: Graph, k: int, settings: Settings, kind: str, query_kind: str) -> int:
-    """Lists to read so that the probes, a hash sample of the queries, find settings.recall of their true k nearest rows.
+def _plan_reads(indexed: DataFrame, asked: DataFrame, graph: Graph, k: int, settings: Settings, kind: str, query_kind: str) -> tuple[int, float]:
+    """Width of the search and ratio with which the probes, a hash sample of the queries, find settings.recall of their true k nearest
+    rows.
 
-    Each task keeps the best vectors of each probe as it passes over its rows; the lists that hold the true neighbours, and
-    their places in the probe's order of lists, give the recall of every number of reads at once."""
-    n = len(graph.centroids)
-    if n <= settings.reads:
-        return n
+    Each task keeps the best vectors of each probe as it passes over its rows. Of the lists that hold a true neighbour the nearest
+    tells the ratio that reads it; if too many of them aren't found by the search at all, it is made twice as wide."""
+    n, width = len(graph.centroids), settings.query_width
     probes = asked.orderBy(F.xxhash64("query_id"), "query_id", "q").limit(settings.probes).toPandas()
     if not len(probes):
-        return settings.reads
+        return width, settings.post_ratio
     own, q = probes["query_id"].to_numpy(), _vectors(probes["q"], query_kind)
     norms = (q**2).sum(1)
 
@@ -241,16 +244,21 @@ def _reads_for(indexed: DataFrame, asked: DataFrame, graph: Graph, k: int, setti
     order = Window.partitionBy("probe").orderBy("score", "ids")
     near = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).toPandas()  # k + 1 rows for each probe
     near = near.sort_values(["probe", "_n"])
-    place = np.empty((len(q), n), np.int32)
-    np.put_along_axis(place, graph.ranked(q, n), np.arange(n, dtype=np.int32)[None, :], 1)
-    needed: list[int] = []
-    for probe, rows in near.groupby("probe"):
-        true = [place[probe, list(lists)].min() + 1 for ids, lists in zip(rows["ids"], rows["lists"], strict=True) for i in ids if i != own[probe]]
-        needed += true[:k]
-    if not needed:
-        return settings.reads
-    needed.sort()
-    return int(max(settings.reads, needed[int(np.ceil(settings.recall * len(needed))) - 1]))
+    true = [(probe, list(lists)) for probe, rows in near.groupby("probe") for lists in [x for ids, x in zip(rows["ids"], rows["lists"], strict=True) for i in ids if i != own[probe]][:k]]
+    if not true:
+        return width, settings.post_ratio
+    while True:
+        nodes, d = graph.search(q.astype(np.float32), width)
+        apart, (row, at) = np.full((len(q), n), np.inf), np.nonzero(np.isfinite(d))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            apart[row, nodes[row, at]] = np.where(d <= d[:, :1], 1.0, d / d[:, :1])[row, at]
+        needed = sorted(float(apart[probe, lists].min()) for probe, lists in true)
+        ratio = needed[int(np.ceil(settings.recall * len(needed))) - 1]
+        if np.isfinite(ratio):
+            return width, ratio * (1 + 1e-6)
+        if width >= n:
+            return n, np.inf
+        width = min(n, 2 * width)
 
 
 _OUT = "query_id long, rank int, vec_id long, score double"
@@ -290,21 +298,21 @@ def _nearest(nodes: DataFrame, asked: DataFrame, n: int, dim: int, kind: str, qu
     graph = nodes.sparkSession.sparkContext.broadcast(Graph(found, settings.degree))
     indexed = written(nodes.withColumn("lists", _posts(graph, settings.copies, settings.post_ratio, settings.width, kind)("v")), "posted")
     posted = indexed.select("v", "ids", F.explode("lists").alias("list"))
-    first, last, made = 0, _reads_for(indexed, asked, graph.value, k, settings, kind, query_kind), None
+    (width, ratio), made = _plan_reads(indexed, asked, graph.value, k, settings, kind, query_kind), None
     while True:
-        seek = _ranked(graph, first, last, query_kind)
+        seek = _reads(graph, width, ratio, query_kind)
         sought = asked.withColumn("lists", seek("q")).select("query_id", "q", F.explode("lists").alias("list"))
         now = cut(_search(posted, sought, k, settings, kind, query_kind))
         made = now if made is None else made.unionByName(now)
-        if last >= len(found):
+        if width >= len(found) and not np.isfinite(ratio):
             break
-        # queries that found fewer than k read on, in growing steps, until they have k or all lists are read
+        # queries that found fewer than k read on: all that a search finds, ever wider, until they have k or all lists are read
         full = made.groupBy("query_id").agg(F.count_distinct("vec_id").alias("_n")).where(F.col("_n") >= k)
         asked = cut(asked.join(full, "query_id", "left_anti"))
         if asked.isEmpty():
             break
-        first, last = last, 4 * last
-    # a vector that several lists hold counts once
+        width, ratio = min(len(found), 4 * width), np.inf
+    # a vector that several lists hold, or that was read twice, counts once
     once = made.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

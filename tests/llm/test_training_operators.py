@@ -558,7 +558,7 @@ def test_neighbours_in_far_groups(spark):
     rng = np.random.default_rng(9)
     x = np.vstack([rng.normal(size=(1600, 8)), *(1000 * (g + 1) + rng.normal(size=(5, 8)) for g in range(6))])
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    found = Counter(r["query_id"] for r in ann.nearest(df, df.where("vec_id >= 1600"), settings=ann.Settings(per_list=4, reads=2, recall=0.01)).collect())
+    found = Counter(r["query_id"] for r in ann.nearest(df, df.where("vec_id >= 1600"), settings=ann.Settings(per_list=4, query_width=2, recall=0.01)).collect())
     assert found == Counter({i: 10 for i in range(1600, 1630)})
 
 
@@ -567,7 +567,7 @@ def test_neighbours_reads_follow_recall(spark):
     x /= np.sqrt((x**2).sum(1))[:, None]
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
     found = {}
-    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), settings=ann.Settings(per_list=8, reads=8)).collect():
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), settings=ann.Settings(per_list=8, query_width=8)).collect():
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
     hits = 0
     for q in range(0, 4000, 50):
@@ -580,7 +580,7 @@ def test_neighbours_of_outliers_are_k(spark):
     x = np.random.default_rng(6).normal(size=(400, 8))
     x[:20] *= 1000
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
-    for settings in (ann.Settings(per_list=4), ann.Settings(per_list=4, reads=1, recall=0.01)):
+    for settings in (ann.Settings(per_list=4), ann.Settings(per_list=4, query_width=1, recall=0.01)):
         found = Counter(r["query_id"] for r in ann.nearest(df, df.where("vec_id < 20"), settings=settings).collect())
         assert found == Counter({i: 10 for i in range(20)})
 
