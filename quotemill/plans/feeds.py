@@ -226,8 +226,9 @@ def s3_bar_package(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "package")
     two = lambda c: F.format_string("%.2f", c)
     line = F.concat_ws(",", F.date_format("open_time", "yyyy-MM-dd'T'HH:mm:ss'Z'"), *map(two, ("open", "high", "low", "close")), F.col("volume").cast("string"), F.lit("bid"), "instrument")
-    files = b.hourly(spark, d).groupBy("instrument").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
-    files.select("instrument", F.concat(F.lit(rd.PACKAGE_HEADER + "\n"), "lines").alias("value")).write.partitionBy("instrument").text(path)
+    bars = b.hourly(spark, d).select("instrument", F.lit(1).alias("n"), line.alias("value"))
+    heads = bars.select("instrument").distinct().select("instrument", F.lit(0).alias("n"), F.lit(rd.PACKAGE_HEADER).alias("value"))
+    bars.unionByName(heads).repartition("instrument").sortWithinPartitions("instrument", "n", "value").select("instrument", "value").write.partitionBy("instrument").text(path)
     x = rd.read_bar_package(spark, path)
     return x.select(F.col("source").alias("instrument"), "row_number", F.unix_seconds("open_time").alias("open_time"), "close_text", "line_sha256")
 
@@ -245,10 +246,11 @@ def s4_artifacts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {b.DAILY} SELECT 'VIX' AS code, observed_at::DATE::VARCHAR AS date, last(round(last, 2) ORDER BY id) AS value FROM daily GROUP BY 2")
 def s5_vol_history(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "history")
-    q = b.daily_prices(spark, d)
-    line = F.struct("id", F.concat(F.date_format("observed_at", "MM/dd/yyyy"), F.lit(", "), F.format_string("%.2f", "last")).alias("l"))
-    text = q.agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("lines"))  # one history is one small file
-    text.select(F.concat(F.lit("Date, VIX\n01/02/1990,\n"), "lines").alias("value")).write.text(path)
+    # a file a year: its header, a line without a value, and the prices in their order
+    q = b.daily_prices(spark, d).select(F.year("observed_at").alias("year"), "id", F.concat(F.date_format("observed_at", "MM/dd/yyyy"), F.lit(", "), F.format_string("%.2f", "last")).alias("value"))
+    head = lambda at, text: F.struct(F.lit(at).cast("long").alias("id"), F.lit(text).alias("value"))
+    heads = q.select("year").distinct().select("year", F.explode(F.array(head(-2, "Date, VIX"), head(-1, "01/02/1990,"))).alias("h")).select("year", "h.*")
+    q.unionByName(heads).repartition("year").sortWithinPartitions("year", "id").select("year", "value").write.partitionBy("year").text(path)
     return rd.read_vol_history(spark, path, "VIX").withColumn("date", F.col("date").cast("string"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import clamp_delta
@@ -42,14 +42,29 @@ def write_period_bars(df: DataFrame, path: str, partitions: Sequence[str] = ("in
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
+def numbered_lines(spark: SparkSession, root: str) -> DataFrame:
+    """file, row_number (from 0 in each file) and line of text files, however many splits a file is read in; blank lines at the end of
+    a file are none, and neither is a carriage return at the end of a line.
+
+    A split's lines are in one partition, one after the other; counts of the splits before make their places there numbers of
+    the file.
+    """
+    raw = spark.read.option("lineSep", "\n").text(root)
+    lines = raw.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.rtrim("value", F.lit("\r")).alias("line"), F.monotonically_increasing_id().alias("_at"))
+    splits = lines.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"), F.max(F.when(F.col("line") != "", F.col("_at"))).alias("_full"))
+    before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_block")) - F.col("_n")
+    splits = splits.withColumn("_before", before)
+    splits = splits.withColumn("_end", F.max(F.col("_full") - F.col("_first") + F.col("_before")).over(Window.partitionBy("_path")))
+    met = lines.join(splits.select("_path", "_block", "_first", "_before", "_end"), ["_path", "_block"])
+    return met.withColumn("row_number", F.col("_at") - F.col("_first") + F.col("_before")).where("row_number <= _end").select("_path", "file", "row_number", "line")
+
+
 def read_bar_package(spark: SparkSession, root: str, price_side: str = "bid") -> DataFrame:
     """CSV files of one-minute bars with an exact header: bars with row number and sha256 of each line. A line that doesn't parse,
     another price side or header is an error."""
-    # a file is one text: row numbers need its lines in order, and a file is a month of one instrument
-    files = spark.read.text(root, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
-    lines = files.select("file", F.posexplode(F.split(F.rtrim("value", F.lit("\r\n")), "\r?\n")).alias("row_number", "line"))
+    lines = numbered_lines(spark, root)
     checked = lines.withColumn("line", F.when((F.col("row_number") == 0) & (F.col("line") != PACKAGE_HEADER), F.raise_error(F.concat(F.lit("header of "), "file"))).otherwise(F.col("line")))
-    rows = checked.where("row_number > 0 or line is null").select("file", "row_number", F.sha2("line", 256).alias("line_sha256"), F.from_csv("line", PACKAGE_SCHEMA, {"mode": "FAILFAST"}).alias("r"))
+    rows = checked.where("row_number > 0 or line is null").select("file", F.col("row_number").cast("int").alias("row_number"), F.sha2("line", 256).alias("line_sha256"), F.from_csv("line", PACKAGE_SCHEMA, {"mode": "FAILFAST"}).alias("r"))
     ok = F.when(F.col("r.price_side") != price_side, F.raise_error(F.concat(F.lit("price side in "), "file"))).otherwise(F.col("r.price_side"))
     return rows.select(
         "file", "row_number", "line_sha256", F.to_timestamp("r.timestamp_utc").alias("open_time"), *(F.col(f"r.{c}").cast("decimal(20,8)").alias(c) for c in ("open", "high", "low", "close", "volume")),
@@ -67,17 +82,18 @@ def verify_artifacts(spark: SparkSession, manifest: DataFrame, root: str) -> Dat
 
 
 def read_vol_history(spark: SparkSession, path: str, code: str) -> DataFrame:
-    """History of a volatility index, a file of a few thousand lines: the value is CLOSE, or a column named as the index; dates
-    MM/dd/yyyy; blanks are left out; of one date the last line counts. A file without those columns is an error."""
-    files = spark.read.text(path, wholetext=True).select(F.split(F.rtrim("value", F.lit("\r\n")), "\r?\n").alias("_lines"))
-    names = F.transform(F.split(F.get("_lines", F.lit(0)), ","), lambda c: F.upper(F.trim(c)))
-    at = lambda name: F.array_position(names, name) - 1
+    """History of a volatility index, a file or several: the value is CLOSE, or a column named as the index; dates MM/dd/yyyy; blanks
+    are left out; of one date the last line counts. A file without those columns is an error."""
+    lines = numbered_lines(spark, path)
+    names = F.transform(F.split("line", ","), lambda c: F.upper(F.trim(c)))
+    heads = lines.where("row_number = 0").select(F.col("_path").alias("_of"), names.alias("_names"))  # a row a file
+    at = lambda name: F.array_position("_names", name) - 1
     value = F.when(at("CLOSE") >= 0, at("CLOSE")).otherwise(at(code.upper()))
-    checked = F.when((at("DATE") < 0) | (value < 0), F.raise_error(F.concat(F.lit("no DATE and value column in "), F.get("_lines", F.lit(0))))).otherwise(value)
-    # two fields of each line: rows that are exploded don't carry the file
-    said = F.transform(F.slice("_lines", 2, 1 << 30), lambda line, i: F.struct(i.alias("_n"), F.trim(F.get(F.split(line, ","), at("DATE").cast("int"))).alias("_d"), F.trim(F.get(F.split(line, ","), checked.cast("int"))).alias("_v")))
-    rows = files.select(F.explode(said).alias("x")).select("x.*")
-    rows = rows.select(F.try_to_timestamp("_d", F.lit("MM/dd/yyyy")).cast("date").alias("date"), F.try_to_number("_v", F.lit("999999999.999999")).cast("double").alias("value"), "_n")
+    checked = F.when((at("DATE") < 0) | (value < 0), F.raise_error(F.concat(F.lit("no DATE and value column in "), F.array_join("_names", ",")))).otherwise(value)
+    heads = heads.select("_of", at("DATE").cast("int").alias("_date"), checked.cast("int").alias("_value"))
+    field = lambda c: F.trim(F.get(F.split("line", ","), F.col(c)))
+    rows = lines.where("row_number > 0").join(heads, F.col("_path") == F.col("_of")).select(
+        F.try_to_timestamp(field("_date"), F.lit("MM/dd/yyyy")).cast("date").alias("date"), F.try_to_number(field("_value"), F.lit("999999999.999999")).cast("double").alias("value"), F.struct("_path", "row_number").alias("_n"))
     return rows.where("date is not null and value is not null").groupBy("date").agg(F.max_by("value", "_n").alias("value")).select(F.lit(code).alias("code"), "date", "value")
 
 

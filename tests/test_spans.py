@@ -14,6 +14,7 @@ from quotemill.operators import indicators as ind
 from quotemill.operators import spans
 from quotemill.operators import structure as st
 from quotemill.operators.medians import medians
+from quotemill.sources import readers as rd
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 KEYS = ["instrument"]
@@ -146,3 +147,22 @@ def test_ranked_in_spans(bars, monkeypatch):
         listed = bars.withColumn("_l", F.collect_list("volume").over(w)).withColumn("samples", F.size("_l"))
         listed = listed.withColumn("percentile", F.bround(F.try_divide(F.size(F.filter("_l", lambda x: x <= F.coalesce("volume", F.lit(-1.0)))) * 100.0, F.col("samples")), 2)).drop("_l")
         same(ind.trailing_percentile(bars, KEYS, "volume", "open_time", 30, current), listed)
+
+
+@pytest.mark.parametrize("split", ["64", "1m"])
+def test_lines_of_files_in_splits(spark, tmp_path, split):
+    texts = {"a.csv": ["first", *(f"line {k} é" for k in range(200)), "", "last"], "b.csv": ["only"], "c.csv": []}
+    (tmp_path / "a.csv").write_bytes("\r\n".join(texts["a.csv"]).encode() + b"\r\n\r\n")
+    (tmp_path / "b.csv").write_bytes(b"only")
+    (tmp_path / "c.csv").write_bytes(b"\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = rd.numbered_lines(spark, f"file://{tmp_path}")
+        assert split != "64" or spark.read.text(f"file://{tmp_path}/a.csv").rdd.getNumPartitions() > 20
+        got = sorted((r.file, r.row_number, r.line) for r in lines.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted((f, n, line) for f, ls in texts.items() for n, line in enumerate(ls))
