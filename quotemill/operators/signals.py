@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import clamp
+from quotemill.operators import dimensions
 from quotemill.operators import indicators as ind
 from quotemill.operators import structure as st
 from quotemill.operators.common import last_k
 from quotemill.operators.spans import bordered
 
 #: Strategies that count for the composite score, and those that performance is measured for.
-COMPOSITE = ("structure", "ma-structure", "macd", "kdj", "rsi", "bollinger", "momentum-ensemble", "fair-value", "poc-proxy", "order-flow-proxy", "volume-price", "smart-money")
-STRATEGIES = (*COMPOSITE, "nine-count")
+COMPOSITE = tuple(name for name, _, composite, _ in dimensions.STRATEGIES if composite)
+STRATEGIES = (*COMPOSITE, "smart-money", "nine-count")
 #: Moving averages that make levels.
 LEVEL_PERIODS = (60, 250)
 

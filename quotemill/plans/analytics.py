@@ -401,7 +401,7 @@ def m11_signals(spark: SparkSession, d: str) -> DataFrame:
     return _out(sg.signals(b.hourly(spark, d), K), "confidence", plain=("strategy", "direction"))
 
 
-_SCORES = f"""sgs AS ({_SIGNALS}), cs AS (SELECT instrument, open_time, round(coalesce(sum(direction * confidence) FILTER (confidence > 0 AND strategy <> 'nine-count') / nullif(sum(confidence) FILTER (confidence > 0 AND strategy <> 'nine-count'), 0), 0), 12) AS score FROM sgs GROUP BY 1, 2)"""
+_SCORES = f"""sgs AS ({_SIGNALS}), cs AS (SELECT instrument, open_time, round(coalesce(sum(direction * confidence) FILTER (confidence > 0 AND strategy NOT IN ('nine-count', 'smart-money')) / nullif(sum(confidence) FILTER (confidence > 0 AND strategy NOT IN ('nine-count', 'smart-money')), 0), 0), 12) AS score FROM sgs GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_SCORES} SELECT {T}, round(score, 6) AS score, CASE WHEN score > 0.2 THEN 'trend-up' WHEN score < -0.2 THEN 'trend-down' ELSE 'balanced' END AS regime FROM cs")

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.functions import scalars as fn
+from quotemill.functions.scalars import micros_to_price
 from quotemill.operators import bars as ba
 from quotemill.operators import calendar as cal
 from quotemill.operators import common as co
 from quotemill.operators import context as ctx
+from quotemill.operators import dimensions as dim
 from quotemill.operators import filters as fi
 from quotemill.operators import governance as gov
 from quotemill.operators import joins as jo
+from quotemill.operators.common import dedupe
 from quotemill.plans import bindings as b
 from quotemill.plans.registry import query
 from quotemill.session import shared_path
@@ -187,14 +190,35 @@ def p10_compact(spark: SparkSession, d: str) -> DataFrame:
     return fi.compact_bars(b.hourly(spark, d))
 
 
-@query(f"WITH {b.QUOTES} SELECT id, instrument AS strategy FROM quotes WHERE instrument IN ('click', 'view')")
+def _nth(names: list[str]) -> str:
+    """A catalogue's names dealt out by id, in SQL that counts from 1."""
+    return f"[{', '.join(repr(n) for n in names)}][id % {len(names)} + 1]"
+
+
+def _nth_of(names: list[str]):
+    return F.get(F.array(*map(F.lit, names)), (F.col("id") % len(names)).cast("int"))
+
+
+_STRATEGIES, _TYPES, _CODES = ([row[0] for row in rows] for rows in (dim.STRATEGIES, dim.EVENT_TYPES, dim.INSTRUMENTS))
+
+
+@query(f"WITH {b.QUOTES}, s AS (SELECT id, {_nth(_STRATEGIES)} AS strategy FROM quotes) SELECT id, strategy FROM s WHERE strategy IN ({', '.join(repr(s[0]) for s in dim.STRATEGIES if s[2])})")
 def p11_eligible(spark: SparkSession, d: str) -> DataFrame:
-    q = b.quotes(spark, d).select("id", F.col("instrument").alias("strategy"))
-    flags = q.select("strategy").distinct().withColumn("composite", F.col("strategy").isin("click", "view"))
-    return fi.eligible(q, flags, "composite")
+    return fi.eligible(b.quotes(spark, d).select("id", _nth_of(_STRATEGIES).alias("strategy")), dim.dimensions(spark).strategies, "composite")
+
 
+@query(f"""WITH {b.QUOTES}, q AS (SELECT id, observed_at, {_nth(_CODES)} AS code FROM quotes),
+  v AS (SELECT * FROM (VALUES {', '.join(f"('{x[0]}', {x[5]}, '{x[8]}', '{dim.version_of(x[8])}')" for x in dim.INSTRUMENTS)}) AS t(code, digits, schedule, version))
+  SELECT id, code AS instrument, CASE WHEN code = 'XAUUSD' AND observed_at >= TIMESTAMP '2024-01-15' THEN 3 ELSE digits END AS price_digits, CASE WHEN code = 'XAUUSD' AND observed_at >= TIMESTAMP '2024-01-15' THEN 'forex' ELSE schedule END AS schedule,
+   CASE WHEN code = 'XAUUSD' AND observed_at >= TIMESTAMP '2024-01-15' THEN '{dim.version_of("forex")}' ELSE version END AS version FROM q JOIN v USING (code)""")
+def s22_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks with their instrument's digits and schedule at their time; one instrument changes both on a day."""
+    known = dim.dimensions(spark)
+    new = known.instruments.where("instrument = 'XAUUSD'").withColumn("price_digits", F.lit(3)).withColumn("schedule", F.lit("forex")).withColumn("valid_from", F.lit("2024-01-15").cast("timestamp"))
+    q = b.quotes(spark, d).select("id", "observed_at", _nth_of(_CODES).alias("instrument"))
+    met = dim.as_of(q, dim.revised(known.instruments, new), "instrument", "observed_at", ["price_digits", "schedule"])
+    return dim.as_of(met, known.schedules, "schedule", "observed_at", ["version"]).drop("observed_at")
 
-# --- bars ----------------------------------------------------------------------------------------------------------------
 
 @query(f"WITH {b.HOURLY} SELECT instrument, epoch(open_time)::BIGINT AS open_time, open, high, low, close, volume, ticks, epoch_us(received_at) AS received_at FROM bars")
 def a1_ohlc_bars(spark: SparkSession, d: str) -> DataFrame:
@@ -562,10 +586,11 @@ def j12_judged_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _compatible(jo.compatibility(x, pairs))
 
 
-@query(f"""WITH {b.QUOTES}, {b.EVENTS} SELECT e.event_id, t.tier, t.family FROM market_events e JOIN (SELECT 'signup' AS event_type, 1 AS tier, 'growth' AS family) t USING (event_type)""")
+@query(f"""WITH {b.QUOTES}, e AS (SELECT id AS event_id, {_nth(_TYPES)} AS event_type FROM quotes), t AS (SELECT * FROM (VALUES {', '.join(f"('{t[0]}', '{t[1]}', '{t[2]}', '{','.join(t[4])}', {str(t[5]).lower()})" for t in dim.EVENT_TYPES)}) AS t(event_type, family, tier, channels, trigger))
+  SELECT event_id, tier, family, channels, trigger FROM e JOIN t USING (event_type)""")
 def j16_enrich_events(spark: SparkSession, d: str) -> DataFrame:
-    types = spark.createDataFrame([("signup", 1, "growth")], "event_type string, tier int, family string")
-    return jo.enrich_events(b.market_events(spark, d), types).select("event_id", "tier", "family")
+    facts = b.quotes(spark, d).select(F.col("id").alias("event_id"), _nth_of(_TYPES).alias("event_type"))
+    return jo.enrich_events(facts, dim.dimensions(spark).event_types).select("event_id", "tier", "family", F.array_join("channels", ",").alias("channels"), "trigger")
 
 
 @query(f"""WITH {b.QUOTES}, s AS (SELECT instrument, observed_at::DATE AS day, first(last ORDER BY observed_at, id) AS o, max(last) AS h, min(last) AS l, sum(volume)::BIGINT AS v FROM quotes WHERE day(observed_at) % 2 = 0 GROUP BY 1, 2)
@@ -660,6 +685,13 @@ def r15_refresh_periods(spark: SparkSession, d: str) -> DataFrame:
     return _rolled(cal.refresh_periods(m.where("revision > 1"), cal.period_bounds(m, "1h"), K, "2024-01-29"))
 
 
+@query(f"WITH {b.QUOTES} SELECT id, instrument, (round(last * 1000000)::BIGINT / 1000000)::DECIMAL(20,6) AS price FROM quotes")
+def u5_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks that come again are one; their prices travel as whole millionths."""
+    q = b.quotes(spark, d).select("id", "instrument", F.round(F.col("last") * 1_000_000).cast("long").alias("micros"))
+    return dedupe(q.unionByName(q.where("id % 3 = 0")), "id").select("id", "instrument", micros_to_price("micros").alias("price"))
+
+
 # --- scalars -------------------------------------------------------------------------------------------------------------
 
 @query(f"""WITH {b.QUOTES} SELECT id, epoch(time_bucket(INTERVAL 5 MINUTE, observed_at))::BIGINT AS f5m, epoch(date_trunc('week', observed_at)::TIMESTAMP)::BIGINT AS week_start, epoch(date_trunc('month', observed_at)::TIMESTAMP)::BIGINT AS month_start,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quotemill.operators import bars as ba
 from quotemill.operators import calendar as cal
+from quotemill.operators.dimensions import version_of
 from quotemill.plans import bindings as b
 from quotemill.plans.core import _MINUTES, _ROLL, _minutes, _rolled
 from quotemill.plans.registry import query
@@ -48,13 +49,21 @@ def s11_daily_stats_lines(spark: SparkSession, d: str) -> DataFrame:
     return x.select("instrument", F.col("d").cast("string").alias("d"), "open", "high", "low", "close", "volume")
 
 
-@query(f"WITH {b.HOURLY} SELECT instrument, '1h' AS period, epoch(open_time)::BIGINT AS open_time, CASE WHEN instrument IN ('click', 'view') THEN close + 1 ELSE close END AS close FROM bars")
+@query(f"WITH {b.HOURLY} SELECT instrument, '1h' AS period, '{version_of('usd_index')}' AS version, epoch(open_time)::BIGINT AS open_time, CASE WHEN instrument IN ('click', 'view') THEN close + 1 ELSE close END AS close FROM bars")
 def s19_period_sink(spark: SparkSession, d: str) -> DataFrame:
-    path = shared_path(spark, "periods")
-    bars = b.hourly(spark, d).select("instrument", F.lit("1h").alias("period"), "open_time", "close")
-    rd.write_period_bars(bars, path)
-    rd.write_period_bars(bars.where("instrument in ('click', 'view')").withColumn("close", F.col("close") + 1), path)
-    return spark.read.schema(bars.schema).parquet(path).select("instrument", "period", F.unix_seconds("open_time").alias("open_time"), "close")
+    """Period bars by instrument, period and the version of their schedule; two instruments are written again."""
+    path, by = shared_path(spark, "periods"), ("instrument", "period", "version")
+    bars = b.hourly(spark, d).select("instrument", F.lit("1h").alias("period"), F.lit(version_of("usd_index")).alias("version"), "open_time", "close")
+    rd.write_period_bars(bars, path, by)
+    rd.write_period_bars(bars.where("instrument in ('click', 'view')").withColumn("close", F.col("close") + 1), path, by)
+    return spark.read.schema(bars.schema).parquet(path).select(*by, F.unix_seconds("open_time").alias("open_time"), "close")
+
+
+@query(f"WITH {b.HOURLY} SELECT instrument, epoch(open_time)::BIGINT AS open_time, open, high, low, close, ticks FROM bars WHERE open_time + INTERVAL 1 HOUR <= (SELECT max(observed_at) FROM quotes) - INTERVAL 1 MINUTE")
+def r3_ohlc_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Append form: bars that the watermark has closed."""
+    out = streamed(spark, b.quotes(spark, d), lambda s: sb.ohlc_stream(s, K, 3600), "append", ("observed_at", "id"))
+    return out.withColumn("open_time", F.unix_seconds("open_time"))
 
 
 _ARRIVAL = "(PARTITION BY instrument ORDER BY received_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
