@@ -141,6 +141,8 @@ def shard_bounds(digested: DataFrame, shard_bytes: int = SHARD_BYTES, max_shards
     return np.sort(places(rows["page_id"], rows["payload_sha1"]))
 
 
+#: Compressed bytes that a task reads, on average.
+TASK_BYTES = 16 << 20
 _PLACE = "S29"
 
 
@@ -168,8 +170,9 @@ def revisits(digested: DataFrame, min_bytes: int = 0) -> DataFrame:
     return big.join(first, "payload_sha1").where(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "payload_sha1", "refers_to").distinct()
 
 
-def write_warc(pages: DataFrame, base: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> list[dict]:
-    """Writes pages as WARC files under base, a folder all executors share; returns the manifests of the shards.
+def write_warc(pages: DataFrame, base: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes pages as WARC files under base, a folder all executors share; returns the table of the shards' manifests, a JSON text each,
+    which is kept under base too: names of files never pass through the driver.
 
     Payload is the html in UTF-8; null url and html count as empty. Of equal payloads of at least min_bytes, the one with the
     least id is the response, the others revisit it. A null id sorts first, and is a response only if no other row has its
@@ -213,8 +216,8 @@ def write_warc(pages: DataFrame, base: str, key: str = "page_id", url: str = "ur
     # a shard is bounded in bytes, so a task holds one or a few whole; payloads are moved once
     order = ("shard", F.asc_nulls_first("page_id"), "payload_sha1", F.desc_nulls_last("refers_to"), "url")
     dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions(*order)
-    rows = dealt.mapInArrow(write, "manifest string").collect()  # one row of file names and counts for each shard
-    return sorted((json.loads(r[0]) for r in rows), key=lambda m: m["shard"])
+    dealt.mapInArrow(write, "manifest string").write.parquet(f"{base}/_manifests")
+    return pages.sparkSession.read.schema("manifest string").parquet(f"{base}/_manifests")
 
 
 def _records(stream: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -236,11 +239,13 @@ def _records(stream: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
             data = stream.read(_CHUNK)
 
 
-def read_warc(spark: SparkSession, base: str, manifests: list[dict]) -> DataFrame:
+def read_warc(spark: SparkSession, base: str, manifests: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """One row per record of the files that manifests list: page_id, url, record_type, payload_digest, payload_bytes, refers_to,
     payload (null for a revisit). Every block's digest is checked, and every response's payload against its own. Records
     without an id have a null page_id, repeated records are as many rows, no files none."""
-    names = [(f["name"],) for m in manifests for f in m["files"]]
+    files = manifests.select(F.explode(F.from_json("manifest", "files array<struct<name:string,bytes:long>>")["files"]).alias("f")).select("f.*")
+    # files are dealt to as many tasks as their bytes need
+    tasks = -(-(files.agg(F.sum("bytes")).first()[0] or 1) // task_bytes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(base)
@@ -262,8 +267,7 @@ def read_warc(spark: SparkSession, base: str, manifests: list[dict]) -> DataFram
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_READ)
 
-    files = spark.createDataFrame(names, "name string")
-    return files.repartition(max(1, len(names)), "name").mapInArrow(read, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
+    return files.select("name").repartition(tasks, "name").mapInArrow(read, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
