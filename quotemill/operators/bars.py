@@ -123,8 +123,9 @@ def standard_candidates(stored: DataFrame, ticks: DataFrame, seconds: int = 60)
     return own(stored, 0).unionByName(own(made, 1))
 
 
-def standardize(candidates: DataFrame, priority: dict[str, int], max_deviation: float = 0.001) -> DataFrame:
-    """Consensus bars of several sources: candidates(instrument, source_id, open_time, OHLC, volume, received_at, record_rank).
+def judge_minutes(candidates: DataFrame, priority: dict[str, int], max_deviation: float = 0.001) -> DataFrame:
+    """The validation log: every minute of candidates(instrument, source_id, open_time, OHLC, volume, received_at, record_rank) as
+    accepted or rejected (validation_state), with its sources, deviation and evidence, and the bar that it'd give.
 
     Of a source and minute the least record_rank counts, of those the bar received last. The deviation is (max - min) /
     abs(mean) of the closes; one source alone, or a deviation of at most max_deviation, is accepted, and the source of the best
@@ -142,8 +143,22 @@ def standardize(candidates: DataFrame, priority: dict[str, int], max_deviation:
         F.min_by(F.struct("source_id", *cols), F.struct("_rank", "source_id")).alias("_p"), F.to_json(said).alias("evidence"))
     deviation = F.coalesce(F.try_divide(F.col("_hi") - F.col("_lo"), F.abs("_avg")), F.lit(0.0))
     method = F.when(F.col("sources") > 1, "cross_source_consensus").otherwise("single_source_structural")
-    accepted = g.withColumn("deviation", deviation).where((F.col("sources") == 1) | (F.col("deviation") <= max_deviation))
-    return accepted.select("instrument", "open_time", "_p.*", "sources", "deviation", method.alias("method"), "evidence").drop("record_rank")
+    state = F.when((F.col("sources") == 1) | (F.col("deviation") <= max_deviation), "accepted").otherwise("rejected")
+    judged = g.withColumn("deviation", deviation)
+    return judged.select("instrument", "open_time", "_p.*", "sources", "deviation", method.alias("method"), "evidence", state.alias("validation_state")).drop("record_rank")
+
+
+def standardize(candidates: DataFrame, priority: dict[str, int], max_deviation: float = 0.001) -> DataFrame:
+    """Consensus bars of several sources: the accepted minutes of judge_minutes."""
+    return judge_minutes(candidates, priority, max_deviation).where("validation_state = 'accepted'").drop("validation_state")
+
+
+def merge_validation_log(existing: DataFrame, judged: DataFrame) -> DataFrame:
+    """The log(instrument, open_time, validation_state, sources, deviation, evidence) with minutes judged anew in place of what it said
+    of them; minutes that weren't judged again stay."""
+    columns = ["instrument", "open_time", "validation_state", "sources", "deviation", "evidence"]
+    both = existing.select(*columns, F.lit(0).alias("_new")).unionByName(judged.select(*columns, F.lit(1).alias("_new")))
+    return both.groupBy("instrument", "open_time").agg(F.max_by(F.struct(*columns[2:]), "_new").alias("_l")).select("instrument", "open_time", "_l.*")
 
 
 def merge_standard(existing: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -323,12 +323,27 @@ _STANDARD = f"""WITH {b.QUOTES}, c AS (SELECT instrument, channel AS s, time_buc
 
 
 def _standard(spark: SparkSession, d: str) -> DataFrame:
+    return ba.standardize(_candidates(spark, d), _PRIORITY, 0.5)
+
+
+_PRIORITY = {"ch2": 0, "ch0": 1, "ch1": 2}
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """Hourly bars of ticks, and stored ones of two channels that differ from them."""
     q = b.quotes(spark, d).withColumnRenamed("channel", "source_id")
     top = F.max("last")
     stored = q.where("source_id <> 'ch1' and id % 3 = 0").groupBy("instrument", "source_id", fn.epoch_floor("observed_at", 3600).alias("open_time")).agg(
         top.alias("open"), (top + 1).alias("high"), F.min("last").alias("low"), top.alias("close"), F.sum("volume").alias("volume"), F.max("received_at").alias("received_at"))
-    return ba.standardize(ba.standard_candidates(stored, q, 3600), {"ch2": 0, "ch0": 1, "ch1": 2}, 0.5)
+    return ba.standard_candidates(stored, q, 3600)
+
+
+@query(_STANDARD + """ SELECT instrument, epoch(t)::BIGINT AS open_time, CASE WHEN sources = 1 OR deviation <= 0.5 THEN 'accepted' ELSE 'rejected' END AS validation_state, sources, round(deviation, 6) AS deviation, evidence FROM g""")
+def a5_validation_log(spark: SparkSession, d: str) -> DataFrame:
+    """A log of other judgements of a part of the hours, judged again with all of them."""
+    judged = ba.judge_minutes(_candidates(spark, d), _PRIORITY, 0.5)
+    old = judged.where("unix_seconds(open_time) div 3600 % 2 = 0").withColumn("validation_state", F.lit("pending")).withColumn("evidence", F.lit("[]"))
+    return ba.merge_validation_log(old, judged).select("instrument", _s("open_time"), "validation_state", "sources", _r("deviation"), "evidence")
 
 
 @query(_STANDARD + """ SELECT instrument, epoch(t)::BIGINT AS open_time, b.s AS source_id, b.close AS close, b.volume AS volume, sources, round(deviation, 6) AS deviation, CASE WHEN sources > 1 THEN 'cross_source_consensus' ELSE 'single_source_structural' END AS method, evidence FROM a""")
