@@ -6,14 +6,19 @@ series and idx bucket, never all bars of a series.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.operators.common import last_k, settled
 from quotemill.operators.indicators import atr, atr_partial
-from quotemill.operators.spans import in_spans, indexed
+from quotemill.operators.spans import bordered, in_spans, indexed
 
 RADIUS = 2
 # Fixed values of the pattern rules.
@@ -90,6 +95,45 @@ def support_resistance(bars: DataFrame, keys: Sequence[str], n: int = LOOK_BACK)
     return window.join(found, list(keys), "left").select(*keys, F.coalesce("s", "_lo").alias("support"), F.coalesce("r", "_hi").alias("resistance"))
 
 
+def support_resistance_every_bar(bars: DataFrame, keys: Sequence[str], n: int = LOOK_BACK) -> DataFrame:
+    """As support_resistance at each bar, with what is known then: keys, open_time, support, resistance. Bars are in spans with the
+    bars before them that count; along a span the live swings of a kind are a stack from which a later swing that is as low (as
+    high) takes earlier ones, so that the latest one beyond a close is found by bisection."""
+    schema = bars.select(*keys, "open_time").schema.simpleString()[7:-1] + ", support:double, resistance:double"
+    slim = bars.select(*keys, "open_time", *(F.col(c).cast("double").alias(c) for c in ("high", "low", "close")))
+    parts = bordered(slim, keys, n + 2 * RADIUS)
+
+    def latest(x: np.ndarray, close: np.ndarray) -> np.ndarray:
+        """Of each bar the value of the latest swing low (of x) below the close; NaN without one."""
+        near = [np.r_[np.full(r, np.nan), x[:-r]] if r > 0 else np.r_[x[-r:], np.full(-r, np.nan)] for r in (1, 2, -1, -2)]
+        swing = (x < near[0]) & (x < near[1]) & (x <= near[2]) & (x <= near[3])
+        out, prices, places, first = np.full(len(x), np.nan), [], [], 0
+        for i in range(len(x)):
+            j = i - RADIUS  # what becomes known here
+            if j >= 0 and swing[j]:
+                while len(prices) > first and prices[-1] >= x[j]:
+                    prices.pop()
+                    places.pop()
+                prices.append(x[j])
+                places.append(j)
+            while first < len(places) and places[first] <= i - n:
+                first += 1
+            k = bisect_left(prices, close[i], first)
+            if k > first:
+                out[i] = prices[k - 1]
+        return out
+
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by("open_time")
+        high, low, close = (t[c].to_numpy(zero_copy_only=False) for c in ("high", "low", "close"))
+        down, up = latest(low, close), -latest(-high, -close)
+        window = pd.Series(low).rolling(n, min_periods=1).min().to_numpy(), pd.Series(high).rolling(n, min_periods=1).max().to_numpy()
+        out = t.select([*keys, "open_time"]).append_column("support", pa.array(np.where(np.isnan(down), window[0], down))).append_column("resistance", pa.array(np.where(np.isnan(up), window[1], up)))
+        return out.filter(pc.invert(t["_border"]))
+
+    return parts.groupBy(*keys, "_span").applyInArrow(fold, schema)
+
+
 def _near(candidates: DataFrame, bars: DataFrame, keys: Sequence[str], first: Column, last: Column, size: int) -> DataFrame:
     """candidates with each bar (as b) whose idx is in [first, last]; they meet by series and idx bucket of size bars."""
     c = candidates.withColumn("_first", first).withColumn("_last", last).where("_first <= _last").withColumn("_b", F.explode(F.expr(f"sequence(_first div {size}, _last div {size})")))

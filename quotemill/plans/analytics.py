@@ -261,6 +261,13 @@ def m2_support_resistance(spark: SparkSession, d: str) -> DataFrame:
     return st.support_resistance(b.hourly(spark, d), K)
 
 
+@query(_pivot_sql("left") + """ SELECT b.instrument, epoch(b.open_time)::BIGINT AS open_time,
+   coalesce((SELECT arg_max(price, p.idx) FROM piv p WHERE p.instrument = b.instrument AND kind = 'low' AND p.idx > b.idx - 160 AND p.confirmed_idx <= b.idx AND price < b.close), (SELECT min(x.low) FROM b x WHERE x.instrument = b.instrument AND x.idx BETWEEN b.idx - 159 AND b.idx)) AS support,
+   coalesce((SELECT arg_max(price, p.idx) FROM piv p WHERE p.instrument = b.instrument AND kind = 'high' AND p.idx > b.idx - 160 AND p.confirmed_idx <= b.idx AND price > b.close), (SELECT max(x.high) FROM b x WHERE x.instrument = b.instrument AND x.idx BETWEEN b.idx - 159 AND b.idx)) AS resistance FROM b""")
+def m2_every_bar(spark: SparkSession, d: str) -> DataFrame:
+    return st.support_resistance_every_bar(b.hourly(spark, d), K).withColumn("open_time", F.unix_seconds("open_time"))
+
+
 _DOUBLE = _pivot_sql("left") + """, c AS (SELECT p.*, lag(p.idx) OVER v AS fi, lag(price) OVER v AS fp FROM piv p WINDOW v AS (PARTITION BY instrument, kind ORDER BY p.idx)),
   c2 AS (SELECT c.*, a.atrp AS a, (fp + price) / 2 AS mean FROM c JOIN atr a ON a.instrument = c.instrument AND a.idx = c.idx WHERE c.idx - fi BETWEEN 5 AND 80 AND abs(fp - price) <= greatest(abs((fp + price) / 2) * 0.004, a.atrp * 0.5)),
   c3 AS (SELECT c2.*, (SELECT CASE WHEN c2.kind = 'low' THEN max(high) ELSE min(low) END FROM b WHERE b.instrument = c2.instrument AND b.idx BETWEEN c2.fi AND c2.idx) AS trigger FROM c2),

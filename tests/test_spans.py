@@ -166,3 +166,22 @@ def test_lines_of_files_in_splits(spark, tmp_path, split):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == sorted((f, n, line) for f, ls in texts.items() for n, line in enumerate(ls))
+
+
+def test_levels_of_every_bar(bars, monkeypatch):
+    monkeypatch.setattr(spans, "DAYS", 3)
+    got = {(r.instrument, r.open_time): (r.support, r.resistance) for r in st.support_resistance_every_bar(bars, KEYS, 40).collect()}
+    series = defaultdict(list)
+    for r in bars.collect():
+        series[r.instrument].append(r)
+    assert len(got) == sum(map(len, series.values()))
+    for name, rows in series.items():
+        rows.sort(key=lambda r: r.open_time)
+        low, high = [r.low for r in rows], [r.high for r in rows]
+        swing = lambda x, j: x[j] < min(x[j - 2 : j]) and x[j] <= min(x[j + 1 : j + 3])
+        lows = [j for j in range(2, len(rows) - 2) if swing(low, j)]
+        highs = [j for j in range(2, len(rows) - 2) if swing([-v for v in high], j)]
+        for i, r in enumerate(rows):
+            s = [low[j] for j in lows if i - 40 < j <= i - 2 and low[j] < r.close]
+            t = [high[j] for j in highs if i - 40 < j <= i - 2 and high[j] > r.close]
+            assert got[name, r.open_time] == (s[-1] if s else min(low[max(0, i - 39) : i + 1]), t[-1] if t else max(high[max(0, i - 39) : i + 1]))
