@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import CALENDAR_PERIODS, FIXED_PERIODS, calendar_end, calendar_start, epoch_floor, trading_date
+from quotemill.operators.spans import in_spans
 
 # Zone, trading-date rule and weekly sessions (ISO-like weekday with Sunday 0, open, close, days to the close).
 SCHEDULES = {
@@ -124,16 +125,16 @@ def refresh_periods(changes: DataFrame, bounded: DataFrame, keys: Sequence[str],
 
 def bar_gaps(bars: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
     """Steps between bars longer than the interval, and how many bars are missing in each."""
-    w = Window.partitionBy(*keys).orderBy("open_time")
-    step = bars.withColumn("previous", F.lag("open_time").over(w)).withColumn("_s", F.unix_seconds("open_time") - F.unix_seconds("previous"))
+    before = lambda x, k: x.withColumn("previous", F.lag("open_time").over(Window.partitionBy(*k).orderBy("open_time")))
+    step = in_spans(bars, keys, 1, before).withColumn("_s", F.unix_seconds("open_time") - F.unix_seconds("previous"))
     return step.where(F.col("_s") > seconds).select(*keys, "previous", "open_time", (F.expr(f"_s div {seconds}") - 1).alias("missing"))
 
 
 def series_gaps(assigned: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
     """Gaps between points with session columns: missing-trade inside one session, session-boundary between two; separator is
     where the gap starts, missing_seconds its length beyond one step."""
-    w = Window.partitionBy(*keys).orderBy("open_time")
-    x = assigned.withColumn("previous", F.lag("open_time").over(w)).withColumn("_ps", F.lag("session_start").over(w))
+    w = lambda k: Window.partitionBy(*k).orderBy("open_time")
+    x = in_spans(assigned, keys, 1, lambda x, k: x.withColumn("previous", F.lag("open_time").over(w(k))).withColumn("_ps", F.lag("session_start").over(w(k))))
     x = x.withColumn("_s", F.unix_seconds("open_time") - F.unix_seconds("previous")).where(F.col("_s") > seconds)
     kind = F.when(F.col("_ps").eqNullSafe(F.col("session_start")), "missing-trade").otherwise("session-boundary")
     return x.select(*keys, "previous", "open_time", kind.alias("kind"), F.timestamp_seconds(F.unix_seconds("previous") + seconds).alias("separator"), (F.col("_s") - seconds).alias("missing_seconds"))

@@ -11,6 +11,7 @@ from quotemill.functions.scalars import bounded_score, half_up
 from quotemill.operators.common import settled
 from quotemill.operators.joins import asof_price
 from quotemill.operators.medians import medians
+from quotemill.operators.spans import in_spans
 
 # Windows after an event in seconds, those of the first shock and those of what lasts; weights of the score's parts.
 SHOCK = {"1m": 60, "5m": 300, "30m": 1800, "2h": 7200}
@@ -121,6 +122,6 @@ def event_scores(events: DataFrame, reactions: DataFrame, volumes: DataFrame, ke
 
 def sequence_gaps(df: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
     """Missing delivery numbers as ranges."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    x = df.withColumn("_p", F.lag(seq).over(w)).where(F.col(seq) > F.col("_p") + 1)
+    before = lambda x, k: x.withColumn("_p", F.lag(seq).over(Window.partitionBy(*k).orderBy(seq)))
+    x = in_spans(df, keys, 1, before, (seq,)).where(F.col(seq) > F.col("_p") + 1)
     return x.select(*keys, (F.col("_p") + 1).alias("gap_from"), (F.col(seq) - 1).alias("gap_to"))

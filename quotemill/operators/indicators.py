@@ -269,10 +269,10 @@ def rsi(bars: DataFrame, keys: Sequence[str], n: int = 14) -> DataFrame:
 
 
 def rsi_state(points: DataFrame, keys: Sequence[str], low: float = 30, high: float = 70) -> DataFrame:
-    p = F.lag("rsi").over(_w(keys))
+    points, p = in_spans(points, keys, 1, lambda x, k: x.withColumn("_before", F.lag("rsi").over(_w(k)))), F.col("_before")
     state = F.when(F.col("rsi") <= low, "oversold").when(F.col("rsi") >= high, "overbought").otherwise("neutral")
     signal = F.when((p <= low) & (F.col("rsi") > low), "oversold-recovery").when((p >= high) & (F.col("rsi") < high), "overbought-reversal").when(F.col("rsi") <= low, "oversold").when(F.col("rsi") >= high, "overbought").otherwise("none")
-    return points.withColumn("rsi_zone", state).withColumn("rsi_signal", signal)
+    return points.withColumn("rsi_zone", state).withColumn("rsi_signal", signal).drop("_before")
 
 
 def ranked(df: DataFrame, keys: Sequence[str], value: str, order: str, window: int, current: bool = True) -> DataFrame:
@@ -303,8 +303,8 @@ def trailing_percentile(hist: DataFrame, keys: Sequence[str], value: str = "valu
 
 def collapse_repeats(samples: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Rows that differ from the one before."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return samples.withColumn("_p", F.lag(F.struct(*columns)).over(w)).where(~F.col("_p").eqNullSafe(F.struct(*columns))).drop("_p")
+    before = lambda x, k: x.withColumn("_p", F.lag(F.struct(*columns)).over(Window.partitionBy(*k).orderBy(*order)))
+    return in_spans(samples, keys, 1, before, order).where(~F.col("_p").eqNullSafe(F.struct(*columns))).drop("_p")
 
 
 def poc(bars: DataFrame, keys: Sequence[str], n: int = 240, bins: int = 32) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quotemill.operators.common import last_k, settled
 from quotemill.operators.indicators import atr, atr_partial
-from quotemill.operators.spans import bordered, in_spans, indexed
+from quotemill.operators.spans import bordered, carried, in_spans, indexed
 
 RADIUS = 2
 # Fixed values of the pattern rules.
@@ -254,25 +254,18 @@ def latest_active(statuses: DataFrame, keys: Sequence[str]) -> DataFrame:
 def structure_events(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
     """At each bar from the 15th on, against the last known swing high and low: sweeps (0.08 to 1.5 ATR beyond, close back by 0.02)
     and breaks (close crosses by 0.12), a break against the swing trend being a change of character. One row per event."""
-    w = _w(keys)
     df = prepared(bars, keys, "atr")
-    known = pivots(df, keys, "loose")
-    # what becomes known at a bar: at most one swing of each kind
-    at = known.groupBy(*keys, F.col("confirmed_idx").alias("idx")).agg(
-        F.max(F.when(F.col("kind") == "high", F.struct(F.col("idx").alias("i"), "price"))).alias("h"), F.max(F.when(F.col("kind") == "low", F.struct(F.col("idx").alias("i"), "price"))).alias("l"))
-    df = df.join(at, [*keys, "idx"], "left")
-    for s in ("h", "l"):
-        n = F.count(s).over(w)
-        df = df.withColumn(f"_n{s}", n)
-        # the swing before the last: carried along the numbered swings
-        df = df.withColumn(f"{s}1", F.last(s, ignorenulls=True).over(w))
-    for s in ("h", "l"):
-        prev = F.when(F.col(s).isNotNull(), F.lag(f"{s}1").over(w))
-        df = df.withColumn(f"_p{s}", prev)
-        df = df.withColumn(f"{s}2", F.last(F.when(F.col(s).isNotNull(), F.col(f"_p{s}")), ignorenulls=True).over(w))
+    # each swing with the one of its kind before it, at the bar where it becomes known: at most one of each kind
+    swing = F.struct(F.col("idx").alias("i"), "price")
+    before = lambda x, k: x.withColumn("_before", F.lag(swing).over(_w(k)))
+    known = in_spans(pivots(df, keys, "loose"), [*keys, "kind"], 1, before, ("idx",)).withColumn("_s", F.struct(F.col("idx").alias("i"), "price", "_before"))
+    at = known.groupBy(*keys, F.col("confirmed_idx").alias("idx")).agg(*(F.max(F.when(F.col("kind") == kind, F.col("_s"))).alias(name) for name, kind in (("h", "high"), ("l", "low"))))
+    closes = in_spans(df, keys, 1, lambda x, k: x.withColumn("_pc", F.lag("close").over(_w(k))), ("idx",))
+    df = carried(settled(closes.join(at, [*keys, "idx"], "left")), keys, {"h1": "h", "l1": "l"}, ("idx",))
+    df = df.withColumn("h2", F.col("h1._before")).withColumn("l2", F.col("l1._before"))
     h1, h2, l1, l2 = (F.col(f"{c}.price") for c in ("h1", "h2", "l1", "l2"))
     trend = F.when(h2.isNull() | l2.isNull(), "mixed").when((h1 > h2) & (l1 > l2), "bullish").when((h1 < h2) & (l1 < l2), "bearish").otherwise("mixed")
-    df = df.withColumn("trend", trend).withColumn("_a", F.coalesce("atr", F.abs("close") * 0.004)).withColumn("_pc", F.lag("close").over(w)).where((F.col("idx") >= 15) & (F.col("_a") > 0))
+    df = df.withColumn("trend", trend).withColumn("_a", F.coalesce("atr", F.abs("close") * 0.004)).where((F.col("idx") >= 15) & (F.col("_a") > 0))
     a = F.col("_a")
     over, under = (F.col("high") - h1) / a, (l1 - F.col("low")) / a
     conf = lambda x: F.least(F.lit(0.78), 0.56 + F.least(F.lit(0.18), x * 0.12))
