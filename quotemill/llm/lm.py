@@ -3,9 +3,11 @@
 A token's probability is p(class | before, skipped) p(token | class, before). Classes are hashes of a token's last letters.
 
 - The class softmax has features of the token before (n-gram), of the one before that (skip), and of both together, hashed.
-- Within a class each context (the whole word before, and the class) has units of its own: every successor that training saw
-  twice or more has a feature, hashed to 2**48, and the rest of the class is one unit, under which a token has its add-half
-  frequency in the class, with a place for unseen tokens. The softmax over a context's units adds to one, and so does the rest; probabilities are sent with eleven binary digits.
+- Each whole word before has features of its own: one for every class that training saw behind it, and within a class one for
+  every token. Both are softmaxes over what was seen and a rest; the rest of the classes is shared by the class softmax above, the
+  rest of a class by its tokens' frequencies. Of all rests of a word before, a share is kept for unseen tokens, which are one
+  outcome, as in the base: as large as that of tokens that training saw once (Good and Turing). All adds to one. Contexts and
+  features are hashed to 2**50; logarithms of probabilities are sent in steps of 1/1024.
 
 Texts are tokenised once, into chunks of numpy arrays. What a chunk asks for (its distinct tokens and features, sorted, with
 their counts in training texts) goes to blocks of the hash space, as many as the corpus needs; a block sums over all chunks,
@@ -41,12 +43,15 @@ SKIPPED, SKIPPED_OWN = 64, 31
 CONTEXTS = BEFORE * SKIPPED
 #: Hash buckets of pairs of them.
 PAIRS = 4_096
-ROUNDS, STEP, PRIOR = 12, 0.5, 1.0
+ROUNDS, STEP, PRIOR = 12, 0.5, 10.0
+#: Rounds of the softmaxes of a word before, at most: they end when no weight moves by more than this.
+UNIT_ROUNDS, UNIT_STILL = 40, 1e-3
 #: Ranges of contexts, each a task's in every round; how many tasks' counts of a range are added at once, and how often.
 _PARTS, _FAN, _LEVELS = 4, 64, 4
-#: Bits of a hashed context (word and class) and of a hashed successor; a successor has a feature from so many occurrences on,
-#: and leaves this much of its count to the rest.
-CONTEXT_BITS, TOKEN_BITS, LEAST, DISCOUNT = 26, 22, 2, 0.75
+#: Bits of a hashed context (the word before), of a class, and of a hashed token within it; what a feature leaves of its count to
+#: the rest, of classes and of tokens, and what the rest has beside.
+CONTEXT_BITS, CLASS_BITS, TOKEN_BITS = 26, 6, 18
+CLASS_DISCOUNT, DISCOUNT, REST = 0.5, 0.6, 0.1
 #: Tokens, and distinct ones, of a chunk; characters of the corpus to a block.
 CHUNK_TOKENS, CHUNK_WORDS = 1_250_000, 400_000
 BLOCK_CHARS = 12_000_000
@@ -86,9 +91,14 @@ def _pack_sorted(a: np.ndarray) -> bytes:
     return _pack(np.diff(a, prepend=np.uint64(0)))
 
 
-def _short(x: np.ndarray) -> np.ndarray:
-    """Bits of single-precision numbers above zero, rounded to eleven of their digits: what is sent stays short."""
-    return (x.astype(np.float32).view(np.uint32) + np.uint32(1 << 12)) >> np.uint32(13) << np.uint32(13)
+def _coded(p: np.ndarray) -> np.ndarray:
+    """Probabilities as steps of 1/1024 of their binary logarithm; the greatest number is zero."""
+    with np.errstate(divide="ignore"):
+        return np.minimum(np.rint(np.log2(p) * -1024), 65535).astype(np.uint16)
+
+
+def _decoded(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes == 65535, 0, np.exp2(codes / -1024.0))
 
 
 def _unpack_sorted(data: bytes) -> np.ndarray:
@@ -189,11 +199,21 @@ class Opened:
         self.skipped = np.where(of[row["lead"] : -2] == own, h[row["lead"] : -2], _START)
 
     def features(self) -> np.ndarray:
-        """The context of each position, word before and class, and its token, hashed."""
-        cls = self.token & np.uint64(63)
-        context = (self.before * np.uint64(0x9E3779B97F4A7C15) + (cls + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xFF51AFD7ED558CCD)
+        """The word before each position, its class, and its token, hashed."""
+        context = (self.before * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
         token = (self.token * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(64 - TOKEN_BITS)
-        return (context >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(TOKEN_BITS) | token
+        return (context >> np.uint64(64 - CONTEXT_BITS) << np.uint64(CLASS_BITS) | self.token & np.uint64(63)) << np.uint64(TOKEN_BITS) | token
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys start, and the run of each."""
+    first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+    return np.flatnonzero(first), np.cumsum(first) - 1
+
+
+def _levels(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features' (context, class) and context, as keys of runs."""
+    return keys >> np.uint64(TOKEN_BITS), keys >> np.uint64(TOKEN_BITS + CLASS_BITS)
 
 
 def _block_of(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
@@ -215,7 +235,7 @@ def _asks(kind: int, bits: int):
                 if kind == TOKENS:
                     width, keys, n = 64, x.hashes, np.bincount(x.place[x.train], minlength=len(x.hashes))
                 else:
-                    width = CONTEXT_BITS + TOKEN_BITS
+                    width = CONTEXT_BITS + CLASS_BITS + TOKEN_BITS
                     keys, at = np.unique(x.features(), return_inverse=True)
                     n = np.bincount(at[x.train], minlength=len(keys))
                 block = _block_of(keys, bits, width)
@@ -229,32 +249,47 @@ def _asks(kind: int, bits: int):
 
 # --- units of contexts ---------------------------------------------------------------------------------------------------
 
-def fit_units(context: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Features, sorted by context, and their training counts -> p(unit | context) of each, 0 for those without a unit, and of
-    the context's rest.
+def fit_units(context: np.ndarray, n: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Features, sorted by context, and their training counts -> p(feature | context) of each, 0 for those not seen, and of each
+    context's rest, one for each run of equal contexts.
 
-    Units' weights, against the rest's zero, are trained by gradient steps: observed less expected counts, less the prior's
-    pull, scaled by the expected counts. Of each unit's count DISCOUNT is the rest's, beside all counts without a unit.
+    Maximum entropy under expectations that may be discount below those observed, the rest's above them (an absolute, not a
+    squared, prior): weights of features and rests start at zero and are trained by gradient steps, observed less expected counts,
+    scaled by the expected ones.
     """
-    first = np.r_[True, context[1:] != context[:-1]] if len(context) else np.zeros(0, bool)
-    of = np.cumsum(first) - 1
+    _, of = _runs(context)
     size = int(of[-1]) + 1 if len(of) else 0
-    unit = n >= LEAST
-    at, seen = of[unit], n[unit] - DISCOUNT
-    total = np.bincount(of, n, size) + 0.5
-    weight = np.log(seen / (total - np.bincount(at, seen, size))[at])
-    for _ in range(rounds):
-        e = np.exp(weight)
-        expected = e * (total / (1 + np.bincount(at, e, size)))[at]
-        weight += STEP * np.clip((seen - expected - 0.1 * PRIOR * weight) / (expected + 0.1 * PRIOR), -2, 2)
-    e = np.exp(weight)
-    z = 1 + np.bincount(at, e, size)
+    unit = np.flatnonzero(n > 0)
+    at, seen = of[unit], n[unit] - discount
+    left = REST + discount * np.bincount(at, minlength=size)
+    total = np.bincount(at, seen, size) + left
+    weight, rest = np.zeros(len(unit)), np.zeros(size)
+    for _ in range(UNIT_ROUNDS):
+        e, r = np.exp(weight), np.exp(rest)
+        scale = total / (r + np.bincount(at, e, size))
+        step, back = np.clip(seen / (e * scale[at]) - 1, -1, 2), np.clip(left / (r * scale) - 1, -1, 2)
+        weight, rest = weight + step, rest + back
+        if max(np.abs(step).max(initial=0), np.abs(back).max(initial=0)) < UNIT_STILL:
+            break
+    e, r = np.exp(weight), np.exp(rest)
+    z = r + np.bincount(at, e, size)
     own = np.zeros(len(context))
     own[unit] = e / z[at]
-    return own, (1 / z)[of]
+    return own, r / z
+
+
+def fit_features(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Features, ascending, and their training counts -> p(token | class, before) of each; of each run of (context, class)
+    p(class | before) and what the class leaves to its rest; of each run of contexts what it leaves to the rest of the classes, and
+    all its rests together."""
+    pair, context = _levels(keys)
+    starts, of = _runs(pair)
+    token, token_rest = fit_units(pair, n, DISCOUNT)
+    cls, class_rest = fit_units(context[starts], np.bincount(of, n, len(starts)), CLASS_DISCOUNT)
+    return token, cls, token_rest, class_rest, class_rest + np.bincount(_runs(context[starts])[1], cls * token_rest, len(class_rest))
 
 
-_ANSWERS = "kind int, block int, chunk long, a binary, b binary, hash long, c long, v long"
+_ANSWERS = "kind int, block int, chunk long, a binary, b binary, d binary, e binary, f binary, hash long, c long, v long, once long"
 
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
@@ -266,18 +301,23 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     n = np.bincount(at, np.concatenate([_unpack(x, "<u4") for x in group["n"]]), len(keys)).astype(np.int64)
     cuts = np.cumsum([len(k) for k in asked])[:-1]
     if kind == FEATURES:
-        own, rest = (_short(x) for x in fit_units(keys >> np.uint64(TOKEN_BITS), n))
-        rows = [(kind, block, chunk, _pack(own[i]), _pack(rest[i]), None, None, None) for chunk, i in zip(group["chunk"], np.split(at, cuts), strict=True)]
+        token, cls, token_rest, class_rest, rests = map(_coded, fit_features(keys, n))
+        pair, context = _levels(keys)
+        (_, of_pair), (_, of_context) = _runs(pair), _runs(context)
+        rows = []
+        for chunk, i in zip(group["chunk"], np.split(at, cuts), strict=True):  # i ascends: runs of what a chunk asks are parts of the block's
+            pairs, contexts = of_pair[i][_runs(pair[i])[0]], of_context[i][_runs(context[i])[0]]
+            rows.append((kind, block, chunk, _pack(token[i]), _pack(cls[pairs]), _pack(token_rest[pairs]), _pack(class_rest[contexts]), _pack(rests[contexts]), None, None, None, None))
     else:
-        rows = [(kind, block, chunk, _pack(n[i].astype(np.uint64)), None, None, None, None) for chunk, i in zip(group["chunk"], np.split(at, cuts), strict=True)]
+        rows = [(kind, block, chunk, _pack(n[i].astype(np.uint64)), None, None, None, None, None, None, None, None) for chunk, i in zip(group["chunk"], np.split(at, cuts), strict=True)]
         cls = (keys & np.uint64(63)).astype(np.int64)
-        sums, known = np.bincount(cls, n, CLASSES).astype(np.int64), np.bincount(cls, n > 0, CLASSES).astype(np.int64)
-        rows += [(SUMS, block, None, None, None, int(c), int(sums[c]), int(known[c])) for c in np.flatnonzero(known)]
+        sums, known, once = (np.bincount(cls, x, CLASSES).astype(np.int64) for x in (n, n > 0, n == 1))
+        rows += [(SUMS, block, None, None, None, None, None, None, int(c), int(sums[c]), int(known[c]), int(once[c])) for c in np.flatnonzero(known)]
         often = np.lexsort((keys, -n))[:BEFORE_OWN]
-        rows += [(OFTEN, block, None, None, None, int(keys[i].astype(np.int64)), int(n[i]), None) for i in often if n[i]]
+        rows += [(OFTEN, block, None, None, None, None, None, None, int(keys[i].astype(np.int64)), int(n[i]), None, None) for i in often if n[i]]
     # columns of whole numbers with gaps: made as such, for floats would round hashes
-    columns = dict(zip(("kind", "block", "chunk", "a", "b", "hash", "c", "v"), map(list, zip(*rows, strict=True)), strict=True))
-    return pd.DataFrame({k: pd.array(v, "Int64") if k in ("chunk", "hash", "c", "v") else v for k, v in columns.items()})
+    columns = dict(zip(("kind", "block", "chunk", "a", "b", "d", "e", "f", "hash", "c", "v", "once"), map(list, zip(*rows, strict=True)), strict=True))
+    return pd.DataFrame({k: pd.array(v, "Int64") if k in ("chunk", "hash", "c", "v", "once") else v for k, v in columns.items()})
 
 
 # --- class softmax -------------------------------------------------------------------------------------------------------
@@ -401,17 +441,25 @@ def train_classes(counts: DataFrame) -> np.ndarray:
 # --- scores --------------------------------------------------------------------------------------------------------------
 
 class Model:
-    """What every chunk's scoring reads: buckets, log10 p(class | context), sums by class. A few megabytes, whatever the corpus."""
+    """What every chunk's scoring reads: buckets, p(class | context), sums by class. A few megabytes, whatever the corpus."""
 
-    def __init__(self, buckets: Buckets, class_table: np.ndarray, class_sums: np.ndarray, class_known: np.ndarray):
+    def __init__(self, buckets: Buckets, class_table: np.ndarray, sums: np.ndarray, known: np.ndarray, once: np.ndarray):
         self.buckets, self.class_table = buckets, class_table
-        self.total, self.distinct = int(class_sums.sum()), int(class_known.sum())
-        self.rest = class_sums + 0.5 * (class_known + 1)
+        self.total, self.distinct = int(sums.sum()), int(known.sum())
+        self.sums, self.unseen = np.maximum(sums, 1), (once.sum() + 0.5) / (self.total + 1) if self.total else 1.0
 
 
 _SCORES = "row long, key long, held boolean, n long, known long, base double, score double"
 
 
+def token_probability(m: Model, counts, cls, shared, token, own, token_rest, class_rest, rests) -> np.ndarray:
+    """p(token | before, skipped) of known tokens, and of the one outcome of all others (counts 0): what the word before's features
+    say of token and class, the share that unseen tokens leave of its rests, and what class softmax and frequencies make of it."""
+    seen, frequency = 1 - m.unseen, counts / m.sums[cls]
+    known = own * (token + seen * token_rest * frequency) + seen * class_rest * shared * (token + token_rest * frequency)
+    return np.where(counts > 0, known, m.unseen * rests)
+
+
 def _score(model):
     def score(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         m, made = model.value, []
@@ -420,10 +468,11 @@ def _score(model):
             mine = lambda kind: answers[answers["kind"] == kind]  # noqa: E731, B023
             counts = np.concatenate([_unpack(a, "<u8") for a in mine(TOKENS)["a"]])[x.place].astype(np.float64)
             keys, at = np.unique(x.features(), return_inverse=True)
-            own, rest = (np.concatenate([_unpack(a, "<u4") for a in mine(FEATURES)[c]]).view(np.float32)[at].astype(np.float64) for c in ("a", "b"))
+            (_, of_pair), (_, of_context) = map(_runs, _levels(keys))
+            token, own, token_rest, class_rest, rests = (_decoded(np.concatenate([_unpack(a, "<u2") for a in mine(FEATURES)[c]])) for c in ("a", "b", "d", "e", "f"))
             cls = (x.token & np.uint64(63)).astype(np.int64)
-            within = np.log10(own + rest * (counts + 0.5) / m.rest[cls])
-            value = m.class_table[m.buckets.contexts(x), cls] + within
+            pair, context = of_pair[at], of_context[at]
+            value = np.log10(token_probability(m, counts, cls, m.class_table[m.buckets.contexts(x), cls], token[at], own[pair], token_rest[pair], class_rest[context], rests[context]))
             base = np.log10(counts + 0.5) - np.log10(m.total + 0.5 * (m.distinct + 1))
             per = lambda v=None: np.bincount(x.of, v, len(row["n"]))  # noqa: E731, B023
             made.append(pd.DataFrame({"row": row["rows"], "key": pd.array(row["keys"], "Int64"), "held": row["held"], "n": per(), "known": per(counts > 0).astype(np.int64), "base": per(base), "score": per(value)}))
@@ -451,9 +500,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         return asked.groupBy("kind", "block").applyInPandas(_answer, _ANSWERS)
 
     answers = written(answered(TOKENS), "answers")
-    class_sums, class_known = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in answers.where(F.col("kind") == SUMS).groupBy("hash").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():  # a row for each class
-        class_sums[r["hash"]], class_known[r["hash"]] = r["c"], r["v"]
+    by_class = np.zeros((3, CLASSES), np.int64)
+    for r in answers.where(F.col("kind") == SUMS).groupBy("hash").agg(*(F.sum(c).alias(c) for c in ("c", "v", "once"))).collect():  # a row for each class
+        by_class[:, r["hash"]] = r["c"], r["v"], r["once"]
     often = answers.where(F.col("kind") == OFTEN).orderBy(F.desc("c"), "hash").limit(BEFORE_OWN).select("hash").collect()
     buckets = Buckets([r["hash"] for r in often])
     packed = "block int, task long, keys binary, n binary"
@@ -461,12 +510,13 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     for _ in range(_LEVELS):  # a tree: no task adds more than _FAN rows, for up to _FAN ** _LEVELS tasks
         counts = counts.groupBy("block", F.expr(f"task div {_FAN}")).applyInPandas(_gathered, packed)
     weights = train_classes(counts)
-    class_table = (_log_softmax(class_logits(weights, np.arange(CONTEXTS))) / np.log(10)).astype(np.float32)
-    model = spark.sparkContext.broadcast(Model(buckets, class_table, class_sums, class_known))
-    replies = answers.where(F.col("kind") == TOKENS).unionByName(answered(FEATURES)).select("chunk", "kind", "block", "a", "b")
+    class_table = np.exp(_log_softmax(class_logits(weights, np.arange(CONTEXTS)).astype(np.float64))) * (by_class[0] > 0)  # no class without tokens
+    class_table = (class_table / np.maximum(class_table.sum(axis=1, keepdims=True), 1e-300)).astype(np.float32)
+    model = spark.sparkContext.broadcast(Model(buckets, class_table, *by_class))
+    replies = answers.where(F.col("kind") == TOKENS).unionByName(answered(FEATURES)).select("chunk", "kind", "block", "a", "b", "d", "e", "f")
     scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_score(model), _SCORES)
     # a text that several chunks hold is one row
     sums = scored.groupBy("row").agg(F.first("key").alias("key"), F.first("held").alias("held"), *(F.sum(c).alias(c) for c in ("n", "known", "base", "score")))
     return sums.select(
-        F.col("key").alias(key), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(class_sums.sum())).cast("long").alias("train_tokens"),
+        F.col("key").alias(key), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(by_class[0].sum())).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), "score")
