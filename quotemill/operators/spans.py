@@ -42,11 +42,13 @@ def _counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return held.withColumn("_before", F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_span")) - F.col("_rows"))
 
 
-def with_index(df: DataFrame, keys: Sequence[str], order: str = "open_time", name: str = "idx", width: int | None = None) -> DataFrame:
-    """df with each row's number in its series, from 1: its number in its span and the rows of the spans before."""
-    spanned = df.withColumn("_span", span_of(df, order, width))
+def with_index(df: DataFrame, keys: Sequence[str], order: str | Sequence[str] = "open_time", name: str = "idx", width: int | None = None) -> DataFrame:
+    """df with each row's number in its series, from 1: its number in its span and the rows of the spans before. The first column
+    of order parts the spans."""
+    order = [order] if isinstance(order, str) else list(order)
+    spanned = df.withColumn("_span", span_of(df, order[0], width))
     before = _counts(spanned, keys).select(*(F.col(c).alias(f"_{c}") for c in (*keys, "_span")), "_before")
-    numbered = spanned.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(order)))
+    numbered = spanned.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_span").orderBy(*order)))
     return numbered.join(before, _same(numbered, before, [*keys, "_span"])).withColumn(name, (F.col("_n") + F.col("_before")).cast("long")).select(*df.columns, name)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quotemill.operators.common import last_k, settled
 from quotemill.operators.indicators import atr, atr_partial
-from quotemill.operators.spans import bordered, carried, in_spans, indexed
+from quotemill.operators.spans import bordered, carried, in_spans, indexed, with_index
 
 RADIUS = 2
 # Fixed values of the pattern rules.
@@ -251,6 +251,33 @@ def latest_active(statuses: DataFrame, keys: Sequence[str]) -> DataFrame:
     return last.select(*keys).join(one, list(keys), "left")
 
 
+def active_every_bar(patterns: DataFrame, bars: DataFrame, keys: Sequence[str], k: int = 12) -> DataFrame:
+    """latest_active of pattern_status as it is at each bar: keys, idx, open_time and the pattern in force, nulls where none is.
+
+    A pattern lives from its confirmation to its invalidation or to the k-th confirmation after it. What is in force changes only
+    where lives begin and end; such a bar meets k patterns at most, the last ones begun, and bars between carry what it found.
+    """
+    df = prepared(bars, keys)
+    names = ("pattern", "direction", "first_idx", "second_idx", "confirm_idx", "confidence")
+    known = settled(with_index(patterns.withColumn("_start", F.col("confirm_idx") + 1), keys, ("confirm_idx", "pattern", "first_idx", "second_idx"), "_nth"))
+    ended = first_beyond(known, df, keys, _PATTERN, "_start", "invalidation", F.col("direction") == "bullish", "invalid_idx")
+    pushed = known.select(*keys, (F.col("_nth") - k).alias("_nth"), F.col("confirm_idx").alias("_pushed"))
+    lives = settled(ended.join(pushed, [*keys, "_nth"], "left").select(*keys, *names, "_nth", F.least("invalid_idx", "_pushed").alias("_until")))
+    starts = lives.groupBy(*keys, F.col("confirm_idx").alias("idx")).agg(F.max("_nth").alias("_begun"))
+    ends = lives.where("_until is not null").select(*keys, F.col("_until").alias("idx"), F.lit(None).cast("long").alias("_begun"))
+    turns = starts.unionByName(ends).groupBy(*keys, "idx").agg(F.max("_begun").alias("_begun"))
+    turns = carried(turns, keys, {"_last": "_begun"}, ("idx",)).select(*keys, "idx", F.explode(F.sequence(F.col("_last") - k + 1, F.col("_last"))).alias("_nth"))
+    met = turns.join(lives, [*keys, "_nth"], "left").withColumn("_live", F.col("confirm_idx").isNotNull() & (F.col("_until").isNull() | (F.col("_until") > F.col("idx"))))
+    at = Window.partitionBy(*keys, "idx")  # k rows at most
+    met = met.withColumn("_live", F.col("_live") & (F.col("confirm_idx") == F.max(F.when(F.col("_live"), F.col("confirm_idx"))).over(at)))
+    pick, rank = F.struct(*names), F.struct(-F.col("confidence"), "pattern", "first_idx", "second_idx")
+    best = met.groupBy(*keys, "idx").agg(F.count_distinct(F.when(F.col("_live"), F.col("direction"))).alias("_sides"), F.min_by(pick, F.when(F.col("_live"), rank)).alias("_p"))
+    # a struct that is there, though what it holds may be null: no pattern in force, too, is carried on
+    changes = best.select(*keys, "idx", F.struct(F.when(F.col("_sides") == 1, F.col("_p")).alias("p")).alias("_turn"))
+    out = carried(df.select(*keys, "idx", "open_time").join(changes, [*keys, "idx"], "left"), keys, {"_now": "_turn"}, ("idx",))
+    return out.select(*keys, "idx", "open_time", "_now.p.*")
+
+
 def structure_events(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
     """At each bar from the 15th on, against the last known swing high and low: sweeps (0.08 to 1.5 ATR beyond, close back by 0.02)
     and breaks (close crosses by 0.12), a break against the swing trend being a change of character. One row per event."""

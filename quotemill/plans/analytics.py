@@ -320,6 +320,15 @@ def m5_latest_active(spark: SparkSession, d: str) -> DataFrame:
     return st.latest_active(_statuses(spark, d), K).select("instrument", "pattern", "first_idx", "second_idx", "confirm_idx")
 
 
+@query(_STATUS.rsplit("WHERE place <= 12", 1)[0] + """), m AS (SELECT b.instrument, b.idx, z.* EXCLUDE (instrument), row_number() OVER (PARTITION BY b.instrument, b.idx ORDER BY good DESC, pattern DESC, first_idx DESC, second_idx DESC) AS recent FROM b JOIN z ON z.instrument = b.instrument AND z.good <= b.idx),
+  o AS (SELECT *, max(good) OVER (PARTITION BY instrument, idx) AS top FROM m WHERE recent <= 12 AND (invalid_idx IS NULL OR invalid_idx > idx)),
+  best AS (SELECT *, count(DISTINCT up) OVER w AS sides, row_number() OVER (w ORDER BY confidence DESC, pattern, first_idx, second_idx) AS rank FROM o WHERE good = top WINDOW w AS (PARTITION BY instrument, idx))
+  SELECT b.instrument, b.idx, t.pattern, t.first_idx, t.second_idx, t.good AS confirm_idx FROM b LEFT JOIN best t ON t.instrument = b.instrument AND t.idx = b.idx AND sides = 1 AND rank = 1""")
+def m5_every_bar(spark: SparkSession, d: str) -> DataFrame:
+    bars = st.prepared(b.hourly(spark, d), K, "atr_partial")
+    return st.active_every_bar(st.double_patterns(bars, K).unionByName(st.two_b_patterns(bars, K)), bars, K).select("instrument", "idx", "pattern", "first_idx", "second_idx", "confirm_idx")
+
+
 _EVENTS = _pivot_sql("loose") + """, k AS (SELECT instrument, confirmed_idx AS idx, max(CASE WHEN kind = 'high' THEN idx END) AS hi, max(CASE WHEN kind = 'high' THEN price END) AS hp, max(CASE WHEN kind = 'low' THEN idx END) AS li, max(CASE WHEN kind = 'low' THEN price END) AS lp FROM piv GROUP BY 1, 2),
   j AS (SELECT a.*, k.hi, k.hp, k.li, k.lp, coalesce(atr, abs(close) * 0.004) AS a FROM atr a LEFT JOIN k ON k.instrument = a.instrument AND k.idx = a.idx),
   g AS (SELECT *, list({'i': hi, 'p': hp}) FILTER (hi IS NOT NULL) OVER w AS hs, list({'i': li, 'p': lp}) FILTER (li IS NOT NULL) OVER w AS ls FROM j WINDOW w AS (PARTITION BY instrument ORDER BY idx)),

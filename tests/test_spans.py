@@ -140,6 +140,33 @@ def test_latest_active(spark):
     assert got == {"a": ("y", 9), "b": (None, None), "c": (None, None)}
 
 
+def test_active_every_bar(spark, monkeypatch):
+    """At each bar what pattern_status and latest_active say of the bars and patterns up to it."""
+    monkeypatch.setattr(st, "BLOCK", 8)
+    monkeypatch.setattr(spans, "NUMBERS", 16)
+    rnd = random.Random(9)
+    closes = {"a": [rnd.uniform(90, 110) for _ in range(120)], "b": [100.0 + k % 3 for k in range(40)], "c": [1.0, 2.0]}
+    bars = spark.createDataFrame([(s, k + 1, T0 + timedelta(hours=k), v) for s, vs in closes.items() for k, v in enumerate(vs)], "instrument string, idx long, open_time timestamp, close double")
+    rows = []
+    for s, n, spread in (("a", 90, 30), ("b", 12, 2)):
+        for k in range(n):
+            way = rnd.choice(["bullish", "bearish"])
+            # some far levels, that bars never pass: those go as k-th before the last
+            level = 100 + rnd.uniform(0.2, 1) * (spread if way == "bearish" else -spread) if rnd.random() < 0.8 else (1.0 if way == "bullish" else 999.0)
+            rows.append((s, rnd.choice("xyz"), way, k, k + 1, rnd.randint(1, len(closes[s])), level, rnd.choice([0.6, 0.7])))
+    patterns = spark.createDataFrame(rows, "instrument string, pattern string, direction string, first_idx long, second_idx long, confirm_idx long, invalidation double, confidence double")
+    got = {(r.instrument, r.idx): r.pattern and (r.pattern, r.first_idx) for r in st.active_every_bar(patterns, bars, KEYS, 4).collect()}
+    want = {}
+    for s, vs in closes.items():
+        for i in range(1, len(vs) + 1):
+            last = sorted((r for r in rows if r[0] == s and r[5] <= i), key=lambda r: (r[5], r[1], r[3], r[4]))[-4:]
+            live = [r for r in last if not any(v < r[6] if r[2] == "bullish" else v > r[6] for v in vs[r[5] : i])]
+            at = [r for r in live if r[5] == max(x[5] for x in live)]
+            best = min(at, key=lambda r: (-r[7], r[1], r[3], r[4])) if len({r[2] for r in at}) == 1 else None
+            want[s, i] = best and (best[1], best[3])
+    assert got == want and len({v for v in want.values() if v}) > 20 and None in want.values()
+
+
 def test_ranked_in_spans(bars, monkeypatch):
     monkeypatch.setattr(spans, "DAYS", 5)
     for current in (True, False):
