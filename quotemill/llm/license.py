@@ -3,7 +3,8 @@
 A passage is a window of as many words as the template has (the whole text if it is shorter). Bounds on sizes and on common
 bigrams prune templates and windows before any coefficient is taken; counts of common bigrams slide from window to window; so
 the result is that of trying every window. A window must name what its template names: the words that tell one licence or
-version from another are the same on both sides. Of windows that overlap the best alone counts.
+version from another are the same on both sides. Of windows that overlap the one
+that explains most counts alone, by coefficient times words: a whole text isn't lost to a line inside it.
 """
 
 from __future__ import annotations
@@ -56,7 +57,19 @@ NAMES = (
 # How a line says so.
 PHRASES = (
     "Released under the {}.", "Licensed under the {}.", "Licensed under {}.", "Distributed under the {}.", "Available under the {}.", "This project is licensed under the {}.", "This software is licensed under the {}.",
-    "This work is licensed under the {}.", "This work is licensed under a {}.", "This program is distributed under the terms of the {}.",
+    "This work is licensed under the {}.", "This work is licensed under a {}.", "This program is distributed under the terms of the {}.", "See the {} for details.",
+)
+# Short names, how a line says those, and the identifiers of a source file's licence tag.
+SHORT_NAMES = (
+    ("MIT", "MIT"), ("Apache-2.0", "Apache 2.0"), ("GPL-2.0", "GPLv2"), ("GPL-3.0", "GPLv3"), ("LGPL-2.1", "LGPLv2.1"), ("LGPL-3.0", "LGPLv3"), ("AGPL-3.0", "AGPLv3"), ("BSD-2-Clause", "BSD 2-Clause"), ("BSD-3-Clause", "BSD 3-Clause"), ("ISC", "ISC"),
+    ("MPL-2.0", "MPL 2.0"), ("EPL-2.0", "EPL 2.0"), ("CC0-1.0", "CC0 1.0"), ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+)
+SHORT_PHRASES = ("is {} licensed", "are {} licensed", "under the {} license")
+TAG = "SPDX-License-Identifier: {}"
+TAGS = (
+    ("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2.0"), ("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0", "GPL-2.0-or-later"), ("GPL-3.0", "GPL-3.0"), ("GPL-3.0", "GPL-3.0-only"), ("GPL-3.0", "GPL-3.0-or-later"),
+    ("LGPL-2.1", "LGPL-2.1-only"), ("LGPL-2.1", "LGPL-2.1-or-later"), ("LGPL-3.0", "LGPL-3.0-only"), ("LGPL-3.0", "LGPL-3.0-or-later"), ("AGPL-3.0", "AGPL-3.0-only"), ("AGPL-3.0", "AGPL-3.0-or-later"), ("BSD-2-Clause", "BSD-2-Clause"),
+    ("BSD-3-Clause", "BSD-3-Clause"), ("ISC", "ISC"), ("MPL-2.0", "MPL-2.0"), ("EPL-2.0", "EPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("Zlib", "Zlib"), ("BSL-1.0", "BSL-1.0"), ("Unlicense", "Unlicense"),
 )
 # Words that tell one licence from another. A version's number counts without its v and trailing zeros.
 MARKS = frozenset("mit apache gpl lgpl agpl lesser affero bsd isc mozilla eclipse cc0 cc by sa nc nd attribution sharealike noncommercial noderivatives clause 2-clause 3-clause".split())
@@ -129,8 +142,9 @@ def full_texts(folder: str | Path = Path(__file__).parent / "licenses") -> Templ
     return tuple((p.stem, p.read_text(encoding="utf-8")) for p in sorted(Path(folder).glob("*.txt")))
 
 
-#: Lines by name and phrase, notices, whole texts.
-TEMPLATES: Templates = (*((name, phrase.format(called)) for name, called in NAMES for phrase in PHRASES), *NOTICES, *full_texts())
+#: Lines by name and phrase, tags, notices, whole texts.
+TEMPLATES: Templates = (
+    *((name, phrase.format(called)) for names, phrases in ((NAMES, PHRASES), (SHORT_NAMES, SHORT_PHRASES), (TAGS, (TAG,))) for name, called in names for phrase in phrases), *NOTICES, *full_texts())
 
 
 def normalised(text: str) -> list[str]:
@@ -216,12 +230,12 @@ class Scanner:
                 yield value, start, end - start, template.name
 
     def scan(self, text: str) -> dict[str, tuple[float, int]]:
-        """Licence -> coefficient and first word of its best window, of those that no better one overlaps: by coefficient, length,
-        place and name."""
+        """Licence -> coefficient and first word of its best window, of those that no better one overlaps: by coefficient times
+        words, then coefficient, place and name."""
         words = normalised(text)
         kept: list[tuple[int, int]] = []
         found: dict[str, tuple[float, int]] = {}
-        for value, start, size, name in sorted(self.windows(words), key=lambda w: (-round(w[0], 12), -w[2], w[1], w[3])):
+        for value, start, size, name in sorted(self.windows(words), key=lambda w: (-round(w[0] * w[2], 9), -round(w[0], 12), w[1], w[3])):
             at = bisect_left(kept, (start, 0))
             if (at and kept[at - 1][1] > start) or (at < len(kept) and kept[at][0] < start + size):
                 continue
@@ -239,7 +253,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
     """One row per row of docs: key, licenses: array of struct(license, dice, word) by falling coefficient, then name.
 
     word is the first word, from 0, of the licence's best window that starts with a bigram of the template, or is the last. Of
-    ties the longer, then the earlier window, then the lesser name counts. A null or empty text has no licence; null keys and
+    ties the better, then the earlier window, then the lesser name counts. A null or empty text has no licence; null keys and
     repeated rows are scanned like others; an empty table gives an empty result; other columns don't matter. Templates
     are a catalogue that travels with the code: pass others, full_texts of a folder for one.
     """

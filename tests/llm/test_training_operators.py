@@ -318,11 +318,11 @@ def plain_licenses(text, templates):
         for at in range(len(w) - size + 1):
             d = license.dice(Counter(license.bigrams(w[at : at + size])), want)
             if d >= license.MIN_DICE - 1e-12 and (len(tw) > 120 or not names or names == set(said[at : at + size]) - {None}):
-                windows.add((-round(d, 12), -size, at, name))
+                windows.add((-round(d * size, 9), -round(d, 12), at, name, size))
     kept, best = [], {}
-    for d, size, at, name in sorted(windows):
-        if all(at - size <= a or at >= b for a, b in kept):
-            kept.append((at, at - size))
+    for _, d, at, name, size in sorted(windows):
+        if all(at + size <= a or at >= b for a, b in kept):
+            kept.append((at, at + size))
             best.setdefault(name, round(-d, 9))
     return sorted(best.items())
 
@@ -355,7 +355,13 @@ def test_license_names_and_versions(spark):
         "This program is distributed under the terms of the GNU Affero General Public License, version 3.0": ["AGPL-3.0"], "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"], "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0"],
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.": ["GPL-2.0"],
         "This work is licensed under the GNU General Public License, version 7.": [], "We licensed the song under the usual terms.": [], f"{long_} {apache} {long_}": ["Apache-2.0"], long_: [],
+        "// SPDX-License-Identifier: MIT": ["MIT"], "# SPDX-License-Identifier: GPL-3.0-or-later": ["GPL-3.0"], "SPDX-License-Identifier: BSD-3-Clause": ["BSD-3-Clause"], "SPDX-License-Identifier: Nobody-1.0": [],
+        "This package is MIT licensed.": ["MIT"], "Our tools are BSD 2-Clause licensed": ["BSD-2-Clause"], "see the Mozilla Public License Version 2.0 for details": ["MPL-2.0"], "The shop is fully licensed for details": [],
     }
+    whole = {n: t for n, t in license.full_texts() if len(t.split()) < 700}
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "NCSA", "Unicode-3.0"} <= set(whole)
+    cases |= {f"{long_[:900]}\n{t}\n{long_[:700]}": [n] for n, t in whole.items()}  # each is told from those like it
+    cases[whole["BSD-3-Clause"].replace("University", "Hat Club").replace("REGENTS", "HATTERS").replace("Regents", "Hatters")] = ["BSD-3-Clause"]
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     got = {r["doc_id"]: [x["license"] for x in r["licenses"]] for r in license.scan_licenses(df).collect()}
     assert got == {i: want for i, want in enumerate(cases.values())}
