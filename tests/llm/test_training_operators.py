@@ -232,8 +232,8 @@ def test_lm_scores_are_those_of_a_plain_model(spark):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, n int").repartition(3)
     want = sorted((str(k), n, round(x, 3)) for k, n, x in plain_scores(rows))
     got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 3)) for r in lm.score_texts(df).collect())
-    # logarithms travel in steps of 1/1024: no token is off by more than two halves of one, and three stand beside it
-    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(x[2] - y[2]) < 2e-3 + 3e-4 * x[1] for x, y in zip(got, want, strict=True))
+    # logarithms travel in steps of 1/256: a token is off by two halves of one at most
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(x[2] - y[2]) < 2e-3 + 1.2e-3 * x[1] for x, y in zip(got, want, strict=True))
 
 
 def test_lm_beats_a_plain_bigram(spark):
@@ -300,7 +300,7 @@ def test_lm_is_a_distribution():
     assert np.isclose(p.sum(), 1) and (p > 0).all()
     empty_model = lm.Model(None, None, *np.zeros((3, lm.CLASSES), np.int64))
     assert lm.token_probability(empty_model, np.zeros(1), np.zeros(1, int), 0, 0, 0, 1, 1, np.ones(1)) == 1
-    assert np.allclose(lm._decoded(lm._coded(np.array([0, 1, 0.3]))), [0, 1, 0.3], rtol=4e-4)
+    assert np.allclose(lm._decoded(lm._coded(np.array([0, 1, 0.3]))), [0, 1, 0.3], rtol=1.4e-3)
     a = np.sort(rnd.integers(0, 1 << 60, 1000).astype(np.uint64))
     assert (lm._unpack_sorted(lm._pack_sorted(a)) == a).all() and len(lm._unpack(lm._pack(a[:0]), "<u8")) == 0
 
