@@ -43,3 +43,19 @@ def test_probes_with_ties_at_the_cut(spark):
     assert len(got) == 70
     for r in got:
         assert r.rank <= 10
+
+
+@pytest.mark.parametrize("kind,factor,share", [("float", 1e20, 0.02), ("float", 1e25, 1.0)])
+def test_great_magnitudes(spark, kind, factor, share):
+    """Squares of such components are beyond single precision: their rows are posted and found like others, some or all of them."""
+    n = 3_000
+    x = clustered(n, 30, 16)
+    x[np.random.default_rng(2).random(n) < share] *= np.float32(factor)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>").repartition(4)
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df, df.where("vec_id % 100 = 0")).collect()}
+    x, hits = x.astype(float), 0
+    for a in range(0, n, 100):
+        d = np.sqrt(((x - x[a]) ** 2).sum(1))
+        d[a] = np.inf
+        hits += sum((a, int(v)) in got for v in np.argsort(d, kind="stable")[:10])
+    assert hits >= 0.9 * 10 * (n // 100)
