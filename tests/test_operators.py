@@ -404,3 +404,14 @@ def test_option_chain(spark):
     many = spark.createDataFrame([(f"au2406C{k}", T0.date(), 1000) for k in range(10)], "contract string, expiry date, multiplier long")
     with pytest.raises(Exception, match="too many"):
         rd.build_option_chain(many, q, d, iv).collect()
+
+
+def test_overlaps_of_all_lengths(spark):
+    """Long, short, empty and reversed ranges, equal starts, and cells' edges, against all pairs."""
+    import random
+
+    rng, at = random.Random(3), 1_700_000_000
+    rows = [(i, f"i{i % 2}", "bar", at + s, at + s + rng.choice([0, 1, 2, 64, 3_600, 90_000, 4_000_000, -500])) for i, s in enumerate(rng.choices(range(0, 200_000, 8), k=300))]
+    seg = spark.createDataFrame(rows, "segment_id long, instrument string, kind string, s long, e long").selectExpr("segment_id", "instrument", "kind", "timestamp_seconds(s) segment_start", "timestamp_seconds(e) segment_end")
+    got = sorted((r["left_id"], r["right_id"]) for r in jo.overlapping_segments(seg).collect())
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[3] < b[4] and a[4] > b[3])
