@@ -107,13 +107,13 @@ def normalize_vol_quotes(df: DataFrame, json: str = "json") -> DataFrame:
 
 
 def normalize_positions(df: DataFrame, product: str, json: str = "json") -> DataFrame:
-    """{delaymarket: [...]} of futures contracts: index rows go, contracts are the product and four digits; one that occurs twice is
-    an error."""
+    """{delaymarket: [...]} of futures contracts: index rows go, contracts are the product and four digits; one that occurs twice in
+    an answer, a row of df, is an error."""
     row = "struct<contractname:string,instrumentid:string,volume:string,openinterest:string,openinterestchg:string,lastprice:string,updatetime:string>"
-    x = df.select(F.from_json(json, f"delaymarket array<{row}>").alias("j")).select(F.inline("j.delaymarket"))
+    x = df.select(F.monotonically_increasing_id().alias("_answer"), F.from_json(json, f"delaymarket array<{row}>").alias("j")).select("_answer", F.inline("j.delaymarket"))
     x = x.withColumn("contract", F.lower(F.coalesce("contractname", "instrumentid"))).where(F.col("contract").rlike(f"^{product}[0-9]{{4}}$"))
     whole = lambda c: F.try_to_number(F.regexp_replace(c, r"\.0+$", ""), F.lit("S999999999999")).cast("long")
-    g = x.groupBy("contract").agg(F.count("*").alias("_n"), F.first("volume").alias("v"), F.first("openinterest").alias("o"), F.first("openinterestchg").alias("c"), F.first("lastprice").alias("p"), F.first("updatetime").alias("updated"))
+    g = x.groupBy("_answer", "contract").agg(F.count("*").alias("_n"), F.first("volume").alias("v"), F.first("openinterest").alias("o"), F.first("openinterestchg").alias("c"), F.first("lastprice").alias("p"), F.first("updatetime").alias("updated"))
     once = F.when(F.col("_n") == 1, F.col("contract")).otherwise(F.raise_error(F.concat(F.lit("twice: "), "contract")))
     return g.select(F.lit(product).alias("product"), once.alias("contract"), whole("v").alias("volume"), whole("o").alias("open_interest"), whole("c").alias("oi_change"), F.col("p").cast("double").alias("last"), "updated")
 

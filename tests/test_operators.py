@@ -415,3 +415,10 @@ def test_overlaps_of_all_lengths(spark):
     seg = spark.createDataFrame(rows, "segment_id long, instrument string, kind string, s long, e long").selectExpr("segment_id", "instrument", "kind", "timestamp_seconds(s) segment_start", "timestamp_seconds(e) segment_end")
     got = sorted((r["left_id"], r["right_id"]) for r in jo.overlapping_segments(seg).collect())
     assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[3] < b[4] and a[4] > b[3])
+
+
+def test_positions_of_two_answers(spark):
+    """A contract may occur once in each answer."""
+    page = lambda v: json.dumps({"delaymarket": [{"contractname": "AU2506", "volume": v, "openinterest": "1", "openinterestchg": "0"}]})
+    r = rd.normalize_positions(spark.createDataFrame([(page("3.0"),), (page("4.0"),)], "json string"), "au").collect()
+    assert sorted((x["contract"], x["volume"]) for x in r) == [("au2506", 3), ("au2506", 4)]
