@@ -108,11 +108,23 @@ def trusted_records(segments: DataFrame, datasets: DataFrame, records: DataFrame
 def segment_lineage(segments: DataFrame, decisions: DataFrame, evidence: DataFrame) -> DataFrame:
     """segments(segment_id, dataset_id, evidence_ids) with verified: their evidence is, as a set, that of their dataset's decision
     (dataset_id, accepted_ids), not empty, and each of it is exact, independent, passed and touches the dataset."""
-    good = accepted_evidence(evidence, segments.select("dataset_id").distinct()).groupBy("dataset_id").agg(F.collect_set("evidence_id").alias("_good"))
-    j = segments.join(decisions.select("dataset_id", "accepted_ids"), "dataset_id", "left").join(good, "dataset_id", "left")
-    same = (F.size(F.array_except("evidence_ids", "accepted_ids")) == 0) & (F.size(F.array_except("accepted_ids", "evidence_ids")) == 0)
-    backed = (F.size("evidence_ids") > 0) & (F.size(F.array_except("evidence_ids", "_good")) == 0)
-    return j.select(*segments.columns, F.coalesce(same & backed, F.lit(False)).alias("verified"))
+    named = segments.select("segment_id", "dataset_id", F.explode("evidence_ids").alias("evidence_id"))
+    accepted = decisions.select("dataset_id", F.explode("accepted_ids").alias("evidence_id"))
+    found = verified_lists(named.withColumnRenamed("segment_id", "list_id"), accepted, evidence).withColumnRenamed("list_id", "segment_id")
+    return segments.join(found, ["segment_id", "dataset_id"], "left").select(*segments.columns, F.coalesce("verified", F.lit(False)).alias("verified"))
+
+
+def verified_lists(lists: DataFrame, accepted: DataFrame, evidence: DataFrame) -> DataFrame:
+    """lists(list_id, dataset_id, evidence_id), a row for each evidence that a list names -> list_id, dataset_id, verified: as in
+    segment_lineage, accepted(dataset_id, evidence_id) being the decisions. Many segments may share a list; an empty one has no row."""
+    own = ["dataset_id", "evidence_id"]
+    good = accepted_evidence(evidence, lists.select("dataset_id").distinct()).select(*own).distinct().withColumn("_good", F.lit(True))
+    known = accepted.select(*own).distinct()
+    backed = known.withColumn("_ok", F.lit(True)).join(good, own, "full")
+    totals = known.groupBy("dataset_id").agg(F.count("*").alias("_all"))
+    met = lists.select("list_id", *own).distinct().join(backed, own, "left")
+    counts = met.groupBy("list_id", "dataset_id").agg(F.count("*").alias("_n"), F.count(F.when(F.col("_ok") & F.col("_good"), 1)).alias("_held"))
+    return counts.join(totals, "dataset_id", "left").select("list_id", "dataset_id", F.coalesce((F.col("_n") == F.col("_held")) & (F.col("_n") == F.col("_all")), F.lit(False)).alias("verified"))
 
 
 def accepted_evidence(evidence: DataFrame, datasets: DataFrame) -> DataFrame:

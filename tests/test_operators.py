@@ -432,3 +432,13 @@ def test_option_chain_of_great_keys(spark, tmp_path):
     spark.createDataFrame([(k, 7, 905.5) for k in keys], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     got = {r["underlying"] for r in s8_option_chain(spark, str(tmp_path)).collect()}
     assert got == {f"{chr(97 + k // 10_000)}x{k % 10_000:04d}" for k in keys}
+
+
+def test_verified_lists(spark):
+    """Segments that name the same evidence share a list; evidence that isn't good, is missing or is another's doesn't hold."""
+    good = ("exact", True, "pass")
+    e = spark.createDataFrame([(1, 1, 2, *good), (2, 1, 3, *good), (3, 1, 4, "exact", True, "fail"), (4, 5, 6, *good)], "evidence_id long, left_id long, right_id long, compatibility string, independent boolean, status string")
+    accepted = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 4)], "dataset_id long, evidence_id long")
+    lists = spark.createDataFrame([("all", 1, 1), ("all", 1, 2), ("all", 1, 2), ("cut", 1, 1), ("more", 1, 1), ("more", 1, 2), ("more", 1, 3), ("all", 2, 1), ("all", 2, 4)], "list_id string, dataset_id long, evidence_id long")
+    got = {(r["list_id"], r["dataset_id"]): r["verified"] for r in jo.verified_lists(lists, accepted, e).collect()}
+    assert got == {("all", 1): True, ("cut", 1): False, ("more", 1): False, ("all", 2): False}
