@@ -11,6 +11,7 @@ import json
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,16 +155,65 @@ class BarReducer(StatefulProcessor):
         self.buckets = handle.getMapState("buckets", "interval long", "open_times array<long>, states array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = _Touched(self.bars, self.buckets)
-        for r in pd.concat(list(rows)).sort_values(["received_at", "id"], kind="stable").itertuples(index=False):
-            if r.kind == "tick":
-                for n in self.intervals:
-                    self._tick(batch, n, r)
-            else:
-                self._bar(batch, r)
-        out = [(key[0], *k, *(b[c] for c in _FIELDS)) for k, b in sorted(batch.changed.items())]
+        batch, parts, passed = _Touched(self.bars, self.buckets), [], []
+        for r in rows:  # of ticks only what they use is held
+            tick = r["kind"] == "tick"
+            parts.append(r.loc[tick, ["observed_at", "received_at", "last", "id"]])
+            if not tick.all():
+                parts.append(r[~tick])
+        held = pd.concat(parts, ignore_index=True)
+        del parts
+        held = held.iloc[np.lexsort((held["id"].to_numpy(), held["received_at"].to_numpy()))]
+        columns = [c.split()[0] for c in BAR_SCHEMA.split(", ")]
+        if "kind" in held.columns or held["last"].isna().any():
+            for r in held.assign(kind=held["kind"].fillna("tick") if "kind" in held.columns else "tick").itertuples(index=False):
+                if r.kind == "tick":
+                    for n in self.intervals:
+                        self._tick(batch, n, r)
+                else:
+                    self._bar(batch, r)
+        else:
+            at, received, last = (held[c].to_numpy() for c in ("observed_at", "received_at", "last"))
+            for n in self.intervals:
+                passed.append(self._ticks(batch, n, at, received, last))
+        out = pd.DataFrame([(key[0], *k, *(b[c] for c in _FIELDS)) for k, b in sorted(batch.changed.items())], columns=columns)
         batch.store(self.kept)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in BAR_SCHEMA.split(", ")])
+        yield out
+        for bars in passed:
+            if len(bars):
+                bars.insert(0, "instrument", key[0])
+                yield bars[columns]
+
+    def _ticks(self, batch: _Touched, n: int, at: np.ndarray, received: np.ndarray, last: np.ndarray) -> pd.DataFrame:
+        """Ticks in the order of receipt, none without a price, as _tick takes them one by one. Returns the new bars that are too
+        old to be kept after this batch; the state gets the others."""
+        bucket, before = at // 1_000_000 // n * n, batch.newest(n)
+        top = np.maximum.accumulate(bucket)
+        live = bucket == (top if before is None else np.maximum(top, before))
+        bucket, received, last = bucket[live], received[live], last[live]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+        known = before is not None and len(bucket) > 0 and bucket[0] == before
+        if known:
+            b, end = batch.get(n, before), int(starts[1]) if len(starts) > 1 else len(bucket)
+            first = int(np.searchsorted(received[:end], b["received_at"]))
+            if b["state"] != "final" and first < end:
+                p = last[first:end]
+                batch.put(n, before, b | {"high": max(b["high"], float(p.max())), "low": min(b["low"], float(p.min())), "close": float(p[-1]), "revision": b["revision"] + len(p), "received_at": int(received[end - 1])})
+            starts = starts[1:]
+        if not len(starts):
+            return pd.DataFrame()
+        if n == 1 and before is not None and batch.state(n, before) == "provisional_quote":
+            b = batch.get(n, before)
+            batch.put(n, before, b | {"state": "final", "revision": b["revision"] + 1, "final_at": int(received[starts[0]])})
+        ends = np.r_[starts[1:], len(bucket)]
+        past = np.arange(len(starts)) < (len(starts) - 1 if n == 1 else 0)  # final by the next second
+        bars = pd.DataFrame({
+            "interval": n, "open_time": bucket[starts], "open": last[starts], "high": np.maximum.reduceat(last, starts), "low": np.minimum.reduceat(last, starts), "close": last[ends - 1], "volume": np.nan,
+            "state": np.where(past, "final", "provisional_quote"), "revision": ends - starts + past, "received_at": received[ends - 1], "final_at": pd.array(np.where(past, received[np.minimum(ends, len(bucket) - 1)], 0), "Int64")})
+        bars.loc[~past, "final_at"] = pd.NA
+        for r in bars.iloc[-self.kept:].itertuples(index=False):
+            batch.put(n, int(r.open_time), {"open": r.open, "high": r.high, "low": r.low, "close": r.close, "volume": None, "state": r.state, "revision": int(r.revision), "received_at": int(r.received_at), "final_at": None if pd.isna(r.final_at) else int(r.final_at)})
+        return bars.iloc[: -self.kept].copy()
 
     @staticmethod
     def _tick(batch: _Touched, n: int, r) -> None:

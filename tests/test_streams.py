@@ -202,3 +202,46 @@ def test_the_reducer_reads_touched_bars_only():
     out = pd.concat(reducer.handleInputRows(("x",), iter([frame([tick(60 * 149 + 1, 200), tick(60 * 149 + 2, 201), tick(60 * 150, 202)])]), None))
     assert maps["bars"].reads == [(60, 60 * 149)] and maps["buckets"].reads == [(60,)]
     assert out[["open_time", "revision"]].to_numpy().tolist() == [[60 * 149, 3], [60 * 150, 1]] and len(maps["bars"].held) == 100
+
+
+def test_ticks_at_once_are_ticks_one_by_one():
+    """A batch of ticks, reduced by arrays, gives the bars and the state of the loop over rows."""
+    import numpy as np
+
+    class Maps:
+        def __init__(self):
+            self.d = {}
+
+        def containsKey(self, k):  # noqa: N802
+            return k in self.d
+
+        def getValue(self, k):  # noqa: N802
+            return self.d[k]
+
+        def updateValue(self, k, v):  # noqa: N802
+            self.d[k] = v
+
+        def removeKey(self, k):  # noqa: N802
+            self.d.pop(k, None)
+
+    rng, made = np.random.default_rng(4), []
+    batches = []
+    for k in range(4):
+        at = np.sort(rng.integers(k * 40_000_000, (k + 1) * 40_000_000, 400))
+        batches.append(pd.DataFrame({"kind": "tick", "observed_at": at, "received_at": at + rng.integers(-2, 6, 400) * 1_000_000, "last": rng.integers(1, 50, 400).astype(float), "id": rng.permutation(400)}))
+    for at_once in (True, False):
+        reducer, out = sb.BarReducer((1, 10, 60), kept=5), {}
+        reducer.bars, reducer.buckets = Maps(), Maps()
+        for batch in batches:
+            # a row of another kind, which changes nothing but the way, makes the loop run
+            extra = pd.DataFrame([{"kind": "bar", "observed_at": 0, "received_at": 1 << 60, "last": 1.0, "id": 0, "open": 1.0, "high": 1.0, "low": 1.0, "volume": None, "interval": 7, "revision": 1}])
+            chunks = [batch.iloc[:150], batch.iloc[150:]] if at_once else [batch, extra]
+            for frame in reducer.handleInputRows(("x",), iter(chunks), None):
+                for r in frame[frame["interval"] != 7].astype(object).where(lambda f: f.notna(), None).itertuples(index=False):
+                    key = (r.interval, r.open_time)
+                    if key not in out or r.revision >= out[key].revision:
+                        out[key] = r
+        made.append((out, {k: v for k, v in reducer.bars.d.items() if k[0] != 7}, {k: v for k, v in reducer.buckets.d.items() if k != (7,)}))
+    assert made[0][1:] == made[1][1:] and set(made[0][0]) == set(made[1][0])
+    for key, r in made[0][0].items():
+        assert tuple(r) == tuple(made[1][0][key]), key
