@@ -442,3 +442,19 @@ def test_verified_lists(spark):
     lists = spark.createDataFrame([("all", 1, 1), ("all", 1, 2), ("all", 1, 2), ("cut", 1, 1), ("more", 1, 1), ("more", 1, 2), ("more", 1, 3), ("all", 2, 1), ("all", 2, 4)], "list_id string, dataset_id long, evidence_id long")
     got = {(r["list_id"], r["dataset_id"]): r["verified"] for r in jo.verified_lists(lists, accepted, e).collect()}
     assert got == {("all", 1): True, ("cut", 1): False, ("more", 1): False, ("all", 2): False}
+
+
+def test_horizons_take_ticks_at_their_nearest_second(spark, tmp_path):
+    """A tick in the last half second of an hour counts for the next one, as in the SQL."""
+    import duckdb
+
+    from quotemill.plans import analytics, registry
+
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=i // 2, minutes=59 * (i % 2), seconds=59 * (i % 2), milliseconds=700 * (i % 2)), 1, "login", float(10 + (i * 7) % 13), "{}") for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([], "o_orderpriority string, o_orderdate date, o_totalprice double, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = analytics.m15_horizon_trend(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for t in ("events", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLES["m15_horizon_trend"]).fetchall())
