@@ -161,6 +161,10 @@ REASONS = {
 }
 
 
+#: Datasets of a market that are paired with another as many at once, about.
+BAND = 4096
+
+
 def compatibility(descriptors: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Level, reasons, independence and common fields of pairs of datasets.
 
@@ -168,11 +172,15 @@ def compatibility(descriptors: DataFrame, pairs: DataFrame | None = None) -> Dat
     (left_id, right_id) or, without them, all pairs of one underlying and currency. Another underlying or currency is
     incompatible; else a pair without reasons is exact, any other good for sanity checks only. Independence is that of the groups.
     """
-    a, b = descriptors.alias("a"), descriptors.alias("b")
     if pairs is None:
-        both = a.join(b, (F.col("a.underlying") == F.col("b.underlying")) & (F.col("a.currency") == F.col("b.currency")) & (F.col("a.dataset_id") < F.col("b.dataset_id")))
-    else:
-        both = pairs.alias("p").join(a, F.col("p.left_id") == F.col("a.dataset_id")).join(b, F.col("p.right_id") == F.col("b.dataset_id"))
+        return expanded_pairs(market_classes(descriptors))
+    a, b = descriptors.alias("a"), descriptors.alias("b")
+    both = pairs.alias("p").join(a, F.col("p.left_id") == F.col("a.dataset_id")).join(b, F.col("p.right_id") == F.col("b.dataset_id"))
+    return both.select(F.col("a.dataset_id").alias("left_id"), F.col("b.dataset_id").alias("right_id"), *_judgement())
+
+
+def _judgement() -> list[Column]:
+    """Level, reasons, independence and common fields of a and b, which are tables' names or structs. a and b may change places."""
     differs = lambda c: ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     other_market = differs("underlying") | differs("currency")
     identity = differs(IDENTITY[0])
@@ -185,7 +193,41 @@ def compatibility(descriptors: DataFrame, pairs: DataFrame | None = None) -> Dat
         reason("identity", identity), reason("kind", differs("kind")), reason("semantics", differs("semantics")), reason("fields", quotes & (F.size(common) == 0)),
         reason("basis", bars & differs("basis")), reason("interval", bars & differs("interval_seconds")))))
     level = F.when(other_market, "incompatible").when(F.size(reasons) == 0, "exact").otherwise("sanity_only")
-    return both.select(F.col("a.dataset_id").alias("left_id"), F.col("b.dataset_id").alias("right_id"), level.alias("level"), reasons.alias("reasons"), differs("independence_group").alias("independent"), common.alias("common_fields"))
+    return [level.alias("level"), reasons.alias("reasons"), differs("independence_group").alias("independent"), common.alias("common_fields")]
+
+
+def market_classes(descriptors: DataFrame) -> DataFrame:
+    """All pairs of datasets of one underlying and currency, as rows of left_ids, right_ids, _same and what compatibility tells.
+
+    Datasets whose descriptors are alike but for the id are a class, and two classes are judged once; expanded_pairs makes the pairs.
+    A market is dealt to bands of about BAND ids, and each two bands are a cell that a task holds, so that a market of any size
+    is many cells.
+    """
+    market, alike = ["underlying", "currency"], [*IDENTITY, "kind", "semantics", "fields", "basis", "interval_seconds", "independence_group"]
+    known = descriptors.dropna(subset=["dataset_id", *market])
+    bands = known.groupBy(*market).agg(F.ceil(F.count("*") / BAND).cast("int").alias("_bands"))
+    band = [*market, "_bands", "_band"]
+    dealt = known.join(bands, market).withColumn("_band", F.pmod(F.xxhash64("dataset_id"), "_bands").cast("int"))
+    classes = dealt.groupBy(*band, *(c for c in alike if c not in market)).agg(F.collect_list("dataset_id").alias("ids"))
+    held = classes.groupBy(*band).agg(F.collect_list(F.struct(*alike, "ids")).alias("classes"))
+    cell = [*market, "_i", "_j"]
+    parts = max(int(descriptors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * descriptors.sparkSession.sparkContext.defaultParallelism)
+    # a number of parts, so that parts aren't made fewer for their few bytes: a cell's work is the square of its bytes
+    rows = held.select(*market, F.col("_band").alias("_i"), F.explode(F.sequence("_band", F.col("_bands") - 1)).alias("_j"), F.col("classes").alias("_a")).repartition(parts, *cell)
+    columns = held.select(*market, F.explode(F.sequence(F.lit(0), "_band")).alias("_i"), F.col("_band").alias("_j"), F.col("classes").alias("_b")).repartition(parts, *cell)
+    met = rows.join(columns.hint("shuffle_hash"), cell)
+    each = met.select("_i", "_j", "_b", F.posexplode("_a").alias("_p", "a")).select("_i", "_j", "_p", "a", F.posexplode("_b").alias("_q", "b"))
+    return each.where("_i < _j or _p <= _q").select(
+        F.col("a.ids").alias("left_ids"), F.col("b.ids").alias("right_ids"), ((F.col("_i") == F.col("_j")) & (F.col("_p") == F.col("_q"))).alias("_same"), *_judgement())
+
+
+def expanded_pairs(classes: DataFrame) -> DataFrame:
+    """Rows of market_classes, or with columns made of what they tell, as a row for each pair: left_id is the smaller."""
+    rest = [c for c in classes.columns if c not in ("left_ids", "right_ids", "_same")]
+    x = classes.select(F.explode("left_ids").alias("_x"), "right_ids", "_same", *rest).select("_x", F.explode("right_ids").alias("_y"), "_same", *rest)
+    # of a class with itself each pair once
+    kept = x.where((F.col("_x") < F.col("_y")) | (~F.col("_same") & (F.col("_x") != F.col("_y"))))
+    return kept.select(F.least("_x", "_y").alias("left_id"), F.greatest("_x", "_y").alias("right_id"), *rest)
 
 
 def strike_ladder(chain: DataFrame, stats: DataFrame) -> DataFrame:

@@ -586,12 +586,12 @@ def _descriptors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _compatible(df: DataFrame) -> DataFrame:
-    return df.select("left_id", "right_id", "level", F.array_join("reasons", "; ").alias("reasons"), "independent", F.array_join("common_fields", ",").alias("common_fields"))
+    return df.withColumns({"reasons": F.array_join("reasons", "; "), "common_fields": F.array_join("common_fields", ",")})
 
 
 @query(f"WITH {_DESCRIPTORS} {_JUDGED} descr a JOIN descr b ON a.underlying = b.underlying AND a.currency = b.currency AND a.dataset_id < b.dataset_id)")
 def j12_compatibility(spark: SparkSession, d: str) -> DataFrame:
-    return _compatible(jo.compatibility(_descriptors(spark, d)))
+    return jo.expanded_pairs(_compatible(jo.market_classes(_descriptors(spark, d))))  # texts are made for classes, not for pairs
 
 
 @query(f"WITH {_DESCRIPTORS} {_JUDGED} descr a JOIN descr b ON b.dataset_id IN (a.dataset_id + 1, a.dataset_id + 40))")

@@ -271,6 +271,24 @@ def test_compatibility(spark):
     assert jo.compatibility(spark.createDataFrame(rows_, schema)).count() == 10
 
 
+def test_compatibility_judges_classes_once(spark, monkeypatch):
+    """All pairs of a market, in several bands, are those of the pairs one by one; judged are classes, however many datasets they have."""
+    schema = "dataset_id int, instrument string, underlying string, currency string, type string, venue string, contract string, kind string, semantics string, fields array<string>, basis string, interval_seconds int, independence_group string"
+    row = lambda i: (i, "i", "gold" if i % 50 else None, f"c{int(i > 150)}", "spot", "v", None if i % 3 else "c", "quote" if i % 2 else "bar", "open", ["bid", "ask"][: i % 3], "mid", 60, None)
+    df = spark.createDataFrame([row(i) for i in range(200)], schema).cache()
+    market = {i: row(i)[3] for i in range(200) if row(i)[2]}
+    pairs = spark.createDataFrame([(i, j) for i in market for j in market if i < j and market[i] == market[j]], "left_id int, right_id int")
+    rows_ = lambda x: sorted(map(str, x.collect()))
+    want = rows_(jo.compatibility(df, pairs))
+    assert jo.market_classes(df).count() == 2 * (6 * 7 // 2)  # two markets of six classes each
+    assert rows_(jo.compatibility(df)) == want
+    monkeypatch.setattr(jo, "BAND", 20)
+    assert rows_(jo.compatibility(df)) == want
+    # an id that comes twice is paired with others twice, and never with itself
+    twice = df.unionByName(df.where("dataset_id = 7"))
+    assert rows_(jo.compatibility(twice)) == sorted(want + [r for r in want if "left_id=7," in r or "right_id=7," in r])
+
+
 def test_robust_z_without_deviation(spark):
     base = spark.createDataFrame([(e, v) for e, vs in ((1, [2.0] * 6), (2, [2.0] * 4), (3, [1.0, 2.0, 3.0, 4.0, 5.0])) for v in vs], "e int, v double")
     values = spark.createDataFrame([(1, 2.0), (1, 9.0), (2, 2.0), (3, 3.0), (3, 3.0 + 1.4826)], "e int, v double")
