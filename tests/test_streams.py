@@ -11,6 +11,7 @@ from quotemill.operators import bars as ba
 from quotemill.operators import calendar as cal
 from quotemill.plans import bindings as b
 from quotemill.streaming import bars as sb
+from quotemill.streaming import gaps as ga
 from quotemill.streaming import sinks
 from quotemill.streaming.gaps import gap_stream, standing_gaps
 from quotemill.streaming.tables import CommittedTable
@@ -185,6 +186,111 @@ class _Map:
         self.held.pop(k, None)
 
 
+class _Value:
+    """A value state."""
+
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, v):
+        self.held = v
+
+
+class _Gaps:
+    """A gap detector on maps in memory, with its timers; now is the watermark."""
+
+    def __init__(self, grace):
+        self.blocks, self.timers, self.now, self.calls = _Map(), set(), 0, 0
+        self.detector = ga.GapDetector("k", grace)
+        self.detector.init(self)
+
+    def getValueState(self, *_):  # noqa: N802
+        return _Value()
+
+    def getMapState(self, *_):  # noqa: N802
+        put = self.blocks.updateValue
+
+        def counted(k, v):
+            self.calls += 1
+            put(k, v)
+
+        self.blocks.updateValue = counted
+        return self.blocks
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return min(self.timers)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+    def batch(self, rows, now):
+        self.now = now
+        told = list(self.detector.handleInputRows(("x",), iter([pd.DataFrame(rows, columns=["seq", "at"])]), self))
+        while self.timers and min(self.timers) <= now:
+            at = min(self.timers)
+            told += list(self.detector.handleExpiredTimer(("x",), self, self))
+            self.timers.discard(at)
+        return [tuple(r) for f in told for r in f[["gap_from", "gap_to", "state", "revision"]].itertuples(index=False)]
+
+
+def test_gaps_in_blocks_are_gaps_one_by_one(monkeypatch):
+    """Blocks that grow, are cut, emptied and lost give the changes of a plain list of gaps."""
+    import numpy as np
+
+    monkeypatch.setattr(ga, "BLOCK", 4)
+    rng, grace = np.random.default_rng(7), 40
+    for spread in (60, 1000):
+        got, held, states, low, high, revision = _Gaps(grace), {}, set(), None, None, 0
+        for n in range(60):
+            rows = [(int(s), 10 * n + int(a)) for s, a in zip(500 + rng.integers(-spread, spread, 12), rng.integers(0, 10, 12), strict=True)]
+            at, want = {}, []
+            for s, a in rows:
+                at[s] = min(a, at.get(s, a))
+            numbers = sorted(at)
+            if low is None:
+                low = high = numbers[0]
+            for start, (end, until) in sorted(held.items()):
+                inside = [s for s in numbers if start <= s <= end]
+                if inside:
+                    del held[start]
+                    want += [(start, end, "closed")] if inside[0] == start else []
+                    for a, b in zip([start - 1, *inside], [*inside, end + 1], strict=True):
+                        if b - a > 1:
+                            held[a + 1] = (b - 1, until)
+                            want.append((a + 1, b - 1, "open"))
+            above, below = [s for s in numbers if s > high], [s for s in numbers if s < low]
+            for a, b, shown in [*((a, b, b) for a, b in zip([high, *above], above)), *((a, b, a) for a, b in zip(below, [*below[1:], low]))]:  # noqa: B905
+                if b - a > 1:
+                    held[a + 1] = (b - 1, at[shown] + grace)
+                    want.append((a + 1, b - 1, "open"))
+            low, high, now = min(low, numbers[0]), max(high, numbers[-1]), 10 * n - 5
+            for until, start, end in sorted((u, s, e) for s, (e, u) in held.items() if u <= now):
+                del held[start]
+                want.append((start, end, "lost"))
+            assert got.batch(rows, now) == [(*w, revision + i + 1) for i, w in enumerate(want)]
+            revision, states = revision + len(want), states | {w[2] for w in want}
+        assert states == {"open", "closed", "lost"} and revision > 100
+
+
+def test_gaps_cost_a_call_a_block():
+    """A hundred thousand gaps, half of them filled later, are few calls to the state and few timers."""
+    got = _Gaps(60_000)
+    assert len(got.batch([(3 * k, k) for k in range(100_001)], 0)) == 100_000
+    assert len(got.batch([(6 * k + 1, 200_000) for k in range(50_000)], 0)) == 100_000  # closed, and what is left is open
+    assert got.calls < 100
+    assert len(got.batch([(300_001, 200_001)], 150_000)) == 90_000 and got.calls < 200  # those seen by 90,000 are lost
+
+
 def test_the_reducer_reads_touched_bars_only():
     maps = {}
 
