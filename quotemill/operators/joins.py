@@ -209,7 +209,8 @@ def market_classes(descriptors: DataFrame) -> DataFrame:
     band = [*market, "_bands", "_band"]
     dealt = known.join(bands, market).withColumn("_band", F.pmod(F.xxhash64("dataset_id"), "_bands").cast("int"))
     classes = dealt.groupBy(*band, *(c for c in alike if c not in market)).agg(F.collect_list("dataset_id").alias("ids"))
-    held = classes.groupBy(*band).agg(F.collect_list(F.struct(*alike, "ids")).alias("classes"))
+    # in one order: a band is read as rows and as columns, and its classes' places tell which two have met
+    held = classes.groupBy(*band).agg(F.sort_array(F.collect_list(F.struct(*alike, "ids"))).alias("classes"))
     cell = [*market, "_i", "_j"]
     parts = max(int(descriptors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * descriptors.sparkSession.sparkContext.defaultParallelism)
     # a number of parts, so that parts aren't made fewer for their few bytes: a cell's work is the square of its bytes

@@ -289,6 +289,26 @@ def test_compatibility_judges_classes_once(spark, monkeypatch):
     assert rows_(jo.compatibility(twice)) == sorted(want + [r for r in want if "left_id=7," in r or "right_id=7," in r])
 
 
+def test_compatibility_of_rows_in_any_order(spark):
+    """A band's classes are held in one order, however rows come each time that they are read, as blocks of a shuffle do on a cluster."""
+    import numpy as np
+
+    schema = "dataset_id int, instrument string, underlying string, currency string, type string, venue string, contract string, kind string, semantics string, fields array<string>, basis string, interval_seconds int, independence_group int"
+    df = spark.createDataFrame([(i, "i", "gold", "c", "spot", "v", None, "quote" if i % 2 else "bar", "open", ["bid", "ask"][: i % 3], "mid", 60, i % 7 or None) for i in range(300)], schema)
+
+    def shuffled(batches):
+        for batch in batches:
+            yield batch.take(np.random.default_rng().permutation(batch.num_rows))
+
+    was = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        found = [(r.left_id, r.right_id) for r in jo.compatibility(df.mapInArrow(shuffled, df.schema)).collect()]
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", was)
+    assert sorted(found) == [(i, j) for i in range(300) for j in range(i + 1, 300)]
+
+
 def test_robust_z_without_deviation(spark):
     base = spark.createDataFrame([(e, v) for e, vs in ((1, [2.0] * 6), (2, [2.0] * 4), (3, [1.0, 2.0, 3.0, 4.0, 5.0])) for v in vs], "e int, v double")
     values = spark.createDataFrame([(1, 2.0), (1, 9.0), (2, 2.0), (3, 3.0), (3, 3.0 + 1.4826)], "e int, v double")
