@@ -455,6 +455,46 @@ def test_overlaps_of_all_lengths(spark):
     assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[3] < b[4] and a[4] > b[3])
 
 
+def _segments_of(spark, rows):
+    x = spark.createDataFrame(rows, "segment_id long, instrument string, kind string, s long, e long")
+    return x.select("segment_id", "instrument", "kind", F.timestamp_micros("s").alias("segment_start"), F.timestamp_micros("e").alias("segment_end"))
+
+
+def test_overlapping_segments_in_blocks(spark, monkeypatch):
+    """In blocks of some segments, with starts that many share, ends at or before starts, segments beyond all others, ids that come twice, and nulls."""
+    r = np.random.default_rng(3)
+    rows = [(i, "a" if i % 5 else "b", "bar" if i % 7 else "quote", int(s), int(s + n)) for i, (s, n) in enumerate(zip(r.integers(0, 2000, 300), r.integers(-4, 60, 300)))]
+    rows += [(1000 + i, "a", "bar", 700, 700 + (i % 9 - 1) * 30) for i in range(120)]  # a start of several blocks, and the next one likewise
+    rows += [(2000 + i, "a", "bar", 701, 701 + i % 4) for i in range(60)]
+    rows += [(3000, "a", "bar", -5, 9_000), (3001, "a", "bar", 701, 9_000), (3002, "a", "bar", 2500, 2400), (3003, "b", "bar", 5, 5)]
+    rows += [(7, "a", "bar", 690, 760), (8, "a", "bar", 30, 1500)]
+    rows += [(None, "a", "bar", 0, 50), (4000, None, "bar", 0, 50), (4001, "a", "bar", None, 50), (4002, "a", "bar", 0, None)]
+    known = [x for x in rows if None not in x]
+    want = sorted((x[0], y[0]) for x in known for y in known if x[0] < y[0] and x[1:3] == y[1:3] and x[3] < y[4] and x[4] > y[3])
+    pairs = lambda: sorted((x.left_id, x.right_id) for x in jo.overlapping_segments(_segments_of(spark, rows)).collect())
+    assert pairs() == want
+    monkeypatch.setattr(jo, "BLOCK", 16)
+    monkeypatch.setattr(jo, "PAIRS", 50)
+    assert pairs() == want
+
+
+def test_overlapping_segments_are_sent_about_once(spark, monkeypatch):
+    """What the shuffles hold is a few bytes for each segment, however lengths differ; a segment goes on only to blocks that it reaches."""
+    monkeypatch.setattr(jo, "BLOCK", 1000)
+    r = np.random.default_rng(4)
+    seg = _segments_of(spark, [(i, "a", "bar", int(s), int(s + n)) for i, (s, n) in enumerate(zip(r.integers(0, 10**13, 20_000), 1 + 10**r.uniform(0, 9.5, 20_000)))])
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    assert jo.overlapping_segments(seg).count() > 0
+    assert written() - before < 20_000 * 80
+
+
 def test_positions_of_two_answers(spark):
     """A contract may occur once in each answer."""
     page = lambda v: json.dumps({"delaymarket": [{"contractname": "AU2506", "volume": v, "openinterest": "1", "openinterestchg": "0"}]})
